@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, secrets, sharding, token_store
+from . import jaccard_join, licenses, mixing, secrets, sharding, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard_tree": sharding.op2_shard_tree,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_mix": mixing.op9_mix,
     "op10_token_store": token_store.op10_token_store,
