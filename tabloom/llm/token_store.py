@@ -99,32 +99,56 @@ class Codes:
 
 class WordEncoder:
     """Ids of a text by a tokenizer whose words never cross white space (its normalizer folds runs of white space and
-    letter case, its pre-tokenizer drops the rest), so a word's ids are computed once. Texts with the opening of a
-    special token are given to the tokenizer whole."""
+    letter case, its pre-tokenizer drops the rest and parts letters from punctuation), so a word's ids are computed
+    once, and a word of letters with closing punctuation is the two. Texts with the opening of a special token are given
+    to the tokenizer whole. Two generations of words are kept: frequent ones move to the young one when met again."""
+
+    CLOSING = b".,;:!?|*#$%&()"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         words = [None if t and b"<|" in t else (t or b"").lower().split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new: set[bytes] = set()
-        for w in words:
-            if w:
-                new.update(w)
-        new.difference_update(self.known.keys())
-        fresh = list(new)
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        ids = self.known.__getitem__
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        self._learn(set().union(*[w for w in words if w]).difference(self.young.keys()))
+        ids = self.young.__getitem__
         whole = lambda t: np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         return [whole(t) if w is None else b"".join(map(ids, w)) for t, w in zip(texts, words, strict=True)]
 
+    def _learn(self, new: set[bytes]) -> None:
+        young, old = self.young, self.old
+        split: list[tuple[bytes, bytes, bytes]] = []
+        pieces: set[bytes] = set()
+        for w in new:
+            if (known := old.get(w)) is not None:
+                young[w] = known
+                continue
+            core = w.rstrip(self.CLOSING)
+            if 0 < len(core) < len(w) and core.decode().lower().isalpha():
+                split.append((w, core, w[len(core) :]))
+                pieces.add(core)
+                pieces.add(w[len(core) :])
+            else:
+                pieces.add(w)
+        pieces.difference_update(young.keys())
+        fresh = []
+        for w in pieces:
+            if (known := old.get(w)) is not None:
+                young[w] = known
+            else:
+                fresh.append(w)
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
+            young[w] = np.array(e.ids, "<u4").tobytes()
+        for w, core, tail in split:
+            young[w] = young[core] + young[tail]
+
 
 SEGMENTS = "shard int, segment int, n_docs long, n_ids long, base long, doc_ids array<long>, lengths binary, ids binary"
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -135,7 +159,9 @@ def _segments(tokenizer: str, end_id: int):
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _ENCODERS.setdefault(tokenizer, WordEncoder(tokenizer)) if tokenizer not in _ENCODERS else _ENCODERS[tokenizer]
+        if tokenizer not in _ENCODERS:
+            _ENCODERS[tokenizer] = WordEncoder(tokenizer)
+        encode = _ENCODERS[tokenizer]
         docs: list = []
         parts: list[bytes] = []
         n = base = segment = shard = 0
