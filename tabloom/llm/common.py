@@ -50,6 +50,15 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Narrow tables up to this many rows (tens of MB) are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A saved table of a few numbers a row, marked for broadcast if a count shows that it is small enough."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def columns_without(df: DataFrame, names: Iterable[str]) -> list:
     """Columns of df but for those that an operator is about to add: on a clash the operator's column wins."""
     taken = {n.lower() for n in names}
@@ -97,4 +106,5 @@ def components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str =
         if mark == last:
             break
         last = mark
-    return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    # Nodes point at the smallest of their component, which has no edge of its own.
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select("v", F.col("v").alias("component")).withColumnRenamed("v", "node")).groupBy("node").agg(F.min("component").alias("component"))

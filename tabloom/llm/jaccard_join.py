@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches_of, components, table
-from .shingles import shingle_set, word_hashes
+from .common import Scratch, batches_of, components, small, table
+from .shingles import mix, shingle_set, word_hashes
 
 GROUPS = 256
 #: Blocks up to this size are paired by a plain join, larger ones through trees.
@@ -37,8 +38,10 @@ SMALL_BLOCK = 16
 #: Most documents of a tile; larger blocks become pairs of tiles.
 TILE = 2048
 LEAF = 32
-#: Ids up to this many are broadcast to pick documents; more are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Coordinates of the boxes: the groups folded.
+FOLDED = 32
+#: Components of candidates with more shingles are verified pair by pair.
+GROUP_SHINGLES = 4_000_000
 
 SKETCH = "doc_id long, n long, k1 long, k2 long, points binary, prefix array<long>"
 
@@ -101,37 +104,48 @@ def enough(bound: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
 
 
 class RTree:
-    """Leaves of points packed in order of size and first coordinates; boxes keep upper corners, which bound minima."""
+    """Leaves of points packed in order of size and first coordinates. Boxes keep upper corners, over groups folded to
+    FOLDED coordinates: the sum of the smaller upper coordinates bounds the overlap of any two points inside."""
 
     def __init__(self, n: np.ndarray, p: np.ndarray):
-        self.order = np.lexsort((p[:, :16].sum(axis=1), n)) if len(n) else np.zeros(0, np.int64)
-        self.n, self.p = n[self.order], p[self.order]
+        c = p.reshape(len(p), FOLDED, -1).sum(axis=2, dtype=np.uint32).astype(np.uint16 if n.max(initial=0) < 65536 else np.uint32)
+        self.order = np.lexsort((c[:, 0], n))
+        self.n, self.p, self.c = n[self.order], p[self.order], c[self.order]
         self.cuts = np.arange(0, len(n), LEAF)
-        self.upper = np.maximum.reduceat(self.p, self.cuts) if len(n) else self.p
-        self.least = np.minimum.reduceat(self.n, self.cuts) if len(n) else self.n
-        self.most = np.maximum.reduceat(self.n, self.cuts) if len(n) else self.n
+        self.upper = np.maximum.reduceat(self.c, self.cuts) if len(n) else self.c
+        self.least, self.most = self.n[self.cuts], self.n[np.minimum(self.cuts + LEAF, len(n)) - 1]
 
     def join(self, other: RTree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Row numbers (in the inputs) and bounds of the pairs that survive, leaf by leaf."""
         for a, at in enumerate(self.cuts):
-            near = (100 * other.most >= percent * self.least[a]) & (100 * self.most[a] >= percent * other.least)
-            b = np.flatnonzero(near)
+            b = np.flatnonzero((100 * other.most >= percent * self.least[a]) & (100 * self.most[a] >= percent * other.least))
+            if len(b):
+                b = b[enough(np.minimum(self.upper[a], other.upper[b]).sum(axis=1, dtype=np.int64), self.least[a] + other.least[b], percent)]
             if not len(b):
                 continue
-            most = np.minimum(self.upper[a], other.upper[b]).sum(axis=1, dtype=np.int64)
-            b = b[enough(most, self.least[a] + other.least[b], percent)]
-            if not len(b):
+            rows = (other.cuts[b][:, None] + np.arange(LEAF)).ravel()
+            rows = rows[rows < len(other.n)]
+            mine = slice(at, min(at + LEAF, len(self.n)))
+            near = np.minimum(self.c[mine][:, None, :], other.c[rows][None, :, :]).sum(axis=2, dtype=np.int64)
+            x, y = self.n[mine][:, None], other.n[rows][None, :]
+            i, j = np.nonzero((100 * x >= percent * y) & (100 * y >= percent * x) & enough(near, x + y, percent))
+            if not len(i):
                 continue
-            rows = np.concatenate([np.arange(other.cuts[x], min(other.cuts[x] + LEAF, len(other.n))) for x in b])
-            mine = np.arange(at, min(at + LEAF, len(self.n)))
-            for i in mine:
-                ok = rows[(100 * other.n[rows] >= percent * self.n[i]) & (100 * self.n[i] >= percent * other.n[rows])]
-                if not len(ok):
-                    continue
-                most = np.minimum(self.p[i], other.p[ok]).sum(axis=1, dtype=np.int64)
-                keep = enough(most, self.n[i] + other.n[ok], percent)
-                if keep.any():
-                    yield np.full(keep.sum(), self.order[i]), other.order[ok[keep]], most[keep]
+            i, j = i + at, rows[j]
+            bound = np.minimum(self.p[i], other.p[j]).sum(axis=1, dtype=np.int64)
+            keep = enough(bound, self.n[i] + other.n[j], percent)
+            yield self.order[i[keep]], other.order[j[keep]], bound[keep]
+
+
+def _first_of_each(group: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the k entries with the smallest score of each group."""
+    order = np.lexsort((score, group))
+    g = group[order]
+    start = np.concatenate([[True], g[1:] != g[:-1]])
+    rank = np.arange(len(g)) - np.maximum.accumulate(np.where(start, np.arange(len(g)), 0))
+    mask = np.zeros(len(g), bool)
+    mask[order[rank < k]] = True
+    return mask
 
 
 def _blocks(percent: int, partners: int | None):
@@ -143,60 +157,99 @@ def _blocks(percent: int, partners: int | None):
         n = g.column("n").to_numpy()
         comp = g.column("component").to_numpy()
         side = g.column("side").to_numpy()
-        if partners is None and (comp == comp[0]).all():
+        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        if not len(left) or not len(right) or partners is None and (comp == comp[0]).all():
             return ids[:0], ids[:0]
         p = points(g.column("points").to_pylist())
-        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        found: list = []
+        found = [(ids[:0], ids[:0], ids[:0])]
         for i, j, bound in RTree(n[left], p[left]).join(RTree(n[right], p[right]), percent):
             a, b = left[i], right[j]
-            ok = ids[a] != ids[b]
-            # Rows of both sides (side 0) meet twice: keep them once.
-            ok &= ~((side[a] == 0) & (side[b] == 0) & (ids[a] > ids[b]) & (partners is None))
-            if partners is None:
-                ok &= comp[a] != comp[b]
-            a, b, bound = a[ok], b[ok], bound[ok]
-            if partners is not None and len(b) > 2 * partners:
-                score = bound / (n[a] + n[b])
-                likely = np.argpartition(-score, partners)[:partners]
-                draw = np.argpartition((ids[a] * 0x9E3779B1 + ids[b] * 0x85EBCA6B + (ids[a] ^ ids[b])) & 0x7FFFFFFF, partners)[:partners]
-                pick = np.union1d(likely, draw)
-                a, b = a[pick], b[pick]
-            if len(a):
-                found.append((ids[a], ids[b]))
-        if not found:
-            return ids[:0], ids[:0]
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        u = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            # Rows that sit on both sides (side 0) meet twice.
+            ok = (ids[a] != ids[b]) & ((side[a] != 0) | (side[b] != 0) | (ids[a] < ids[b])) & ((comp[a] != comp[b]) if partners is None else True)
+            found.append((a[ok], b[ok], bound[ok]))
+        a, b, bound = (np.concatenate(x) for x in zip(*found, strict=True))
+        if partners is not None and len(a):
+            x, y = ids[a].astype(np.uint64), ids[b].astype(np.uint64)
+            draw = mix(x * np.uint64(0x9E3779B97F4A7C15) ^ y * np.uint64(0xC2B2AE3D27D4EB4F))
+            score = -bound / (n[a] + n[b])
+            # Both ends choose, so a document with few partners keeps them all.
+            keep = np.zeros(len(a), bool)
+            for end in (a, b):
+                keep |= _first_of_each(end, score, partners) | _first_of_each(end, draw, partners)
+            a, b = a[keep], b[keep]
+        u = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]), axis=1)
         return u[0], u[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        last = None
+        for g in groups_of(batches, "block"):
+            a, b = pairs(g)
+            if len(a):
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                a, b = pairs(pa.concat_tables(held).combine_chunks())
-                if len(a):
-                    yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+    return run
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("block").to_numpy(zero_copy_only=False)
-            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            whole = pa.Table.from_batches([batch])
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if last is not None and key[s] != last:
-                    yield from flush()
-                    held = []
-                last = key[s]
-                held.append(whole.slice(s, e - s))
-        yield from flush()
+
+def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows of one key at a time, from batches sorted by it."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        whole = pa.Table.from_batches([batch])
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and keys[s] != last:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            last = keys[s]
+            held.append(whole.slice(s, e - s))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _verify(percent: int):
+    """Pairs of a group that reach the threshold, from the group's texts; a pair already joined through others is not
+    looked at again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups_of(batches, "group"):
+            is_text = g.column("b").is_null()
+            texts, pairs = g.filter(is_text), g.filter(pc.invert(is_text))
+            ids = texts.column("a").to_pylist()
+            sets: dict[int, list[np.ndarray]] = {}
+            for i, w in zip(ids, word_hashes(texts.column("text").cast(pa.binary()).to_pylist()), strict=True):
+                sets.setdefault(i, []).append(shingle_set(w))
+            root = {i: i for i in sets}
+
+            def find(x: int) -> int:
+                while root[x] != x:  # noqa: B023
+                    root[x] = root[root[x]]  # noqa: B023
+                    x = root[x]  # noqa: B023
+                return x
+
+            out = []
+            for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+                x, y = find(a), find(b)
+                if x != y and any((100 + percent) * shared_count(s, t) >= percent * (len(s) + len(t)) for s in sets[a] for t in sets[b]):
+                    root[max(x, y)] = min(x, y)
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
+def shared_count(s: np.ndarray, t: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(s) > len(t):
+        s, t = t, s
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    return int((t[at] == s).sum()) if len(t) else 0
+
+
 def _bounded(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,33 +277,28 @@ class JaccardJoin:
         """doc_id, n_shingles, component_id for each row."""
         s, percent = self.scratch, self.percent
         sketch = s.save(self.docs.mapInArrow(_sketch(percent), SKETCH), "sketch")
-        classes = sketch.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-        classes = s.save(classes, "classes")
-        members = sketch.join(classes.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0")
-        entries = s.save(members.select(F.explode("prefix").alias("token"), "doc_id", "n"), "entries")
-        own = F.xxhash64("doc_id")
-        blocks = entries.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(own).alias("x1"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("df > 1")
-        blocks = blocks.groupBy("df", "x1", "lo", "hi").agg(F.min("token").alias("token")).select("token", "df")
-        placed = s.save(entries.join(blocks, "token"), "placed")
-        s.drop("entries")
-
-        small = placed.where(F.col("df") <= SMALL_BLOCK)
-        p, q = small.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na")), small.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+        classes = s.save(sketch.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+        reps = s.save(classes.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "reps")
+        members = sketch.where("n > 0").join(small(reps), "doc_id", "left_semi")
+        entries = members.select(F.explode("prefix").alias("token"), "doc_id", "n")
+        blocks = entries.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("df > 1")
+        blocks = s.save(blocks.groupBy("df", "x", "lo", "hi").agg(F.min("token").alias("token")).select("token", "df"), "blocks")
+        placed = s.save(entries.join(small(blocks), "token"), "placed")
+
+        few = placed.where(F.col("df") <= SMALL_BLOCK)
+        p, q = few.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na")), few.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
         pairs = p.join(q, "token").where((F.col("a") < F.col("b")) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b").distinct()
-        first = self.bounded(pairs, sketch).unionByName(self.blocked(placed, sketch, None)).distinct()
-        links = s.save(self.verified(s.save(first, "pairs-1")), "links-1")
+        first = s.save(self.bounded(pairs, sketch).unionByName(self.blocked(placed, sketch, None)).distinct(), "pairs-1")
+        links = s.save(self.verified(first, sketch), "links-1")
         found = s.save(components(links, Scratch(self.spark, "jaccard-cc"), "a", "b"), "components-1")
 
-        rest = self.blocked(placed, sketch, found).distinct()
-        rest = s.save(rest, "pairs-2")
+        rest = s.save(self.blocked(placed, sketch, found).distinct(), "pairs-2")
         if rest.limit(1).count():
-            links = links.unionByName(s.save(self.verified(rest), "links-2"))
+            links = links.unionByName(s.save(self.verified(rest, sketch), "links-2"))
             found = s.save(components(links, Scratch(self.spark, "jaccard-cc"), "a", "b"), "components-2")
-        self.links = links
         named = sketch.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"], "left")
-        rep = F.coalesce("rep", "doc_id")
         return (
-            named.withColumn("node", F.when(F.col("doc_id").isNotNull(), rep))
+            named.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
             .join(found, "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
         )
@@ -288,14 +336,26 @@ class JaccardJoin:
         rows = rows.join(sketch.where("n > 0").select("doc_id", "points"), "doc_id")
         return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks(self.percent, self.partners if found is None else None), "a long, b long")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole shingle sets reach the threshold."""
-        ids = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-        picked = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-        sets = self.scratch.save(picked.mapInArrow(_sets, "doc_id long, shingles array<long>"), f"sets-{uuid.uuid4().hex}")
-        both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("t")).where((100 * F.col("i") >= self.percent * (F.col("t") - F.col("i")))).select("a", "b")
+    def verified(self, pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+        """Pairs whose whole shingle sets reach the threshold, enough of them to have the same components.
+
+        Candidate pairs passed a tight bound, so their own components are small: each text moves once, to its component.
+        A component with more than GROUP_SHINGLES shingles is verified pair by pair instead, by joins."""
+        group = self.scratch.save(components(pairs, Scratch(self.spark, "jaccard-cc"), "a", "b"), f"groups-{uuid.uuid4().hex}")
+        weight = group.join(sketch.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("w"))
+        placed = self.scratch.save(group.join(weight, "component").select("node", F.col("component").alias("group"), (F.col("w") > GROUP_SHINGLES).alias("big")), f"placed-{uuid.uuid4().hex}")
+        picked = self.docs.join(small(placed.withColumnRenamed("node", "doc_id")), "doc_id")
+        keyed = pairs.join(placed.withColumnRenamed("node", "a"), "a")
+        rows = picked.where("not big").select("group", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+        rows = rows.unionByName(keyed.where("not big").select("group", "a", "b", F.lit(None).cast("string").alias("text")))
+        near = rows.repartition("group").sortWithinPartitions("group").mapInArrow(_verify(self.percent), "a long, b long")
+        if not placed.where("big").limit(1).count():
+            return near
+        sets = self.scratch.save(picked.where("big").mapInArrow(_sets, "doc_id long, shingles array<long>"), f"sets-{uuid.uuid4().hex}")
+        side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}"))
+        both = keyed.where("big").select("a", "b").join(side("b"), "b").join(side("a"), "a")
+        both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
+        return near.unionByName(both.where((100 + self.percent) * F.col("i") >= self.percent * F.col("t")).select("a", "b"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
