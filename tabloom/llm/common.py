@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +66,21 @@ def columns_without(df: DataFrame, names: Iterable[str]) -> list:
     return [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
 
 
-def batches_of(table_: pa.Table, rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    yield from table_.to_batches(max_chunksize=rows)
+def batches_of(table_: pa.Table, rows: int = 2048, column: str = "text", max_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows, and of about max_bytes of text at most unless a single text is longer."""
+    for batch in table_.to_batches(max_chunksize=rows):
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        if sizes.sum() <= max_bytes:
+            if batch.num_rows:
+                yield batch
+            continue
+        start = held = 0
+        for i, n in enumerate(sizes.tolist()):
+            if held and held + n > max_bytes:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        yield batch.slice(start)
 
 
 def components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:

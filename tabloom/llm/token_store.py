@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,16 +114,35 @@ class WordEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        words = [None if t and b"<|" in t else (t or b"").lower().split() for t in texts]
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has. The distinct words of the texts are looked up once."""
+        texts = pc.fill_null(texts, "")
+        special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        apart = {int(i): np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, "<u4") for i in special}
+        if apart:
+            texts = pc.if_else(pc.match_substring(texts, "<|"), "", texts)
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
-        self._learn(set().union(*[w for w in words if w]).difference(self.young.keys()))
-        ids = self.young.__getitem__
-        whole = lambda t: np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if w is None else b"".join(map(ids, w)) for t, w in zip(texts, words, strict=True)]
-
-    def _learn(self, new: set[bytes]) -> None:
+        self.young[b""] = b""
+        self._learn([w for w in distinct if w not in self.young])
+        ids = list(map(self.young.__getitem__, distinct))
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(n) - n
+        word = coded.indices.to_numpy()
+        each = n[word]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        out = flat[np.repeat(at[word] - upto[:-1], each) + np.arange(upto[-1])]
+        bounds = upto[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        counts = np.diff(bounds)
+        for i, own in sorted(apart.items(), reverse=True):
+            out = np.insert(out, bounds[i], own)
+            counts[i] = len(own)
+        return out, counts
+
+    def _learn(self, new: list[bytes]) -> None:
         young, old = self.young, self.old
         split: list[tuple[bytes, bytes, bytes]] = []
         pieces: set[bytes] = set()
@@ -156,29 +176,31 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 def _segments(tokenizer: str, end_id: int):
     schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("base", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("ids", pa.binary())])
-    end = struct.pack("<I", end_id)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = WordEncoder(tokenizer)
         encode = _ENCODERS[tokenizer]
         docs: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         n = base = segment = shard = 0
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(p) // 4 for p in parts], np.int64)
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            return pa.RecordBatch.from_pydict({"shard": [shard], "segment": [segment], "n_docs": [len(docs)], "n_ids": [n], "base": [base], "doc_ids": [docs], "lengths": [encode_codes(lengths)], "ids": [encode_codes(ids)]}, schema=schema)
+            lengths = np.array([len(p) for p in parts], np.int64)
+            return pa.RecordBatch.from_pydict({"shard": [shard], "segment": [segment], "n_docs": [len(docs)], "n_ids": [n], "base": [base], "doc_ids": [docs], "lengths": [encode_codes(lengths)], "ids": [encode_codes(np.concatenate(parts))]}, schema=schema)
 
         for big in batches:
-            for batch in batches_of(pa.Table.from_batches([big]), 256):
+            for batch in batches_of(pa.Table.from_batches([big])):
                 shard = batch.column("shard")[0].as_py()
-                texts = batch.column("text").cast(pa.binary()).to_pylist()
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
+                ids, counts = encode(batch.column("text"))
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, ends, end_id)
+                ends += np.arange(1, len(counts) + 1)
+                start = 0
+                for doc, stop in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
                     docs.append(doc)
-                    parts.append(ids + end)
-                    n += len(ids) // 4 + 1
+                    parts.append(ids[start:stop])
+                    n += stop - start
+                    start = stop
                     if n >= SEGMENT_IDS:
                         yield flush()
                         base, segment, n, docs, parts = base + n, segment + 1, 0, [], []
