@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, licenses, mixing, secrets, sharding, suffix_dedup, token_store
+from . import decontamination, jaccard_join, licenses, mixing, quality, secrets, sharding, suffix_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontamination.op1_decontaminate,
     "op2_shard_tree": sharding.op2_shard_tree,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_quality": quality.op6_quality,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_mix": mixing.op9_mix,
