@@ -9,8 +9,9 @@ corpus, so suffixes are sampled by content: of each 400-byte window the suffix w
 2. Reranking doubles the prefix at growing offsets, to 200 and 400 bytes, and the same to the left, by pairs of
    ranks. An anchor unique at some length keeps only those of its windows that do not need that length; an anchor
    whose lengths to the left and right cannot add up to 400 is done.
-3. What is left is settled exactly, window by window: an anchor whose whole neighbourhood has a twin has only repeated
-   windows; of the others each window's 128-bit fingerprint is counted over one anchor of each kind of neighbourhood.
+3. What is left is settled exactly. An anchor whose whole neighbourhood has a twin has only repeated windows. Of the
+   others, a block of windows repeats if all the bytes under it have a twin, and cannot if the bytes common to its windows
+   have none; only the windows of the blocks in between are counted one by one, by 128-bit fingerprints.
 
 Repeated windows are joined to runs per document, and their bytes are left out.
 
@@ -22,6 +23,7 @@ repeated or null doc_ids are fine; extra columns are not read; an empty table gi
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,8 @@ U = np.uint64
 _BITS = 21
 _MASK = U((1 << _BITS) - 1)
 BUFFER = 1 << 20
+#: Windows of an anchor that are settled together where possible.
+BLOCK = 16
 #: Rows up to this many are broadcast to the documents; more are joined by shuffle.
 BROADCAST_ROWS = 300_000
 
@@ -204,6 +208,37 @@ def _windows(length: int):
     return run
 
 
+def _blocks(length: int):
+    """Of each listed anchor, its windows by BLOCK places: `core`, the bytes that all windows of a block share, and h1, h2,
+    the fingerprint of all the bytes under them, null where the block leaves the anchor's range. Blocks are aligned to the
+    anchor, so equal windows are in equal blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in batches_of(pa.Table.from_batches([big]), 64):
+                for text, anchors in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("anchors").to_pylist(), strict=True):
+                    ids, at, lo, hi = (np.array([x[k] for x in anchors], np.int64) for k in ("id", "at", "lo", "hi"))
+                    data = np.frombuffer(text, np.uint8)
+                    first, n = (at - hi) // BLOCK, (at - lo) // BLOCK - (at - hi) // BLOCK + 1
+                    own = np.repeat(np.arange(len(ids)), n)
+                    block = first[own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    last = at[own] - block * BLOCK
+                    start = last - BLOCK + 1
+                    whole = (start >= lo[own]) & (last <= hi[own])
+                    fps = [Fingerprints(data, w) for w in (0, 1)]
+                    core = mix(fps[0].at(last, start + length) ^ mix(block.astype(U)))
+                    hull = [f.at(np.where(whole, start, 0), np.where(whole, last + length, 0)) for f in fps]
+                    null = ~whole
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "id": ids[own], "at": at[own], "lo": np.maximum(start, lo[own]), "hi": np.minimum(last, hi[own]), "core": core.view(np.int64),
+                            "h1": pa.array(mix(hull[0] ^ mix(block.astype(U))).view(np.int64), mask=null), "h2": pa.array(hull[1].view(np.int64), mask=null),
+                        }
+                    )
+
+    return run
+
+
 def _merge(length: int):
     """Byte runs covered by windows that start in the given ranges, merged where they touch or overlap."""
 
@@ -297,12 +332,25 @@ class SuffixDedup:
         v = v.select("n", "doc_id", "h", "at", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), F.monotonically_increasing_id().alias("id"))
         v = s.save(v, "left-over")
 
-        listed = s.save(v.groupBy("doc_id", "h").agg(F.collect_list(F.struct("id", "at", "lo", "hi")).alias("anchors")), "listed")
-        windows = s.save(self.picked(listed).mapInArrow(_windows(length), "id long, pos int, k1 long, k2 long"), "windows")
-        twice = windows.groupBy("k1", "k2").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("pos").alias("c"), F.max("pos").alias("d")).where("a < b or c < d").select("k1", "k2")
-        again = windows.join(twice, ["k1", "k2"], "left_semi").join(v.where("n = 1").select("id", "doc_id", "h"), "id").select("doc_id", "h", F.col("pos").cast("long").alias("lo"), F.col("pos").cast("long").alias("hi"))
+        # Blocks of windows: all repeat if all their bytes have a twin, none does if their common bytes have none.
+        blocks = s.save(self.listed(v).mapInArrow(_blocks(length), "id long, at long, lo long, hi long, core long, h1 long, h2 long"), "blocks")
+        hulls = s.save(blocks.where("h1 is not null").groupBy("h1", "h2", "core").agg(F.count("*").alias("members"), F.min(F.struct("id", "at", "lo", "hi")).alias("v")), "hulls")
+        settled = blocks.join(hulls.where("members > 1").select("h1", "h2"), ["h1", "h2"], "left_semi").select("id", "lo", "hi")
+        # What is not settled, and one block of each settled kind, since its windows may have twins among the others.
+        loose = hulls.select("core", F.col("members"), "v.*").unionByName(blocks.where("h1 is null").select("core", F.lit(1).cast("long").alias("members"), "id", "at", "lo", "hi"))
+        cores = loose.groupBy("core").agg(F.min("members").alias("least"), F.count("*").alias("n")).where("least = 1 and n > 1").select("core")
+        loose = loose.join(cores, "core", "left_semi").select("id", "at", "lo", "hi")
+        loose = loose.join(v.select("id", "doc_id", "h"), "id")
+        windows = s.save(self.listed(loose).mapInArrow(_windows(length), "id long, pos int, k1 long, k2 long"), "windows")
+        twice = windows.groupBy("k1", "k2").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("k1", "k2")
+        single = windows.join(twice, ["k1", "k2"], "left_semi").select("id", F.col("pos").cast("long").alias("lo"), F.col("pos").cast("long").alias("hi"))
+        again = settled.unionByName(single).join(v.where("n = 1").select("id", "doc_id", "h"), "id").select("doc_id", "h", "lo", "hi")
         return twins.unionByName(again)
 
+    def listed(self, v: DataFrame) -> DataFrame:
+        """The texts of listed anchors with those anchors in one array, bounded by the length of the text."""
+        return self.picked(self.scratch.save(v.groupBy("doc_id", "h").agg(F.collect_list(F.struct("id", "at", "lo", "hi")).alias("anchors")), f"listed-{uuid.uuid4().hex}"))
+
     def picked(self, rows: DataFrame) -> DataFrame:
         keys = rows.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
         return self.docs.join(_small(keys), self.docs["doc_id"].eqNullSafe(F.col("d")) & (self.docs["h"] == F.col("g")))
