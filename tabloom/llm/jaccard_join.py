@@ -6,8 +6,8 @@ class and, within a block, packed into the leaves of an R-tree; two leaves are c
 corners, and their sizes, allow an overlap. Pairs that survive are verified on their whole shingle sets.
 
 An R-tree over all points would compare most leaves: in many dimensions boxes overlap. So trees are built per
-block: two documents over the threshold share a shingle among the lowest-hashed fifth of either (the prefix
-principle, exact), and blocks are the documents that share such a shingle. Blocks with the same members are kept once.
+block: two documents over the threshold share a shingle among the first fifth of either in any fixed order (the
+prefix principle, exact); the order is by hash with frequent shingles last, and blocks are the documents that share such a shingle. Blocks with the same members are kept once.
 
 Only components are asked for, so a block needn't yield all its pairs: round 1 gives each document its most likely and
 a few other partners per block; round 2 looks at pairs of the blocks again and yields every one that is not yet in one
@@ -40,6 +40,11 @@ TILE = 2048
 LEAF = 32
 #: Coordinates of the boxes: the groups folded.
 FOLDED = 32
+#: Shingles of at least so many texts go last in prefixes; at most so many are known to the tasks (16 MB); and so many
+#: a task counts at a time.
+FREQUENT_TEXTS = 6
+FREQUENT_KEPT = 1_000_000
+FREQUENT_HELD = 8_000_000
 #: Components of candidates with more shingles are verified pair by pair.
 GROUP_SHINGLES = 4_000_000
 
@@ -66,7 +71,53 @@ def points(rows: list[bytes]) -> np.ndarray:
     return np.stack([point(r) for r in rows])
 
 
-def _sketch(percent: int):
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that several different texts of a task hold, with how many of its texts do."""
+    held, size = [], 0
+    tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    seen: set[int] = set()
+
+    def merge() -> None:
+        nonlocal held, size, tokens, counts
+        new, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        both = np.concatenate([tokens, new])
+        order = np.argsort(both, kind="stable")
+        c = np.concatenate([counts, n])[order]
+        both = both[order]
+        cut = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+        tokens, counts = both[cut], np.add.reduceat(c, cut) if len(cut) else c
+        held, size = [], 0
+        if len(tokens) > FREQUENT_HELD:  # lossy counting: what is rare so far goes
+            tokens, counts = tokens[counts > 1], counts[counts > 1]
+
+    for big in batches:
+        for batch in batches_of(pa.Table.from_batches([big]), 256):
+            for w in word_hashes(batch.column("text").cast(pa.binary()).to_pylist()):
+                s = shingle_set(w)
+                key = hash(s.tobytes())
+                if len(s) and key not in seen:
+                    seen.add(key)
+                    held.append(s)
+                    size += len(s)
+            if size > FREQUENT_HELD // 2:
+                merge()
+    merge()
+    often = counts > 1
+    yield pa.RecordBatch.from_pydict({"token": _signed(tokens[often]), "n": counts[often]})
+
+
+def by_rarity(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """A set in the order of the prefix principle: frequent shingles last, by hash otherwise. Any order that is the
+    same for all documents gives the same links; this one keeps frequent shingles out of most prefixes."""
+    if not len(frequent) or not len(s):
+        return s
+    at = np.searchsorted(frequent, s)
+    at[at == len(frequent)] = 0
+    often = frequent[at] == s
+    return np.concatenate([s[~often], s[often]])
+
+
+def _sketch(percent: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in batches_of(pa.Table.from_batches([big]), 256):
@@ -74,7 +125,7 @@ def _sketch(percent: int):
                 n = np.array([len(s) for s in sets], np.int64)
                 # A pair at the threshold shares all but this many of either's shingles, so one of the first of them.
                 take = [m - -(-percent * m // 100) + 1 if m else 0 for m in n.tolist()]
-                prefixes = [s[:t] for s, t in zip(sets, take, strict=True)]
+                prefixes = [by_rarity(s, frequent)[:t] for s, t in zip(sets, take, strict=True)]
                 key = lambda c: pa.array(np.array([np.bitwise_xor.reduce((s * np.uint64(c)) ^ (s >> np.uint64(29))) if len(s) else 0 for s in sets], np.uint64).view(np.int64))  # noqa: B023, E731
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -276,7 +327,7 @@ class JaccardJoin:
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id for each row."""
         s, percent = self.scratch, self.percent
-        sketch = s.save(self.docs.mapInArrow(_sketch(percent), SKETCH), "sketch")
+        sketch = s.save(self.docs.mapInArrow(_sketch(percent, self.frequent()), SKETCH), "sketch")
         classes = s.save(sketch.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
         reps = s.save(classes.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "reps")
         members = sketch.where("n > 0").join(small(reps), "doc_id", "left_semi")
@@ -303,6 +354,13 @@ class JaccardJoin:
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
         )
 
+    def frequent(self) -> np.ndarray:
+        """The most frequent shingles, sorted: those of FREQUENT_TEXTS texts or more as far as the tasks saw them more than
+        once, at most FREQUENT_KEPT. They only set the order of prefixes, so what is missed costs time, not links."""
+        counts = self.docs.mapInArrow(_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_TEXTS)
+        kept = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_KEPT).select("token").toPandas()["token"].to_numpy(np.int64)
+        return np.sort(kept.view(np.uint64))
+
     def bounded(self, pairs: DataFrame, sketch: DataFrame) -> DataFrame:
         side = lambda k: sketch.where("n > 0").select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("points").alias(f"p{k}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(self.percent), "a long, b long").distinct()
