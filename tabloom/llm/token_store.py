@@ -174,12 +174,18 @@ SEGMENTS = "shard int, segment int, n_docs long, n_ids long, base long, doc_ids
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder, kept from task to task with the words that it knows. (A worker imports this function by
+    name, so it finds the worker's own _ENCODERS; a closure would carry an empty copy.)"""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def _segments(tokenizer: str, end_id: int):
     schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("base", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("ids", pa.binary())])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = WordEncoder(tokenizer)
-        encode = _ENCODERS[tokenizer]
+        encode = encoder(tokenizer)
         docs: list = []
         parts: list[np.ndarray] = []
         n = base = segment = shard = 0
