@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, licenses, mixing, quality, secrets, sharding, suffix_dedup, token_store
+from . import cover_tree, decontamination, jaccard_join, licenses, mixing, quality, secrets, sharding, suffix_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontamination.op1_decontaminate,
     "op2_shard_tree": sharding.op2_shard_tree,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_near_vectors": cover_tree.op4_near_vectors,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_quality": quality.op6_quality,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
