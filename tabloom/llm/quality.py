@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,7 +145,7 @@ def _features(buckets: list[np.ndarray]):
 
 
 class QualityModel:
-    def __init__(self, docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, features: int = 200, least_z: float = 5.0, host: str = "source", path: str = "lang"):
+    def __init__(self, docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, features: int = 200, least_z: float = 5.0, host: str = "source", path: str = "lang"):
         self.host, self.path = host, path
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark, "quality")
@@ -154,26 +155,27 @@ class QualityModel:
         self.labelled = docs.select("doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path")).join(small(marks), "doc_id")
         counts = self.labelled.select("text", "good", "toxic").mapInArrow(_word_counts, "bucket long, n0 long, n1 long, n2 long, n3 long")
         # At most BUCKETS rows, whatever the input.
-        rows = counts.groupBy("bucket").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)]).toPandas()
+        rows = counts.groupBy("bucket").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)]).toArrow()
         n = np.zeros((4, BUCKETS), np.int64)
         total = np.zeros(4, np.int64)
-        for r in rows.itertuples(index=False):
-            if r.bucket < 0:
-                total[:] = r[1:]
-            else:
-                n[:, r.bucket] = r[1:]
+        bucket = rows.column("bucket").to_numpy()
+        for k in range(4):
+            c = rows.column(f"n{k}").to_numpy()
+            n[k, bucket[bucket >= 0]] = c[bucket >= 0]
+            total[k] = c[bucket < 0].sum()
         chosen = [choose_buckets(n[2 * t], n[2 * t + 1], int(total[2 * t]), int(total[2 * t + 1]), features, least_z) for t in range(2)]
         share = min(1.0, fit_rows / max(1, self.n_labels))
-        picked = self.labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "good", "toxic").limit(fit_rows)
-        x = picked.mapInArrow(_features(chosen), "good int, toxic int, x0 array<float>, x1 array<float>").toPandas()
+        picked = self.labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "good", "toxic")
+        x = picked.mapInArrow(_features(chosen), "good int, toxic int, x0 array<float>, x1 array<float>").limit(fit_rows).toArrow()
         self.evidence: list[Evidence | None] = []
         for t, target in enumerate(TARGETS):
-            d = x[x[target].notna()]
-            y = d[target].to_numpy(np.float64)
+            d = x.select([target, f"x{t}"]).filter(pc.is_valid(x.column(target))).combine_chunks()
+            y = d.column(target).to_numpy().astype(np.float64)
             if len(d) < 10 or y.min() == y.max():
                 self.evidence.append(None)
                 continue
-            w, mean, scale, bias = fit(np.stack(d[f"x{t}"].to_numpy()).astype(np.float64), y)
+            rows = d.column(f"x{t}").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(d), -1)
+            w, mean, scale, bias = fit(rows, y)
             self.evidence.append(Evidence(chosen[t], w, mean, scale, bias))
 
     def sites(self) -> DataFrame:
