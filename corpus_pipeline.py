@@ -1,15 +1,81 @@
-"""A corpus pipeline of five operators of tabloom.llm."""
+"""A corpus pipeline of five operators of tabloom.llm.
+
+Each stage works on all rows that the one before it kept, is written as Parquet, and is read again. Rows with one doc_id
+are one document to the near-duplicate stage: one of them stays. A null doc_id is never a near duplicate.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabloom.llm.common import Scratch, small, table
+from tabloom.llm.decontamination import Decontaminator
+from tabloom.llm.jaccard_join import JaccardJoin
+from tabloom.llm.mixing import mix_sources
+from tabloom.llm.quality import QualityModel
+from tabloom.llm.sharding import ShardTree, assign_shards
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    model = QualityModel(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs).where("kept").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id."""
+    scratch = Scratch(spark, "stage")
+    found = scratch.save(JaccardJoin(docs).run(), "found")
+    keep = scratch.save(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
+    once, more = keep.where("n = 1").select("doc_id"), keep.where("n > 1").select("doc_id")
+    out = docs.join(small(once), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    if more.limit(1).count():
+        out = out.unionByName(docs.join(small(more), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = Decontaminator(docs, table(spark, sf_dir, "benchmark")).overlaps()
+    ids = Scratch(spark, "stage").save(found.select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
+    return docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, to the nearest whole number."""
+    taken = mix_sources(docs).taken
+    times = taken.where("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_times"))
+    times = Scratch(spark, "stage").save(times.where("_times > 0"), f"times-{uuid.uuid4().hex}")
+    chosen = docs.join(small(times), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    # Blank documents have no words to take; they share their doc_id's row at most by repetition, and stay out.
+    chosen = chosen.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with region, rack, shard, size and slot of eight shards."""
+    return assign_shards(docs, ShardTree.regular(8))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
 
-STAGES: list = []
+#: The classifier and the similarity join have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over documents."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"{i}-{name}")
     return docs

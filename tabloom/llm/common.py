@@ -31,11 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Most rows and bytes of an Arrow batch on its way to a Python worker: texts can be long, and every task holds a few.
+ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch sizes to those above."""
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        if not (now or "").rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Parquet tables in the shared folder: they cut lineage, survive lost executors, and can be dropped early."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
