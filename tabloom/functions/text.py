@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 #: Grammatical words that the ranking ignores.
 STOPWORDS = tuple(
@@ -207,13 +208,13 @@ def width_estimate(c: Column, font_half_points: int = 22) -> Column:
     return F.aggregate(F.split(c, ""), F.lit(0.0), lambda a, x: a + F.when(x == "", 0.0).when(F.ascii(x) > 0x2E7F, 1.0 * em).otherwise(0.5 * em))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition, which no built-in function does."""
     return s.str.normalize("NFKC")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 for equal texts; for a prefix the share of its length, 0.75 at least from eight characters on; else difflib's ratio."""
     from difflib import SequenceMatcher
@@ -229,7 +230,7 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("array<struct<op: string, text: string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("op", StringType()), StructField("text", StringType())])))
 def word_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """Runs of words that are equal, deleted or inserted."""
     from difflib import SequenceMatcher
@@ -250,7 +251,7 @@ def word_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(old, new, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def korean_particles(s: pd.Series) -> pd.Series:
     """Chooses between paired postpositions, written as 을(를), by the final consonant of the syllable before."""
     import re

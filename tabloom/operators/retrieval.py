@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from tabloom.functions.scores import cosine
 from tabloom.functions.text import rank_tokens
@@ -74,7 +75,7 @@ def numbered_extracts(chunks: DataFrame, order: list, text: str) -> DataFrame:
 def embedder(dimensions: int = 1024, widths: tuple[int, ...] = (3, 4)):
     """A column function text -> unit vector: signed hashing of words and character n-grams with blake2b, 1 + ln(count)."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(ArrayType(DoubleType()))
     def embed(s: pd.Series) -> pd.Series:
         import hashlib
         import re
@@ -118,7 +119,7 @@ def _split_sentences(text: str, most: int) -> list[str]:
     return [*out, held] if held else out
 
 
-@F.udtf(returnType="part: int, text: string")
+@F.udtf(returnType=StructType([StructField("part", IntegerType()), StructField("text", StringType())]))
 class SentenceChunks:
     """Paragraphs cut at sentence ends to at most so many characters (a longer sentence stays whole)."""
 
@@ -131,7 +132,7 @@ class SentenceChunks:
                     n += 1
 
 
-@F.udtf(returnType="part: int, text: string")
+@F.udtf(returnType=StructType([StructField("part", IntegerType()), StructField("text", StringType())]))
 class ParagraphChunks:
     """Runs of paragraphs under a budget of characters; each run repeats the last paragraphs of the one before."""
 
@@ -150,7 +151,7 @@ class ParagraphChunks:
             start = max(end - overlap, start + 1)
 
 
-@F.udtf(returnType="part: int, of: int, text: string")
+@F.udtf(returnType=StructType([StructField("part", IntegerType()), StructField("of", IntegerType()), StructField("text", StringType())]))
 class TableChunks:
     """Rows of a table (one line each) in parts that repeat the header."""
 
