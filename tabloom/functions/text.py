@@ -199,7 +199,7 @@ def normalise_number(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences, kept whole over abbreviations, page marks and decimals."""
-    return F.filter(F.transform(F.split(c, r"(?<![A-Z])(?<!\b(?:e\.g|i\.e|etc|vs|Dr|Mr|Ms|No|Fig|cf|al|approx|p|pp))(?<=[.!?])\s+(?=[A-Z\[(\"'])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"(?<!\b(?:e\.g|i\.e|etc|vs|Dr|Mr|Ms|No|Fig|cf|al|approx|p|pp)\.)(?<=[.!?])\s+(?=[A-Z\[(\"'])"), F.trim), lambda s: s != "")
 
 
 def width_estimate(c: Column, font_half_points: int = 22) -> Column:

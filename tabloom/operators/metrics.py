@@ -87,7 +87,7 @@ def k_anonymous(df: DataFrame, pattern: list[str], tenant: str, weight: str, k:
 
 def canary_positions(n: int, size: int = 3) -> list[int]:
     """Evenly spaced rows to run first."""
-    return sorted({min(n - 1, i * n // size) for i in range(min(n, size))}) if n > 0 else []
+    return sorted({min(n - 1, i * n // size) for i in range(size)}) if n > 0 else []
 
 
 def column_types(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -55,8 +55,9 @@ def on_missing(value: Column, policy: str, default: str | None) -> tuple[Column,
 def resolve(records: DataFrame, units: list[Unit]) -> DataFrame:
     """Records with a column per unit, `lineage` (unit, kind, value, source, status) and `blocked`. Each unit is a column over
     the ones before it, so the optimizer sees one projection."""
-    columns = {c: F.col(c) for c in records.columns}
-    out, lineage = records, []
+    # The record is kept whole beside the units, so a unit may have the name of a column that it reads.
+    columns = {c: F.col("_record").getField(c) for c in records.columns}
+    out, lineage = records.withColumn("_record", F.struct(*[F.col(f"`{c}`") for c in records.columns])), []
     for u in order(units):
         fields = dict(columns)
         if u.kind == "static":
@@ -77,7 +78,7 @@ def resolve(records: DataFrame, units: list[Unit]) -> DataFrame:
         columns[u.id] = F.col(u.id)
         lineage.append(F.struct(F.lit(u.id).alias("unit"), F.lit(u.kind).alias("kind"), F.col(u.id).cast("string").alias("value"), F.lit(u.value).alias("source"), F.col(f"_s_{u.id}").alias("status")))
     out = out.withColumn("lineage", F.array(*lineage)).withColumn("blocked", F.exists("lineage", lambda x: x["status"].isin("blocked", "needs_human")))
-    return out.drop(*[f"_s_{u.id}" for u in units])
+    return out.drop("_record", *[f"_s_{u.id}" for u in units])
 
 
 def apply_binding(records: DataFrame, bindings: dict[str, str], value_map: dict[str, dict[str, str]] | None = None) -> DataFrame:

@@ -1 +1,5 @@
 """Named queries over the driver's tables."""
+
+from . import catalogue, documents
+
+__all__ = ["catalogue", "documents"]
