@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -97,12 +98,51 @@ def batches_of(table_: pa.Table, rows: int = 2048, column: str = "text", max_byt
         yield batch.slice(start)
 
 
+#: Edges that one task joins at a time: two numbers each, so some tens of MB.
+LOCAL_EDGES = 1_000_000
+
+
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges, and the smallest node that each reaches: hooking of roots and pointer jumping."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a partition as stars; each LOCAL_EDGES edges are joined, then all stars so far."""
+    u, v, held = [], [], 0
+
+    def joined() -> None:
+        nonlocal u, v, held
+        n, r = roots(np.concatenate(u), np.concatenate(v))
+        u, v, held = [n[n != r]], [r[n != r]], 0
+
+    for b in batches:
+        u.append(b.column("u").to_numpy())
+        v.append(b.column("v").to_numpy())
+        held += b.num_rows
+        if held >= LOCAL_EDGES:
+            joined()
+    if u:
+        joined()
+        yield pa.RecordBatch.from_pydict({"u": u[0], "v": v[0]})
+
+
 def components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
     """(node, component): smallest node reachable over undirected edges of longs.
 
-    Alternating large-star and small-star contraction: each round is two aggregations over the edges, the number of
-    rounds is logarithmic in the longest path, and no node ever gathers its neighbours in one row: stars are
-    formed by joining the edges with the smallest neighbour of each node. Ends when the edges no longer change.
+    Each partition first joins its own edges to stars. If there are few enough edges for one partition, that is the end.
+    Else large-star and small-star contraction alternates: a round is two aggregations over the edges, the number of
+    rounds is logarithmic in the longest path, and no node ever gathers its neighbours in one row. Ends when nothing changes.
     """
     e = (
         edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"))
@@ -110,24 +150,21 @@ def components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str =
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    e = scratch.save(e, "cc-0")
+    e = scratch.save(e, "cc-edges")
+    parts = -(-e.count() // LOCAL_EDGES)
+    star = e.repartition(1) if parts <= 1 else e.repartition(parts, "v")
+    e = scratch.save(star.mapInArrow(_local, "u long, v long"), "cc-0")
     last = None
-    for i in range(1, rounds + 1):
+    for i in range(1, rounds + 1) if parts > 1 else ():
         # Large star: every larger neighbour of a node goes to the smallest of its neighbourhood.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: a node and its smaller neighbours go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e2 = (
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(small.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
+        near = large.join(low, "u")
+        e2 = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e2 = scratch.save(e2, f"cc-{i}")
-        # A star forest of the same size and sum that a further round leaves alone is the end.
         mark = tuple(e2.agg(F.count("*"), F.sum("v"), F.bit_xor(F.xxhash64("u", "v"))).first())
         scratch.drop(f"cc-{i - 1}")
         e = e2
@@ -135,4 +172,5 @@ def components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str =
             break
         last = mark
     # Nodes point at the smallest of their component, which has no edge of its own.
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select("v", F.col("v").alias("component")).withColumnRenamed("v", "node")).groupBy("node").agg(F.min("component").alias("component"))
+    both = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")))
+    return both.groupBy("node").agg(F.min("component").alias("component"))

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabloom.llm import cover_tree, decontamination, jaccard_join, licenses, mixing, quality, secrets, sharding, suffix_dedup, token_store
+from tabloom.llm import common, cover_tree, decontamination, jaccard_join, licenses, mixing, quality, secrets, sharding, suffix_dedup, token_store
 from tabloom.llm.common import Scratch, components
 from tabloom.llm.shingles import shingle_set, word_hashes
 
@@ -304,7 +304,10 @@ def test_quality_held_out(spark, empty):
     assert train.score(odd).count() == 2 and train.score(empty).count() == 0
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     chain = [(i, i + 1) for i in range(200)] + [(500, 501), (502, 501), (7, 7)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "src long, dst long"), Scratch(spark, "t")).collect()}
-    assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500, 502: 500}
+    for most in (1_000_000, 20):
+        monkeypatch.setattr(common, "LOCAL_EDGES", most)
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "src long, dst long"), Scratch(spark, "t")).collect()}
+        assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500, 502: 500}
+    assert components(spark.createDataFrame([], "src long, dst long"), Scratch(spark, "t")).count() == 0
