@@ -45,8 +45,8 @@ FOLDED = 32
 FREQUENT_TEXTS = 6
 FREQUENT_KEPT = 1_000_000
 FREQUENT_HELD = 8_000_000
-#: Components of candidates with more shingles are verified pair by pair.
-GROUP_SHINGLES = 4_000_000
+#: Components of candidates with more shingles are verified pair by pair: a task's group stays within a few MB.
+GROUP_SHINGLES = 1 << 18
 
 SKETCH = "doc_id long, n long, k1 long, k2 long, points binary, prefix array<long>"
 
