@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches_of, table
+from .common import Scratch, batches_of, small, table
 from .shingles import Powers, mix
 
 U = np.uint64
@@ -282,21 +282,6 @@ def _cut(keep_bytes: bool):
     return run
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A saved table, marked for broadcast if it has few enough rows."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-def rerank(v: DataFrame, rank: str, following: str, name: str) -> DataFrame:
-    """v with the rank of the longer prefix, null where it leaves the text or is unique: the pair of the rank so far and
-    the rank of the bytes that follow. Pairs are brought together by key, and a frequent pair is counted where it is
-    before it moves."""
-    pair = F.when((F.col(following) != 0) & F.col(rank).isNotNull(), F.xxhash64(rank, following))
-    v = v.withColumn(name, pair)
-    shared = v.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name, F.lit(True).alias(f"{name}_shared"))
-    return v.join(shared, name, "left").withColumn(name, F.when(F.col(f"{name}_shared"), F.col(name))).drop(f"{name}_shared")
-
-
 class SuffixDedup:
     """Removes each byte covered by a string of `length` bytes that also starts elsewhere in the table."""
 
@@ -312,7 +297,7 @@ class SuffixDedup:
         long_enough = self.docs.where(F.octet_length("text") >= length)
         ranks = long_enough.mapInArrow(_anchors(length, True), "r0 long").groupBy("r0").agg(F.count("*").alias("n")).where("n > 1").select("r0")
         ranks = s.save(ranks, "ranks-0")
-        anchors = long_enough.mapInArrow(_anchors(length, False), ANCHORS).join(_small(ranks, 4_000_000), "r0", "left_semi")
+        anchors = long_enough.mapInArrow(_anchors(length, False), ANCHORS).join(small(ranks, 4_000_000), "r0", "left_semi")
         anchors = s.save(anchors, "anchors")
 
         # Kinds of neighbourhood: those seen twice are settled, and one anchor of each kind stands for the others.
@@ -324,8 +309,8 @@ class SuffixDedup:
         v = s.save(v.join(open_ranks, "r0", "left_semi"), "open")
 
         # Doubling to the right (to 2k and 4k bytes) and, by k bytes at a time, to the left.
-        v = rerank(rerank(v, "r0", "r1", "right2"), "right2", "r2", "right4")
-        v = rerank(rerank(rerank(v, "r0", "l1", "left1"), "left1", "l2", "left2"), "left2", "l3", "left3")
+        for rank, following, name in (("r0", "r1", "right2"), ("right2", "r2", "right4"), ("r0", "l1", "left1"), ("left1", "l2", "left2"), ("left2", "l3", "left3")):
+            v = self.rerank(v, rank, following, name)
         right = F.when(F.col("right4").isNotNull(), 4 * k).when(F.col("right2").isNotNull(), 4 * k - 1).otherwise(2 * k - 1)
         left = F.when(F.col("left3").isNotNull(), 3 * k).when(F.col("left2").isNotNull(), 3 * k - 1).when(F.col("left1").isNotNull(), 2 * k - 1).otherwise(k - 1)
         v = v.withColumn("lo2", F.greatest("lo", F.col("at") - left)).withColumn("hi2", F.least("hi", F.col("at") + right - length)).where("lo2 <= hi2")
@@ -347,20 +332,29 @@ class SuffixDedup:
         again = settled.unionByName(single).join(v.where("n = 1").select("id", "doc_id", "h"), "id").select("doc_id", "h", "lo", "hi")
         return twins.unionByName(again)
 
+    def rerank(self, v: DataFrame, rank: str, following: str, name: str) -> DataFrame:
+        """v with the rank of the longer prefix, null where it leaves the text or is unique: the pair of the rank so far and
+        the rank of the bytes that follow. A frequent pair is counted where it is before it moves, and only the pairs that
+        occur twice come back."""
+        v = v.withColumn(name, F.when((F.col(following) != 0) & F.col(rank).isNotNull(), F.xxhash64(rank, following)))
+        shared = v.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name, F.lit(True).alias("_shared"))
+        shared = self.scratch.save(shared, f"ranks-{name}")
+        return v.join(small(shared), name, "left").withColumn(name, F.when(F.col("_shared"), F.col(name))).drop("_shared")
+
     def listed(self, v: DataFrame) -> DataFrame:
         """The texts of listed anchors with those anchors in one array, bounded by the length of the text."""
         return self.picked(self.scratch.save(v.groupBy("doc_id", "h").agg(F.collect_list(F.struct("id", "at", "lo", "hi")).alias("anchors")), f"listed-{uuid.uuid4().hex}"))
 
     def picked(self, rows: DataFrame) -> DataFrame:
         keys = rows.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
-        return self.docs.join(_small(keys), self.docs["doc_id"].eqNullSafe(F.col("d")) & (self.docs["h"] == F.col("g")))
+        return self.docs.join(small(keys, BROADCAST_ROWS), self.docs["doc_id"].eqNullSafe(F.col("d")) & (self.docs["h"] == F.col("g")))
 
     def run(self, keep_bytes: bool = False) -> DataFrame:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept, the remaining bytes) of each row."""
         ranges = self.repeated_ranges().groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
         spans = ranges.mapInArrow(_merge(self.length), "doc_id long, h long, spans array<struct<start: long, end: long>>")
         spans = self.scratch.save(spans, "spans").withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
-        joined = self.docs.join(_small(spans), self.docs["doc_id"].eqNullSafe(F.col("d")) & (self.docs["h"] == F.col("g")), "left").select("doc_id", "text", "spans")
+        joined = self.docs.join(small(spans, BROADCAST_ROWS), self.docs["doc_id"].eqNullSafe(F.col("d")) & (self.docs["h"] == F.col("g")), "left").select("doc_id", "text", "spans")
         schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
         return joined.mapInArrow(_cut(keep_bytes), schema + ", kept binary" * keep_bytes)
 
