@@ -75,6 +75,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Tables with lists are broadcast up to this many list elements (some tens of MB).
+BROADCAST_ELEMENTS = 1_000_000
+
+
+def small_lists(df: DataFrame, column: str) -> DataFrame:
+    """A saved table with a list column, marked for broadcast if all its lists together are short enough."""
+    n = df.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= BROADCAST_ELEMENTS else df
+
+
 def columns_without(df: DataFrame, names: Iterable[str]) -> list:
     """Columns of df but for those that an operator is about to add: on a clash the operator's column wins."""
     taken = {n.lower() for n in names}

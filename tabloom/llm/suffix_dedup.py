@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches_of, small, table
+from .common import Scratch, batches_of, small, small_lists, table
 from .shingles import Powers, mix
 
 U = np.uint64
@@ -41,8 +41,6 @@ _MASK = U((1 << _BITS) - 1)
 BUFFER = 1 << 20
 #: Windows of an anchor that are settled together where possible.
 BLOCK = 16
-#: Rows up to this many are broadcast to the documents; more are joined by shuffle.
-BROADCAST_ROWS = 300_000
 
 _RNG = np.random.Generator(np.random.PCG64(424242))
 _TABLES = [_RNG.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * U(2) + U(1) for _ in range(2)]
@@ -347,14 +345,14 @@ class SuffixDedup:
 
     def picked(self, rows: DataFrame) -> DataFrame:
         keys = rows.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
-        return self.docs.join(small(keys, BROADCAST_ROWS), self.docs["doc_id"].eqNullSafe(F.col("d")) & (self.docs["h"] == F.col("g")))
+        return self.docs.join(small_lists(keys, "anchors"), self.docs["doc_id"].eqNullSafe(F.col("d")) & (self.docs["h"] == F.col("g")))
 
     def run(self, keep_bytes: bool = False) -> DataFrame:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept, the remaining bytes) of each row."""
         ranges = self.repeated_ranges().groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
         spans = ranges.mapInArrow(_merge(self.length), "doc_id long, h long, spans array<struct<start: long, end: long>>")
         spans = self.scratch.save(spans, "spans").withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
-        joined = self.docs.join(small(spans, BROADCAST_ROWS), self.docs["doc_id"].eqNullSafe(F.col("d")) & (self.docs["h"] == F.col("g")), "left").select("doc_id", "text", "spans")
+        joined = self.docs.join(small_lists(spans, "spans"), self.docs["doc_id"].eqNullSafe(F.col("d")) & (self.docs["h"] == F.col("g")), "left").select("doc_id", "text", "spans")
         schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
         return joined.mapInArrow(_cut(keep_bytes), schema + ", kept binary" * keep_bytes)
 

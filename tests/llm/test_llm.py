@@ -95,6 +95,23 @@ def test_count_vectors_bound_overlap(a, b):
     assert shared <= bound and jaccard_join.shared_count(s, t) == shared
 
 
+@pytest.fixture
+def no_broadcast(monkeypatch):
+    """All size checks fail, so joins are by shuffle."""
+    for module in (common, suffix_dedup, decontamination, jaccard_join, quality, cover_tree):
+        for name in ("small", "small_lists"):
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, lambda df, *a: df)
+
+
+def test_large_tables_are_joined_by_shuffle(spark, rows, docs, no_broadcast):
+    a = sorted(map(str, suffix_dedup.SuffixDedup(docs).run().drop("spans").collect()))
+    b = sorted(map(str, jaccard_join.JaccardJoin(docs).run().collect()))
+    bench = spark.createDataFrame([(1, rows[6][1][:300])], "item_id long, text string")
+    c = decontamination.Decontaminator(docs, bench).overlaps().count()
+    assert len(a) == len(b) == len(rows) and c >= 5
+
+
 def test_suffix_dedup(spark, rows, docs, empty):
     bodies = [(i, (t or "").encode()) for i, t, *_ in rows]
     for length in (400, 40):
