@@ -315,5 +315,17 @@ class NearVectors:
         return out.select("vec_id", F.coalesce(F.col("members") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
+#: The same rows in DuckDB, by all pairs within labels.
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+u AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
+r(node, other) AS (SELECT x, x FROM u UNION SELECT r.node, u.y FROM r JOIN u ON u.x = r.other),
+c AS (SELECT node, min(other) AS component FROM r GROUP BY 1), d AS (SELECT x, count(*) AS n FROM u GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM v LEFT JOIN c ON node = vec_id LEFT JOIN d ON x = vec_id
+"""
+
+
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearVectors(table(spark, sf_dir, "embeddings")).run()

@@ -86,14 +86,15 @@ def mix_sources(
     s = source_targets(sizes, weights, cap)
     block = F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.floor(F.col("source_size") / least_blocks))).cast("long")
     s = s.withColumn("block", block).withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
-    # Slots that a source needs: its target in blocks of its mean block size.
-    s = s.withColumn("need", F.when(F.col("source_size") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(F.lit(0.0)))
+    # Slots that a source needs, in thousandths: its target in blocks of its mean block size. Whole numbers add up alike
+    # in any order.
+    s = s.withColumn("need", F.when(F.col("source_size") > 0, F.ceil(F.col("target") * F.col("n_blocks") / F.col("source_size") * 1000)).otherwise(F.lit(0)).cast("long"))
     sources = scratch.save(s, "sources")
 
-    total = float(sources.agg(F.sum("need")).first()[0] or 0.0)
-    n_slots = math.ceil(total)
+    total = int(sources.agg(F.sum("need")).first()[0] or 0)
+    n_slots = -(-total // 1000)
     upto = F.sum("need").over(W.partitionBy(F.lit(0)).orderBy("sx").rowsBetween(W.unboundedPreceding, 0))
-    bound = lambda x: F.floor(x / F.lit(total or 1.0) * SPAN).cast("long")
+    bound = lambda x: F.floor(x / F.lit(float(total or 1)) * SPAN).cast("long")
     parts = sources.withColumn("hi", F.least(bound(upto), F.lit(SPAN))).withColumn("lo", F.coalesce(F.lag("hi").over(W.partitionBy(F.lit(0)).orderBy("sx")), F.lit(0)))
     last = F.max(F.when(F.col("need") > 0, F.col("sx"))).over(W.partitionBy(F.lit(0)))
     parts = parts.withColumn("hi", F.when(F.col("sx") == last, F.lit(SPAN)).otherwise(F.col("hi"))).where("hi > lo and need > 0")
@@ -145,6 +146,29 @@ def mix_sources(
     return Mix(streams, sources, schedule, spans, full.select(*cols).unionByName(none.select(*cols)))
 
 
+#: The same mix in DuckDB.
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sx FROM d GROUP BY source),
+s1 AS (SELECT *, [5, 2, 1][sx % 3 + 1] AS weight FROM s0), s2 AS (SELECT *, source_size * 3 / weight AS ratio FROM s1),
+s3 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (ORDER BY ratio, sx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT
+  / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, sx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS level FROM s2),
+first_open AS (SELECT ratio AS r, sx AS x, level AS l FROM s3 WHERE level <= ratio ORDER BY ratio, sx LIMIT 1),
+s4 AS (SELECT sx, source, source_size, CASE WHEN (ratio, sx) < (r, x) THEN (source_size * 3)::DOUBLE ELSE weight * l END AS target, greatest(1, least(4096, source_size // 256))::BIGINT AS block FROM s3, first_open),
+s5 AS (SELECT *, ceil(source_size / block)::BIGINT AS n_blocks FROM s4),
+s6 AS (SELECT *, CASE WHEN source_size > 0 THEN ceil(target * n_blocks / source_size * 1000) ELSE 0 END::BIGINT AS need FROM s5),
+t AS (SELECT sum(need)::BIGINT AS total FROM s6), s7 AS (SELECT *, least(floor((sum(need) OVER (ORDER BY sx))::DOUBLE / total::DOUBLE * {SPAN})::BIGINT, {SPAN}) AS h FROM s6, t),
+s8 AS (SELECT *, coalesce(lag(h) OVER (ORDER BY sx), 0) AS lo, CASE WHEN sx = (SELECT max(sx) FROM s6 WHERE need > 0) THEN {SPAN} ELSE h END AS hi FROM s7),
+k AS (SELECT unnest(range(0, CAST((total + 999) // 1000 AS BIGINT))) AS slot FROM t), p AS (SELECT slot, ((slot % {SPAN}) * {STEP}) % {SPAN} AS x FROM k),
+q AS (SELECT sx, n_blocks, row_number() OVER (PARTITION BY sx ORDER BY slot) - 1 AS rank FROM p JOIN s8 ON x >= lo AND x < hi AND need > 0),
+u AS (SELECT sx, rank % n_blocks AS b, count(*) AS times FROM q WHERE rank // n_blocks < 3 GROUP BY 1, 2),
+v AS (SELECT rid, doc_id, d.source, size, source_size, target, sx, block, coalesce(sum(size) OVER (PARTITION BY sx ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id, size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
+w AS (SELECT rid, sx, block, pos, size, unnest(range(pos // block, (pos + size - 1) // block + 1)) AS b FROM v WHERE size > 0),
+x AS (SELECT rid, sum((least(pos + size, (w.b + 1) * block) - greatest(pos, w.b * block)) * times)::BIGINT AS taken FROM w JOIN u ON u.sx = w.sx AND u.b = w.b GROUP BY 1)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, source FROM v LEFT JOIN x USING (rid)
+"""
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs).taken.select("doc_id", "size", "source_size", "target", "taken", "source")

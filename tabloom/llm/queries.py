@@ -21,4 +21,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_store": token_store.op10_token_store,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Hashes, fingerprints, checksums, tokenizers and fitted models have no SQL form; tests/llm has brute force for the others.
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontamination.OP1_SQL, "op4_near_vectors": cover_tree.OP4_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL, "op9_mix": mixing.OP9_SQL}
