@@ -104,3 +104,37 @@ def column_types(df: DataFrame, columns: list[str]) -> DataFrame:
     row = df.agg(*aggs)
     parts = [F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("non_empty"), F.when(F.size(f"k_{c}") == 0, None).when(F.size(f"k_{c}") == 1, F.get(F.col(f"k_{c}"), F.lit(0))).otherwise("text").alias("observed_type")) for c in columns]
     return row.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+
+
+def escaped_error_rate(generations: DataFrame, suggestions: DataFrame, approvals: DataFrame) -> DataFrame:
+    """Errors found after approval per 10,000 fields written; three reasons for having no figure, told apart."""
+    k = lambda d: d.withColumn("_k", F.lit(1))
+    g = k(generations.agg(F.coalesce(F.sum(F.size("fields")), F.lit(0)).alias("fields")))
+    a = k(approvals.agg(F.count("*").alias("approved")))
+    e = k(suggestions.agg(F.count_if(F.col("found_after_approval")).alias("errors"), F.count_if(F.col("found_after_approval").isNotNull()).alias("reviewed")))
+    row = g.join(F.broadcast(a), "_k").join(F.broadcast(e), "_k")
+    reason = F.when(F.col("approved") == 0, "nothing was approved").when(F.col("fields") == 0, "no field was written").when(F.col("reviewed") == 0, "nothing was reviewed after approval")
+    return row.select(metric("escaped_error_rate", F.col("errors") * 10000.0 / F.greatest("fields", F.lit(1)), reason, F.col("fields")).alias("m")).select("m.*")
+
+
+def family_reuse_rate(templates: DataFrame, members: DataFrame) -> DataFrame:
+    """Templates that joined an approved family, of all templates."""
+    reused = members.where("approved").select("template_id").distinct().withColumn("_r", F.lit(True))
+    return guarded_rate(templates.select("template_id").distinct().join(reused, "template_id", "left"), "family_reuse_rate", F.count("_r"), F.count("*"), "no template was uploaded in this window")
+
+
+def all_metrics(*rows: DataFrame) -> DataFrame:
+    """One-row metrics in the order given."""
+    out = None
+    for i, r in enumerate(rows):
+        r = r.withColumn("rank", F.lit(i))
+        out = r if out is None else out.unionByName(r)
+    return out.orderBy("rank")
+
+
+def project_flags(projects: DataFrame, parts: dict[str, DataFrame], key: str = "project_id") -> DataFrame:
+    """has_<part> for each part with a row of the project."""
+    out = projects
+    for name, df in parts.items():
+        out = out.join(df.select(key).distinct().withColumn(f"has_{name}", F.lit(True)), key, "left").withColumn(f"has_{name}", F.coalesce(f"has_{name}", F.lit(False)))
+    return out
