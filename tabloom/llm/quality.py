@@ -139,7 +139,7 @@ def _features(buckets: list[np.ndarray]):
                 words = word_buckets(texts)
                 shape = shapes(texts, words)
                 cols = {f"x{t}": pa.array(list(np.concatenate([presence(words, b), shape], axis=1).astype(np.float32)), pa.list_(pa.float32())) for t, b in enumerate(buckets)}
-                yield pa.RecordBatch.from_pydict({"good": batch.column("good"), "toxic": batch.column("toxic")} | cols)
+                yield pa.RecordBatch.from_pydict({"draw": batch.column("draw"), "good": batch.column("good"), "toxic": batch.column("toxic")} | cols)
 
     return run
 
@@ -165,8 +165,10 @@ class QualityModel:
             total[k] = c[bucket < 0].sum()
         chosen = [choose_buckets(n[2 * t], n[2 * t + 1], int(total[2 * t]), int(total[2 * t + 1]), features, least_z) for t in range(2)]
         share = min(1.0, fit_rows / max(1, self.n_labels))
-        picked = self.labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "good", "toxic")
-        x = picked.mapInArrow(_features(chosen), "good int, toxic int, x0 array<float>, x1 array<float>").limit(fit_rows).toArrow()
+        # About fit_rows rows by hash, and of those the first by the same hash: reruns fit the same rows in the same order.
+        draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 40))
+        picked = self.labelled.withColumn("draw", draw).where(F.col("draw") < int(share * (1 << 40))).select("draw", "text", "good", "toxic")
+        x = picked.mapInArrow(_features(chosen), "draw long, good int, toxic int, x0 array<float>, x1 array<float>").orderBy("draw").limit(fit_rows).toArrow()
         self.evidence: list[Evidence | None] = []
         for t, target in enumerate(TARGETS):
             d = x.select([target, f"x{t}"]).filter(pc.is_valid(x.column(target))).combine_chunks()
