@@ -137,7 +137,7 @@ def screen(own_events: DataFrame, background_events: DataFrame, term: str = "ter
     return out.orderBy(F.desc("flag"), F.desc(F.coalesce("prr", F.lit(0.0))), F.desc("a"), "term")
 
 
-def duplicate_pairs(cases: DataFrame) -> DataFrame:
+def duplicate_pairs(cases: DataFrame, least_score: float = LEAST_SCORE, least_fields: int = LEAST_FIELDS) -> DataFrame:
     """Candidate pairs that agree on enough: blocked by (country, sex) and by identifiers, each pair once.
 
     A case has case_id, worldwide_case_id, local_ids (array), country, sex, age, qualification, receipt_date, terms (array),
@@ -160,7 +160,7 @@ def duplicate_pairs(cases: DataFrame) -> DataFrame:
     }
     score = sum((F.when(v, WEIGHTS[k]).otherwise(0.0) for k, v in checks.items()), F.lit(0.0))
     matched = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in checks.items()]))
-    return p.select("a", "b", F.bround(score, 3).alias("score"), matched.alias("matched_on")).where((F.col("score") >= LEAST_SCORE) & (F.size("matched_on") >= LEAST_FIELDS))
+    return p.select("a", "b", F.bround(score, 3).alias("score"), matched.alias("matched_on")).where((F.col("score") >= least_score) & (F.size("matched_on") >= least_fields))
 
 
 def new_pairs(pairs: DataFrame, stored: DataFrame) -> DataFrame:

@@ -267,12 +267,7 @@ def duplicate_pairs(spark, d):
     n = read(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("country"))
     c = read(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("case_id"), "country", F.col("c_mktsegment").alias("sex"), (F.col("c_acctbal") / 100).alias("age"))
     none = {"worldwide_case_id": "string", "local_ids": "array<string>", "qualification": "string", "receipt_date": "date", "terms": "array<string>", "onsets": "array<date>", "drugs": "array<string>"}
-    least = safety.LEAST_SCORE
-    safety.LEAST_SCORE = 0.4
-    try:
-        out = safety.duplicate_pairs(c.withColumns({k: F.lit(None).cast(t) for k, t in none.items()}))
-    finally:
-        safety.LEAST_SCORE = least
+    out = safety.duplicate_pairs(c.withColumns({k: F.lit(None).cast(t) for k, t in none.items()}), 0.4)
     return out.select("a", "b", "score")
 
 
