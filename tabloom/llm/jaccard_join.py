@@ -45,8 +45,9 @@ FOLDED = 32
 FREQUENT_TEXTS = 6
 FREQUENT_KEPT = 1_000_000
 FREQUENT_HELD = 8_000_000
-#: Components of candidates with more shingles are verified pair by pair: a task's group stays within a few MB.
+#: Components of candidates with more shingles or pairs are verified pair by pair: a task's group stays small.
 GROUP_SHINGLES = 1 << 18
+GROUP_PAIRS = 1 << 12
 
 SKETCH = "doc_id long, n long, k1 long, k2 long, points binary, prefix array<long>"
 
@@ -398,10 +399,12 @@ class JaccardJoin:
         """Pairs whose whole shingle sets reach the threshold, enough of them to have the same components.
 
         Candidate pairs passed a tight bound, so their own components are small: each text moves once, to its component.
-        A component with more than GROUP_SHINGLES shingles is verified pair by pair instead, by joins."""
+        A component with more than GROUP_SHINGLES shingles or GROUP_PAIRS pairs is verified pair by pair instead, by joins."""
         group = self.scratch.save(components(pairs, Scratch(self.spark, "jaccard-cc"), "a", "b"), f"groups-{uuid.uuid4().hex}")
         weight = group.join(sketch.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("w"))
-        placed = self.scratch.save(group.join(weight, "component").select("node", F.col("component").alias("group"), (F.col("w") > GROUP_SHINGLES).alias("big")), f"placed-{uuid.uuid4().hex}")
+        work = pairs.join(group.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.count("*").alias("p"))
+        big = (F.col("w") > GROUP_SHINGLES) | (F.col("p") > GROUP_PAIRS)
+        placed = self.scratch.save(group.join(weight, "component").join(work, "component").select("node", F.col("component").alias("group"), big.alias("big")), f"placed-{uuid.uuid4().hex}")
         picked = self.docs.join(small(placed.withColumnRenamed("node", "doc_id")), "doc_id")
         keyed = pairs.join(placed.withColumnRenamed("node", "a"), "a")
         rows = picked.where("not big").select("group", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
