@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import columns_without, table
 
-#: Rows of one shard that are numbered in one task.
+#: Each shard is numbered in one group for so many rows of the whole table.
 SLOT_GROUP_ROWS = 8192
 
 
@@ -105,8 +105,7 @@ def assign_shards(docs: DataFrame, tree: ShardTree, key: str = "doc_id", size: C
     own = ["region", "rack", "shard", "size", "slot"]
     size = text_size() if size is None else size
     n = docs.count()
-    groups = max(1, -(-n // (SLOT_GROUP_ROWS * len(tree.shards) // 8 or 1)))
-    # Rows with one key form a group of repeated rows; a second hash over the text's length spreads them too.
+    groups = max(1, -(-n // SLOT_GROUP_ROWS))
     salted = (
         docs.select(*columns_without(docs, own), region.alias("region"), rack.alias("rack"), shard.alias("shard"), size.alias("size"))
         .withColumn("_part", F.pmod(F.xxhash64(F.col(key), F.col("size"), F.lit("slot")), F.lit(groups)).cast("int"))
