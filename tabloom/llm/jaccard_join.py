@@ -359,7 +359,7 @@ class JaccardJoin:
         """The most frequent shingles, sorted: those of FREQUENT_TEXTS texts or more as far as the tasks saw them more than
         once, at most FREQUENT_KEPT. They only set the order of prefixes, so what is missed costs time, not links."""
         counts = self.docs.mapInArrow(_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_TEXTS)
-        kept = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_KEPT).select("token").toPandas()["token"].to_numpy(np.int64)
+        kept = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_KEPT).select("token").toArrow().column("token").to_numpy()
         return np.sort(kept.view(np.uint64))
 
     def bounded(self, pairs: DataFrame, sketch: DataFrame) -> DataFrame:
