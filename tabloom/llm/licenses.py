@@ -64,12 +64,17 @@ class RareWordIndex:
 
     def labels(self, ws: list[bytes], spaced: bytes, idf: dict[bytes, float], top: int, least_words: int, least_score: float, min_idf: float) -> tuple[set[str], float]:
         """Labels and the best aligned share of a template."""
-        rare = sorted((w for w in self.vocabulary.intersection(ws) if idf.get(w, math.inf) >= min_idf), key=lambda w: (-idf.get(w, math.inf), w))[:top]
+        present = self.vocabulary.intersection(ws)
+        rare = set(sorted((w for w in present if idf.get(w, math.inf) >= min_idf), key=lambda w: (-idf.get(w, math.inf), w))[:top])
+        # However frequent its words are in the corpus, a template whose key phrase stands in the document is looked up.
+        for _, template, key in self.templates:
+            if present.issuperset(key.split()) and key in spaced:
+                rare |= present.intersection(template)
         if not rare:
             return set(), 0.0
-        chosen, votes = set(rare), {}
+        votes: dict[tuple[int, int], set[bytes]] = {}
         for i, w in enumerate(ws):
-            if w in chosen:
+            if w in rare:
                 for t, q in self.postings[w]:
                     votes.setdefault((t, i - q), set()).add(w)
         found, best = set(), 0.0
@@ -140,7 +145,8 @@ def _label(idf: dict[bytes, float], top: int, least_words: int, least_score: flo
 
 def scan_licenses(docs: DataFrame, top: int = 8, least_words: int = 3, least_score: float = 0.6, min_idf: float = 2.0) -> DataFrame:
     """Words, base places, labels and score of each document. top rarest licence words of a document are looked up, an
-    alignment needs least_words of them and least_score of its template, and words under min_idf are never looked up."""
+    alignment needs least_words of them and least_score of its template, and words under min_idf are looked up only for
+    templates whose key phrase stands in the document."""
     bound_batches(docs.sparkSession)
     idf = word_weights(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_label(idf, top, least_words, least_score, min_idf), SCAN)

@@ -263,6 +263,20 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.where("false")).count() == 0
 
 
+def scanned(spark, texts, **parameters):
+    """Labels of each text with the query's own parameters."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [set(r["labels"].split(",")) - {""} for r in licenses.scan_licenses(df, **parameters).orderBy("doc_id").collect()]
+
+
+def test_frequent_licenses_are_found(spark):
+    for text, label in (("Licensed under CC BY-NC 4.0.", "cc-by-nc"), (licenses.TEMPLATES[0][1], "mit"), (licenses.TEMPLATES[2][1], "bsd")):
+        # One licence in a third of the rows, and in every row of a small table.
+        for plain in (40, 0):
+            got = scanned(spark, [prose(30, i) + " " + text + " " + prose(20, 50 + i) for i in range(20)] + [prose(50, 200 + i) for i in range(plain)])
+            assert all(label in x for x in got[:20]) and not any(got[20:])
+
+
 def test_decontamination(spark, rows, docs, empty):
     item = prose(40, 77)
     w = item.split()
