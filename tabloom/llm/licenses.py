@@ -26,7 +26,7 @@ from .common import batches_of, bound_batches, table
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label, opening of the public licence text or notice, mandatory key phrase.
+#: Label, opening of the public licence text or short notice, mandatory key phrase.
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "permission is hereby granted free of charge"),
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License", "apache license version 2 0"),
@@ -44,6 +44,40 @@ TEMPLATES = (
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "attribution sharealike"),
     ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights", "to the public domain"),
     ("reserved", "All rights reserved", "all rights reserved"),
+    # Short notices and headings. A lone "mit license" is no name of a licence in German, so its neighbours count.
+    ("mit", "Licensed under the MIT License", "mit license"),
+    ("mit", "MIT License Copyright (c)", "mit license"),
+    ("mit", "SPDX-License-Identifier: MIT", "license identifier mit"),
+    ("apache", "Apache License", "apache license"),
+    ("apache", "Apache 2.0 License", "apache 2 0"),
+    ("apache", "SPDX-License-Identifier: Apache-2.0", "license identifier apache"),
+    ("bsd", "BSD License", "bsd license"),
+    ("bsd", "BSD 2-Clause License", "bsd 2 clause"),
+    ("bsd", "BSD 3-Clause License", "bsd 3 clause"),
+    ("bsd", "2-Clause BSD License", "2 clause bsd"),
+    ("bsd", "3-Clause BSD License", "3 clause bsd"),
+    ("bsd", "SPDX-License-Identifier: BSD", "license identifier bsd"),
+    ("gpl", "GNU General Public License", "gnu general public license"),
+    ("gpl", "GNU GPL", "gnu gpl"),
+    ("gpl", "SPDX-License-Identifier: GPL", "license identifier gpl"),
+    ("lgpl", "Lesser General Public License", "lesser general public license"),
+    ("lgpl", "GNU LGPL", "gnu lgpl"),
+    ("lgpl", "SPDX-License-Identifier: LGPL", "license identifier lgpl"),
+    ("mpl", "Mozilla Public License", "mozilla public license"),
+    ("mpl", "SPDX-License-Identifier: MPL", "license identifier mpl"),
+    ("isc", "ISC License", "isc license"),
+    ("isc", "SPDX-License-Identifier: ISC", "license identifier isc"),
+    ("unlicense", "The Unlicense", "the unlicense"),
+    ("unlicense", "Released into the public domain", "released into the public domain"),
+    ("unlicense", "SPDX-License-Identifier: Unlicense", "license identifier unlicense"),
+    ("cc-by", "Creative Commons Attribution 4.0", "creative commons attribution"),
+    ("cc-by-nc", "CC BY-NC", "cc by nc"),
+    ("cc-by-nc", "Attribution-NonCommercial 4.0", "attribution noncommercial"),
+    ("cc-by-sa", "CC BY-SA", "cc by sa"),
+    ("cc-by-sa", "Attribution-ShareAlike 4.0", "attribution sharealike"),
+    ("cc0", "CC0 1.0 Universal", "cc0 1 0"),
+    ("cc0", "Licensed under CC0", "cc0"),
+    ("cc0", "SPDX-License-Identifier: CC0", "license identifier cc0"),
 )
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

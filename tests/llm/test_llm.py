@@ -277,6 +277,16 @@ def test_frequent_licenses_are_found(spark):
             assert all(label in x for x in got[:20]) and not any(got[20:])
 
 
+def test_short_notices_are_found(spark):
+    notices = [
+        ("Licensed under the Apache License, Version 2.0.", "apache"), ("Apache License 2.0", "apache"), ("Released under the MIT License.", "mit"), ("SPDX-License-Identifier: MIT", "mit"), ("Licensed under the BSD 3-Clause License.", "bsd"),
+        ("Licensed under the GNU Lesser General Public License, version 3.", "lgpl"), ("Licensed under the Mozilla Public License, v. 2.0.", "mpl"), ("Licensed under the ISC License.", "isc"), ("Released under the Unlicense.", "unlicense"), ("Licensed under CC0 1.0.", "cc0"),
+        ("Licensed under CC BY-SA 4.0.", "cc-by-sa"), ("Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc"), ("GNU General Public License, version 3", "gpl"),
+    ]
+    got = scanned(spark, [prose(300, 1) + " " + n + " " + prose(300, 2) for n, _ in notices] + ["Server mit License Manager", "an apache helicopter", prose(900, 3)])
+    assert all(label in x for x, (_, label) in zip(got, notices, strict=False)) and not any(got[len(notices) :])
+
+
 def test_decontamination(spark, rows, docs, empty):
     item = prose(40, 77)
     w = item.split()
