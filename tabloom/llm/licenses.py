@@ -1,9 +1,9 @@
 """Licence scan by a positional index of rare words.
 
 Templates of licence texts are indexed as word -> (template, position). Document frequencies of the index's words over the
-whole corpus give each word's weight. A document's rarest licence words are looked up; each of their places votes for
-(template, place minus position); an alignment that enough different words agree on is compared word by word with
-its template, and the label is given if the template's mandatory key phrase stands in the document.
+whole corpus give each word's weight. A template is judged if its mandatory key phrase stands in the document: its rarest
+words are looked up, each of their places votes for (template, place minus position), and an alignment with enough votes
+is compared word by word with its template. Neither the number of licences in a document nor their frequency is capped.
 
 Words are runs of characters other than ASCII non-alphanumerics, with A-Z lower-cased.
 
@@ -90,36 +90,53 @@ def words(text: bytes) -> list[bytes]:
 class RareWordIndex:
     def __init__(self, templates=TEMPLATES):
         self.templates = [(label, words(t.encode()), b" " + b" ".join(words(k.encode())) + b" ") for label, t, k in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for t, (_, ws, _) in enumerate(self.templates):
+        self.places: list[dict[bytes, list[int]]] = []
+        for _, ws, _ in self.templates:
+            at: dict[bytes, list[int]] = {}
             for i, w in enumerate(ws):
-                self.postings.setdefault(w, []).append((t, i))
-        self.vocabulary = frozenset(self.postings)
-
-    def labels(self, ws: list[bytes], spaced: bytes, idf: dict[bytes, float], top: int, least_words: int, least_score: float, min_idf: float) -> tuple[set[str], float]:
-        """Labels and the best aligned share of a template."""
+                at.setdefault(w, []).append(i)
+            self.places.append(at)
+        self.vocabulary = frozenset(w for at in self.places for w in at)
+
+    def lookups(self, idf: dict[bytes, float], top: int, least_words: int, least_score: float, min_idf: float) -> list[tuple[dict[bytes, list[int]], int]]:
+        """For each template its looked-up words with their places, and the votes that an alignment needs. The rarest
+        words are taken until an alignment with least_score of the template can't have fewer than least_words votes."""
+        out = []
+        for (_, template, _), at in zip(self.templates, self.places, strict=True):
+            spare = len(template) - next(n for n in range(len(template) + 1) if n / len(template) >= least_score)
+            chosen: dict[bytes, list[int]] = {}
+            held = 0
+            for w in sorted(at, key=lambda w: (-idf.get(w, math.inf), w)):
+                if held >= spare + least_words and (len(chosen) >= top or idf.get(w, math.inf) < min_idf):
+                    break
+                chosen[w] = at[w]
+                held += len(at[w])
+            out.append((chosen, max(held - spare, 1)))
+        return out
+
+    def labels(self, ws: list[bytes], spaced: bytes, lookups: list[tuple[dict[bytes, list[int]], int]], least_words: int, least_score: float) -> tuple[set[str], float]:
+        """Labels and the best aligned share of a template. All templates whose key phrase stands in the document are judged."""
         present = self.vocabulary.intersection(ws)
-        rare = set(sorted((w for w in present if idf.get(w, math.inf) >= min_idf), key=lambda w: (-idf.get(w, math.inf), w))[:top])
-        # However frequent its words are in the corpus, a template whose key phrase stands in the document is looked up.
-        for _, template, key in self.templates:
-            if present.issuperset(key.split()) and key in spaced:
-                rare |= present.intersection(template)
-        if not rare:
+        standing = [t for t, (_, _, key) in enumerate(self.templates) if present.issuperset(key.split()) and key in spaced]
+        if not standing:
             return set(), 0.0
-        votes: dict[tuple[int, int], set[bytes]] = {}
+        postings: dict[bytes, list[tuple[int, int]]] = {}
+        for t in standing:
+            for w, at in lookups[t][0].items():
+                postings.setdefault(w, []).extend((t, q) for q in at)
+        votes: Counter = Counter()
         for i, w in enumerate(ws):
-            if w in rare:
-                for t, q in self.postings[w]:
-                    votes.setdefault((t, i - q), set()).add(w)
+            if w in postings:
+                votes.update((t, i - q) for t, q in postings[w])
         found, best = set(), 0.0
-        for (t, offset), voters in votes.items():
-            label, template, key = self.templates[t]
-            if len(voters) < min(least_words, len(set(template))) or key not in spaced:
+        for (t, offset), n in votes.items():
+            label, template, _ = self.templates[t]
+            if n < lookups[t][1]:
                 continue
-            same = sum(0 <= offset + i < len(ws) and ws[offset + i] == w for i, w in enumerate(template))
-            if same / len(template) >= least_score:
+            same = [w for i, w in enumerate(template) if 0 <= offset + i < len(ws) and ws[offset + i] == w]
+            if len(same) / len(template) >= least_score and len(set(same)) >= min(least_words, len(set(template))):
                 found.add(label)
-                best = max(best, same / len(template))
+                best = max(best, len(same) / len(template))
         return found, best
 
 
@@ -152,6 +169,7 @@ SCAN = "doc_id long, n_words long, n_base long, first_word long, last_word long,
 def _label(idf: dict[bytes, float], top: int, least_words: int, least_score: float, min_idf: float):
     base = [(b" " + p.encode() + b" ", label) for p, label in BASE]
     place = pa.struct([("label", pa.string()), ("word", pa.int64())])
+    lookups = _INDEX.lookups(idf, top, least_words, least_score, min_idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -166,7 +184,7 @@ def _label(idf: dict[bytes, float], top: int, least_words: int, least_score: flo
                         while at >= 0:
                             places.append((spaced.count(b" ", 0, at), label))
                             at = spaced.find(phrase, at + 1)
-                    found, score = _INDEX.labels(ws, spaced, idf, top, least_words, least_score, min_idf)
+                    found, score = _INDEX.labels(ws, spaced, lookups, least_words, least_score)
                     own = {label for _, label in places}
                     row = (len(ws), len(places), min(places)[0] if places else None, max(places)[0] if places else None, ",".join(sorted(own)), ",".join(sorted(own | found)), score, [{"label": b, "word": a} for a, b in sorted(places)])
                     for k, v in zip(out, row, strict=True):
@@ -178,9 +196,9 @@ def _label(idf: dict[bytes, float], top: int, least_words: int, least_score: flo
 
 
 def scan_licenses(docs: DataFrame, top: int = 8, least_words: int = 3, least_score: float = 0.6, min_idf: float = 2.0) -> DataFrame:
-    """Words, base places, labels and score of each document. top rarest licence words of a document are looked up, an
-    alignment needs least_words of them and least_score of its template, and words under min_idf are looked up only for
-    templates whose key phrase stands in the document."""
+    """Words, base places, labels and score of each document. Of every template whose key phrase stands in a document the
+    rarest words are looked up, as many as it takes to miss no alignment; an alignment needs least_words different words
+    and least_score of its template. Beyond these, up to top words of min_idf at least are looked up, which saves comparisons."""
     bound_batches(docs.sparkSession)
     idf = word_weights(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_label(idf, top, least_words, least_score, min_idf), SCAN)

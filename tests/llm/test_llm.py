@@ -287,6 +287,35 @@ def test_short_notices_are_found(spark):
     assert all(label in x for x, (_, label) in zip(got, notices, strict=False)) and not any(got[len(notices) :])
 
 
+def test_all_licenses_of_a_document_are_found(spark):
+    whole = {}
+    for label, text, _ in licenses.TEMPLATES:
+        whole.setdefault(label, text)
+    notice = " ".join(prose(40, i) + " " + text for i, text in enumerate(whole.values()))
+    # Gappy copies: two words in five replaced, key phrases elsewhere in the text.
+    gappy = {label: " ".join("x" if i % 5 in (1, 3) else w for i, w in enumerate(text.split())) for label, text in whole.items() if len(text.split()) >= 20}
+    keys = " ".join(key for label, _, key in licenses.TEMPLATES if label in gappy)
+    got = scanned(spark, [notice, notice + " " + " ".join(w.decode() for w in sorted(licenses._INDEX.vocabulary)), " ".join(gappy.values()) + " " + prose(30, 9) + " " + keys])
+    assert got[0] >= set(whole) and got[1] >= set(whole) and got[2] >= set(gappy)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("a b c d e k z".encode().split()), max_size=40), st.permutations("a b c d e k".encode().split()))
+def test_license_alignments_against_brute_force(ws, order):
+    index = licenses.RareWordIndex((("one", "a b c k d e a b", "k"), ("two", "a k a", "k"), ("three", "e d k c b e e d c a", "k d")))
+    idf = {w: float(i) for i, w in enumerate(order)}
+    spaced = b" " + b" ".join(ws) + b" "
+    want = {}
+    for label, template, key in index.templates:
+        for offset in range(-len(template), len(ws)) if key in spaced else ():
+            same = [w for i, w in enumerate(template) if 0 <= offset + i < len(ws) and ws[offset + i] == w]
+            if len(same) / len(template) >= 0.6 and len(set(same)) >= min(3, len(set(template))):
+                want[label] = max(want.get(label, 0), len(same) / len(template))
+    for top, min_idf in ((0, 9.0), (2, 0.0), (8, 2.0)):
+        got = index.labels(ws, spaced, index.lookups(idf, top, 3, 0.6, min_idf), 3, 0.6)
+        assert got == (set(want), max(want.values(), default=0.0))
+
+
 def test_decontamination(spark, rows, docs, empty):
     item = prose(40, 77)
     w = item.split()
