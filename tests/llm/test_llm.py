@@ -331,6 +331,34 @@ def test_decontamination(spark, rows, docs, empty):
     assert decontamination.Decontaminator(corpus, bench.where("false")).overlaps().count() == 0
 
 
+def test_all_accepted_alignments_are_nominated(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    sizes = [8, 9, 10, 15, 22, 30, 40, 59, 75]
+    items = [[f"w{x}" for x in r.integers(0, 60, m)] for m in sizes]
+    texts = []
+    for share in (0.1, 0.25, 0.4, 0.6):
+        for item in items:
+            for _ in range(3):
+                texts.append([f"w{x}" for x in r.integers(0, 60, 4)] + [f"x{k}" if r.random() < share else w for k, w in enumerate(item)] + ["y"] * int(r.integers(0, 5)))
+    # One substitution at each place of ten tokens; every fourth of a long item replaced.
+    texts += [[w if k != at else "x" for k, w in enumerate(items[2])] for at in range(10)] + [[w if k % 4 else "x" for k, w in enumerate(items[6])]]
+    want = {}
+    for d, words in enumerate(texts):
+        for i, item in enumerate(items):
+            need = max(8, min(-(-len(item) * 6 // 10), 20))
+            found = [(sum(0 <= at + k < len(words) and words[at + k] == w for k, w in enumerate(item)), -at) for at in range(-len(item), len(words))]
+            if max(found)[0] >= need:
+                want[d, i] = (max(found)[0], -max(found)[1])
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    corpus = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = lambda: {(r["doc_id"], r["item_id"]): (r["matched"], r["start"]) for r in decontamination.Decontaminator(corpus, bench).overlaps().collect()}
+    assert got() == want
+    monkeypatch.setattr(decontamination, "small", lambda df, *a: df)
+    assert got() == want
+    monkeypatch.setattr(decontamination, "MOST_MASKS", 3)
+    assert got() == want
+
+
 def brute_links(x, label, t=0.98):
     n = len(x)
     ok = np.array([v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v) for v in x])
