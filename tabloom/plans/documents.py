@@ -211,7 +211,7 @@ def stream_daily_counts(spark, d):
     name = f"tabloom_{uuid.uuid4().hex}"
     counts = stream.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
     q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination(300)
+    q.awaitTermination()
     return spark.table(name).select("event_type", F.date_format("start", "yyyy-MM-dd").alias("start"), "n")
 
 

@@ -1,5 +1,8 @@
 import time
 
+from pyspark.sql.streaming.query import StreamingQuery
+
+from tabloom.plans import catalogue
 from tabloom.streaming import operators as s
 
 
@@ -31,3 +34,12 @@ def test_first_seen(spark, tmp_path):
     assert sorted(r["k"] for r in run(spark, s.first_seen(stream, ["k"], "ts"), "firsts").collect()) == ["a", "b"]
     counts = run(spark, s.tumbling_counts(spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in")), "ts", "k"), "counts")
     assert counts.count() in (0, 1, 2)  # a window is given out once the watermark has passed it
+
+
+def test_daily_counts_wait_for_the_whole_stream(spark, monkeypatch):
+    wait = StreamingQuery.awaitTermination
+    # A stream that outlasts any limit: a wait with one ends before the stream does.
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: wait(self) if timeout is None else False)
+    sf = "/root/testdata/sf0.001"
+    got = catalogue.QUERIES["stream_daily_counts"](spark, sf)
+    assert sum(r["n"] for r in got.collect()) == spark.read.parquet(f"{sf}/events.parquet").count()
