@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,8 +10,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the word contracts: space and the control characters 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -21,12 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests on one machine)."""
+    """The shared folder of the cluster. Where none is set a local master gets a temporary one, and any other an error:
+    executors on other machines would not see the driver's own folders."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         current = sc._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tabloom-")
+        if current.isDefined():
+            found = current.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            found = tempfile.mkdtemp(prefix="tabloom-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
     return found
@@ -52,13 +60,27 @@ class Scratch:
         self.spark = spark
         bound_batches(spark)
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.rows: dict[str, int] = {}
+        self.schemas: dict[str, StructType] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        """Writes and rereads a table. Its rows are counted on the way (rows[name]), at least as many as it has."""
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        self.rows[name], self.schemas[name] = int(seen.get["n"]), df.schema
+        return self.table(name)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schemas[name]).parquet(self.path(name))
+
+    def keep(self, *names: str) -> None:
+        """Drops all tables but those that a result still reads."""
+        for name in [n for n in self.rows if n not in names]:
+            self.drop(name)
+            del self.rows[name]
 
     def drop(self, name: str = "") -> None:
         jvm, target = self.spark.sparkContext._jvm, self.path(name) if name else self.root
@@ -70,9 +92,9 @@ class Scratch:
 BROADCAST_ROWS = 2_000_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A saved table of a few numbers a row, marked for broadcast if a count shows that it is small enough."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, count: int | None = None) -> DataFrame:
+    """A table of a few numbers a row, marked for broadcast if its count, or a bound of it, shows that it is small enough."""
+    return F.broadcast(df) if (df.count() if count is None else count) <= rows else df
 
 
 #: Tables with lists are broadcast up to this many list elements (some tens of MB).
@@ -147,7 +169,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"u": u[0], "v": v[0]})
 
 
-def components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): smallest node reachable over undirected edges of longs.
 
     Each partition first joins its own edges to stars. If there are few enough edges for one partition, that is the end.
@@ -161,11 +183,12 @@ def components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str =
         .distinct()
     )
     e = scratch.save(e, "cc-edges")
-    parts = -(-e.count() // LOCAL_EDGES)
+    parts = -(-scratch.rows["cc-edges"] // LOCAL_EDGES)
     star = e.repartition(1) if parts <= 1 else e.repartition(parts, "v")
     e = scratch.save(star.mapInArrow(_local, "u long, v long"), "cc-0")
-    last = None
-    for i in range(1, rounds + 1) if parts > 1 else ():
+    last, i = None, 0
+    while parts > 1:
+        i += 1
         # Large star: every larger neighbour of a node goes to the smallest of its neighbourhood.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -181,6 +204,7 @@ def components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str =
         if mark == last:
             break
         last = mark
+    scratch.drop("cc-edges")
     # Nodes point at the smallest of their component, which has no edge of its own.
     both = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")))
     return both.groupBy("node").agg(F.min("component").alias("component"))

@@ -3,7 +3,9 @@
 Vectors are compared within a label by cosine; on unit vectors a cosine of c is a distance of sqrt(2 - 2c). Points are
 split by nearest pivots, level by level, until each cell is small enough for a task; cells keep their centre and
 covering radius. Pairs of nodes are followed down level by level, and a pair is left out when the distance of the centres
-exceeds both radii plus the threshold's distance. For each pair of cells that remains, a task builds a cover tree of either
+exceeds both radii plus the threshold's distance, and settled if all their points link by the same bound. The radii of these upper
+levels are measured, not halved: over all rows no net of a given radius can be chosen without gathering them. For each pair of
+cells that remains, a task builds a cover tree of either
 (nets with halving radii, nested by assignment), walks both trees together with the same bound, accepts node pairs
 whose bound shows that all of their points link, and compares the points of the leaf pairs that are left.
 
@@ -17,7 +19,6 @@ link graph; extra columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, small, table
+from .common import BROADCAST_ELEMENTS, Scratch, components, small, small_lists, table
 from .jaccard_join import groups_of
 
 #: Most points of a cell, and most parts that a node is split into at once.
@@ -35,6 +36,8 @@ FANOUT = 16
 LEAF = 64
 #: Cosines this near the threshold are computed again by the plain formula.
 CLOSE = 1e-9
+#: Points nearer than this have one direction, as far as distances between doubles can tell.
+ONE_DIRECTION = 1e-6
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -195,39 +198,46 @@ def _join(cosine: float):
     return run
 
 
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of the nearest pivot of each point's node, and the distance to it."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        node = np.array(batch.column("node").to_pylist())
-        pick, dist = np.zeros(len(node), np.int32), np.zeros(len(node))
-        for n in np.unique(node):
-            rows = np.flatnonzero(node == n)
-            x = unit(matrix(batch.column("embedding").take(pa.array(rows))))
-            pivots = unit(matrix(batch.column("pivots")[int(rows[0])].values))
-            d = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots.T))
-            pick[rows] = d.argmin(axis=1)
-            dist[rows] = d.min(axis=1)
-        child = pa.array([f"{n}.{p}" for n, p in zip(node, pick, strict=True)])
-        yield pa.RecordBatch.from_pydict({"node": child, "rep": batch.column("rep"), "members": batch.column("members"), "embedding": batch.column("embedding"), "dist": dist})
+def _nearest(known: dict[str, np.ndarray] | None):
+    """Number of the nearest pivot of each point's node, and the distance to it. known: unit pivots by node, if few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = np.array(batch.column("node").to_pylist())
+            pick, dist = np.zeros(len(node), np.int32), np.zeros(len(node))
+            for n in np.unique(node):
+                rows = np.flatnonzero(node == n)
+                x = unit(matrix(batch.column("embedding").take(pa.array(rows))))
+                pivots = known[n] if known is not None else unit(matrix(batch.column("pivots")[int(rows[0])].values))
+                d = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots.T))
+                pick[rows] = d.argmin(axis=1)
+                dist[rows] = d.min(axis=1)
+            child = pa.array([f"{n}.{p}" for n, p in zip(node, pick, strict=True)])
+            yield pa.RecordBatch.from_pydict({"node": child, "rep": batch.column("rep"), "members": batch.column("members"), "embedding": batch.column("embedding"), "dist": dist})
+
+    return run
 
 
 def _near(reach: float):
-    """Node pairs that the covering radii do not rule out."""
+    """Node pairs that the covering radii do not rule out, and whether they show that all points of both link. A root has
+    no radius and is never ruled out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keep = []
-            for x, y, r in zip(batch.column("ca").to_pylist(), batch.column("cb").to_pylist(), batch.column("r").to_pylist(), strict=True):
-                if x is None or y is None or r is None or len(x) != len(y):
-                    keep.append(True)
-                    continue
-                u, v = unit(np.array([x, y], np.float64))
-                keep.append(bool(np.sqrt(max(0.0, 2 - 2 * u @ v)) <= r + reach + 1e-7))
-            yield from pa.Table.from_batches([batch.select(["a", "b"])]).filter(pa.array(keep)).to_batches()
+            keep, sure = [], []
+            for a, b, x, y, r in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "ca", "cb", "r")], strict=True):
+                d = 0.0
+                if r is not None and a != b:
+                    u, v = unit(np.array([x, y], np.float64)) if len(x) == len(y) else (np.ones(1), np.ones(1))
+                    d = float(np.sqrt(max(0.0, 2 - 2 * u @ v)))
+                keep.append(r is None or d <= r + reach + 1e-7)
+                sure.append(r is not None and d + r < reach - 1e-7)
+            out = pa.table({"a": batch.column("a"), "b": batch.column("b"), "sure": sure, "inner": batch.column("inner")})
+            yield from out.filter(pa.array(keep)).to_batches()
 
     return run
 
@@ -248,67 +258,110 @@ class NearVectors:
         same = self.rows.where("valid").groupBy("label", "h1", "h2").agg(F.count("*").alias("members"), F.min("vec_id").alias("rep"), F.first("embedding").alias("embedding"))
         same = self.scratch.save(same, "points")
         self.classes = same.select("label", "h1", "h2", "members", "rep")
-        return same.select(F.concat_ws("/", F.size("embedding").cast("string"), F.regexp_replace("label", r"[./]", "_"), F.hex(F.xxhash64("label"))).alias("node"), "rep", "members", "embedding")
+        root = F.concat_ws("/", F.size("embedding").cast("string"), F.regexp_replace("label", r"[./]", "_"), F.hex(F.xxhash64("label")))
+        return same.select(root.alias("node"), "rep", "members", "embedding", F.lit(None).cast("double").alias("dist"))
 
     def cells(self) -> tuple[DataFrame, DataFrame]:
-        """Points by cell, and all nodes of the trees over cells: node, parent, centre, radius."""
-        points, done, nodes = self.points(), None, None
-        roots = points.groupBy("node").agg(F.count("*").alias("n"))
-        nodes = roots.select("node", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("array<double>").alias("centre"), F.lit(None).cast("double").alias("radius"))
+        """Points by cell, and all nodes of the trees over cells: node, parent, centre, radius, members, rep.
+
+        Half of a node's pivots come from the outer half of its radius, one of them is its farthest point, so each split
+        takes something off. A node of one direction (parallel vectors) cannot be split by distance and is cut by hash."""
+        points, done, s = self.points(), None, self.scratch
+        sums = (F.count("*").alias("n"), F.sum("members").alias("members"), F.min("rep").alias("rep"), F.max("dist").alias("radius"))
+        sizes = s.save(points.groupBy("node").agg(*sums), "sizes-0")
+        none = F.lit(None).cast("array<double>").alias("centre")
+        nodes = sizes.select("node", F.lit(None).cast("string").alias("parent"), none, "radius", "members", "rep")
         level = 0
         while True:
-            sizes = self.scratch.save(points.groupBy("node").agg(F.count("*").alias("n")), f"sizes-{level}")
+            point = ("node", "rep", "members", "embedding")
             big = sizes.where(F.col("n") > CELL)
-            fits = points.join(small(sizes.where(F.col("n") <= CELL).select("node"), 100_000), "node", "left_semi")
+            fits = points.join(small(sizes.where(F.col("n") <= CELL).select("node"), 100_000), "node", "left_semi").select(*point)
             done = fits if done is None else done.unionByName(fits)
+            flat = big.where(F.col("radius") <= ONE_DIRECTION)
+            if flat.limit(1).count():
+                tile = F.concat_ws(".", "node", F.concat(F.lit("t"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / CELL)).cast("string")))
+                tiled = s.save(points.join(small(flat.select("node", "n", F.col("radius").alias("r")), 100_000), "node").select(tile.alias("tile"), *point, "r"), f"tiles-{level}")
+                done = done.unionByName(tiled.select(F.col("tile").alias("node"), *point[1:]))
+                own = tiled.groupBy("tile", "node").agg(F.sum("members").alias("members"), F.min("rep").alias("rep"), F.max("r").alias("radius"))
+                above = nodes.select(F.col("node").alias("parent"), "centre")
+                nodes = nodes.unionByName(s.save(own.withColumnsRenamed({"node": "parent", "tile": "node"}).join(above, "parent").select("node", "parent", "centre", "radius", "members", "rep"), f"nodes-{level}-tiles"))
+                big = big.where(F.col("radius").isNull() | (F.col("radius") > ONE_DIRECTION))
             if not big.limit(1).count():
                 return done, nodes
+            level += 1
             parts = F.least(F.lit(FANOUT), F.ceil(2 * F.col("n") / CELL))
+            big = big.select("node", "n", F.col("radius").alias("r"))
+            at = points.join(small(big, 100_000), "node")
             # A few more than needed by hash, then the first of them: no node is gathered.
+            tip = at.where(F.col("dist") == F.col("r")).groupBy("node").agg(F.min("rep").alias("tip"))
             draw = F.pmod(F.xxhash64("rep", F.lit(level)), F.col("n"))
-            drawn = points.join(small(big, 100_000), "node").where(draw < 4 * FANOUT)
-            first = drawn.withColumn("k", F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("rep", F.lit(level)), "rep"))).where(F.col("k") <= parts)
+            outer = F.coalesce(F.col("dist") > F.col("r") / 2, F.lit(False))
+            farthest = F.coalesce(F.col("rep") == F.col("tip"), F.lit(False))
+            drawn = at.join(tip, "node", "left").where((draw < 4 * FANOUT) | farthest).withColumn("outer", outer)
+            turn = F.row_number().over(W.partitionBy("node", "outer").orderBy(F.desc(farthest), F.xxhash64("rep", F.lit(level)), "rep"))
+            first = drawn.withColumn("turn", turn).withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("turn", F.desc("outer")))).where(F.col("k") <= parts)
             vec = F.col("embedding").cast("array<double>")
-            pivots = self.scratch.save(first.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", vec.alias("v")))), lambda s: s["v"]).alias("pivots")), f"pivots-{level}")
+            pivots = s.save(first.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", vec.alias("v")))), lambda x: x["v"]).alias("pivots")), f"pivots-{level}")
+            elements = pivots.agg(F.coalesce(F.sum(F.size("pivots") * F.size(F.col("pivots")[0])), F.lit(0))).first()[0]
+            known = {r["node"]: unit(np.array(r["pivots"], np.float64)) for r in pivots.collect()} if elements <= BROADCAST_ELEMENTS else None
+            moving = at if known is not None else at.join(pivots, "node")
             schema = "node string, rep long, members long, embedding array<float>, dist double"
-            split = points.join(small(pivots, 20_000), "node").select("node", "rep", "members", F.col("embedding").cast("array<float>").alias("embedding"), "pivots").mapInArrow(_nearest, schema)
-            split = self.scratch.save(split, f"split-{level}")
-            radius = split.groupBy("node").agg(F.max("dist").alias("radius"))
+            split = moving.select("node", "rep", "members", F.col("embedding").cast("array<float>").alias("embedding"), *([] if known is not None else ["pivots"])).mapInArrow(_nearest(known), schema)
+            points = s.save(split, f"split-{level}")
+            sizes = s.save(points.groupBy("node").agg(*sums), f"sizes-{level}")
             centres = pivots.select("node", F.posexplode("pivots").alias("k", "centre")).select(F.concat_ws(".", "node", "k").alias("node"), F.col("node").alias("parent"), "centre")
-            nodes = nodes.unionByName(self.scratch.save(centres.join(radius, "node").select("node", "parent", "centre", (F.col("radius") + 1e-9).alias("radius")), f"nodes-{level}"))
-            points = split.drop("dist")
-            level += 1
-
-    def cell_pairs(self, nodes: DataFrame) -> DataFrame:
-        """Pairs (a <= b) of cells that may hold linked points, from the roots down."""
-        nodes = self.scratch.save(nodes, "nodes")
-        inner = nodes.where("parent is not null").select(F.col("parent").alias("p"), F.col("node").alias("child"), F.col("centre").alias("c"), F.col("radius").alias("r"))
-        pairs = nodes.where("parent is null").select(F.col("node").alias("a"), F.col("node").alias("b"))
+            nodes = nodes.unionByName(s.save(centres.join(sizes, "node").select("node", "parent", "centre", (F.col("radius") + 1e-9).alias("radius"), "members", "rep"), f"nodes-{level}"))
+
+    def cell_pairs(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a <= b) of cells that may hold linked points, and of nodes all of whose points link, from the roots down.
+        What a pair of nodes settles is not looked at below it, so a dense crowd is counted without comparing its points."""
+        kids = nodes.where("parent is not null").select(F.col("parent").alias("p"), F.col("node").alias("child"))
+        info = nodes.select("node", "centre", "radius")
+        side = lambda k: small_lists(info, "centre").select(F.col("node").alias(k), F.col("centre").alias(f"c{k}"), F.col("radius").alias(f"r{k}"))
+        sure = None
+        rows = nodes.where("parent is null").select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("inner"))
         level = 0
         while True:
-            one = pairs.join(inner.select(F.col("p").alias("a"), F.col("child").alias("a2"), F.col("c").alias("ca"), F.col("r").alias("ra")), "a", "left")
-            both = one.join(inner.select(F.col("p").alias("b"), F.col("child").alias("b2"), F.col("c").alias("cb"), F.col("r").alias("rb")), "b", "left")
-            moved = both.where("a2 is not null or b2 is not null").limit(1).count()
-            if not moved:
-                return pairs
+            near = rows.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ca", "cb", (F.col("ra") + F.col("rb")).alias("r"), "inner")
+            pairs = self.scratch.save(near.mapInArrow(_near(float(np.sqrt(2 - 2 * self.cosine))), "a string, b string, sure boolean, inner boolean"), f"pairs-{level}")
+            settled = pairs.where("sure").select("a", "b")
+            sure = settled if sure is None else sure.unionByName(settled)
+            pairs = pairs.where("not sure")
+            one = pairs.join(kids.withColumnsRenamed({"p": "a", "child": "a2"}), "a", "left").join(kids.withColumnsRenamed({"p": "b", "child": "b2"}), "b", "left")
             low, high = F.coalesce("a2", "a"), F.coalesce("b2", "b")
-            # A cell beside a node that is split further waits for it, with no bound of its own at this level.
-            rows = both.select(F.least(low, high).alias("a"), F.greatest(low, high).alias("b"), "ca", "cb", (F.col("ra") + F.col("rb")).alias("r"))
-            pairs = self.scratch.save(rows.mapInArrow(_near(float(np.sqrt(2 - 2 * self.cosine))), "a string, b string").distinct(), f"pairs-{level}")
+            moved = F.col("a2").isNotNull() | F.col("b2").isNotNull()
+            rows = self.scratch.save(one.select(F.least(low, high).alias("a"), F.greatest(low, high).alias("b"), moved.alias("inner")).distinct(), f"down-{level}")
+            if not rows.where("inner").limit(1).count():
+                return rows.select("a", "b"), sure
             level += 1
 
+    def settled(self, cells: DataFrame, nodes: DataFrame, sure: DataFrame) -> DataFrame:
+        """rep, to, links of the points of node pairs all of whose points link: counts, and edges that span them."""
+        about = nodes.select("node", "members", "rep")
+        both = sure.join(about.withColumnsRenamed({"node": "a", "members": "ma", "rep": "pa"}), "a").join(about.withColumnsRenamed({"node": "b", "members": "mb", "rep": "pb"}), "b")
+        ends = both.select(F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "mb", "pb", F.lit(1).alias("own")))).otherwise(F.array(F.struct("a", "mb", "pb", F.lit(0).alias("own")), F.struct(F.col("b").alias("a"), F.col("ma").alias("mb"), F.col("pa").alias("pb"), F.lit(0).alias("own"))))).alias("e"))
+        known = ends.groupBy(F.col("e.a").alias("above")).agg(F.sum("e.mb").alias("links"), F.max("e.own").alias("own"), F.min("e.pb").alias("to"))
+        known = self.scratch.save(known, "settled")
+        names = F.split("node", r"\.")
+        over = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, F.lit(1), i), "."))).alias("above"))
+        mine = self.scratch.save(over.join(small(known, 100_000, self.scratch.rows["settled"]), "above").select("node", "links", "own", "to"), "settled-cells")
+        each = cells.select("node", "rep", "members").join(small(mine, 100_000, self.scratch.rows["settled-cells"]), "node")
+        return each.select("rep", "to", (F.col("links") - F.col("own") * F.col("members")).alias("links")).unionByName(both.select(F.col("pa").alias("rep"), F.col("pb").alias("to"), F.lit(0).cast("long").alias("links")))
+
     def run(self) -> DataFrame:
         """vec_id, n_links, component_id, kept of each row."""
         cells, nodes = self.cells()
-        pairs = self.cell_pairs(nodes)
+        nodes = self.scratch.save(nodes, "nodes")
+        pairs, sure = self.cell_pairs(nodes)
         key = F.xxhash64("a", "b")
         seats = pairs.select(key.alias("pair"), F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("side")), F.struct(F.col("b").alias("node"), F.lit(2).alias("side"))))).alias("s"))
         seats = self.scratch.save(seats.select("pair", "s.node", "s.side"), "seats")
-        placed = cells.select("node", "rep", "members", F.col("embedding").cast("array<float>").alias("embedding")).join(small(seats, 200_000), "node").drop("node")
+        placed = cells.select("node", "rep", "members", F.col("embedding").cast("array<float>").alias("embedding")).join(small(seats, 200_000, self.scratch.rows["seats"]), "node").drop("node")
         found = placed.repartition("pair").sortWithinPartitions("pair").mapInArrow(_join(self.cosine), "rep long, to long, links long")
-        found = self.scratch.save(found, f"found-{uuid.uuid4().hex}")
+        found = self.scratch.save(found.unionByName(self.settled(cells, nodes, sure)), "found")
         links = found.groupBy("rep").agg(F.sum("links").alias("others"))
         comps = components(found, Scratch(self.spark, "vectors-cc"), "rep", "to")
+        self.scratch.keep("points", "found")
         named = self.rows.join(self.classes.withColumn("valid", F.lit(True)), ["valid", "label", "h1", "h2"], "left")
         out = named.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
         component = F.coalesce("component", "rep", "vec_id")
