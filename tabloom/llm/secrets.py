@@ -1,11 +1,16 @@
 """Secret scan: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 Candidates are runs of token characters that mix digits and letters. Each gets an inferred encoding and three
-tests of the hypothesis that it is a uniform draw from that encoding's alphabet: chi-squared uniformity, the number of
-runs above and below the alphabet's middle, and serial correlation at lag 1. Fisher's method joins the three p-values.
-Over all documents, the Benjamini-Hochberg rule at rate q within each (encoding, length class) marks the candidates
-that are proven not random; long ordinary strings are rejected by power, short ones only where their class shows it.
-What stays and carries at least min_bits of alphabet entropy is reported as kind `random`, unless it overlaps a pattern's span.
+tests of how far it is from a uniform draw of that encoding's alphabet: chi-squared uniformity, the number of runs above and
+below the alphabet's middle, and serial correlation at lag 1. Fisher's method joins the three p-values to one score, high
+where the token looks random.
+
+A candidate is reported if it looks more random than ordinary tokens do. What ordinary tokens look like is measured on decoys:
+for each candidate DECOYS tokens of its length, encoding and number of digits, their letters from neighbouring words of the same
+text. Within each (encoding, length class) over all documents the Benjamini-Hochberg rule at rate q compares scores with
+those of the decoys, so of what is reported in a class about a share q at most is ordinary. Long tokens pass on their own;
+short ones only where their class shows many more than decoys explain. A reported token also carries at least min_bits of
+alphabet entropy; its kind is `random`.
 
 Null and edge cases: a null text is empty; a document without spans has empty strings and the hash of the empty string;
 repeated rows are scanned each on its own; extra columns are not read; spans count code points, ends exclusive.
@@ -16,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +56,13 @@ ENCODINGS = (
 )
 _INDEX = [(name, {c: i for i, c in enumerate(a)}, frozenset(a)) for name, a in ENCODINGS]
 LEAST_RANDOM = 20
+#: Ordinary tokens made for each candidate.
+DECOYS = 40
+#: Words that decoys use after those of the text, so that a text of a lone key has some too.
+WORDS = "the version update project server client report general language document winter market number system service people which between house garden letter".split()
+LETTERS = re.compile(r"[A-Za-z]{3,}")
+#: Encodings with letters of one case.
+UPPER, LOWER = ("hex_upper", "base32", "base36_upper"), ("hex", "base36")
 
 
 def infer_encoding(token: str) -> tuple[str, list[int], int] | None:
@@ -75,8 +88,9 @@ def randomness_p(symbols: list[int], m: int) -> float:
     for s in symbols:
         counts[s] = counts.get(s, 0) + 1
     chi2 = m / n * sum(c * c for c in counts.values()) - n
-    # Exact mean and variance of the statistic under uniform sampling, so sparse counts need no asymptotics.
-    p_chi = _two_sided((chi2 - (m - 1)) / math.sqrt(2 * (m - 1) * (n - 1) / n))
+    # Exact mean and variance of the statistic under uniform sampling, so sparse counts need no asymptotics. Ordinary tokens
+    # are uneven, so only that side counts.
+    p_chi = math.erfc((chi2 - (m - 1)) / math.sqrt(2 * (m - 1) * (n - 1) / n) / math.sqrt(2)) / 2
     high = [s * 2 >= m for s in symbols]
     a = sum(high)
     b = n - a
@@ -107,8 +121,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def decoys(token: str, encoding: str, words: list[str], draw: int) -> list[list[int]]:
+    """Symbol numbers of DECOYS ordinary tokens: words in a row, written in the encoding's case, with the token's number of
+    digits between them. What the alphabet lacks is left out."""
+    index = next(i for name, i, _ in _INDEX if name == encoding)
+    cased = str.upper if encoding in UPPER else str.lower if encoding in LOWER else str.capitalize
+    said = [cased(w) for w in words]
+    said = [t for w in said if (t := "".join(c for c in w if c in index))]
+    n, n_digits = len(token.rstrip("=")), sum(c.isdigit() for c in token)
+    digits = [c for c in "2347560189" if c in index]
+    every = max(1, (n - n_digits) // (n_digits + 1))
+    out = []
+    for k in range(DECOYS):
+        h = hashlib.blake2b(f"{draw}:{k}".encode(), digest_size=32).digest()
+        at, letters = int.from_bytes(h[:4], "little") % len(said), ""
+        while len(letters) < n:
+            letters += said[at % len(said)]
+            at += 1
+        made, left, i = "", n_digits, 0
+        while len(made) < n:
+            if left and i and i % every == 0 and len(made) < n:
+                run = min(left, 1 + h[4 + len(made) % 28] % 3, n - len(made))
+                made += "".join(digits[h[4 + (len(made) + j) % 28] % len(digits)] for j in range(run))
+                left -= run
+                if len(made) >= n:
+                    break
+            made += letters[i]
+            i += 1
+        out.append([index[c] for c in made])
+    return out
+
+
+def score_bin(p: float) -> int:
+    """Twentieths of a power of ten below 1; low where a token looks random."""
+    return int(min(-math.log10(max(p, 1e-18)), 17.0) * 20)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Runs that the battery judges: digits and letters, no overlap with a base span."""
+    """Runs that the battery judges: digits and letters, no overlap with a base span. `decoys`: the score bins of theirs."""
     out = []
     for run in RUN.finditer(text):
         token, s, e = run[0], run.start(), run.end()
@@ -117,15 +167,18 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         if any(s < be and bs < e for bs, _, be in base) or not (enc := infer_encoding(token)):
             continue
         name, symbols, m = enc
-        out.append({"start": s, "end": e, "encoding": name, "length": len(symbols), "bits": len(symbols) * math.log2(m), "p": randomness_p(symbols, m)})
+        # Whole neighbourhoods of the token, not a share of the text: as many words as decoys can use.
+        near = LETTERS.findall(text, max(0, s - 2000), s) + LETTERS.findall(text, e, e + 2000)
+        ordinary = [score_bin(randomness_p(d, m)) for d in decoys(token, name, near + WORDS, zlib.crc32(token.encode()))]
+        out.append({"start": s, "end": e, "encoding": name, "length": len(symbols), "bits": len(symbols) * math.log2(m), "bin": score_bin(randomness_p(symbols, m)), "decoys": ordinary})
     return out
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-_CAND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("length", pa.int32()), ("bits", pa.float64()), ("p", pa.float64())])
+_CAND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("length", pa.int32()), ("bits", pa.float64()), ("bin", pa.int32()), ("decoys", pa.list_(pa.int32()))])
 SCAN = (
     "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start: long, kind: int, end: long>>, "
-    "candidates array<struct<start: long, end: long, encoding: string, length: int, bits: double, p: double>>"
+    "candidates array<struct<start: long, end: long, encoding: string, length: int, bits: double, bin: int, decoys: array<int>>>"
 )
 
 
@@ -155,20 +208,20 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_secrets(docs: DataFrame, q: float = 0.05, min_bits: float = 80.0) -> DataFrame:
     """doc_id, counts, base_sha256, base and random spans of each document.
 
-    The false-discovery thresholds come from counts of all candidates in log-scaled p-value bins by (encoding, length
-    class): at most a few thousand rows, whatever the input; the thresholds, one per class, become literals."""
+    The false-discovery thresholds come from counts of all candidates and decoys in score bins by (encoding, length class):
+    at most a few thousand rows, whatever the input; the thresholds, one per class, become literals."""
     scratch = Scratch(docs.sparkSession, "secrets")
     scanned = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, SCAN), "scan")
     cls = lambda c: F.concat_ws("/", c["encoding"], F.least(F.floor(F.log2(c["length"]) * 2), F.lit(40)).cast("string"))
-    bin_of = lambda p: F.floor(F.least(-F.log10(F.greatest(p, F.lit(1e-18))), F.lit(17.0)) * 20)
-    bins = scanned.select(F.explode("candidates").alias("c")).groupBy(cls(F.col("c")).alias("class"), bin_of(F.col("c.p")).alias("bin")).count()
-    up = F.sum("count").over(W.partitionBy("class").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0))
-    all_ = F.sum("count").over(W.partitionBy("class"))
-    passed = bins.select("class", "bin", (F.pow(F.lit(10.0), -F.col("bin") / 20) <= q * up / all_).alias("ok"))
-    limits = {r["class"]: int(r["bin"]) for r in passed.where("ok").groupBy("class").agg(F.min("bin").alias("bin")).collect()}
+    each = scanned.select(F.explode("candidates").alias("c")).where(F.col("c.bits") >= min_bits)
+    scores = F.concat(F.array(F.struct(F.col("c.bin").alias("bin"), F.lit(1).alias("own"))), F.transform("c.decoys", lambda b: F.struct(b.alias("bin"), F.lit(0).alias("own"))))
+    bins = each.select(cls(F.col("c")).alias("class"), F.explode(scores).alias("s")).groupBy("class", F.col("s.bin").alias("bin")).agg(F.sum("s.own").alias("own"), F.count_if(F.col("s.own") == 0).alias("decoys"))
+    upto = W.partitionBy("class").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    passed = bins.select("class", "bin", ((F.sum("decoys").over(upto) + 1) / DECOYS <= q * F.sum("own").over(upto)).alias("ok"))
+    limits = {r["class"]: int(r["bin"]) for r in passed.where("ok").groupBy("class").agg(F.max("bin").alias("bin")).collect()}
     pairs = [x for k, v in limits.items() for x in (F.lit(k), F.lit(v))]
-    limit = lambda c: F.coalesce(F.element_at(F.create_map(*pairs), cls(c)), F.lit(1 << 30)) if pairs else F.lit(1 << 30)
-    kept = F.filter("candidates", lambda c: (c["bits"] >= min_bits) & (bin_of(c["p"]) < limit(c)))
+    limit = lambda c: F.coalesce(F.element_at(F.create_map(*pairs), cls(c)), F.lit(-1)) if pairs else F.lit(-1)
+    kept = F.filter("candidates", lambda c: (c["bits"] >= min_bits) & (c["bin"] <= limit(c)))
     return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", F.transform(kept, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end"))).alias("random"))
 
 
