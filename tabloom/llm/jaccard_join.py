@@ -9,9 +9,9 @@ An R-tree over all points would compare most leaves: in many dimensions boxes ov
 block: two documents over the threshold share a shingle among the first fifth of either in any fixed order (the
 prefix principle, exact); the order is by hash with frequent shingles last, and blocks are the documents that share such a shingle. Blocks with the same members are kept once.
 
-Only components are asked for, so a block needn't yield all its pairs: round 1 gives each document its most likely and
-a few other partners per block; round 2 looks at pairs of the blocks again and yields every one that is not yet in one
-component. After round 2 every pair of the whole table is verified, bounded away, or inside one component.
+Only components are asked for, so a large block needn't yield all its pairs: round 1 gives each document its most likely
+and a few other partners per block, and all pairs of small blocks; round 2 looks at the large blocks again and yields every
+pair that is not yet in one component. After round 2 every pair of the whole table is verified, bounded away, or inside one component.
 
 Null and edge cases: null and blank texts have no shingles and link with nothing; texts under five words are one shingle;
 equal sets are one class from the start, so copies never make pairs; rows with one doc_id are one node; a row with a null
@@ -33,7 +33,7 @@ from .common import Scratch, batches_of, components, small, table
 from .shingles import mix, shingle_set, word_hashes
 
 GROUPS = 256
-#: Blocks up to this size are paired by a plain join, larger ones through trees.
+#: Blocks up to this size give all their surviving pairs at once.
 SMALL_BLOCK = 16
 #: Most documents of a tile; larger blocks become pairs of tiles.
 TILE = 2048
@@ -45,6 +45,8 @@ FOLDED = 32
 FREQUENT_TEXTS = 6
 FREQUENT_KEPT = 1_000_000
 FREQUENT_HELD = 8_000_000
+#: Texts whose copies a task recognises while it counts; copies beyond only change the order of prefixes.
+SEEN_TEXTS = 1_000_000
 #: Components of candidates with more shingles or pairs are verified pair by pair: a task's group stays small.
 GROUP_SHINGLES = 1 << 18
 GROUP_PAIRS = 1 << 12
@@ -97,6 +99,8 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = shingle_set(w)
                 key = hash(s.tobytes())
                 if len(s) and key not in seen:
+                    if len(seen) >= SEEN_TEXTS:
+                        seen.clear()
                     seen.add(key)
                     held.append(s)
                     size += len(s)
@@ -220,7 +224,7 @@ def _blocks(percent: int, partners: int | None):
             ok = (ids[a] != ids[b]) & ((side[a] != 0) | (side[b] != 0) | (ids[a] < ids[b])) & ((comp[a] != comp[b]) if partners is None else True)
             found.append((a[ok], b[ok], bound[ok]))
         a, b, bound = (np.concatenate(x) for x in zip(*found, strict=True))
-        if partners is not None and len(a):
+        if partners is not None and len(ids) > SMALL_BLOCK and len(a):
             x, y = ids[a].astype(np.uint64), ids[b].astype(np.uint64)
             draw = mix(x * np.uint64(0x9E3779B97F4A7C15) ^ y * np.uint64(0xC2B2AE3D27D4EB4F))
             score = -bound / (n[a] + n[b])
@@ -302,20 +306,6 @@ def shared_count(s: np.ndarray, t: np.ndarray) -> int:
     return int((t[at] == s).sum()) if len(t) else 0
 
 
-def _bounded(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)
-            bound = np.array([int(np.minimum(point(x), point(y)).sum(dtype=np.int64)) for x, y in rows], np.int64)
-            keep = enough(bound, batch.column("na").to_numpy() + batch.column("nb").to_numpy(), percent)
-            out = pa.Table.from_batches([batch.select(["a", "b"])]).filter(pa.array(keep))
-            yield from out.to_batches()
-
-    return run
-
-
 class JaccardJoin:
     """links() of documents with a Jaccard similarity of percent / 100 or more on five-word shingles."""
 
@@ -331,23 +321,25 @@ class JaccardJoin:
         sketch = s.save(self.docs.mapInArrow(_sketch(percent, self.frequent()), SKETCH), "sketch")
         classes = s.save(sketch.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
         reps = s.save(classes.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "reps")
-        members = sketch.where("n > 0").join(small(reps), "doc_id", "left_semi")
+        members = sketch.where("n > 0").join(small(reps, count=s.rows["reps"]), "doc_id", "left_semi")
         entries = members.select(F.explode("prefix").alias("token"), "doc_id", "n")
-        blocks = entries.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("df > 1")
+        # Most shingles stand in one document only: they go before more than themselves is shuffled.
+        often = s.save(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "often")
+        shared = s.save(entries.join(small(often, count=s.rows["often"]), "token", "left_semi"), "shared")
+        blocks = shared.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         blocks = s.save(blocks.groupBy("df", "x", "lo", "hi").agg(F.min("token").alias("token")).select("token", "df"), "blocks")
-        placed = s.save(entries.join(small(blocks), "token"), "placed")
-
-        few = placed.where(F.col("df") <= SMALL_BLOCK)
-        p, q = few.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na")), few.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-        pairs = p.join(q, "token").where((F.col("a") < F.col("b")) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b").distinct()
-        first = s.save(self.bounded(pairs, sketch).unionByName(self.blocked(placed, sketch, None)).distinct(), "pairs-1")
-        links = s.save(self.verified(first, sketch), "links-1")
-        found = s.save(components(links, Scratch(self.spark, "jaccard-cc"), "a", "b"), "components-1")
-
-        rest = s.save(self.blocked(placed, sketch, found).distinct(), "pairs-2")
-        if rest.limit(1).count():
-            links = links.unionByName(s.save(self.verified(rest, sketch), "links-2"))
-            found = s.save(components(links, Scratch(self.spark, "jaccard-cc"), "a", "b"), "components-2")
+        placed = s.save(shared.join(small(blocks, count=s.rows["blocks"]), "token"), "placed")
+        most = blocks.agg(F.max("df")).first()[0] or 0
+
+        first = s.save(self.blocked(placed, sketch, None, most).distinct(), "pairs-1")
+        links = s.save(self.verified(first, sketch, s.rows["pairs-1"]), "links-1")
+        found = s.save(components(links, Scratch(self.spark, "jaccard-cc"), "a", "b"), "components")
+        if most > SMALL_BLOCK:
+            rest = s.save(self.blocked(placed, sketch, found, most).distinct().join(first, ["a", "b"], "left_anti"), "pairs-2")
+            if s.rows["pairs-2"]:
+                links = links.unionByName(s.save(self.verified(rest, sketch, s.rows["pairs-2"]), "links-2"))
+                found = s.save(components(links, Scratch(self.spark, "jaccard-cc"), "a", "b"), "components-2")
+        s.keep("sketch", "classes", "components", "components-2")
         named = sketch.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"], "left")
         return (
             named.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
@@ -362,23 +354,28 @@ class JaccardJoin:
         kept = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_KEPT).select("token").toArrow().column("token").to_numpy()
         return np.sort(kept.view(np.uint64))
 
-    def bounded(self, pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-        side = lambda k: sketch.where("n > 0").select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("points").alias(f"p{k}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(self.percent), "a long, b long").distinct()
-
-    def blocked(self, placed: DataFrame, sketch: DataFrame, found: DataFrame | None) -> DataFrame:
-        """Pairs from the blocks over SMALL_BLOCK. A block is cut by size class (a document also visits the class
-        below, so sizes within the threshold meet), and a class over TILE documents into pairs of tiles."""
-        big = placed.where(F.col("df") > SMALL_BLOCK)
-        if found is not None:
-            big = big.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            spread = big.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-            big = big.join(spread, "token", "left_semi")
+    def blocked(self, placed: DataFrame, sketch: DataFrame, found: DataFrame | None, most: int) -> DataFrame:
+        """Pairs from the trees of the blocks, of which the largest has `most` documents: all pairs of blocks up to
+        SMALL_BLOCK and a few of each document of larger ones, or with components found all of those that are still apart."""
+        rows = placed
+        if found is None:
+            rows = rows.withColumn("component", F.col("doc_id"))
         else:
-            big = big.withColumn("component", F.col("doc_id"))
+            rows = rows.where(F.col("df") > SMALL_BLOCK)
+            rows = rows.join(small(found.withColumnRenamed("node", "doc_id"), count=self.scratch.rows["components"]), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            spread = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+            rows = rows.join(spread, "token", "left_semi")
+        seated = rows.where(F.col("df") <= TILE).select("doc_id", "n", "component", F.lit(0).alias("side"), F.col("token").alias("block"))
+        if most > TILE:
+            seated = seated.unionByName(self.tiled(rows.where(F.col("df") > TILE)))
+        points = seated.join(sketch.where("n > 0").select("doc_id", "points"), "doc_id")
+        return points.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks(self.percent, self.partners if found is None else None), "a long, b long")
+
+    def tiled(self, big: DataFrame) -> DataFrame:
+        """Seats of blocks over TILE. A block is cut by size class (a document also visits the class below, so sizes
+        within the threshold meet), and a class over TILE documents into pairs of tiles."""
         step = float(np.log(100 / self.percent))
-        cls = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9)
-        big = big.withColumn("class", cls)
+        big = big.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9))
         tiles = big.groupBy("token", "class").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
         near = tiles.select("token", (F.col("class") - 1).alias("class"), F.col("tiles").alias("above"))
         under = tiles.select("token", (F.col("class") + 1).alias("class"), F.col("tiles").alias("below"))
@@ -391,11 +388,9 @@ class JaccardJoin:
         up = F.transform(upto(F.coalesce("above", F.lit(0))), lambda j: seat(F.col("class"), -F.col("tile") - 1, j, 1))
         down = F.transform(upto(F.coalesce("below", F.lit(0))), lambda j: seat(F.col("class") - 1, -j - 1, F.col("tile"), 2))
         seated = sized.withColumn("tile", tile).select("token", "doc_id", "n", "component", F.explode(F.concat(home, up, down)).alias("s"))
-        rows = seated.select("doc_id", "n", "component", F.col("s.side").alias("side"), F.xxhash64("token", "s.class", "s.i", "s.j").alias("block"))
-        rows = rows.join(sketch.where("n > 0").select("doc_id", "points"), "doc_id")
-        return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks(self.percent, self.partners if found is None else None), "a long, b long")
+        return seated.select("doc_id", "n", "component", F.col("s.side").alias("side"), F.xxhash64("token", "s.class", "s.i", "s.j").alias("block"))
 
-    def verified(self, pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, sketch: DataFrame, n_pairs: int) -> DataFrame:
         """Pairs whose whole shingle sets reach the threshold, enough of them to have the same components.
 
         Candidate pairs passed a tight bound, so their own components are small: each text moves once, to its component.
@@ -404,9 +399,10 @@ class JaccardJoin:
         weight = group.join(sketch.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("w"))
         work = pairs.join(group.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.count("*").alias("p"))
         big = (F.col("w") > GROUP_SHINGLES) | (F.col("p") > GROUP_PAIRS)
-        placed = self.scratch.save(group.join(weight, "component").join(work, "component").select("node", F.col("component").alias("group"), big.alias("big")), f"placed-{uuid.uuid4().hex}")
-        picked = self.docs.join(small(placed.withColumnRenamed("node", "doc_id")), "doc_id")
-        keyed = pairs.join(placed.withColumnRenamed("node", "a"), "a")
+        sized = weight.join(work, "component").select("component", big.alias("big"))
+        placed = self.scratch.save(group.join(sized, "component").select("node", F.col("component").alias("group"), "big"), f"placed-{uuid.uuid4().hex}")
+        picked = self.docs.join(small(placed.withColumnRenamed("node", "doc_id"), count=2 * n_pairs), "doc_id")
+        keyed = pairs.join(small(placed.withColumnRenamed("node", "a"), count=2 * n_pairs), "a")
         rows = picked.where("not big").select("group", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
         rows = rows.unionByName(keyed.where("not big").select("group", "a", "b", F.lit(None).cast("string").alias("text")))
         near = rows.repartition("group").sortWithinPartitions("group").mapInArrow(_verify(self.percent), "a long, b long")
