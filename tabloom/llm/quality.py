@@ -105,26 +105,46 @@ def presence(words: list[np.ndarray], buckets: np.ndarray) -> np.ndarray:
     return out
 
 
-def choose_buckets(n0: np.ndarray, n1: np.ndarray, t0: int, t1: int, most: int, least_z: float) -> np.ndarray:
+def choose_buckets(counts: DataFrame, n0: str, n1: str, t0: int, t1: int, most: int, least_z: float) -> np.ndarray:
     """Buckets whose document rates differ most between the classes, by a two-sample test."""
-    p = (n0 + n1) / max(1, t0 + t1)
-    z = (n1 / max(1, t1) - n0 / max(1, t0)) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / max(1, t1) + 1 / max(1, t0)))
-    ok = np.flatnonzero(np.abs(z) >= least_z)
-    return ok[np.lexsort((ok, -np.abs(z[ok])))[:most]]
+    p = (F.col(n0) + F.col(n1)) / max(1, t0 + t1)
+    z = (F.col(n1) / max(1, t1) - F.col(n0) / max(1, t0)) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / max(1, t1) + 1 / max(1, t0)))
+    top = counts.where("bucket >= 0").select("bucket", F.abs(z).alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "bucket").limit(most)
+    return np.array([r["bucket"] for r in top.collect()], np.int64)
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+@dataclass
+class Design:
+    """Rows of a regression, presence of the chosen buckets as bits; only so many are unpacked at a time."""
+
+    bits: np.ndarray
+    width: int
+    shape: np.ndarray
+
+    def blocks(self, rows: int = 1024) -> Iterator[tuple[slice, np.ndarray]]:
+        for at in range(0, len(self.bits), rows):
+            part = slice(at, at + rows)
+            yield part, np.concatenate([np.unpackbits(self.bits[part], axis=1, count=self.width), self.shape[part]], axis=1, dtype=np.float64)
+
+
+def fit(x: Design, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Ridge logistic regression by Newton steps. The bias is for balanced classes: base rates come from the sites."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(z.shape[1])
-    each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    penalty = np.full(z.shape[1], ridge)
+    n = len(y)
+    mean = sum(b.sum(axis=0) for _, b in x.blocks()) / n
+    scale = np.sqrt(sum(np.square(b - mean).sum(axis=0) for _, b in x.blocks()) / n) + 1e-9
+    k = len(mean) + 1
+    w = np.zeros(k)
+    each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * n
+    penalty = np.full(k, ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (each * (y - p)) - penalty * w
-        step = np.linalg.solve((z * (each * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(penalty), g)
+        g, h = -penalty * w, np.diag(penalty)
+        for part, b in x.blocks():
+            z = np.concatenate([(b - mean) / scale, np.ones((len(b), 1))], axis=1)
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            g += z.T @ (each[part] * (y[part] - p))
+            h += (z * (each[part] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z
+        step = np.linalg.solve(h, g)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -137,13 +157,18 @@ def _features(buckets: list[np.ndarray]):
             for batch in batches_of(pa.Table.from_batches([big]), 512):
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
                 words = word_buckets(texts)
-                shape = shapes(texts, words)
-                cols = {f"x{t}": pa.array(list(np.concatenate([presence(words, b), shape], axis=1).astype(np.float32)), pa.list_(pa.float32())) for t, b in enumerate(buckets)}
-                yield pa.RecordBatch.from_pydict({"draw": batch.column("draw"), "good": batch.column("good"), "toxic": batch.column("toxic")} | cols)
+                bits = {f"x{t}": pa.array([r.tobytes() for r in np.packbits(presence(words, b).astype(bool), axis=1)], pa.binary()) for t, b in enumerate(buckets)}
+                shape = pa.array([r.tobytes() for r in shapes(texts, words).astype("<f4")], pa.binary())
+                yield pa.RecordBatch.from_pydict({"draw": batch.column("draw"), "good": batch.column("good"), "toxic": batch.column("toxic")} | bits | {"shape": shape})
 
     return run
 
 
+def _matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(bytearray(data), kind).reshape(len(column), len(data) // np.dtype(kind).itemsize // len(column))
+
+
 class QualityModel:
     def __init__(self, docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, features: int = 200, least_z: float = 5.0, host: str = "source", path: str = "lang"):
         self.host, self.path = host, path
@@ -151,37 +176,31 @@ class QualityModel:
         self.scratch = Scratch(self.spark, "quality")
         marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"), F.max("toxic").cast("int").alias("toxic"))
         marks = self.scratch.save(marks.where("good is not null or toxic is not null"), "labels")
-        self.n_labels = marks.count()
-        self.labelled = docs.select("doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path")).join(small(marks), "doc_id")
+        self.n_labels = self.scratch.rows["labels"]
+        self.labelled = docs.select("doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path")).join(small(marks, count=self.n_labels), "doc_id")
         counts = self.labelled.select("text", "good", "toxic").mapInArrow(_word_counts, "bucket long, n0 long, n1 long, n2 long, n3 long")
-        # At most BUCKETS rows, whatever the input.
-        rows = counts.groupBy("bucket").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)]).toArrow()
-        n = np.zeros((4, BUCKETS), np.int64)
-        total = np.zeros(4, np.int64)
-        bucket = rows.column("bucket").to_numpy()
-        for k in range(4):
-            c = rows.column(f"n{k}").to_numpy()
-            n[k, bucket[bucket >= 0]] = c[bucket >= 0]
-            total[k] = c[bucket < 0].sum()
-        chosen = [choose_buckets(n[2 * t], n[2 * t + 1], int(total[2 * t]), int(total[2 * t + 1]), features, least_z) for t in range(2)]
+        counts = self.scratch.save(counts.groupBy("bucket").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)]), "word-counts")
+        total = (counts.where("bucket < 0").first() or [0] * 5)[1:]
+        chosen = [choose_buckets(counts, f"n{2 * t}", f"n{2 * t + 1}", total[2 * t], total[2 * t + 1], features, least_z) for t in range(2)]
         share = min(1.0, fit_rows / max(1, self.n_labels))
         # About fit_rows rows by hash, and of those the first by the same hash: reruns fit the same rows in the same order.
         draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 40))
         picked = self.labelled.withColumn("draw", draw).where(F.col("draw") < int(share * (1 << 40))).select("draw", "text", "good", "toxic")
-        x = picked.mapInArrow(_features(chosen), "draw long, good int, toxic int, x0 array<float>, x1 array<float>").orderBy("draw").limit(fit_rows).toArrow()
+        x = picked.mapInArrow(_features(chosen), "draw long, good int, toxic int, x0 binary, x1 binary, shape binary").orderBy("draw").limit(fit_rows).toArrow()
         self.evidence: list[Evidence | None] = []
         for t, target in enumerate(TARGETS):
-            d = x.select([target, f"x{t}"]).filter(pc.is_valid(x.column(target))).combine_chunks()
+            d = x.select([target, f"x{t}", "shape"]).filter(pc.is_valid(x.column(target)))
             y = d.column(target).to_numpy().astype(np.float64)
             if len(d) < 10 or y.min() == y.max():
                 self.evidence.append(None)
                 continue
-            rows = d.column(f"x{t}").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(d), -1)
-            w, mean, scale, bias = fit(rows, y)
+            w, mean, scale, bias = fit(Design(_matrix(d.column(f"x{t}"), "u1"), len(chosen[t]), _matrix(d.column("shape"), "<f4")), y)
             self.evidence.append(Evidence(chosen[t], w, mean, scale, bias))
 
     def sites(self) -> DataFrame:
         """host, path and, for each target, the path's posterior rate; hosts without a path row have theirs under path_known = false."""
+        if "sites" in self.scratch.rows:
+            return self.scratch.table("sites")
         s, self.rates = None, {}
         for t in TARGETS:
             y = self.labelled.where(F.col(t).isNotNull())
@@ -193,7 +212,7 @@ class QualityModel:
             # Spread of the hosts' rates about the global one, by moments; its strength in pseudo-counts.
             k1 = _strength(n, float(a["h"] or 0), float(a["nn"] or 0), float(a["ss"] or 0) - 2 * rate * float(a["s"] or 0) + rate * rate * n, rate)
             hosts = self.scratch.save(hosts.withColumn("hp", (F.col("s") + k1 * rate) / (F.col("n") + k1)).select("host", "hp"), f"hosts-{t}")
-            both = paths.join(small(hosts.withColumnRenamed("host", "h")), F.col("host").eqNullSafe(F.col("h"))).drop("h")
+            both = paths.join(small(hosts.withColumnRenamed("host", "h"), count=self.scratch.rows[f"hosts-{t}"]), F.col("host").eqNullSafe(F.col("h"))).drop("h")
             b = both.agg(F.count("*").alias("h"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("hp"), 2)).alias("q")).first()
             k2 = _strength(n, float(b["h"] or 0), float(b["nn"] or 0), float(b["q"] or 0), rate)
             level2 = both.select("host", "path", ((F.col("s") + k2 * F.col("hp")) / (F.col("n") + k2)).alias(f"path_{t}"), F.col("hp").alias(f"host_{t}"))
@@ -209,12 +228,16 @@ class QualityModel:
         hosts = self.scratch.save(sites.groupBy("host").agg(*[F.max(f"host_{t}").alias(f"h_{t}") for t in TARGETS]), "host-rates")
         sites = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), *[f"path_{t}" for t in TARGETS])
         hosts = hosts.withColumnRenamed("host", "_g")
-        d = scored.join(small(sites), F.col(self.host).eqNullSafe(F.col("_h")) & F.col(self.path).eqNullSafe(F.col("_p")), "left").join(small(hosts), F.col(self.host).eqNullSafe(F.col("_g")), "left")
+        # The input's columns travel in a struct, so none of them can clash with the names used here.
+        d = scored.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("_row"), F.col(self.host).alias("_host"), F.col(self.path).alias("_path"), *[f"evidence_{t}" for t in TARGETS])
+        d = d.join(small(sites, count=self.scratch.rows["sites"]), F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")), "left")
+        d = d.join(small(hosts, count=self.scratch.rows["host-rates"]), F.col("_host").eqNullSafe(F.col("_g")), "left")
         for t in TARGETS:
             prior = F.coalesce(F.col(f"path_{t}"), F.col(f"h_{t}"), F.lit(self.rates[t]))
             d = d.withColumn(f"p_{t}", 1 / (1 + F.exp(-(F.log(prior / (1 - prior)) + F.col(f"evidence_{t}")))))
         d = d.withColumn("kept", (F.col("p_good") >= least_good) & (F.col("p_toxic") < most_toxic))
-        return d.select(*[f"`{c}`" for c in base.columns], *own)
+        self.scratch.keep("labels", "sites", "host-rates")
+        return d.select("_row.*", *own)
 
 
 def _schema(df: DataFrame):
