@@ -98,27 +98,29 @@ def text_size(text: str = "text") -> Column:
 def assign_shards(docs: DataFrame, tree: ShardTree, key: str = "doc_id", size: Column | None = None) -> DataFrame:
     """docs with region, rack, shard, size (by default text_size) and slot (0, 1, ... within the shard).
 
-    Slots follow (hash of key, key) and are numbered in groups of a bounded size: each shard is cut by the hash of the
-    key, groups are numbered in tasks of their own, and the group totals (a small table) give the offsets.
+    Slots are numbered in groups of a bounded size: each shard is cut by a hash of the whole row, so rows that share a key but
+    not a text are spread, and the group totals (a small table) give the offsets. Rows that are equal in all columns are
+    interchangeable.
     """
     region, rack, shard = descend(F.col(key), tree)
     own = ["region", "rack", "shard", "size", "slot"]
     size = text_size() if size is None else size
     n = docs.count()
     groups = max(1, -(-n // SLOT_GROUP_ROWS))
-    salted = (
-        docs.select(*columns_without(docs, own), region.alias("region"), rack.alias("rack"), shard.alias("shard"), size.alias("size"))
-        .withColumn("_part", F.pmod(F.xxhash64(F.col(key), F.col("size"), F.lit("slot")), F.lit(groups)).cast("int"))
-    )
+    kept = columns_without(docs, own)
+    # The input's columns travel in a struct, so none of them can clash with the names used here.
+    salted = docs.select(
+        F.struct(*kept).alias("_row"), F.col(key).alias("_key"), F.xxhash64(F.lit("slot"), *[F.col(f"`{c}`") for c in docs.columns]).alias("_hash"),
+        region.alias("region"), rack.alias("rack"), shard.alias("shard"), size.alias("size"),
+    ).withColumn("_part", F.pmod(F.col("_hash"), F.lit(groups)).cast("int"))
     totals = salted.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
     before = W.partitionBy("shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    order = W.partitionBy("shard", "_part").orderBy(F.col(key), F.col("size"))
+    order = W.partitionBy("shard", "_part").orderBy("_key", "size", "_hash")
     return (
         salted.withColumn("_rank", F.row_number().over(order))
         .join(offsets, ["shard", "_part"])
-        .withColumn("slot", (F.col("_from") + F.col("_rank") - 1).cast("long"))
-        .drop("_part", "_from", "_rank")
+        .select("_row.*", "region", "rack", "shard", "size", (F.col("_from") + F.col("_rank") - 1).cast("long").alias("slot"))
     )
 
 

@@ -351,7 +351,9 @@ class SuffixDedup:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept, the remaining bytes) of each row."""
         ranges = self.repeated_ranges().groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
         spans = ranges.mapInArrow(_merge(self.length), "doc_id long, h long, spans array<struct<start: long, end: long>>")
-        spans = self.scratch.save(spans, "spans").withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
+        spans = self.scratch.save(spans, "spans")
+        self.scratch.keep("spans")
+        spans = spans.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
         joined = self.docs.join(small_lists(spans, "spans"), self.docs["doc_id"].eqNullSafe(F.col("d")) & (self.docs["h"] == F.col("g")), "left").select("doc_id", "text", "spans")
         schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
         return joined.mapInArrow(_cut(keep_bytes), schema + ", kept binary" * keep_bytes)
