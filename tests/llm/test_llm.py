@@ -101,7 +101,7 @@ def no_broadcast(monkeypatch):
     for module in (common, suffix_dedup, decontamination, jaccard_join, quality, cover_tree):
         for name in ("small", "small_lists"):
             if hasattr(module, name):
-                monkeypatch.setattr(module, name, lambda df, *a: df)
+                monkeypatch.setattr(module, name, lambda df, *a, **k: df)
 
 
 def test_large_tables_are_joined_by_shuffle(spark, rows, docs, no_broadcast):
@@ -240,6 +240,33 @@ def test_secrets(spark):
     assert secrets.scan_secrets(df.where("false")).count() == 0
 
 
+def random_tokens(r, n):
+    names = [a for name, a in secrets.ENCODINGS if name not in ("decimal", "hex", "hex_upper")]
+    return ["".join(r.choice(list(names[i % len(names)]), int(r.choice([32, 40, 48, 64])))) for i in range(n)]
+
+
+def test_false_discoveries_are_controlled(spark):
+    r = np.random.default_rng(12)
+    keys = random_tokens(r, 240)
+    english = "report general winter market system people garden letter document language version update house river mountain school teacher music number between".split()
+    slugs = []
+    for _ in range(240):
+        w = [str(x).capitalize() if r.random() < 0.5 else str(x) for x in r.choice(english, 6)]
+        slugs.append(("".join(x + str(r.integers(0, 999)) * (r.random() < 0.5) for x in w) + "7")[: int(r.choice([32, 40, 48, 64]))])
+    say = lambda: " ".join(r.choice(english, 40))
+    rows = [(i, f"{say()} {t} {say()}") for i, t in enumerate(keys + slugs)]
+    got = {x["doc_id"]: x["random"] for x in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    judged = [i for i, (_, t) in enumerate(rows[:240]) if secrets.candidates(t, secrets.base_spans(t))]
+    found, wrong = sum(bool(got[i]) for i in judged), sum(bool(got[i]) for i in range(240, 480))
+    assert len(judged) > 200 and found >= 0.55 * len(judged) and wrong <= 0.05 * (found + wrong)
+    # Long keys and those of large alphabets are nearly all told apart.
+    sure = [i for i in judged if len(keys[i]) >= 64 or (len(keys[i]) >= 40 and set(keys[i]) & set("abcdef") and set(keys[i]) & set("ABCDEF"))]
+    assert len(sure) > 80 and sum(bool(got[i]) for i in sure) >= 0.9 * len(sure)
+    # A table of ordinary tokens alone gives next to none.
+    alone = secrets.scan_secrets(spark.createDataFrame(rows[240:], "doc_id long, text string")).where("size(random) > 0").count()
+    assert alone <= 0.05 * 240
+
+
 def test_randomness_battery():
     r = np.random.default_rng(1)
     p = [secrets.randomness_p(r.integers(0, 64, 40).tolist(), 64) for _ in range(400)]
@@ -353,7 +380,7 @@ def test_all_accepted_alignments_are_nominated(spark, monkeypatch):
     corpus = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
     got = lambda: {(r["doc_id"], r["item_id"]): (r["matched"], r["start"]) for r in decontamination.Decontaminator(corpus, bench).overlaps().collect()}
     assert got() == want
-    monkeypatch.setattr(decontamination, "small", lambda df, *a: df)
+    monkeypatch.setattr(decontamination, "small", lambda df, *a, **k: df)
     assert got() == want
     monkeypatch.setattr(decontamination, "MOST_MASKS", 3)
     assert got() == want
@@ -390,6 +417,107 @@ def test_cover_tree(spark, monkeypatch):
     assert cover_tree.NearVectors(df.where("false")).run().count() == 0
 
 
+def test_cover_tree_of_parallel_vectors_ends(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "CELL", 40)
+    monkeypatch.setattr(cover_tree, "LEAF", 4)
+    r = np.random.default_rng(4)
+    x = [[float(k), 0.0, 0.0] for k in range(1, 151)] + [[1.0, float(v), 0.0] for v in np.linspace(0.15, 0.26, 60)] + [list(map(float, v)) for v in r.normal(size=(60, 3))]
+    label = [1] * len(x)
+    pairs = brute_links(x, label)
+    comp, links = union_find(range(len(x)), pairs), Counter(k for p in pairs for k in p)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    want = sorted((i, links[i], comp[i], comp[i] == i) for i in range(len(x)))
+    assert sorted(map(tuple, cover_tree.NearVectors(df).run().collect())) == want
+    monkeypatch.setattr(cover_tree, "BROADCAST_ELEMENTS", 0)
+    assert sorted(map(tuple, cover_tree.NearVectors(df).run().collect())) == want
+
+
+def test_clashing_columns_pass(spark, docs, rows):
+    """Columns with the names that operators use inside, in either case."""
+    names = ("_part", "_rank", "_row", "_key", "_HASH", "_h", "_p", "_g", "_host", "_path", "path_good", "h_good", "_id", "_source", "_times", "_copy", "h", "n", "k1", "token", "w", "at", "text_hash", "item_key", "taken", "pos")
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"kept {c}").alias(c) for c in names])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, rows[6][1][:300])], "item_id long, text string")
+    kept = lambda df: all(set(r[c] for r in df.select(c).distinct().collect()) == {f"kept {c}"} for c in names)
+    assert kept(sharding.assign_shards(odd, sharding.ShardTree.regular(8)))
+    assert kept(quality.QualityModel(odd, labels).score(odd))
+    for found, plain in (
+        (secrets.scan_secrets(odd), secrets.scan_secrets(docs)), (licenses.scan_licenses(odd), licenses.scan_licenses(docs)), (decontamination.Decontaminator(odd, bench).overlaps(), decontamination.Decontaminator(docs, bench).overlaps()),
+        (jaccard_join.JaccardJoin(odd).run(), jaccard_join.JaccardJoin(docs).run()), (suffix_dedup.SuffixDedup(odd).run(), suffix_dedup.SuffixDedup(docs).run()), (mixing.mix_sources(odd).taken, mixing.mix_sources(docs).taken),
+    ):
+        assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_odd_rows_of_scans(spark):
+    """Null doc_ids, repeated rows and a long text."""
+    long = " ".join(prose(500, s) for s in range(60)) + " password = hunter2hunter2 licensed under the MIT License " + prose(400, 99)
+    df = spark.createDataFrame([(None, long), (None, long), (None, None), (1, long), (1, long), (2, "")], "doc_id long, text string")
+    for got, check in ((secrets.scan_secrets(df), lambda r: r["n_assign"]), (licenses.scan_licenses(df), lambda r: "mit" in r["labels"])):
+        rows = sorted(((r["doc_id"] is None, r["doc_id"] or 0, bool(check(r))) for r in got.collect()))
+        assert rows == [(False, 1, True), (False, 1, True), (False, 2, False), (True, 0, False), (True, 0, True), (True, 0, True)]
+
+
+def test_quality_posteriors_by_hand(spark):
+    """Rows of the query's operator from its evidence: counts of sites, moments and odds computed again in plain Python."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = quality.QualityModel(docs, labels).score(docs).select("doc_id", "source", "lang", *[f"{a}_{t}" for t in quality.TARGETS for a in ("evidence", "p")], "kept").collect()
+    marks = {r["doc_id"]: (r["quality"], r["toxic"]) for r in labels.collect()}
+    for k, target in enumerate(quality.TARGETS):
+        site, host = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+        for r in out:
+            y = marks.get(r["doc_id"], (None, None))[k]
+            if y is not None:
+                for d, key in ((site, (r["source"], r["lang"])), (host, r["source"])):
+                    d[key][0] += 1
+                    d[key][1] += y
+        n, s = sum(v[0] for v in host.values()), sum(v[1] for v in host.values())
+        rate = (s + 0.5) / (n + 1)
+
+        def strength(groups, means):
+            if len(groups) < 2:
+                return 10.0
+            spread = sum(m * (g / m - means[key]) ** 2 for key, (m, g) in groups.items())
+            between = (spread - (len(groups) - 1) * rate * (1 - rate)) / max(1e-9, n - sum(m * m for m, _ in groups.values()) / n)
+            return min(max(rate * (1 - rate) / max(between, 1e-6) - 1, 1.0), 1e5)
+
+        a = strength(host, defaultdict(lambda: rate))
+        hosts = {key: (g + a * rate) / (m + a) for key, (m, g) in host.items()}
+        b = strength(site, {key: hosts[key[0]] for key in site})
+        sites = {key: (g + b * hosts[key[0]]) / (m + b) for key, (m, g) in site.items()}
+        for r in out:
+            prior = sites.get((r["source"], r["lang"]), hosts.get(r["source"], rate))
+            assert r[f"p_{target}"] == pytest.approx(1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + r[f"evidence_{target}"]))), rel=1e-6, abs=1e-12)
+    assert all(r["kept"] == (r["p_good"] >= 0.5 and r["p_toxic"] < 0.5) for r in out)
+
+
+def test_shard_query_by_hand(spark):
+    """All rows of op2: sizes, checksums, draws and the grown shard computed again from the row hashes alone."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = sharding.op2_shard_tree(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(docs)
+    tree = {n: [(f"g{i // 4}", f"g{i // 4}/r{i // 2}", f"g{i // 4}/r{i // 2}/{i}") for i in range(8)] + [(f"x{i}", f"x{i}/x{i}r", f"x{i}/x{i}r/{i}") for i in range(8, n)] for n in (8, 9)}
+    names = sorted({x for n in tree for leaf in tree[n] for x in leaf})
+    drawn = spark.createDataFrame([(i,) for i in docs], "doc_id long").select("doc_id", *[F.xxhash64("doc_id", F.lit(x)).alias(x.replace("/", "|")) for x in names])
+    bits = {r["doc_id"]: {x: (r[x.replace("/", "|")] % 2**64) >> 11 for x in names} for r in drawn.collect()}
+
+    def place(doc, n):
+        node = ""
+        for level in range(3):
+            weight = Counter(leaf[level] for leaf in tree[n] if level == 0 or leaf[level - 1] == node)
+            node = min((-np.log((bits[doc][c] + 0.5) / 2**53) / w, c) for c, w in weight.items())[1]
+        return int(node.rsplit("/", 1)[1])
+
+    for r in out:
+        data = (docs[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(data) + 1, zlib.crc32(data), "key")
+        assert (r["shard"], r["grown_shard"]) == (place(r["doc_id"], 8), place(r["doc_id"], 9)) and r["grown_shard"] in (r["shard"], 8)
+    for shard in range(8):
+        slots = sorted(r["slot"] for r in out if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
 def test_quality_held_out(spark, empty):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
