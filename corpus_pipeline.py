@@ -1,13 +1,21 @@
 """A corpus pipeline of five operators of tabloom.llm.
 
-Each stage works on all rows that the one before it kept, is written as Parquet, and is read again. Rows with one doc_id
-are one document to the near-duplicate stage: one of them stays. A null doc_id is never a near duplicate.
+Each stage works on all rows that the one before it kept, is written as Parquet, and is read again. Columns beyond those of
+documents pass through all stages, whatever their names; an empty table gives an empty result of each. What the stages do
+with odd rows:
+
+quality: a null or blank text has no features and is kept or not by its site alone; a null source or language is a site of
+its own; each repeated row is judged on its own, and alike; long texts are read whole.
+near_duplicates: null and blank texts are never near duplicates, and neither is a row with a null doc_id: they stay. Rows
+with one doc_id are one document, of which one row stays. Of equal texts the one with the smallest doc_id stays.
+decontamination: null and blank texts hold no item and stay; all rows of a doc_id of which a text holds an item go.
+mixing: null and blank texts have no words to take and go; a null source is a source of its own; repeated rows are taken as
+often as they occur, on average; a document leaves when the mix takes less than half of its words.
+sharding: null doc_ids share one shard; repeated rows share a shard and get slots of their own; a null text has size 1.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = scratch.save(JaccardJoin(docs).run(), "found")
     keep = scratch.save(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
     once, more = keep.where("n = 1").select("doc_id"), keep.where("n > 1").select("doc_id")
-    out = docs.join(small(once), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    out = docs.join(small(once, count=scratch.rows["keep"]), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     if more.limit(1).count():
         out = out.unionByName(docs.join(small(more), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out.select(docs.columns)
@@ -41,18 +49,20 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold no benchmark item."""
     found = Decontaminator(docs, table(spark, sf_dir, "benchmark")).overlaps()
     ids = Scratch(spark, "stage").save(found.select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(docs.columns)
+    ids = small(ids)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole number."""
     taken = mix_sources(docs).taken
     times = taken.where("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_times"))
-    times = Scratch(spark, "stage").save(times.where("_times > 0"), f"times-{uuid.uuid4().hex}")
-    chosen = docs.join(small(times), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    # Blank documents have no words to take; they share their doc_id's row at most by repetition, and stay out.
-    chosen = chosen.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    times = small(Scratch(spark, "stage").save(times.where("_times > 0"), "times"))
+    # The documents travel in a struct, so that no column of theirs can clash with the names used here. Blank ones have no
+    # words to take; they share their doc_id's row at most by repetition, and stay out.
+    rows = docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    chosen = rows.join(times, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_source")))
+    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
