@@ -130,3 +130,24 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norm)))
+
+
+def structural_fingerprint(codes: Column, texts: Column, paragraphs: Column, table_paragraphs: Column, blue: Column, red: Column) -> Column:
+    """Struct for structural_similarity from what a scan of a template found: merge-field codes, texts of its spans (whose
+    square brackets count), numbers of paragraphs, of those in tables, and of coloured spans."""
+    brackets = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(r"\[([^\[\]]+)\]"), F.lit(1))))
+    return F.struct(
+        F.array_distinct(codes).alias("codes"), F.array_distinct(F.transform(brackets, lambda b: F.lower(F.trim(b)))).alias("brackets"), count_band(paragraphs).alias("paragraph_band"),
+        table_paragraphs.alias("table_paragraphs"), blue.alias("blue_spans"), red.alias("red_spans"),
+    )
+
+
+def similar_pairs(items, key: str, shape: str, least: float):
+    """Pairs of templates (a < b) whose structures are similar: over 0.55 they share a code or a bracket, so they meet by
+    those and not all with all."""
+    if least <= 0.55:
+        raise ValueError("pairs that share neither a code nor a bracket reach 0.55")
+    tokens = lambda s: F.concat(F.transform(s["codes"], lambda c: F.concat(F.lit("c|"), c)), F.transform(s["brackets"], lambda b: F.concat(F.lit("b|"), b)))
+    side = lambda k: items.select(F.col(key).alias(k), F.col(shape).alias(f"s{k}"), F.explode(tokens(F.col(shape))).alias("t"))
+    pairs = side("a").join(side("b"), "t").where("a < b").dropDuplicates(["a", "b"])
+    return pairs.select("a", "b", structural_similarity(F.col("sa"), F.col("sb")).alias("score")).where(F.col("score") >= least)

@@ -120,8 +120,11 @@ def capped_names(names: Column, limit: int = 6) -> Column:
 
 
 def canonical_model(c: Column) -> Column:
-    """A model's name without vendor prefix and date suffix."""
-    return F.regexp_replace(F.element_at(F.split(F.lower(F.trim(c)), "/"), -1), r"-(\d{8}|\d{4}-\d{2}-\d{2})$", "")
+    """A model's name without vendor prefix and date suffix: a last part of eight digits, or last parts of four, two and two."""
+    parts = F.split(F.element_at(F.split(F.lower(F.trim(c)), "/"), -1), "-")
+    sizes = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.length(p).cast("string")).otherwise("x")), ",")
+    dated = F.when(sizes.rlike(",4,2,2$"), 3).when(sizes.rlike(",8$"), 1).otherwise(0)
+    return F.array_join(F.slice(parts, F.lit(1), F.size(parts) - dated), "-")
 
 
 def doubled_words(c: Column) -> Column:
@@ -156,11 +159,11 @@ def citations(c: Column) -> Column:
 
 
 def data_needed(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit(r"\[DATA NEEDED:\s*([^\]]*)\]"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(c, F.lit(r"\[DATA NEEDED:\s*([^\]]*)\]"), F.lit(1)), lambda x: F.trim(x))
 
 
 def table_markers(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit(r"\[TABLE:\s*([^\]]*)\]"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(c, F.lit(r"\[TABLE:\s*([^\]]*)\]"), F.lit(1)), lambda x: F.trim(x))
 
 
 def field_value(text: Column, field: str) -> Column:
@@ -184,7 +187,7 @@ def record_text(columns: list[str]) -> Column:
 
 def split_cell(c: Column) -> Column:
     """Parts of a list cell, parted by ; , | or /."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[;,|/]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[;,|/]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def numbers_in(c: Column) -> Column:
@@ -199,7 +202,7 @@ def normalise_number(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences, kept whole over abbreviations, page marks and decimals."""
-    return F.filter(F.transform(F.split(c, r"(?<!\b(?:e\.g|i\.e|etc|vs|Dr|Mr|Ms|No|Fig|cf|al|approx|p|pp)\.)(?<=[.!?])\s+(?=[A-Z\[(\"'])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"(?<!\b(?:e\.g|i\.e|etc|vs|Dr|Mr|Ms|No|Fig|cf|al|approx|p|pp)\.)(?<=[.!?])\s+(?=[A-Z\[(\"'])"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def width_estimate(c: Column, font_half_points: int = 22) -> Column:
@@ -268,3 +271,20 @@ def korean_particles(s: pd.Series) -> pd.Series:
         return m[1] + pairs[m[2]][0 if final and not (m[2] == "으로(로)" and final == 8) else 1]
 
     return s.map(lambda t: shape.sub(pick, t) if isinstance(t, str) else t)
+
+
+def shared_terms(a: Column, b: Column) -> Column:
+    """Terms of both lists, whatever their case, in the order of the first."""
+    fold = lambda x: F.transform(F.coalesce(x, F.array().cast("array<string>")), normalise_label)
+    return F.array_intersect(fold(a), fold(b))
+
+
+def lacking_terms(wanted: Column, have: Column) -> Column:
+    """Terms of the first list that the second lacks, whatever their case."""
+    fold = lambda x: F.transform(F.coalesce(x, F.array().cast("array<string>")), normalise_label)
+    return F.array_except(fold(wanted), fold(have))
+
+
+def in_order(values: Column) -> Column:
+    """Different values in the order of their first occurrence, blanks left out."""
+    return F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (F.trim(v) != "")))
