@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.joins import stored
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) with the smallest reachable node. Labels spread along edges and jump to their label's label; each
-    round is checkpointed where the session has a checkpoint folder, and the end is when none changes."""
+    round is stored in the shared folder, which cuts the lineage, and the end is when none changes."""
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    e = stored(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = e.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node"))
-    folder = edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     last = None
-    for _ in range(rounds):
+    while True:
         near = e.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("m"))
         low = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = low.select(F.col("node").alias("j"), F.col("component").alias("far"))
         labels = low.join(jump, F.col("component") == F.col("j"), "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component"))
-        labels = labels.checkpoint() if folder else labels.cache()
+        labels = stored(labels, "labels")
         mark = labels.agg(F.bit_xor(F.xxhash64("node", "component"))).first()[0]
         if mark == last:
-            break
+            return labels
         last = mark
-    return labels
 
 
 def medoids(similar: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -232,3 +232,14 @@ def approval_sentence(expression: str, on_true: str = "keep", on_false: str = "r
 def run_test_cases(cases: DataFrame, expression: str, fields: list[str], expected: str = "expected") -> DataFrame:
     """Cases with the actual verdict and whether it is the expected one."""
     return cases.withColumn("actual", verdict(expression, fields)).withColumn("passed", F.col("actual") == F.col(expected))
+
+
+#: Fixed value: name of the language, part of what is hashed.
+LANGUAGE = "tabloom-conditions-1"
+
+
+def expression_hash(expression: str) -> str:
+    """sha256 of the language's name and the canonical text: two spellings of one rule have one hash."""
+    import hashlib
+
+    return hashlib.sha256(f"{LANGUAGE}\n{unparse(expression)}".encode()).hexdigest()

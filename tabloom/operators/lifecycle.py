@@ -14,6 +14,11 @@ def cutoff(days: int, now) -> Column:
     return F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {int(days)} days")
 
 
+def before(moment: Column, days: int) -> Column:
+    """The cutoff of a retention of so many days, seen from a moment."""
+    return moment - F.expr(f"interval {int(days)} days")
+
+
 def sweep(parents: DataFrame, children: dict[str, tuple[DataFrame, str]], key: str, expired: Column) -> dict[str, DataFrame]:
     """Tables without the expired parents and the rows that hang on them."""
     gone = parents.where(expired).select(F.col(key).alias("_gone")).distinct()

@@ -138,3 +138,9 @@ def project_flags(projects: DataFrame, parts: dict[str, DataFrame], key: str = "
     for name, df in parts.items():
         out = out.join(df.select(key).distinct().withColumn(f"has_{name}", F.lit(True)), key, "left").withColumn(f"has_{name}", F.coalesce(f"has_{name}", F.lit(False)))
     return out
+
+
+def timings(calls: DataFrame, operation: str, seconds: str) -> DataFrame:
+    """Calls and times of each operation, nearest-rank percentiles as everywhere."""
+    pct = lambda q: F.expr(f"percentile_disc({q}) within group (order by {seconds})")
+    return calls.groupBy(operation).agg(F.count("*").alias("calls"), F.avg(seconds).alias("mean"), pct(0.5).alias("p50"), pct(0.95).alias("p95"), F.max(seconds).alias("slowest"))

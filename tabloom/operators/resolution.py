@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import scores
 from tabloom.functions.text import normalise_label, null_if_missing_word, slug
 from tabloom.operators import conditions, formulas
+from tabloom.operators.joins import small
 
 
 @dataclass
@@ -105,10 +106,10 @@ def suggest(targets: DataFrame, columns: DataFrame, memory: DataFrame | None = N
     type as evidence; score, band, vetoes. Both sides describe schemas, so they are small and one side is broadcast."""
     from tabloom.functions.text import fuzzy_ratio
 
-    p = targets.join(F.broadcast(columns), F.lit(True))
+    p = targets.join(small(columns, 100_000), F.lit(True))
     p = p.withColumn("exact", slug(F.col("target")) == slug(F.col("column"))).withColumn("similarity", fuzzy_ratio(slug(F.col("target")), slug(F.col("column"))))
     if memory is not None:
-        p = p.join(F.broadcast(memory.select("target", "column", "approvals")), ["target", "column"], "left")
+        p = p.join(small(memory.select("target", "column", "approvals")), ["target", "column"], "left")
     else:
         p = p.withColumn("approvals", F.lit(0))
     sig = lambda s, w: F.struct(s.cast("double").alias("s"), F.lit(w).alias("w"))
@@ -151,3 +152,98 @@ def mapping_memory(log: DataFrame) -> DataFrame:
 
 def reviewer_decision(suggested: Column, final: Column) -> Column:
     return F.when(final.isNull(), "rejected").when(suggested.eqNullSafe(final), "accepted").otherwise("edited")
+
+
+#: Header words of the fields of a listing, the first that fits.
+LISTING_FIELDS = (
+    ("worldwide_case_id", ("worldwide case id", "case id", "case number", "safety report id")), ("initial_receipt_date", ("initial receipt", "date received", "receipt date")), ("country", ("country",)),
+    ("patient_age", ("age",)), ("patient_sex", ("sex", "gender")), ("verbatim_term", ("verbatim", "reported term", "event term")), ("preferred_term", ("preferred term", "pt")), ("onset_date", ("onset",)),
+    ("seriousness", ("serious",)), ("outcome", ("outcome",)), ("causality", ("causality", "relatedness")),
+)
+
+
+def header_fields(headers: list[str]) -> list[tuple[str, str | None, float]]:
+    """(header, field, confidence) of a listing's headers: 1.0 for a header that is a field's word, 0.7 for one that holds it;
+    each field once, in the order of the headers."""
+    fold = lambda t: "".join(c for c in t.lower() if c.isalnum())
+    left, out = dict(LISTING_FIELDS), []
+    for h in headers:
+        f = fold(h)
+        hits = [(name, 1.0 if fold(w) == f else 0.7) for name, words in left.items() for w in words if f and fold(w) in f]
+        name, score = hits[0] if hits else (None, 0.0)
+        left.pop(name, None)
+        out.append((h, name, score))
+    return out
+
+
+def mapping_faults(mapping: dict[str, str], required: tuple[str, ...] = ("worldwide_case_id",), known: tuple[str, ...] = tuple(n for n, _ in LISTING_FIELDS)) -> list[tuple[str, str]]:
+    """(fault, field) of a mapping header -> field: required ones missing, unknown ones, and fields mapped twice."""
+    fields = list(mapping.values())
+    return [("missing", f) for f in required if f not in fields] + [("unknown", f) for f in sorted(set(fields) - set(known))] + [("duplicate", f) for f in sorted({f for f in fields if fields.count(f) > 1})]
+
+
+#: Weights of a remembered mapping's similarity and approvals, what a rejection costs, the least similarity.
+SIMILARITY, APPROVALS, REJECTION, LEAST_SIMILARITY = 0.6, 0.4, 0.25, 0.25
+
+
+def memory_lookup(entries: DataFrame, org: str, k: int = 5, org_col: str = "org_id") -> DataFrame:
+    """The k best remembered mappings of one tenant for each target: entries have similarity (of the contexts), approvals and
+    rejections. Entries rejected as often as approved, or of another context, are no suggestion. Ties by net approvals and name."""
+    from tabloom.operators.usage import tenant_scope
+
+    e = tenant_scope(entries, org, org_col).withColumn("net", F.col("approvals") - F.col("rejections"))
+    e = e.where((F.col("net") > 0) & (F.col("similarity") >= LEAST_SIMILARITY))
+    score = SIMILARITY * F.col("similarity") + APPROVALS * scores.saturating(F.col("net")) - REJECTION * F.col("rejections")
+    order = W.partitionBy("target").orderBy(F.desc("score"), F.desc("net"), "column")
+    return e.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.bround("score", 4))
+
+
+def bindable_targets(manifest: dict) -> list[tuple[str, str]]:
+    """(name, origin) of all that has to be bound: fields, then inputs of conditions, then inputs of computed fields."""
+    out: dict[str, str] = {}
+    for f in manifest.get("fields", []):
+        out[f["id"]] = "formula" if f.get("kind") == "computed" else "field"
+    for c in manifest.get("conditions", []):
+        for name in conditions.inputs(c["expression"]):
+            out.setdefault(name, "condition")
+    for f in manifest.get("fields", []):
+        for name in f.get("inputs") or ([] if f.get("kind") != "computed" or "expression" not in f else formulas.identifiers(f["expression"])):
+            out.setdefault(name, "formula")
+    return list(out.items())
+
+
+#: Confidence of the tiers of suggestion, the surest first.
+TIERS = (("mergefield", 1.0), ("dictionary", 0.95), ("name", 0.9))
+
+
+def tiered(targets: DataFrame, columns: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The surest tier of each target: a column named like its merge field, one that the dictionary (target, column) names, or one
+    of the same slug. target, column, tier, confidence; targets that no tier knows are left to similarity."""
+    c = small(columns.select("column", slug(F.col("column")).alias("_s")), 100_000)
+    t = targets.select("target", "mergefield")
+    code = t.join(c, slug(F.col("mergefield")) == F.col("_s")).select("target", "column", F.lit(0).alias("_t"))
+    known = t.join(small(dictionary.select("target", slug(F.col("column")).alias("_d"))), "target").join(c, F.col("_d") == F.col("_s")).select("target", "column", F.lit(1).alias("_t"))
+    same = t.join(c, slug(F.col("target")) == F.col("_s")).select("target", "column", F.lit(2).alias("_t"))
+    best = code.unionByName(known).unionByName(same).groupBy("target").agg(F.min(F.struct("_t", "column")).alias("b"))
+    tier = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("s")) for n, s in TIERS])
+    return best.select("target", F.col("b.column").alias("column"), F.get(tier, F.col("b._t"))["n"].alias("tier"), F.get(tier, F.col("b._t"))["s"].alias("confidence"))
+
+
+def material_vetoes(signals: Column, material: Column, type_match: Column, least: int = 2) -> Column:
+    """Vetoes of one candidate from array<struct<name, s>>: a type that does not fit, a material field with fewer than `least`
+    supporting signals, and no precedent or family behind it."""
+    support = F.filter(signals, lambda x: x["s"] > 0)
+    precedent = F.exists(support, lambda x: x["name"].isin("historical_approvals", "family_inheritance"))
+    return F.array_compact(F.array(F.when(type_match == "MISMATCH", "type_mismatch"), F.when(F.coalesce(material, F.lit(False)) & (F.size(support) < least), "thin_evidence"), F.when(~precedent, "no_precedent")))
+
+
+def resolve_hooked(records: DataFrame, units: list, narrative=None) -> DataFrame:
+    """resolve, then human and narrative units filled by a hook (a function of a record's columns to a column) where one is
+    given. Without a hook such units stay null and need a person."""
+    out = resolve(records, units)
+    if narrative is None:
+        return out
+    for u in units:
+        if u.kind == "human":
+            out = out.withColumn(u.id, F.coalesce(F.col(u.id), narrative(u.id)))
+    return out

@@ -5,7 +5,11 @@ is scored by joins on terms."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from tabloom.functions.scores import cosine
 from tabloom.functions.text import rank_tokens
+from tabloom.operators.joins import small, stored
 
 #: Weights of fusion.
 LEXICAL, VECTOR, AGREEMENT, RANGE_BOOST = 0.45, 0.55, 0.10, 0.15
@@ -25,14 +30,14 @@ def tfidf_scores(docs: DataFrame, query: str, ident: str, text: str) -> DataFram
     n = docs.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
     df = terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k")
     idf = df.select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    w = terms.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     q = spark.range(1).select(F.explode(rank_tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
     # The query is a given text; its terms are few whatever the corpus.
-    qw = F.broadcast(q.join(idf, "term").select("term", (F.col("qtf") * F.col("idf")).alias("qw")))
-    norms = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    qn = qw.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn")).withColumn("_k", F.lit(1))
-    dots = w.join(qw, "term").groupBy("id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dots.join(norms, "id").withColumn("_k", F.lit(1)).join(F.broadcast(qn), "_k").select("id", (F.col("dot") / (F.col("norm") * F.col("qn"))).alias("score"))
+    weights = stored(idf.join(F.broadcast(q), "term", "left").select("term", "idf", (F.col("qtf") * F.col("idf")).alias("qw")), "idf")
+    qn = weights.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn")).withColumn("_k", F.lit(1))
+    # Norm and dot product come from one aggregation over the terms of each document.
+    w = terms.join(small(weights), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    sums = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return sums.where("dot is not null").withColumn("_k", F.lit(1)).join(F.broadcast(qn), "_k").select("id", (F.col("dot") / (F.col("norm") * F.col("qn"))).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, score: str = "score", ident: str = "id") -> DataFrame:
@@ -47,12 +52,59 @@ def cosine_top_k(vectors: DataFrame, query: list[float], k: int, ident: str, vec
 
 
 def cosine_top_k_each(queries: DataFrame, vectors: DataFrame, k: int, ident: str, vector: str) -> DataFrame:
-    """The k nearest of several stated queries, itself left out."""
-    q = queries.select(F.col(ident).alias("q"), F.col(vector).alias("qv"))
-    s = vectors.join(F.broadcast(q), F.col(ident) != F.col("q")).select("q", F.col(ident).alias("id"), cosine(F.col(vector), F.col("qv")).alias("score"))
+    """The k nearest of each stated query, itself left out.
+
+    Queries go out in blocks of a bounded size; a task keeps the best k of each query over its vectors as it reads them, so
+    only k rows a query and task are ranked at the end."""
+    q = queries.select(F.col(ident).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("qv")).where("qv is not null")
+    elements = q.agg(F.coalesce(F.sum(F.size("qv")), F.lit(0))).first()[0]
+    blocks = max(1, -(-elements // QUERY_ELEMENTS))
+    parts = []
+    for block in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).collect()
+        if rows:
+            asked = np.array([r["q"] for r in rows]), np.array([r["qv"] for r in rows])
+            parts.append(vectors.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").mapInArrow(_best(*asked, k), "q long, id long, score double"))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "q long, id long, score double, rank int")
+    s = parts[0]
+    for p in parts[1:]:
+        s = s.unionByName(p)
     return s.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
+#: Numbers of a block of queries: some 16 MB.
+QUERY_ELEMENTS = 2_000_000
+
+
+def _best(ids: np.ndarray, asked: np.ndarray, k: int):
+    """The k nearest vectors of a task to each query, by cosine in doubles; ties by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norm = np.sqrt((asked * asked).sum(axis=1))
+        held_i, held_s = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        for b in batches:
+            v = b.column("v")
+            if not b.num_rows:
+                continue
+            every, names = v.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), b.column("id").to_numpy()
+            step = max(1, QUERY_ELEMENTS // len(ids))
+            for at in range(0, b.num_rows, step):
+                x = every[at : at + step]
+                size = np.sqrt((x * x).sum(axis=1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    s = np.clip((asked @ x.T) / (norm[:, None] * size[None, :]), -1.0, 1.0)
+                i = np.broadcast_to(names[at : at + step], s.shape)
+                s = np.where(np.isfinite(s) & (i != ids[:, None]), s, -np.inf)
+                held_i, held_s = np.concatenate([held_i, i], axis=1), np.concatenate([held_s, s], axis=1)
+                order = np.lexsort((held_i, -held_s), axis=1)[:, :k]
+                held_i, held_s = np.take_along_axis(held_i, order, axis=1), np.take_along_axis(held_s, order, axis=1)
+        some = np.isfinite(held_s)
+        yield pa.RecordBatch.from_pydict({"q": np.broadcast_to(ids[:, None], some.shape)[some], "id": held_i[some], "score": held_s[some]})
+
+    return run
+
+
 def fuse(lexical: DataFrame, vector: DataFrame, k: int) -> DataFrame:
     """Lexical and vector hits by id: 0.45 of the lexical score over its ceiling, 0.55 of the vector score, 0.1 for both."""
     ceiling = lexical.agg(F.greatest(F.lit(1.0), F.coalesce(F.max("score"), F.lit(1.0))).alias("top")).withColumn("_k", F.lit(1))
@@ -67,9 +119,10 @@ def range_boost(score: Column, in_range: Column) -> Column:
     return score + F.when(in_range, RANGE_BOOST).otherwise(0.0)
 
 
-def numbered_extracts(chunks: DataFrame, order: list, text: str) -> DataFrame:
-    """[S1], [S2], ... in order."""
-    return chunks.withColumn("marker", F.concat(F.lit("S"), F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)).cast("string"))).withColumn("extract", F.concat(F.lit("["), F.col("marker"), F.lit("] "), F.trim(text)))
+def numbered_extracts(chunks: DataFrame, order: list, text: str, by: list[str] | None = None) -> DataFrame:
+    """[S1], [S2], ... in order, for each prompt. The extracts of one prompt are a page or two; without `by` all rows are one
+    prompt's."""
+    return chunks.withColumn("marker", F.concat(F.lit("S"), F.row_number().over(W.partitionBy(*(by or [F.lit(0)])).orderBy(*order)).cast("string"))).withColumn("extract", F.concat(F.lit("["), F.col("marker"), F.lit("] "), F.trim(text)))
 
 
 def embedder(dimensions: int = 1024, widths: tuple[int, ...] = (3, 4)):
@@ -169,3 +222,94 @@ class TableChunks:
         parts.append(held)
         for i, p in enumerate(parts, 1):
             yield i, len(parts), "\n".join([lines[0], *p])
+
+
+def section_query(number: Column, title: Column, guidance: Column, metadata: list[Column]) -> Column:
+    """What a section is matched against: its number and title, its guidance, and the scalar values of a study."""
+    parts = [number, title, guidance, *[m.cast("string") for m in metadata]]
+    return F.concat_ws(" ", *[F.when(F.coalesce(p, F.lit("")) != "", p) for p in parts])
+
+
+def retrieve_section(chunks: DataFrame, query: str, org: str, types: list[str], range_prefix: str | None, k: int = 16) -> DataFrame:
+    """The k best chunks of a tenant for a section: tenant and types come first, then cosine of terms, a boost for tables of
+    the section's range; nothing without a shared term. Ties go to tables, then by id."""
+    from tabloom.functions.text import in_id_range
+    from tabloom.operators.usage import tenant_scope
+
+    c = tenant_scope(chunks, org)
+    c = c.where(F.col("doc_type").isin(*types)) if types else c
+    s = c.join(tfidf_scores(c, query, "id", "text"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    table = F.col("table_id").isNotNull()
+    s = s.withColumn("score", range_boost(F.col("score"), table & in_id_range(F.col("table_id"), range_prefix)) if range_prefix else F.col("score"))
+    return s.where("score > 0").orderBy(F.desc("score"), ~table, "id").limit(k)
+
+
+def field_evidence(memory: DataFrame, evidence: DataFrame, target: str = "target") -> DataFrame:
+    """target, prior (remembered mappings in order) and evidence (hits in order): two retrievals, kept apart."""
+    prior = memory.groupBy(target).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "column", "score"))), lambda x: F.struct(x["column"].alias("column"), x["score"].alias("score"))).alias("prior"))
+    hits = evidence.groupBy(target).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))), lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score"))).alias("evidence"))
+    return prior.join(hits, target, "full")
+
+
+def read_vector(c: Column, dimensions: int) -> Column:
+    """A vector from JSON text, null where it is no list of so many finite numbers."""
+    v = F.from_json(c, "array<double>")
+    return F.when((F.size(v) == dimensions) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), v)
+
+
+def write_vector(c: Column) -> Column:
+    return F.to_json(c)
+
+
+class ProviderMismatch(ValueError):
+    """Vectors of one index come from one embedding model."""
+
+
+def same_provider(vectors: DataFrame, provider: str, column: str = "provider") -> DataFrame:
+    """vectors, if all of them come from the provider that embeds the query; else an error, for their distances mean nothing."""
+    other = vectors.where(~F.col(column).eqNullSafe(F.lit(provider))).select(column).limit(1).collect()
+    if other:
+        raise ProviderMismatch(f"the index holds vectors of {other[0][0]!r}, the query is of {provider!r}")
+    return vectors
+
+
+class VectorStore:
+    """Interface of a store of vectors: rows in, the nearest out. This one keeps a Parquet table in the shared folder; another
+    has to offer the same three methods."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def put(self, rows: DataFrame) -> None:
+        """Appends id, embedding, provider; the newest row of an id counts."""
+        rows.withColumn("written", F.current_timestamp()).write.mode("append").parquet(self.path)
+
+    def all(self) -> DataFrame:
+        from tabloom.operators.usage import latest_wins
+
+        return latest_wins(self.spark.read.parquet(self.path), ["id"], [F.desc("written")]).drop("written")
+
+    def nearest(self, query: list[float], provider: str, k: int) -> DataFrame:
+        return cosine_top_k(same_provider(self.all(), provider), query, k, "id", "embedding")
+
+
+@F.udtf(returnType=StructType([StructField("part", IntegerType()), StructField("text", StringType()), StructField("tokens", IntegerType())]))
+class NarrativeChunks:
+    """Paragraphs (parted by blank lines) in chunks of about `target` tokens; each begins with the last `overlap` tokens of
+    the one before, cut at a word. A token is four characters."""
+
+    def eval(self, text: str, target: int, overlap: int):
+        held: list[str] = []
+        size, carry, n = 0, "", 0
+        for p in [x.strip() for x in (text or "").split("\n\n") if x.strip()] + [None]:
+            if held and (p is None or (size + 2 + len(p)) // 4 > target):
+                own = "\n\n".join(held)
+                whole = f"{carry}\n\n{own}" if carry else own
+                yield n, whole, max(1, len(whole) // 4)
+                tail = own[-overlap * 4 :] if overlap else ""
+                if len(tail) < len(own) and " " in tail:
+                    tail = tail[tail.index(" ") + 1 :]
+                carry, held, size, n = tail, [], 0, n + 1
+            if p is not None:
+                size += len(p) + (2 if held else 0)
+                held.append(p)

@@ -214,3 +214,35 @@ def skipped_rows(rows: DataFrame, case: str) -> DataFrame:
 def overlaps_period(start: Column, end: Column, period_start, period_end) -> Column:
     """Open ends run on."""
     return (start <= F.lit(period_end)) & (end.isNull() | (end >= F.lit(period_start)))
+
+
+def trial_saes(events: DataFrame, cases: DataFrame, cumulative_window: Column, soc: str = "soc", pt: str = "pt") -> DataFrame:
+    """Serious events of clinical-trial cases in the cumulative window, by term."""
+    c = cases.where((F.col("source") == "clinical_trial") & cumulative_window).select("case_id", "is_serious")
+    return events.join(c, "case_id").where(is_serious()).groupBy(soc, pt).agg(F.count("*").alias("events"), F.countDistinct("case_id").alias("cases"))
+
+
+def serious_unrelated(events: DataFrame, cases: DataFrame, interval_window: Column) -> DataFrame:
+    """One row: events of the interval that are serious and that somebody assessed as not related."""
+    j = events.join(cases.where(interval_window).select("case_id", "is_serious"), "case_id")
+    return j.agg(F.count_if(is_serious() & F.coalesce(~is_related(F.col("company"), F.col("reporter")), F.lit(False))).alias("n"))
+
+
+def bulk_targets(events: DataFrame, term: str, pt: str = "pt") -> DataFrame:
+    """Events whose term is the given one, whatever the case."""
+    return events.where(F.lower(F.trim(F.col(pt))) == term.strip().lower())
+
+
+def rsi_versions(versions: DataFrame, terms: DataFrame) -> DataFrame:
+    """Reference versions, the latest first and undated ones last, with how many terms each lists."""
+    n = terms.groupBy("version_id").agg(F.count("*").alias("listed"))
+    return versions.join(n, "version_id", "left").withColumn("listed", F.coalesce("listed", F.lit(0))).orderBy(F.col("effective").desc_nulls_last(), "version_id")
+
+
+def report_audit(log: DataFrame, *owners: DataFrame) -> DataFrame:
+    """Audit rows of a report: those of any entity that belongs to it. owners: one column of entity ids each."""
+    ids = None
+    for o in owners:
+        one = o.toDF("entity_id")
+        ids = one if ids is None else ids.unionByName(one)
+    return log.join(ids, "entity_id", "left_semi")

@@ -118,6 +118,38 @@ def regions_due(targets: DataFrame) -> DataFrame:
     return finding(left.where(F.size("due") > 0), "REGION_DUE", "warning", F.array_join("due", ", "))
 
 
+def unconfirmed(events: DataFrame, cases: DataFrame, sections: list[str]) -> DataFrame:
+    """Events of the report's cases whose assessment nobody confirmed, where a section prints them."""
+    n = events.where("confirmed_by is null").join(cases.select("case_id"), "case_id", "left_semi").agg(F.count("*").alias("n"))
+    return finding(n.where((F.col("n") > 0) & F.lit(bool(sections))), "UNCONFIRMED_DATA", "blocker", F.concat_ws(" ", F.col("n").cast("string"), F.lit(", ".join(sections))))
+
+
+def carried_figures(sections: DataFrame) -> DataFrame:
+    """Sections carried over from the report before whose text still quotes counts."""
+    said = sections.where("carried").withColumn("_f", F.regexp_extract_all("content", F.lit(f"({FIGURE})"), F.lit(1)))
+    return finding(said.where(F.size("_f") > 0), "BASELINE_FIGURE_CARRIED", "warning", F.concat_ws(" ", "section", F.array_join(F.slice("_f", 1, 3), ", ")))
+
+
+def stated_figures(counts: DataFrame, tables: DataFrame) -> DataFrame:
+    """key, value of all figures that a report states: its counts (key, value) and the totals of its tables (table, cells)."""
+    totals = tables.groupBy(F.concat(F.lit("total:"), F.col("table")).alias("key")).agg(F.sum(F.aggregate(F.transform("cells", lambda c: F.coalesce(c.try_cast("long"), F.lit(0))), F.lit(0).cast("long"), lambda a, b: a + b)).alias("value"))
+    return counts.select("key", F.col("value").cast("long").alias("value")).unionByName(totals)
+
+
+def unapproved(sections: DataFrame) -> DataFrame:
+    """Enabled sections without an approval or without a text."""
+    d = sections.where("enabled")
+    return finding(d.where("approved_by is null"), "SECTION_NOT_APPROVED", "blocker", F.col("section")).unionByName(finding(d.where("trim(coalesce(content, '')) = ''"), "SECTION_EMPTY", "blocker", F.col("section")))
+
+
+def quality_run(checks: dict, accepted: DataFrame) -> DataFrame:
+    """All checks of a report (name -> callable) in one list, blockers first; what somebody accepted is a warning."""
+    from tabloom.operators.lab import findings
+    from tabloom.operators.text_checks import run
+
+    return findings(downgrade(run(checks), accepted))
+
+
 def downgrade(findings: DataFrame, accepted: DataFrame) -> DataFrame:
     """Blockers that somebody accepted are warnings."""
     a = accepted.select("code", "message").distinct().withColumn("_ok", F.lit(True))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions import text as T
+from tabloom.operators.joins import stored
 
 
 def uncited_numbers(df: DataFrame, key: str, content: str) -> DataFrame:
@@ -99,17 +100,14 @@ def manifest_faults(objects: DataFrame) -> DataFrame:
 
 
 def run(checks: dict) -> DataFrame:
-    """Findings of all checks (name -> callable). A check that raises while it is planned is itself a blocker: it fails closed."""
+    """Findings of all checks (name -> callable), blockers first. Each check is run here and its findings stored, so one that
+    raises, while it is planned or while it runs, is itself a blocker and the others stand: it fails closed."""
     from tabloom.operators.lab import findings
 
-    parts, spark = [], None
+    parts, spark = [], SparkSession.getActiveSession()
     for name, check in checks.items():
         try:
-            parts.append(check())
-            spark = spark or parts[-1].sparkSession
+            parts.append(stored(check().select("code", "severity", "message"), "findings"))
         except Exception as e:  # noqa: BLE001
-            from pyspark.sql import SparkSession
-
-            spark = spark or SparkSession.getActiveSession()
-            parts.append(spark.createDataFrame([("QC_CHECK_FAILED", "blocker", f"{name}: {e}"[:300])], "code string, severity string, message string"))
+            parts.append(spark.createDataFrame([("QC_CHECK_FAILED", "blocker", f"{name}: {type(e).__name__}")], "code string, severity string, message string"))
     return findings(*parts)

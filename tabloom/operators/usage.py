@@ -124,3 +124,102 @@ def char_budget(df: DataFrame, order: list, text: str, budget: int, partition: l
     """Rows from the top while their texts fit the budget; the first that does not fit ends the list."""
     w = W.partitionBy(*(partition or [F.lit(0)])).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumn("used", F.sum(F.length(text)).over(w)).where(F.col("used") <= budget)
+
+
+def counts_by_dimension(facts: DataFrame, key: str, dimension: DataFrame, dimension_key: str, label: str, name: str = "n") -> DataFrame:
+    """Facts by a label of their dimension row; facts are counted by key first, so the dimension meets one row a key."""
+    per = facts.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    d = dimension.select(F.col(dimension_key).alias("_d"), F.col(label).alias("label"))
+    return per.join(d, F.col("_k") == F.col("_d")).groupBy("label").agg(F.sum("_n").alias(name))
+
+
+def top_used(uses: DataFrame, key: str, owner: str, k: int) -> DataFrame:
+    """The k keys used by most owners: rows and different owners; ties by key."""
+    g = uses.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("versions"), F.countDistinct(owner).alias("uses"))
+    return g.orderBy(F.desc("uses"), "key").limit(k)
+
+
+def where_exists(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
+    """Rows whose key the other table has."""
+    return df.join(other.select(F.col(other_key).alias("_o")), F.col(key) == F.col("_o"), "left_semi")
+
+
+def where_missing(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
+    """Rows whose key the other table lacks."""
+    return df.join(other.select(F.col(other_key).alias("_o")), F.col(key) == F.col("_o"), "left_anti")
+
+
+class RowPolicy:
+    """Row-level security: all reads of the named tables go through views of one tenant's rows. A table outside the policy
+    is refused, and so is a blank tenant."""
+
+    def __init__(self, tables: dict[str, DataFrame], org: str, column: str = "org_id"):
+        self._tables = {name: tenant_scope(df, org, column) for name, df in tables.items()}
+
+    def read(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            raise KeyError(f"{name} is not under the policy")
+        return self._tables[name]
+
+    def register(self, prefix: str = "") -> None:
+        for name, df in self._tables.items():
+            df.createOrReplaceTempView(f"{prefix}{name}")
+
+
+def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
+    """Nested structs as columns named by their path; arrays and maps stay whole. The paths come from the schema, so no row
+    is looked at."""
+    from pyspark.sql.types import StructType
+
+    def leaves(schema, path: tuple[str, ...]):
+        for f in schema.fields:
+            here = (*path, f.name)
+            if isinstance(f.dataType, StructType) and f.dataType.fields:
+                yield from leaves(f.dataType, here)
+            else:
+                yield here
+
+    return df.select(*[F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path)) for path in leaves(df.schema, ())])
+
+
+def field_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """key, path, before, after for each field that two versions of a record give differently, after flattening. Fields that
+    one version lacks are null there."""
+    a, b = flatten(left), flatten(right)
+    pairs = lambda d, n: d.select(key, F.map_from_arrays(F.array(*[F.lit(c) for c in d.columns if c != key]), F.array(*[F.col(f"`{c}`").cast("string") for c in d.columns if c != key])).alias(n))
+    j = pairs(a, "a").join(pairs(b, "b"), key, "full")
+    names = sorted({*a.columns, *b.columns} - {key})
+    each = j.select(key, "a", "b", F.explode(F.array(*[F.lit(n) for n in names])).alias("path"))
+    return each.select(key, "path", F.try_element_at("a", F.col("path")).alias("before"), F.try_element_at("b", F.col("path")).alias("after")).where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def expand(df: DataFrame, column: str, name: str) -> DataFrame:
+    """A row for each member of a collection, numbered from 0; a row with none gives none."""
+    return df.select("*", F.posexplode(column).alias("position", name))
+
+
+def progress(jobs: DataFrame, by: str, status: str, states: list[str]) -> DataFrame:
+    """Rows of a run by state, and the share that is through."""
+    n = [F.count_if(F.col(status) == s).alias(s) for s in states]
+    return jobs.groupBy(by).agg(F.count("*").alias("total"), *n).withColumn("done", F.col("total") - F.col("pending"))
+
+
+def canary_run(rows: DataFrame, order: str, work, failed, size: int = 3) -> DataFrame:
+    """Rows numbered in order with the outcome of `work`; if one of the evenly spaced first rows fails, the others are
+    `skipped` and not worked on. work: a function of a frame; failed: a condition on its result."""
+    from tabloom.operators.joins import small, stored
+    from tabloom.operators.metrics import canary_positions
+
+    first = rows.select(order).orderBy(order)
+    n = rows.count()
+    at = canary_positions(n, size)
+    spread = [first.offset(i).limit(1) for i in at]
+    keys = spread[0] if spread else first.limit(0)
+    for s in spread[1:]:
+        keys = keys.unionByName(s)
+    keys = stored(keys, "canary")
+    tried = stored(work(rows.join(small(keys), order, "left_semi")), "tried").withColumn("canary", F.lit(True))
+    rest = rows.join(small(keys), order, "left_anti")
+    if tried.where(failed).limit(1).count():
+        return tried.unionByName(rest.withColumn("canary", F.lit(False)), allowMissingColumns=True)
+    return tried.unionByName(work(rest).withColumn("canary", F.lit(False)))

@@ -236,3 +236,38 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def permitted_values(branches: DataFrame, field: str = "field", value: str = "value") -> DataFrame:
     """Values that the branches of a field allow: the drop-downs of a data-entry sheet."""
     return branches.groupBy(field).agg(F.array_sort(F.collect_set(value)).alias("permitted"))
+
+
+# Pages
+
+
+def html_blocks(html: F.Column) -> F.Column:
+    """Texts of a page's blocks in order: scripts, styles and comments gone, block tags as breaks, other tags as nothing."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</(script|style|noscript)\s*>|<!--.*?-->", " ")
+    lines = F.regexp_replace(bare, r"(?i)</?(p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|nav|title|body|head|html)\b[^>]*>", "\n")
+    plain = F.regexp_replace(lines, r"<[^>]*>", "")
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(name), F.lit(sign))
+    return F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r]+", " "))), lambda x: x != "")
+
+
+def chunks_html(pages: DataFrame, ident: str, html: str) -> DataFrame:
+    """id, part, text of the blocks of each page."""
+    return pages.select(F.col(ident).alias("id"), F.posexplode(html_blocks(F.col(html))).alias("part", "text")).withColumn("element_type", F.lit("paragraph"))
+
+
+def chunks_json(lines: DataFrame, ident: str, json: str, schema: str) -> DataFrame:
+    """One chunk per JSON record, `path: value` of its leaves in the order of the schema."""
+    from tabloom.operators.usage import flatten
+
+    flat = flatten(lines.select(F.col(ident).alias("_id"), F.from_json(F.col(json), schema).alias("r")).select("_id", "r.*"))
+    return flat.select(F.col("_id").alias("id"), record_text([c for c in flat.columns if c != "_id"]).alias("text"), F.lit("record").alias("element_type"))
+
+
+def laboratory_table(rows: DataFrame, headers: str, cells: str) -> DataFrame:
+    """Rows (headers array, cells array<string>) of a laboratory table as role -> cell, the first column of each role. Cells
+    under headers without a role are left out."""
+    roles = F.transform(F.col(headers), header_role)
+    pairs = F.filter(F.arrays_zip(roles.alias("role"), F.col(cells).alias("cell")), lambda x: x["role"].isNotNull())
+    first = F.filter(F.array_distinct(roles), lambda r: r.isNotNull())
+    return rows.withColumn("by_role", F.map_from_arrays(first, F.transform(first, lambda r: F.get(F.filter(pairs, lambda x: x["role"] == r), F.lit(0))["cell"])))

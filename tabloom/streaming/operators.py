@@ -31,8 +31,9 @@ def split_at_lock(df: DataFrame, ts: str, lock) -> tuple[DataFrame, DataFrame]:
 def metered(calls: DataFrame, rates: DataFrame, model: str = "model") -> DataFrame:
     """Calls with their price in micro-dollars; a model without a rate has none, and is counted as unpriced elsewhere."""
     from tabloom.functions.values import cost_micro_usd
+    from tabloom.operators.joins import small
 
-    r = F.broadcast(rates.select(F.col("model").alias("_m"), "rate_in", "rate_out"))
+    r = small(rates.select(F.col("model").alias("_m"), "rate_in", "rate_out"))
     return calls.join(r, F.col(model) == F.col("_m"), "left").withColumn("cost_micro_usd", cost_micro_usd(F.col("input_tokens"), F.col("output_tokens"), F.col("rate_in"), F.col("rate_out"))).drop("_m")
 
 
