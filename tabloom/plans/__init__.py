@@ -1,5 +1,5 @@
 """Named queries over the driver's tables."""
 
-from . import catalogue, documents
+from . import catalogue, documents, laboratory, platform, report, texts
 
-__all__ = ["catalogue", "documents"]
+__all__ = ["catalogue", "documents", "laboratory", "platform", "report", "texts"]

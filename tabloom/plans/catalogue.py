@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions import dates, scores, text, values
-from tabloom.operators import conditions, formulas, lab, metrics, retrieval, safety, usage
+from tabloom.operators import conditions, formulas, lab, metrics, privacy, retrieval, safety, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,20 +102,6 @@ def docs_trend(spark, d):
     return out.select(day(F.col("bucket")).alias("bucket"), "value")
 
 
-@query("SELECT c_mktsegment AS function, count(*) AS documents FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
-def docs_by_function(spark, d):
-    c = read(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    return read(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("function")).agg(F.count("*").alias("documents"))
-
-
-@query("SELECT p_brand AS template, count(*) AS versions, count(DISTINCT l_orderkey) AS uses FROM part JOIN lineitem ON p_partkey = l_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1 ORDER BY uses DESC, template LIMIT 5")
-def top_templates(spark, d):
-    o = read(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey")
-    lp = read(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(read(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    j = lp.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.groupBy(F.col("p_brand").alias("template")).agg(F.count("*").alias("versions"), F.countDistinct("l_orderkey").alias("uses")).orderBy(F.desc("uses"), "template").limit(5)
-
-
 @query("SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 'X', 0")
 def status_mix(spark, d):
     return metrics.histogram(read(spark, d, "orders"), "o_orderstatus", ["F", "O", "P", "X"])
@@ -217,18 +203,6 @@ def window_label(spark, d):
     return cases(spark, d).where(safety.own(SCOPE)).groupBy(safety.window_label(SCOPE).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
-def semi_count(spark, d):
-    p = read(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return read(spark, d, "lineitem").select("l_orderkey").join(p, "l_orderkey", "left_semi").agg(F.count("*").alias("n"))
-
-
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
-def anti_unused(spark, d):
-    u = read(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
-    return read(spark, d, "part").select("p_partkey").join(u, "p_partkey", "left_anti")
-
-
 def case_events(spark, d) -> DataFrame:
     return read(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("case_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"), F.col("l_shipdate").isNotNull().alias("_x"), F.col("l_linestatus").alias("soc"), F.col("l_returnflag").alias("pt"),
@@ -334,7 +308,7 @@ def name_variants(spark, d):
     return lab.spelling_variants(both, "name").select("folded", F.size("spellings").cast("long").alias("spellings"))
 
 
-@query("WITH f AS (SELECT l_orderkey AS g, l_linenumber AS i, l_discount AS f FROM lineitem), v AS (SELECT a.g, a.i, a.f, count(*) AS votes FROM f a JOIN f b ON a.g = b.g AND abs(a.f - b.f) <= 0.001 * abs(b.f) GROUP BY ALL), m AS (SELECT g, arg_max(f, votes * 1000 - f) AS modal FROM v GROUP BY 1) SELECT f.g, f.i, modal, abs(f.f - modal) <= 0.001 * abs(modal) AS agrees FROM f JOIN m ON m.g = f.g")
+@query("WITH f AS (SELECT l_orderkey AS g, l_linenumber AS i, l_discount AS f FROM lineitem), v AS (SELECT a.g, a.f, count(*) AS votes FROM (SELECT DISTINCT g, f FROM f) a JOIN f b ON a.g = b.g AND abs(a.f - b.f) <= 0.001 * abs(b.f) GROUP BY ALL), m AS (SELECT g, arg_max(f, votes * 1000 - f) AS modal FROM v GROUP BY 1) SELECT f.g, f.i, modal, abs(f.f - modal) <= 0.001 * abs(modal) AS agrees FROM f JOIN m ON m.g = f.g")
 def modal_factor(spark, d):
     f = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("i"), F.col("l_discount").alias("f"))
     return lab.modal_factor(f, ["g"], "i", "f").select("g", "i", "modal", "agrees")
@@ -390,13 +364,6 @@ def k_anonymous_patterns(spark, d):
     return metrics.k_anonymous(e, ["event_type", "props"], "org", "value").withColumn("weight", F.round("weight", 4))
 
 
-@query("WITH a AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 4 <> 0) SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' WHEN a.o_orderstatus = b.o_orderstatus THEN 'same' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey")
-def row_diff(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    b = o.where("o_orderkey % 4 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")))
-    return usage.row_diff(o.where("o_orderkey % 3 <> 0"), b, "o_orderkey", ["o_orderstatus"])
-
-
 @query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS ordered FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100")
 def offset_page(spark, d):
     o = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_orderdate")
@@ -425,16 +392,13 @@ def cosine_topk(spark, d):
     return retrieval.cosine_top_k(e, list(asked), 20, "vec_id", "embedding").select("id", F.round("score", 8).alias("score"))
 
 
-@query(
-    "WITH l AS (SELECT doc_id AS id, n_chars / 20000.0::DOUBLE AS lex FROM documents WHERE lang = 'de'), q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7), v AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS vec FROM embeddings, q), "
-    "t AS (SELECT greatest(1.0, max(lex)) AS top FROM l), j AS (SELECT coalesce(l.id, v.id) AS id, lex, vec FROM l FULL JOIN v ON l.id = v.id) SELECT id, CASE WHEN lex IS NULL THEN 'vector' WHEN vec IS NULL THEN 'lexical' ELSE 'lexical,vector' END AS found_by FROM (SELECT *, round(CASE WHEN lex IS NOT NULL AND vec IS NOT NULL THEN least(1.0, 0.45 * lex / top + 0.55 * greatest(0, vec) + 0.1) ELSE 0.45 * coalesce(lex / top, 0) + 0.55 * greatest(0, coalesce(vec, 0)) END, 4) AS score FROM j, t) ORDER BY score DESC, id LIMIT 30"
-)
+@query()
 def hybrid_rank(spark, d):
+    """Lexical scores of all documents and cosines of all vectors in one list. `hybrid_scores` has SQL for the fusion."""
     e = read(spark, d, "embeddings")
     asked = e.where("vec_id = 7").select("embedding").first()[0]
     vec = e.select(F.col("vec_id").alias("id"), scores.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in asked])).alias("score"))
-    lex = read(spark, d, "documents").where("lang = 'de'").select(F.col("doc_id").alias("id"), (F.col("n_chars") / 20000.0).alias("score"))
-    return retrieval.fuse(lex, vec, 30).select("id", "found_by")
+    return retrieval.fuse(retrieval.tfidf_scores(read(spark, d, "documents"), ASK, "doc_id", "text"), vec, 30)
 
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, sum(length(text)) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 40000")
@@ -449,10 +413,12 @@ def content_dedupe(spark, d):
     return x.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'))::BIGINT AS emails FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) > 0")
+@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}'))::BIGINT AS emails FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}')) > 0")
 def pii_scan(spark, d):
-    n = F.regexp_count(F.col("text"), F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")).cast("long")
-    return read(spark, d, "documents").select("doc_id", n.alias("emails")).where("emails > 0")
+    """E-mail addresses among all that detection finds in the whole documents."""
+    x = privacy.leaks(read(spark, d, "documents").select("doc_id", "text"), "text")
+    n = F.size(F.filter("spans", lambda s: s["kind"] == "email")).cast("long")
+    return x.select("doc_id", n.alias("emails")).where("emails > 0")
 
 
 @query()
@@ -461,18 +427,6 @@ def doubled_words(spark, d):
     return x.groupBy("word").agg(F.count("*").alias("documents"))
 
 
-@query("SELECT source, count(DISTINCT lang) AS langs FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1")
-def count_disagreement(spark, d):
-    g = read(spark, d, "documents").groupBy("source").agg(F.collect_set("lang").alias("said"))
-    return g.where(F.size("said") > 1).select("source", F.size("said").cast("long").alias("langs"))
-
-
-@query("SELECT event_type, count(*) AS removed, CAST(max(CAST(ts AS DATE)) AS VARCHAR) AS newest FROM events WHERE ts < TIMESTAMP '2024-01-30' - INTERVAL 20 DAY GROUP BY 1")
-def retention_cutoff(spark, d):
-    e = read(spark, d, "events").where(F.col("ts") < F.lit(datetime(2024, 1, 10)).cast("timestamp_ntz"))
-    return e.groupBy("event_type").agg(F.count("*").alias("removed"), day(F.max("ts")).alias("newest"))
-
-
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) WHEN o_orderkey % 3 = 1 AND day(o_orderdate) > 12 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) WHEN o_orderkey % 3 = 2 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS value, CASE WHEN o_orderkey % 3 = 1 AND day(o_orderdate) <= 12 THEN 'ambiguous' END AS reason FROM orders")
 def date_parse(spark, d):
     o = read(spark, d, "orders")
