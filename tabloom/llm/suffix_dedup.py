@@ -181,6 +181,20 @@ def _anchors(length: int, only_rank: bool):
     return run
 
 
+def _positions(k: int, length: int):
+    """Rank of the first k bytes of every suffix that has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in batches_of(pa.Table.from_batches([big]), 64):
+                for row, n, text in zip(batch.column("row").to_pylist(), batch.column("n").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                    for o in range(0, len(text) - k + 1, BUFFER):
+                        rank = Fingerprints(np.frombuffer(text[o : o + BUFFER + k - 1], np.uint8)).every(k)
+                        yield pa.RecordBatch.from_pydict({"row": np.full(len(rank), row), "n": np.full(len(rank), n), "at": np.arange(len(rank)) + o, "rank": rank.view(np.int64)})
+
+    return run
+
+
 def _windows(length: int):
     """Fingerprints of the windows lo to hi of each listed anchor of a text."""
 
@@ -330,6 +344,28 @@ class SuffixDedup:
         again = settled.unionByName(single).join(v.where("n = 1").select("id", "doc_id", "h"), "id").select("doc_id", "h", "lo", "hi")
         return twins.unionByName(again)
 
+    def every_position(self) -> DataFrame:
+        """doc_id, h, lo, hi of repeated windows by prefix doubling over all suffixes: pairs of the ranks at a place and at the
+        growing offset are sorted and reranked, suffixes go once they are unique, and those left at `length` bytes repeat.
+
+        Ranks of the first length / 16 bytes are 64-bit fingerprints. This is the plain form of the method and the standard
+        that the sampled form is tested against; every byte is a row of each round, so it is for small tables."""
+        if self.length % 16:
+            raise ValueError("the length is a multiple of 16")
+        s, size = self.scratch, self.length // 16
+        docs = self.docs.where(F.octet_length("text") >= self.length).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+        docs = s.save(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+        r = s.save(docs.select("row", "n", "text").mapInArrow(_positions(size, self.length), "row long, n long, at long, rank long"), "suffixes-0")
+        r = r.join(r.groupBy("rank").agg(F.sum("n").alias("m")).where("m > 1").select("rank"), "rank", "left_semi")
+        while size < self.length:
+            ahead = r.select("row", (F.col("at") - size).alias("at"), F.col("rank").alias("following"))
+            pairs = s.save(r.join(ahead, ["row", "at"]), f"pairs-{size}")
+            ranks = pairs.groupBy("rank", "following").agg(F.sum("n").alias("m")).where("m > 1").orderBy("rank", "following")
+            ranks = s.save(ranks.select("rank", "following", F.monotonically_increasing_id().alias("new")), f"pair-ranks-{size}")
+            size *= 2
+            r = s.save(pairs.join(ranks, ["rank", "following"]).select("row", "n", "at", F.col("new").alias("rank")), f"suffixes-{size}")
+        return r.join(docs.select("row", "doc_id", "h"), "row").select("doc_id", "h", F.col("at").alias("lo"), F.col("at").alias("hi"))
+
     def rerank(self, v: DataFrame, rank: str, following: str, name: str) -> DataFrame:
         """v with the rank of the longer prefix, null where it leaves the text or is unique: the pair of the rank so far and
         the rank of the bytes that follow. A frequent pair is counted where it is before it moves, and only the pairs that
@@ -347,9 +383,10 @@ class SuffixDedup:
         keys = rows.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
         return self.docs.join(small_lists(keys, "anchors"), self.docs["doc_id"].eqNullSafe(F.col("d")) & (self.docs["h"] == F.col("g")))
 
-    def run(self, keep_bytes: bool = False) -> DataFrame:
-        """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept, the remaining bytes) of each row."""
-        ranges = self.repeated_ranges().groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    def run(self, keep_bytes: bool = False, sampled: bool = True) -> DataFrame:
+        """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept, the remaining bytes) of each row. sampled: by
+        sampled suffixes, else by all of them; both give the same rows."""
+        ranges = (self.repeated_ranges() if sampled else self.every_position()).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
         spans = ranges.mapInArrow(_merge(self.length), "doc_id long, h long, spans array<struct<start: long, end: long>>")
         spans = self.scratch.save(spans, "spans")
         self.scratch.keep("spans")
@@ -360,4 +397,4 @@ class SuffixDedup:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SuffixDedup(table(spark, sf_dir, "documents")).run().drop("spans")
+    return SuffixDedup(table(spark, sf_dir, "documents")).run().drop("spans").withColumn("repeats", F.col("n_removed") > 0)

@@ -31,7 +31,7 @@ from .common import Scratch, batches_of, table
 MAGIC = b"DAC1"
 RANK_BITS = 512
 #: A segment ends with the document that brings it to so many ids.
-SEGMENT_IDS = 1 << 18
+SEGMENT_IDS = 1 << 15
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 600_000
 
@@ -261,15 +261,26 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 
 def read_tokens(spark: SparkSession, path: str, positions: list[int]) -> dict[int, int]:
     """Ids at given positions of the whole store, by random access: only the segments that hold them are read, and
-    within a segment only the chunks of those ids."""
-    at = F.array(*[F.lit(int(p)) for p in positions])
+    within a segment only the chunks of those ids. The positions asked for are a stated list."""
     first = F.col("first_id") + F.col("base")
-    rows = _read(spark, path).withColumn("first", first).withColumn("at", F.filter(at, lambda p: (p >= F.col("first")) & (p < F.col("first") + F.col("n_ids")))).where("size(at) > 0")
-    found: dict[int, int] = {}
-    for r in rows.select("first", "at", "ids").toLocalIterator():
-        codes = Codes(bytes(r["ids"]))
-        found |= {p: codes[p - r["first"]] for p in r["at"]}
-    return found
+    asked = spark.createDataFrame([(int(p),) for p in positions], "at long")
+    places = _read(spark, path).select("shard", "segment", first.alias("first"), "n_ids")
+    held = places.join(F.broadcast(asked), (F.col("at") >= F.col("first")) & (F.col("at") < F.col("first") + F.col("n_ids"))).groupBy("shard", "segment", "first").agg(F.collect_list("at").alias("at"))
+    # The few segments that hold them are named, so that the scan skips the pages of the others; ids stay on the executors.
+    named = held.collect()
+    if not named:
+        return {}
+    places = spark.createDataFrame([tuple(r) for r in named], "shard int, segment int, first long, at array<long>")
+    some = _read(spark, path).where(F.col("shard").isin(*{r["shard"] for r in named}) & F.col("segment").isin(*{r["segment"] for r in named}))
+    rows = some.join(F.broadcast(places), ["shard", "segment"]).select("first", "at", "ids").mapInArrow(_pick, "at long, id long")
+    return {r["at"]: r["id"] for r in rows.collect()}
+
+
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, at, ids in zip(*[batch.column(c).to_pylist() for c in ("first", "at", "ids")], strict=True):
+            codes = Codes(ids)
+            yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "id": pa.array([codes[p - first] for p in at], pa.int64())})
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
