@@ -127,6 +127,11 @@ def test_suffix_dedup(spark, rows, docs, empty):
         got = suffix_dedup.SuffixDedup(docs, length).run().drop("spans").collect()
         assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == sorted(want)
     assert suffix_dedup.SuffixDedup(empty).run().count() == 0
+    # Doubling over all suffixes gives the same rows.
+    short = docs.where("length(text) < 3000")
+    for length in (400, 48):
+        a, b = (sorted(map(str, suffix_dedup.SuffixDedup(short, length).run(sampled=x).collect())) for x in (True, False))
+        assert a == b
     out = suffix_dedup.SuffixDedup(docs).run(keep_bytes=True).where("n_spans > 0").first()
     assert hashlib.sha256(bytes(out["kept"])).hexdigest() == out["kept_sha256"] and sum(s["end"] - s["start"] for s in out["spans"]) == out["n_removed"]
 
