@@ -1,4 +1,4 @@
-"""Record and chunk readers: csv, xlsx, docx, text, html, json, XML case reports, term dictionaries.
+"""Record and chunk readers: csv, xlsx, docx, pdf, rtf, text, html, json, XML case reports, term dictionaries.
 
 Files are found and read by Spark (csv, text, binaryFile), so paths may be in any store; office formats are unzipped on the
 executors. All cells are text. Header rules: a blank header is column_N, a repeated one gets (2), (3), ...; rows without
@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -90,30 +91,35 @@ def _xlsx_sheets(data: bytes) -> dict[str, list[list[str]]]:
         return out
 
 
-def _bytes(spark: SparkSession, path: str) -> bytes:
-    row = spark.read.format("binaryFile").load(path).select("content").first()
-    if row is None:
-        raise SourceUnreadable(f"{path} is not there")
-    return bytes(row[0])
+def _sheet_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of all sheets, with a row -1 that names each sheet."""
+    for b in batches:
+        for data in b["content"]:
+            for no, (name, rows) in enumerate(_xlsx_sheets(data).items()):
+                yield pd.DataFrame({"sheet": name, "no": no, "at": range(-1, len(rows)), "cells": [[], *rows]})
+
+
+def _workbook(spark: SparkSession, path: str) -> DataFrame:
+    """sheet, no, at, cells of a workbook, unzipped on an executor. By its format a sheet has at most 1,048,576 rows."""
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_sheet_rows, "sheet string, no int, at int, cells array<string>")
 
 
 def sheet_names(spark: SparkSession, path: str) -> list[str]:
-    return list(_xlsx_sheets(_bytes(spark, path))) if path.endswith(".xlsx") else ["csv"]
+    return [r["sheet"] for r in _workbook(spark, path).where("at = -1").orderBy("no").collect()] if path.endswith(".xlsx") else ["csv"]
 
 
 def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """One workbook, which fits in memory by its format (a sheet has at most 1,048,576 rows)."""
-    sheets = _xlsx_sheets(_bytes(spark, path))
-    name = sheet or next(iter(sheets))
-    if name not in sheets:
-        raise SourceUnreadable(f"no sheet {name!r}; there are {', '.join(sheets)}")
-    rows = sheets[name]
-    if not rows:
-        raise SourceUnreadable(f"sheet {name!r} is empty")
-    columns = header_names(rows[0])
-    schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(columns))])
-    body = [(r + [""] * len(columns))[: len(columns)] for r in rows[1:]]
-    return _records(spark.createDataFrame(body, schema), columns, name)
+    """Records of one sheet; only its header comes to the driver."""
+    w = _workbook(spark, path)
+    w = w.where(F.col("sheet") == sheet) if sheet else w.where("no = 0")
+    top = {r["at"]: r for r in w.where("at <= 0").collect()}
+    if -1 not in top:
+        raise SourceUnreadable(f"no sheet {sheet!r}; there are {', '.join(sheet_names(spark, path))}" if sheet else f"{path} is not there")
+    if 0 not in top:
+        raise SourceUnreadable(f"sheet {top[-1]['sheet']!r} is empty")
+    columns = header_names(list(top[0]["cells"]))
+    body = w.where("at > 0").select(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(len(columns))])
+    return _records(body, columns, top[-1]["sheet"])
 
 
 CHUNKS = "path string, part int, text string, element_type string, heading_path string"
@@ -148,6 +154,98 @@ def chunks_docx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_docx, CHUNKS)
 
 
+def _pdf_objects(data: bytes) -> dict[int, bytes]:
+    """Objects by number, those of object streams included."""
+    found = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.S)}
+    for body in list(found.values()):
+        if b"/ObjStm" in body[:400]:
+            n, first = (int(re.search(rb"/" + k + rb"\s+(\d+)", body)[1]) for k in (b"N", b"First"))
+            inner = _pdf_stream(body)
+            head = [int(x) for x in inner[:first].split()][: 2 * n]
+            places = [*head[1::2], len(inner) - first]
+            for number, a, b in zip(head[0::2], places, places[1:]):
+                found.setdefault(number, inner[first + a : first + b])
+    return found
+
+
+def _pdf_stream(body: bytes) -> bytes:
+    m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
+    if not m:
+        return b""
+    return zlib.decompressobj().decompress(m[1]) if b"/FlateDecode" in body[: m.start()] else m[1]
+
+
+def _pdf_text(content: bytes) -> list[str]:
+    """Lines that a content stream shows: strings of its text operators, a new line where the position moves."""
+    lines, held, strings = [], "", []
+    for m in re.finditer(rb"\((?:\\.|[^()\\])*\)|<[0-9A-Fa-f\s]*>|(?<![A-Za-z*'\"])(?:Tj|TJ|Td|TD|T\*|Tm|ET|'|\")(?![A-Za-z])", content, re.S):
+        t = m[0]
+        if t[:1] == b"(":
+            plain = re.sub(rb"\\(\d{1,3}|.)", lambda e: bytes([int(e[1], 8) & 255]) if e[1].isdigit() else {b"n": b"\n", b"r": b"\r", b"t": b"\t"}.get(e[1], e[1]), t[1:-1], flags=re.S)
+            strings.append(plain.decode("cp1252", "replace"))
+        elif t[:1] == b"<":
+            strings.append(bytes.fromhex(re.sub(rb"\s", b"", t[1:-1]).decode() + "0" * (len(re.sub(rb"\s", b"", t[1:-1])) % 2)).decode("cp1252", "replace"))
+        else:
+            if t in (b"Td", b"TD", b"T*", b"Tm", b"ET", b"'", b'"') and held:
+                lines.append(held)
+                held = ""
+            if t in (b"Tj", b"TJ", b"'", b'"'):
+                held += "".join(strings)
+            strings = []
+    return [x.strip() for x in [*lines, held] if x.strip()]
+
+
+def _pdf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for path, data in zip(b["path"], b["content"], strict=True):
+            objects = _pdf_objects(data)
+            pages: list[int] = []
+
+            def walk(number: int, seen: set[int]) -> None:
+                body = objects.get(number, b"")  # noqa: B023
+                if number in seen:
+                    return
+                if kids := re.search(rb"/Kids\s*\[([^\]]*)\]", body):
+                    for k in re.findall(rb"(\d+)\s+\d+\s+R", kids[1]):
+                        walk(int(k), seen | {number})
+                elif re.search(rb"/Type\s*/Page\b", body):
+                    pages.append(number)  # noqa: B023
+
+            root = next((int(m[1]) for o in objects.values() if re.search(rb"/Type\s*/Catalog\b", o) and (m := re.search(rb"/Pages\s+(\d+)", o))), 0)
+            walk(root, set())
+            before = len(out)
+            for no, page in enumerate(pages, 1):
+                refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", objects[page])
+                for r in re.findall(rb"(\d+)\s+\d+\s+R", refs[1]) if refs else ():
+                    for line in _pdf_text(_pdf_stream(objects.get(int(r), b""))):
+                        out.append((path, len(out) - before, line, "paragraph", f"page {no}"))
+            if len(out) == before:
+                raise SourceUnreadable(f"{path} holds no text: a scan has to be read by a person or by OCR first")
+        yield pd.DataFrame(out, columns=["path", "part", "text", "element_type", "heading_path"])
+
+
+def chunks_pdf(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the text layer, page by page. Fonts with their own encodings come out as their bytes; a file without text is
+    refused."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_pdf, CHUNKS)
+
+
+def rtf_text(c: F.Column) -> F.Column:
+    """Paragraphs of an RTF text, without its groups of fonts, colours, styles and information, and without control words."""
+    # Escaped braces and backslashes stand aside as control characters until the groups are gone.
+    kept = F.replace(F.replace(F.replace(c, F.lit("\\\\"), F.lit("\x03")), F.lit("\\{"), F.lit("\x01")), F.lit("\\}"), F.lit("\x02"))
+    bare = F.regexp_replace(kept, r"(?s)\{\\(?:\*|fonttbl|colortbl|stylesheet|info|pict)(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}", "")
+    lines = F.regexp_replace(bare, r"\\(?:par|line|page|sect|row)\b ?", "\n")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(lines, r"\\tab\b ?|\\cell\b ?", "\t"), r"\\'[0-9a-fA-F]{2}", "?"), r"\\[a-zA-Z]+-?\d* ?|[{}]", "")
+    return F.filter(F.transform(F.split(F.translate(plain, "\x01\x02\x03", "{}\\"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def chunks_rtf(spark: SparkSession, path: str) -> DataFrame:
+    raw = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    return raw.select("path", F.posexplode(rtf_text(F.col("value"))).alias("part", "text")).select("path", "part", "text", F.lit("paragraph").alias("element_type"), F.lit("").alias("heading_path"))
+
+
 def chunks_records(records: DataFrame) -> DataFrame:
     """`k: v; k: v` per record."""
     columns = [c for c in records.columns if not c.startswith("_")]
@@ -177,9 +275,21 @@ def read_dictionary(spark: SparkSession, path: str, version: str) -> DataFrame:
     return d.select(*[F.trim(c).alias(c) for c in level]).where("pt <> ''").withColumn("version", F.lit(version)).dropDuplicates(level)
 
 
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+
+
+def _json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON records, one a line, as text cells named by their path."""
+    from tabloom.operators.usage import flatten
+
+    flat = flatten(spark.read.option("primitivesAsString", True).json(path))
+    return _records(flat.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in flat.columns]), flat.columns, "json")
+
+
 def read_source(spark: SparkSession, path: str, fmt: str, sheet: str | None = None) -> DataFrame:
     """Records of csv and xlsx, chunks of the others."""
-    readers = {"csv": lambda: read_csv(spark, path), "xlsx": lambda: read_xlsx(spark, path, sheet), "docx": lambda: chunks_docx(spark, path), "txt": lambda: chunks_text(spark, path), "html": lambda: chunks_text(spark, path), "json": lambda: chunks_text(spark, path), "xml": lambda: read_cases(spark, path)}
+    readers = {"csv": lambda: read_csv(spark, path), "xlsx": lambda: read_xlsx(spark, path, sheet), "docx": lambda: chunks_docx(spark, path), "pdf": lambda: chunks_pdf(spark, path), "rtf": lambda: chunks_rtf(spark, path), "txt": lambda: chunks_text(spark, path), "html": lambda: chunks_html(_whole(spark, path), "path", "value"), "json": lambda: chunks_records(_json(spark, path)), "xml": lambda: read_cases(spark, path)}
     if fmt.lower() not in readers:
         raise SourceUnreadable(f"{fmt!r} cannot be read; use one of {', '.join(readers)}")
     return readers[fmt.lower()]()

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tabloom.plans import catalogue
+from tabloom.plans import catalogue  # the other modules add their queries to its tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -1,4 +1,5 @@
 import zipfile
+import zlib
 
 import pytest
 
@@ -39,3 +40,48 @@ def test_docx_and_text(spark, tmp_path):
     t = tmp_path / "a.txt"
     t.write_text("One. Two.\n\nThree.")
     assert [r["text"] for r in records.read_source(spark, str(t), "txt").orderBy("part").collect()] == ["One. Two.", "Three."]
+
+
+def pdf(pages, packed=False):
+    """A small PDF: a catalog, a tree of pages, one content stream each."""
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (3 + 2 * i) for i in range(len(pages))) + b"] /Count %d >>" % len(pages)}
+    for i, content in enumerate(pages):
+        data = zlib.compress(content)
+        objects[3 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (4 + 2 * i)
+        objects[4 + 2 * i] = b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(data) + data + b"\nendstream"
+    if packed:
+        inner = [(n, o) for n, o in objects.items() if b"stream" not in o]
+        head, body, at = [], b"", 0
+        for n, o in inner:
+            head.append(b"%d %d" % (n, at))
+            body += o + b" "
+            at = len(body)
+            del objects[n]
+        first = b" ".join(head) + b" "
+        data = zlib.compress(first + body)
+        objects[99] = b"<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode >>\nstream\n" % (len(inner), len(first)) + data + b"\nendstream"
+    return b"%PDF-1.5\n" + b"\n".join(b"%d 0 obj\n" % n + o + b"\nendobj" for n, o in objects.items()) + b"\n%%EOF"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf(spark, tmp_path, packed):
+    p = tmp_path / "a.pdf"
+    p.write_bytes(pdf([b"BT /F1 12 Tf 72 720 Td (Hello \\(there\\)) Tj 0 -14 Td [(Wor) -20 (ld)] TJ ET", b"BT (Second) Tj ET"], packed))
+    rows = records.read_source(spark, str(p), "pdf").orderBy("part").collect()
+    assert [(r["text"], r["heading_path"]) for r in rows] == [("Hello (there)", "page 1"), ("World", "page 1"), ("Second", "page 2")]
+    scan = tmp_path / "scan.pdf"
+    scan.write_bytes(pdf([b"q 10 0 0 10 0 0 cm /Im1 Do Q"], packed))
+    with pytest.raises(Exception, match="holds no text"):
+        records.read_source(spark, str(scan), "pdf").collect()
+
+
+def test_rtf_html_json(spark, tmp_path):
+    r = tmp_path / "a.rtf"
+    r.write_text(r"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\info{\title T}}\f0\b One\b0  line\par Two \{x\}\par}")
+    assert [x["text"] for x in records.read_source(spark, str(r), "rtf").orderBy("part").collect()] == ["One line", "Two {x}"]
+    h = tmp_path / "a.html"
+    h.write_text("<html><head><style>p{}</style><title>T</title></head><body><p>A &amp; <b>B</b></p><script>x()</script><ul><li>C</li></ul></body></html>")
+    assert [x["text"] for x in records.read_source(spark, str(h), "html").orderBy("part").collect()] == ["T", "A & B", "C"]
+    j = tmp_path / "a.json"
+    j.write_text('{"a": 1, "b": {"c": "x"}}\n{"a": 2, "b": {"c": null}}\n')
+    assert [x["text"] for x in records.read_source(spark, str(j), "json").orderBy("_row_index").collect()] == ["a: 1; b.c: x", "a: 2"]
