@@ -181,7 +181,8 @@ def chunk_fields(text: Column) -> Column:
 
 def record_text(columns: list[str]) -> Column:
     """`k: v; k: v` of a record, empty values left out."""
-    parts = [F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "", F.concat(F.lit(f"{c}: "), F.trim(F.col(c).cast("string")))) for c in columns]
+    cell = {c: F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in columns}
+    parts = [F.when(v != "", F.concat(F.lit(f"{c}: "), v)) for c, v in cell.items()]
     return F.concat_ws("; ", *parts)
 
 
