@@ -55,6 +55,11 @@ def type_family(c: Column) -> Column:
     return out
 
 
+def is_material(declared: Column) -> Column:
+    """Whether a field's type is money or an identifier: such fields are never accepted unseen."""
+    return F.coalesce(F.lower(F.trim(declared)).isin(*MONEY_TYPES, *IDENTIFIER_TYPES), F.lit(False))
+
+
 def compare_types(declared: Column, observed: Column) -> Column:
     """COMPATIBLE, MISMATCH, or UNKNOWN where either is not known."""
     d, o = type_family(declared), type_family(observed)

@@ -289,3 +289,8 @@ def lacking_terms(wanted: Column, have: Column) -> Column:
 def in_order(values: Column) -> Column:
     """Different values in the order of their first occurrence, blanks left out."""
     return F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (F.trim(v) != "")))
+
+
+def json_list(c: Column) -> Column:
+    """Members of a JSON list as texts, none for null and for what is no list."""
+    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))

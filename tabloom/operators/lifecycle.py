@@ -79,3 +79,26 @@ def unique_names(df: DataFrame, name: str, order: list) -> DataFrame:
     """name, name (2), name (3) for repeated names."""
     n = F.row_number().over(W.partitionBy(F.lower(name)).orderBy(*order))
     return df.withColumn("_n", n).withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), F.col("_n").cast("string"), F.lit(")")))).drop("_n")
+
+
+def redeem(grants: DataFrame, attempts: DataFrame, token: str, granted: str, tried: str, ttl_seconds: int, order: list) -> DataFrame:
+    """Attempts with whether each is served: a grant serves the first attempt that comes before it runs out, and no other."""
+    g = grants.select(F.col(token).alias("_t"), F.col(granted).alias("_g"))
+    age = F.unix_micros(F.col(tried).cast("timestamp")) - F.unix_micros(F.col("_g").cast("timestamp"))
+    a = attempts.join(g, F.col(token) == F.col("_t"), "left").withColumn("_ok", F.coalesce((age >= 0) & (age < ttl_seconds * 1_000_000), F.lit(False)))
+    turn = F.row_number().over(W.partitionBy(token, "_ok").orderBy(*order))
+    return a.withColumn("served", F.col("_ok") & (turn == 1)).drop("_t", "_g", "_ok")
+
+
+#: States of an ingested file, in order.
+INGEST = ("uploaded", "parsed", "indexed", "ready")
+
+
+def ingest_states(events: DataFrame, key: str, state: str, order: list) -> DataFrame:
+    """State of each file from its log: the furthest it reached in one step after another; a failure ends it, and a state that
+    skips one does not count."""
+    steps = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(state).alias("_s")))), lambda x: x["_s"])
+    names = F.array(*[F.lit(s) for s in INGEST])
+    walk = lambda a: F.aggregate(a, F.struct(F.lit(0).alias("n"), F.lit(False).alias("failed")), lambda acc, x: F.when(acc["failed"], acc).when(x == "failed", F.struct(acc["n"].alias("n"), F.lit(True).alias("failed"))).when(x == F.get(names, acc["n"]), F.struct((acc["n"] + 1).alias("n"), F.lit(False).alias("failed"))).otherwise(acc))
+    g = events.groupBy(key).agg(walk(steps).alias("_w"))
+    return g.select(key, F.when(F.col("_w.failed"), "failed").when(F.col("_w.n") == 0, "unknown").otherwise(F.get(names, F.col("_w.n") - 1)).alias("state"))

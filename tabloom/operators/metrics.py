@@ -144,3 +144,20 @@ def timings(calls: DataFrame, operation: str, seconds: str) -> DataFrame:
     """Calls and times of each operation, nearest-rank percentiles as everywhere."""
     pct = lambda q: F.expr(f"percentile_disc({q}) within group (order by {seconds})")
     return calls.groupBy(operation).agg(F.count("*").alias("calls"), F.avg(seconds).alias("mean"), pct(0.5).alias("p50"), pct(0.95).alias("p95"), F.max(seconds).alias("slowest"))
+
+
+def by_state(df: DataFrame, by: str, status: str, states: dict[str, str]) -> DataFrame:
+    """Rows by a kind, with one count for each state (name -> stored value)."""
+    return df.groupBy(by).agg(*[F.count_if(F.col(status) == v).alias(n) for n, v in states.items()])
+
+
+def touches(decisions: DataFrame, decided: Column, template: str) -> DataFrame:
+    """Decisions by people, templates, and decisions per template."""
+    g = decisions.agg(F.count_if(decided).alias("decisions"), F.countDistinct(template).alias("templates"))
+    return g.withColumn("per_template", ratio(F.col("decisions"), F.col("templates"), None))
+
+
+def profile_texts(types: DataFrame) -> DataFrame:
+    """One sentence for each column of column_types, as a chunk that retrieval can find."""
+    kind = F.coalesce(F.concat(F.lit("looks like "), F.col("observed_type")), F.lit("is empty"))
+    return types.select("column", F.concat(F.lit("Column "), "column", F.lit(" holds "), F.col("non_empty").cast("string"), F.lit(" values and "), kind, F.lit(".")).alias("text"))

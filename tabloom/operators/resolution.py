@@ -213,18 +213,22 @@ def bindable_targets(manifest: dict) -> list[tuple[str, str]]:
 
 
 #: Confidence of the tiers of suggestion, the surest first.
-TIERS = (("mergefield", 1.0), ("dictionary", 0.95), ("name", 0.9))
+TIERS = (("mergefield", 1.0), ("dictionary", 0.95), ("name", 0.9), ("model", 0.6))
 
 
-def tiered(targets: DataFrame, columns: DataFrame, dictionary: DataFrame) -> DataFrame:
+def tiered(targets: DataFrame, columns: DataFrame, dictionary: DataFrame, matcher=None) -> DataFrame:
     """The surest tier of each target: a column named like its merge field, one that the dictionary (target, column) names, or one
-    of the same slug. target, column, tier, confidence; targets that no tier knows are left to similarity."""
+    of the same slug; else what a matcher says, a function of targets and columns to pairs (target, column). target, column, tier,
+    confidence; targets that no tier knows are left to similarity."""
     c = small(columns.select("column", slug(F.col("column")).alias("_s")), 100_000)
     t = targets.select("target", "mergefield")
     code = t.join(c, slug(F.col("mergefield")) == F.col("_s")).select("target", "column", F.lit(0).alias("_t"))
     known = t.join(small(dictionary.select("target", slug(F.col("column")).alias("_d"))), "target").join(c, F.col("_d") == F.col("_s")).select("target", "column", F.lit(1).alias("_t"))
     same = t.join(c, slug(F.col("target")) == F.col("_s")).select("target", "column", F.lit(2).alias("_t"))
-    best = code.unionByName(known).unionByName(same).groupBy("target").agg(F.min(F.struct("_t", "column")).alias("b"))
+    every = code.unionByName(known).unionByName(same)
+    if matcher is not None:
+        every = every.unionByName(matcher(targets, columns).join(columns.select("column").distinct(), "column", "left_semi").select("target", "column", F.lit(3).alias("_t")))
+    best = every.groupBy("target").agg(F.min(F.struct("_t", "column")).alias("b"))
     tier = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("s")) for n, s in TIERS])
     return best.select("target", F.col("b.column").alias("column"), F.get(tier, F.col("b._t"))["n"].alias("tier"), F.get(tier, F.col("b._t"))["s"].alias("confidence"))
 

@@ -23,10 +23,16 @@ from tabloom.operators.joins import small, stored
 LEXICAL, VECTOR, AGREEMENT, RANGE_BOOST = 0.45, 0.55, 0.10, 0.15
 
 
-def tfidf_scores(docs: DataFrame, query: str, ident: str, text: str) -> DataFrame:
-    """Cosine of each document and a query with idf = ln((1 + N) / (1 + df)) + 1 over the documents themselves."""
+def tfidf_scores(docs: DataFrame, query: str, ident: str, text: str, max_features: int | None = None, stop: tuple[str, ...] = ()) -> DataFrame:
+    """Cosine of each document and a query with idf = ln((1 + N) / (1 + df)) + 1 over the documents themselves. Words in `stop`
+    do not count; with max_features only so many terms do, the most frequent of the corpus, ties by term."""
     spark = docs.sparkSession
     terms = docs.select(F.col(ident).alias("id"), F.explode(rank_tokens(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    if stop:
+        terms = terms.where(~F.col("term").isin(*stop))
+    if max_features is not None:
+        top = stored(terms.groupBy("term").agg(F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(max_features).select("term"), "terms")
+        terms = terms.join(small(top), "term", "left_semi")
     n = docs.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
     df = terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k")
     idf = df.select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))

@@ -111,3 +111,20 @@ def run(checks: dict) -> DataFrame:
         except Exception as e:  # noqa: BLE001
             parts.append(spark.createDataFrame([("QC_CHECK_FAILED", "blocker", f"{name}: {type(e).__name__}")], "code string, severity string, message string"))
     return findings(*parts)
+
+
+def section_findings(df: DataFrame, key: str, content: str, known_tables: list[str]) -> DataFrame:
+    """All that can be found in one section: uncited numbers, declared gaps and unknown tables, with the section's key."""
+    part = lambda d, code, severity, what: d.select(F.col(key).cast("string").alias("section"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(what).alias("message"))
+    return (
+        part(uncited_numbers(df, key, content), "UNCITED_NUMBER", "warning", "sentence")
+        .unionByName(part(data_needed(df, key, content), "DATA_NEEDED", "blocker", "gap"))
+        .unionByName(part(unknown_tables(df, key, content, known_tables), "TABLE_UNKNOWN", "blocker", "table"))
+    )
+
+
+def orphaned_fields(slots: DataFrame, deleted: DataFrame, field: str, paragraph: str) -> DataFrame:
+    """Fields all of whose slots stand in paragraphs that were deleted."""
+    gone = deleted.select(paragraph).distinct().withColumn("_gone", F.lit(True))
+    g = slots.join(gone, paragraph, "left").groupBy(field).agg(F.every(F.coalesce("_gone", F.lit(False))).alias("_all"), F.count("*").alias("slots"))
+    return g.where("_all").drop("_all")

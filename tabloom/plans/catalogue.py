@@ -136,8 +136,8 @@ def grid_with_counts(spark, d):
 
 @query("SELECT o_orderpriority AS kind, count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderstatus = 'F') AS resolved, count(*) FILTER (o_orderstatus = 'P') AS dismissed FROM orders GROUP BY 1")
 def review_summary(spark, d):
-    n = lambda s, name: F.count_if(F.col("o_orderstatus") == s).alias(name)
-    return read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("kind")).agg(n("O", "open"), n("F", "resolved"), n("P", "dismissed"))
+    o = read(spark, d, "orders").withColumnRenamed("o_orderpriority", "kind")
+    return metrics.by_state(o, "kind", "o_orderstatus", {"open": "O", "resolved": "F", "dismissed": "P"})
 
 
 @query("WITH r(lang, required) AS (VALUES ('en', true), ('de', true), ('xx', false)), h AS (SELECT lang, count(*) AS uploaded, count(*) FILTER (quality = 1) AS ready FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1), j AS (SELECT r.lang, r.required, coalesce(uploaded, 0) AS uploaded, coalesce(ready, 0) AS ready FROM r LEFT JOIN h ON h.lang = r.lang) SELECT *, (SELECT bool_and(ready > 0) FROM j WHERE required) AS all_required_ready FROM j")
@@ -165,8 +165,7 @@ def churn_per_quarter(spark, d):
 
 @query("SELECT count(*) FILTER (l_returnflag <> 'N') AS decisions, count(DISTINCT l_partkey) AS templates, count(*) FILTER (l_returnflag <> 'N') / count(DISTINCT l_partkey) AS per_template FROM lineitem")
 def reviewer_touches(spark, d):
-    g = read(spark, d, "lineitem").agg(F.count_if(F.col("l_returnflag") != "N").alias("decisions"), F.countDistinct("l_partkey").alias("templates"))
-    return g.withColumn("per_template", metrics.ratio(F.col("decisions"), F.col("templates"), None))
+    return metrics.touches(read(spark, d, "lineitem"), F.col("l_returnflag") != "N", "l_partkey")
 
 
 @query("SELECT 'auto_map_rate' AS key, count(*) FILTER (event_type = 'purchase') / count(*) FILTER (event_type IN ('purchase', 'error')) AS value, CAST(NULL AS VARCHAR) AS unavailable_reason, count(*) FILTER (event_type IN ('purchase', 'error')) AS sample FROM events")

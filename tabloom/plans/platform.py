@@ -416,3 +416,86 @@ def service_registry(spark, d):
 @query("SELECT event_type, count(*) AS calls, round(max(value), 4) AS slowest FROM events GROUP BY 1")
 def operation_timings(spark, d):
     return metrics.timings(read(spark, d, "events"), "event_type", "value").select("event_type", "calls", F.round("slowest", 4).alias("slowest"))
+
+
+# States, grants, hooks
+
+
+@query("SELECT l_orderkey AS file, CASE WHEN list_contains(s, 'failed') AND (NOT list_contains(s, 'uploaded') OR list_position(s, 'failed') >= 1) THEN 'failed' WHEN NOT list_contains(s, 'uploaded') THEN 'unknown' WHEN NOT list_contains(s, 'parsed') THEN 'uploaded' WHEN NOT list_contains(s, 'indexed') THEN 'parsed' ELSE 'indexed' END AS state FROM (SELECT l_orderkey, list(DISTINCT CASE l_linenumber WHEN 1 THEN 'uploaded' WHEN 2 THEN 'parsed' WHEN 3 THEN 'indexed' WHEN 7 THEN 'failed' ELSE 'noise' END) AS s FROM lineitem GROUP BY 1)")
+def ingest_states(spark, d):
+    n = F.col("l_linenumber")
+    e = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), n.alias("at"), F.when(n == 1, "uploaded").when(n == 2, "parsed").when(n == 3, "indexed").when(n == 7, "failed").otherwise("noise").alias("s"))
+    return lifecycle.ingest_states(e, "file", "s", ["at"])
+
+
+@query("SELECT served, count(*) AS n FROM (SELECT ok AND row_number() OVER (PARTITION BY user_id, ok ORDER BY ts, event_id) = 1 AS served FROM (SELECT *, coalesce(ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12', false) AND user_id % 3 <> 0 AS ok FROM events)) GROUP BY 1")
+def download_grants(spark, d):
+    e = read(spark, d, "events").select("event_id", F.col("user_id").alias("token"), "ts")
+    g = e.where("token % 3 <> 0").select("token").distinct().withColumn("granted", F.lit("2024-01-05").cast("timestamp_ntz"))
+    return lifecycle.redeem(g, e, "token", "granted", "ts", 7 * 86400, ["ts", "event_id"]).groupBy("served").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'unknown' AS target, 'Customer' AS \"column\", 'model' AS tier, 0.6::DOUBLE AS confidence UNION ALL SELECT 'segment', 'Segment', 'name', 0.9")
+def matcher_hook(spark, d):
+    targets = spark.createDataFrame([("segment", None), ("unknown", None)], "target string, mergefield string")
+    columns = spark.createDataFrame([("Segment",), ("Customer",)], "column string")
+    guess = lambda t, c: t.select("target", F.lit("Customer").alias("column")).unionByName(t.select("target", F.lit("No such").alias("column")))
+    return resolution.tiered(targets, columns, spark.createDataFrame([], "target string, column string"), guess)
+
+
+@query("SELECT 'Column ' || c || ' holds ' || n || ' values and looks like ' || k || '.' AS text, c AS \"column\" FROM (SELECT 'c_name' AS c, count(*) AS n, 'text' AS k FROM customer UNION ALL SELECT 'c_acctbal', count(*), 'number' FROM customer)")
+def column_texts(spark, d):
+    return metrics.profile_texts(metrics.column_types(read(spark, d, "customer"), ["c_name", "c_acctbal"]))
+
+
+@query("SELECT blocked, count(*) AS n FROM (SELECT o_orderstatus = 'P' AS blocked FROM orders) GROUP BY 1")
+def generated_records(spark, d):
+    """Resolved records with their lineage, written by state and read back."""
+    from tabloom.sources import records
+
+    U = resolution.Unit
+    o = read(spark, d, "orders").withColumn("status_cell", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
+    out = resolution.resolve(o, [U("status", "source", "status_cell")]).select("o_orderkey", "status", "lineage", "blocked")
+    path = shared_path(spark, "generated")
+    records.write_records(out, path, ["blocked"])
+    back = spark.read.parquet(path).where(F.size("lineage") == 1)
+    return back.groupBy(F.col("blocked").cast("boolean").alias("blocked")).agg(F.count("*").alias("n"))
+
+
+@query("WITH n AS (SELECT n_nationkey AS k, n_regionkey AS c, n_nationkey % 3 AS b FROM nation), p AS (SELECT x.k AS a, y.k AS b, 0.8 + 0.2 * (x.b = y.b)::INTEGER AS s FROM n x JOIN n y ON x.k < y.k AND x.c = y.c), m AS (SELECT k, avg(s) AS s FROM (SELECT a AS k, s FROM p UNION ALL SELECT b, s FROM p) GROUP BY 1), c AS (SELECT k, min(k) OVER (PARTITION BY c) AS component FROM n) SELECT component, (SELECT k FROM m JOIN c c2 USING (k) WHERE c2.component = c.component ORDER BY round(m.s, 9) DESC, k LIMIT 1) AS medoid, count(*) AS members FROM c GROUP BY 1")
+def cluster_medoids(spark, d):
+    from tabloom.operators import clusters
+    from tabloom.plans.texts import structural_pairs
+
+    p = structural_pairs(spark, d).withColumn("score", F.round("score", 9))
+    return clusters.medoids(p, clusters.components(p))
+
+
+@query("SELECT p_size % 6 AS kind, p_size % 6 IN (0, 1, 3) AS material, count(*) AS n FROM part GROUP BY 1, 2")
+def material_fields(spark, d):
+    from tabloom.functions import scores
+
+    k = F.col("p_size") % 6
+    t = F.element_at(F.array(*[F.lit(x) for x in ("Currency", "identifier", "text", " amount ", "date", None)]), k + 1)
+    return read(spark, d, "part").groupBy(k.alias("kind"), scores.is_material(t).alias("material")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('inputs', 'a,b,c'), ('tree', 'BoolOp'), ('too deep', 'refused')) v(what, told)")
+def language_readings(spark, d):
+    """Inputs of a formula, the tree of a condition, and an expression that is outside the language."""
+    from tabloom.operators import formulas
+
+    try:
+        conditions.parse("__import__('os')")
+        other = "read"
+    except conditions.ConditionError:
+        other = "refused"
+    return spark.createDataFrame([("inputs", ",".join(sorted(formulas.identifiers("max(a, b) * c - 1")))), ("tree", type(conditions.parse("a > 1 and b < 2")).__name__), ("too deep", other)], "what string, told string")
+
+
+@query("SELECT p_partkey, round(round(p_retailprice / 7, 2) + abs(-p_size) + least(p_size, 9) + greatest(p_size, 9) + (p_size + 2 + 3) + (p_size + 4) / 2 + floor(p_size / 4) + ceil(p_size / 4) + sqrt(p_size), 6)::DOUBLE AS value FROM part")
+def formula_functions(spark, d):
+    from tabloom.operators import formulas
+
+    f = formulas.formula("round(price / 7, 2) + abs(-n) + min(n, 9) + max(n, 9) + sum([n, 2, 3]) + mean(n, 4) + floor(n / 4) + ceil(n / 4) + sqrt(n)", {"price": F.col("p_retailprice"), "n": F.col("p_size")})
+    return read(spark, d, "part").select("p_partkey", F.round(f["value"], 6).alias("value"))

@@ -412,3 +412,38 @@ def bindable_targets(spark, d):
     manifest = {"fields": [{"id": "amount"}, {"id": "fee", "kind": "computed", "inputs": ["amount", "rate"]}], "conditions": [{"expression": "status == 'P' and amount > 5"}]}
     return spark.createDataFrame(resolution.bindable_targets(manifest), "name string, origin string")
 
+
+
+@query("SELECT o_orderkey::VARCHAR AS section, 'UNCITED_NUMBER' AS code, 'warning' AS severity, 'It was 9.' AS message FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey::VARCHAR, 'DATA_NEEDED', 'blocker', 'dose' FROM orders WHERE o_orderkey % 2 = 1 UNION ALL SELECT o_orderkey::VARCHAR, 'TABLE_UNKNOWN', 'blocker', 'T9' FROM orders WHERE o_orderkey % 2 = 1")
+def section_bundle(spark, d):
+    t = F.when(F.col("o_orderkey") % 2 == 0, "All well. It was 9. See [TABLE: T1]").otherwise("Nothing said [DATA NEEDED: dose] [TABLE: T9] [TABLE: T1]")
+    return text_checks.section_findings(read(spark, d, "orders").select("o_orderkey", t.alias("t")), "o_orderkey", "t", ["T1"])
+
+
+@query("SELECT l_orderkey AS field, count(*) AS slots FROM lineitem GROUP BY 1 HAVING bool_and(l_linestatus = 'F')")
+def orphaned_fields(spark, d):
+    li = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("field"), F.col("l_linestatus").alias("paragraph"))
+    return text_checks.orphaned_fields(li, li.where("paragraph = 'F'"), "field", "paragraph")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand || '|2' END AS members FROM part")
+def json_lists(spark, d):
+    t = F.when(F.col("p_size") % 3 == 0, "no list").otherwise(say('["', "$p_brand", '", 2]'))
+    return part(spark, d).select("p_partkey", F.array_join(T.json_list(t), "|").alias("members"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN 1 END::INTEGER AS place FROM part")
+def header_rows(spark, d):
+    row = lambda *c: F.array(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    rows = F.array(row(F.col("p_name"), "x"), F.when(F.col("p_size") % 3 != 0, row("Test", "Limit")).otherwise(row("a", "Test")), row("Result", "Batch 12X"))
+    rows = F.when(F.col("p_size") % 3 != 0, rows).otherwise(F.slice(rows, 1, 2))
+    return part(spark, d).select("p_partkey", records.header_row(rows).cast("int").alias("place"))
+
+
+@query(
+    "WITH d AS (SELECT p_partkey AS id, unnest(string_split(p_name || ' ' || lower(p_type), ' ')) AS term FROM part), t AS (SELECT id, term, count(*) AS tf FROM d WHERE term <> 'widget' GROUP BY 1, 2), f AS (SELECT term FROM t GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 4), u AS (SELECT t.* FROM t JOIN f USING (term)), n AS (SELECT count(*) AS n FROM part), i AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1 AS idf FROM u, n GROUP BY term, n), "
+    "w AS (SELECT id, term, tf * idf AS w FROM u JOIN i USING (term)), q AS (SELECT term, idf AS qw FROM i WHERE term IN ('cold', 'small', 'economy', 'promo', 'standard')), qn AS (SELECT sqrt(sum(qw * qw)) AS qn FROM q), nn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1) SELECT w.id, round(sum(w * qw) / (norm * qn), 6) AS score FROM w JOIN q USING (term) JOIN nn USING (id), qn GROUP BY w.id, norm, qn"
+)
+def limited_vocabulary(spark, d):
+    x = part(spark, d).select("p_partkey", say("$p_name", " ", "$p_type").alias("t"))
+    return retrieval.tfidf_scores(x, "cold small economy promo standard", "p_partkey", "t", 4, ("widget",)).withColumn("score", F.round("score", 6))

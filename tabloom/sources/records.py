@@ -6,6 +6,7 @@ any value are dropped; each record keeps _row_index and _sheet."""
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -374,6 +375,34 @@ def chunks_json(lines: DataFrame, ident: str, json: str, schema: str) -> DataFra
     return flat.select(F.col("_id").alias("id"), record_text([c for c in flat.columns if c != "_id"]).alias("text"), F.lit("record").alias("element_type"))
 
 
+def header_row(rows: F.Column, least: int = 2) -> F.Column:
+    """Place (from 0) of the first row of a table with so many headers of a known role; null where there is none."""
+    known = F.transform(rows, lambda r: F.size(F.filter(r, lambda c: header_role(c).isNotNull())))
+    at = F.array_position(F.transform(known, lambda n: n >= least), True)
+    return F.when(at > 0, at - 1)
+
+
+def package_parts(spark: SparkSession, path: str) -> DataFrame:
+    """part, sha256, size of each file inside office packages: what two versions of one are compared by."""
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for where, data in zip(b["path"], b["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    out += [(where, n, hashlib.sha256(z.read(n)).hexdigest(), z.getinfo(n).file_size) for n in z.namelist()]
+            yield pd.DataFrame(out, columns=["path", "part", "sha256", "size"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parts, "path string, part string, sha256 string, size long")
+
+
+def package_diff(spark: SparkSession, before: str, after: str) -> DataFrame:
+    """part, status (added, removed, changed, same) of two versions of a package."""
+    from tabloom.operators.usage import row_diff
+
+    return row_diff(package_parts(spark, before), package_parts(spark, after), "part", ["sha256"])
+
+
 def laboratory_table(rows: DataFrame, headers: str, cells: str) -> DataFrame:
     """Rows (headers array, cells array<string>) of a laboratory table as role -> cell, the first column of each role. Cells
     under headers without a role are left out."""

@@ -85,3 +85,12 @@ def test_rtf_html_json(spark, tmp_path):
     j = tmp_path / "a.json"
     j.write_text('{"a": 1, "b": {"c": "x"}}\n{"a": 2, "b": {"c": null}}\n')
     assert [x["text"] for x in records.read_source(spark, str(j), "json").orderBy("_row_index").collect()] == ["a: 1; b.c: x", "a: 2"]
+
+
+def test_package_diff(spark, tmp_path):
+    for name, parts in (("a.docx", {"x": "1", "y": "2", "z": "3"}), ("b.docx", {"x": "1", "y": "9", "w": "4"})):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for k, v in parts.items():
+                z.writestr(k, v)
+    rows = records.package_diff(spark, str(tmp_path / "a.docx"), str(tmp_path / "b.docx")).collect()
+    assert {(r["part"], r["status"]) for r in rows} == {("x", "same"), ("y", "changed"), ("z", "removed"), ("w", "added")}
