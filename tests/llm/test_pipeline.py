@@ -1,6 +1,11 @@
 import re
+from collections import Counter
+
+import duckdb
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from tabloom.llm import mixing, quality
 from tabloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +41,48 @@ def test_empty_corpus_and_odd_rows(spark):
 
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Each stage from its own input: the posteriors' decision, all pairs of shingle sets, and the mix in DuckDB."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    model = quality.QualityModel(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    want = {r["doc_id"] for r in model.score(docs).where((F.col("p_good") >= 0.5) & (F.col("p_toxic") < 0.5)).select("doc_id").collect()}
+    assert {r["doc_id"] for r in pipeline.quality(spark, docs, SF).select("doc_id").collect()} == want
+
+    sets = {}
+    for i, r in rows.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sorted(sets):
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    once = {i for i in sets if find(i) == i}
+    assert {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, SF).select("doc_id").collect()} == once
+
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    taken = db.execute(f"select doc_id, floor(sum(taken) / sum(size) + 0.5) from ({mixing.OP9_SQL}) where size > 0 group by doc_id, source").fetchall()
+    times = Counter(r["doc_id"] for r in pipeline.mixing(spark, docs, SF).select("doc_id").collect())
+    assert dict(times) == {i: int(n) for i, n in taken if n > 0}
+
+
+def test_extra_columns_pass_all_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ("_id", "_source", "_times", "_copy", "_row", "_h", "_p", "component_id", "taken", "kept")
+    d = docs.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    for _, stage in pipeline.STAGES[1:]:
+        d = stage(spark, d, SF).cache()
+        assert all({r[n] for r in d.select(n).distinct().collect()} <= {f"own {n}"} for n in names)
+    kept = pipeline.quality(spark, docs.select("*", *[F.lit("own").alias(n) for n in ("_h", "_p", "path_good", "host")]), SF)
+    assert kept.columns[-1] == "host" and {r["host"] for r in kept.collect()} == {"own"}
