@@ -2,12 +2,12 @@
 
 Vectors are compared within a label by cosine; on unit vectors a cosine of c is a distance of sqrt(2 - 2c). Points are
 split by nearest pivots, level by level, until each cell is small enough for a task; cells keep their centre and
-covering radius. Pairs of nodes are followed down level by level, and a pair is left out when the distance of the centres
-exceeds both radii plus the threshold's distance, and settled if all their points link by the same bound. The radii of these upper
-levels are measured, not halved: over all rows no net of a given radius can be chosen without gathering them. For each pair of
-cells that remains, a task builds a cover tree of either
-(nets with halving radii, nested by assignment), walks both trees together with the same bound, accepts node pairs
-whose bound shows that all of their points link, and compares the points of the leaf pairs that are left.
+covering radius. Pairs of nodes are followed down level by level; a pair is left out when the distance of the centres
+exceeds both radii plus the threshold's distance, and settled if the same bound shows that all their points link. The radii of
+these upper levels are measured, not halved: over all rows no net of a given radius can be chosen without gathering them.
+For each pair of cells that remains, a task builds a cover tree of either (nets with halving radii, nested by assignment),
+walks both trees together with the same bound, accepts node pairs whose points all link, and compares the points of the leaf
+pairs that are left.
 
 A task never gives out pairs: it counts links per vector and gives edges that span its linked sets. Equal vectors are
 one point with a number of members, so copies are counted and not expanded.

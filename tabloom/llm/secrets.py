@@ -22,7 +22,9 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -160,11 +162,14 @@ def score_bin(p: float) -> int:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Runs that the battery judges: digits and letters, no overlap with a base span. `decoys`: the score bins of theirs."""
     out = []
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))  # the furthest end of the spans so far
     for run in RUN.finditer(text):
         token, s, e = run[0], run.start(), run.end()
         if e - s < LEAST_RANDOM or token.isalpha() or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
             continue
-        if any(s < be and bs < e for bs, _, be in base) or not (enc := infer_encoding(token)):
+        before = bisect_left(starts, e)
+        if (before and reach[before - 1] > s) or not (enc := infer_encoding(token)):
             continue
         name, symbols, m = enc
         # Whole neighbourhoods of the token, not a share of the text: as many words as decoys can use.
