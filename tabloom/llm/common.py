@@ -169,6 +169,14 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"u": u[0], "v": v[0]})
 
 
+def saved_components(edges: DataFrame, scratch: Scratch, name: str, src: str = "src", dst: str = "dst") -> DataFrame:
+    """components, saved as a table of scratch; the rounds' own tables are dropped."""
+    rounds = Scratch(scratch.spark, "components")
+    out = scratch.save(components(edges, rounds, src, dst), name)
+    rounds.drop()
+    return out
+
+
 def components(edges: DataFrame, scratch: Scratch, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): smallest node reachable over undirected edges of longs.
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches_of, components, small, table
+from .common import Scratch, batches_of, saved_components, small, table
 from .shingles import mix, shingle_set, word_hashes
 
 GROUPS = 256
@@ -333,12 +333,12 @@ class JaccardJoin:
 
         first = s.save(self.blocked(placed, sketch, None, most).distinct(), "pairs-1")
         links = s.save(self.verified(first, sketch, s.rows["pairs-1"]), "links-1")
-        found = s.save(components(links, Scratch(self.spark, "jaccard-cc"), "a", "b"), "components")
+        found = saved_components(links, s, "components", "a", "b")
         if most > SMALL_BLOCK:
             rest = s.save(self.blocked(placed, sketch, found, most).distinct().join(first, ["a", "b"], "left_anti"), "pairs-2")
             if s.rows["pairs-2"]:
                 links = links.unionByName(s.save(self.verified(rest, sketch, s.rows["pairs-2"]), "links-2"))
-                found = s.save(components(links, Scratch(self.spark, "jaccard-cc"), "a", "b"), "components-2")
+                found = saved_components(links, s, "components-2", "a", "b")
         s.keep("sketch", "classes", "components", "components-2")
         named = sketch.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"], "left")
         return (
@@ -395,7 +395,7 @@ class JaccardJoin:
 
         Candidate pairs passed a tight bound, so their own components are small: each text moves once, to its component.
         A component with more than GROUP_SHINGLES shingles or GROUP_PAIRS pairs is verified pair by pair instead, by joins."""
-        group = self.scratch.save(components(pairs, Scratch(self.spark, "jaccard-cc"), "a", "b"), f"groups-{uuid.uuid4().hex}")
+        group = saved_components(pairs, self.scratch, f"groups-{uuid.uuid4().hex}", "a", "b")
         weight = group.join(sketch.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("w"))
         work = pairs.join(group.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.count("*").alias("p"))
         big = (F.col("w") > GROUP_SHINGLES) | (F.col("p") > GROUP_PAIRS)

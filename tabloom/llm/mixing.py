@@ -126,6 +126,7 @@ def mix_sources(
     within = W.partitionBy("sx", "group").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     streams = keyed.withColumn("pos", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["sx", "group"]).withColumn("pos", F.col("pos") + F.col("start"))
     streams = scratch.save(streams.select("doc_id", "source", "size", "sx", "source_size", "target", "block", "pos"), "streams")
+    scratch.keep("sources", "streams")
 
     pieces = (
         streams.where("size > 0")
