@@ -38,10 +38,11 @@ def tfidf_scores(docs: DataFrame, query: str, ident: str, text: str, max_feature
     idf = df.select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     q = spark.range(1).select(F.explode(rank_tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
     # The query is a given text; its terms are few whatever the corpus.
-    weights = stored(idf.join(F.broadcast(q), "term", "left").select("term", "idf", (F.col("qtf") * F.col("idf")).alias("qw")), "idf")
+    weights = idf.join(F.broadcast(q), "term", "left").select("term", "idf", (F.col("qtf") * F.col("idf")).alias("qw"))
     qn = weights.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn")).withColumn("_k", F.lit(1))
-    # Norm and dot product come from one aggregation over the terms of each document.
-    w = terms.join(small(weights), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    # Norm and dot product come from one aggregation over the terms of each document. The counted terms are shuffled once for
+    # the document frequencies and for this join, which adaptive execution broadcasts where the vocabulary is small.
+    w = terms.join(weights, "term").withColumn("w", F.col("tf") * F.col("idf"))
     sums = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.col("w") * F.col("qw")).alias("dot"))
     return sums.where("dot is not null").withColumn("_k", F.lit(1)).join(F.broadcast(qn), "_k").select("id", (F.col("dot") / (F.col("norm") * F.col("qn"))).alias("score"))
 
