@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, decontamination, heavy_dedup, jaccard_join, licenses, merkle, mixing, quality, secrets, sharding, suffix_dedup, token_store
+from . import collocations, cover_tree, decontamination, heavy_dedup, jaccard_join, licenses, merkle, mixing, quality, secrets, sharding, suffix_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontamination.op1_decontaminate,
@@ -20,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix": mixing.op9_mix,
     "op10_token_store": token_store.op10_token_store,
     "op11_heavy_dedup": heavy_dedup.op11_heavy_dedup,
+    "op12_collocations": collocations.op12_collocations,
     "op13_merkle": merkle.op13_merkle,
 }
 
 #: Hashes, fingerprints, checksums, tokenizers and fitted models have no SQL form; tests/llm has brute force for the others.
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontamination.OP1_SQL, "op4_near_vectors": cover_tree.OP4_SQL, "op7_jaccard_join": jaccard_join.OP7_SQL,
-                              "op9_mix": mixing.OP9_SQL, "op11_heavy_dedup": heavy_dedup.OP11_SQL, "op13_merkle": merkle.OP13_SQL}
+                              "op9_mix": mixing.OP9_SQL, "op11_heavy_dedup": heavy_dedup.OP11_SQL, "op12_collocations": collocations.OP12_SQL,
+                              "op13_merkle": merkle.OP13_SQL}
