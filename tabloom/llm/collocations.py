@@ -6,9 +6,11 @@ the number of those places, and the suffix link to the next shorter class. The l
 the reversed text, so it is read off the sorted reversed contexts of all places. The strings of each class are enumerated with
 their endpos counts and the counts are added over all shards.
 
-A string that occurs often enough consists of words and word pairs that do, so a first pass counts words, a second the pairs of
-frequent words (by hash), and the automata hold only stretches whose words and pairs pass. The passes hand each other bit sets of a
-fixed size: a false hit costs a little work, and no string that is frequent is ever cut, so all counts are exact.
+A string that occurs often enough consists of words and shorter strings that do, so passes follow each other: words, pairs, strings
+of three, and longer ones. The automata of a pass hold only strings whose parts are frequent. The passes hand each other bit sets
+of a fixed size: a false hit costs a little work, and no string that is frequent is ever left out, so all counts are exact. Counts
+travel under 96 bits of hash. A shard sends the text of a string only if it has its share of the occurrences that make a string
+frequent (as large as the shard's share of all words): of each frequent string, one shard at least has that many.
 
 Subsumption follows the suffix link of each counted string, to the string less its first word, and the mirrored link, to the string
 less its last one. Links of one word suffice: whatever lies between a phrase and a longer one around it is as frequent as the latter.
@@ -36,8 +38,10 @@ from .shingles import U, mix
 
 #: Words of one automaton; a longer text is a shard of its own.
 SHARD_WORDS = 4_000_000
-#: Bits of the sets of frequent words and of frequent pairs: 1 MB and 8 MB at every size of the input.
-WORD_BITS, PAIR_BITS = 1 << 23, 1 << 26
+#: Bits of the sets of frequent words and of longer frequent strings: 1 MB and 8 MB each at every size of the input.
+WORD_BITS, STRING_BITS = 1 << 23, 1 << 26
+#: Languages whose numbers of words are known to all tasks: those with the most words. In others all texts of strings are sent.
+KNOWN_LANGUAGES = 10_000
 #: Parts of a language that are ranked on their own before its best phrases meet.
 RANK_PARTS = 32
 #: Word of a boundary between pieces. It is no word, since pieces end there.
@@ -85,10 +89,6 @@ def word_hash(lang: str, words: pa.StringArray) -> np.ndarray:
     return mix(pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) ^ mix(own)) if len(words) else np.zeros(0, U)
 
 
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first + mix(second))
-
-
 class BitSet:
     """Set of 64-bit hashes by their remainder: holds all that were put in, and a few others."""
 
@@ -122,16 +122,19 @@ class SuffixAutomaton:
     link: np.ndarray
 
     @staticmethod
-    def build(words: np.ndarray, depth: int) -> SuffixAutomaton:
-        """words: ids from 1, with 0 at boundaries that no string spans."""
-        places = np.flatnonzero(words)
+    def build(words: np.ndarray, depth: int, reach: np.ndarray | None = None, least: int = 1) -> SuffixAutomaton:
+        """words: ids from 1, with 0 at boundaries that no string spans. reach: words of the longest string that counts at each
+        place, if not all count. least: strings of fewer words are not asked for, and places where only such ones end are
+        left out."""
+        places = np.flatnonzero(words if reach is None else reach >= least)
         n = len(places)
         context = np.zeros((depth, n), words.dtype)
         if n:
             context[0] = words[places]
         for d in range(1, depth):
             before = places - d
-            context[d] = np.where((before >= 0) & (context[d - 1] != 0), words[np.maximum(before, 0)], 0)
+            within = (before >= 0) & (context[d - 1] != 0) if reach is None else reach[places] > d
+            context[d] = np.where(within, words[np.maximum(before, 0)], 0)
         order = np.lexsort(context[::-1])
         context, places = context[:, order], places[order]
         # groups[k]: at the first row of each string of k words, the number of its places; 0 elsewhere.
@@ -189,39 +192,39 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"h": word_hash(lang, words).view(np.int64)})
 
 
-def _pairs_of(lang: str, ids: np.ndarray, names: pa.StringArray, frequent: BitSet) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose word and the next one are frequent and in one piece, and the hashes of those pairs."""
-    h = np.concatenate([np.zeros(1, U), word_hash(lang, names)])
-    good = frequent.holds(h)
-    good[0] = False
-    at = np.flatnonzero(good[ids[:-1]] & good[ids[1:]])
-    return at, pair_hash(h[ids[at]], h[ids[at + 1]])
+def string_hashes(words: np.ndarray, most: int) -> list[np.ndarray]:
+    """[k]: hashes of the k words that end at each place, from hashes of words."""
+    out = [words, words]
+    for k in range(2, most + 1):
+        h = np.zeros_like(words)
+        h[1:] = mix(out[-1][:-1] + mix(words[1:] ^ U(k)))
+        out.append(h)
+    return out
 
 
-def _pair_counts(words):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, ids, names in shards(batches):
-            h, n = np.unique(_pairs_of(lang, ids, names, words.value)[1], return_counts=True)
-            yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "n": n.astype(np.int32)})
-
-    return run
-
+def _string_counts(sets, totals: dict[str, int], least: int, shortest: int, longest: int):
+    """Counts of the strings of so many words all of whose parts pass. sets: of frequent strings of 1, 2, ... words."""
 
-def _phrase_counts(words, pairs, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, ids, names in shards(batches):
-            at, h = _pairs_of(lang, ids, names, words.value)
-            at = at[pairs.value.holds(h)]
-            linked = np.zeros(len(ids) + 1, bool)
-            linked[at] = True
-            # Words of frequent pairs stay; a boundary goes wherever the pair of neighbours does not pass.
-            kept = np.flatnonzero(linked[:-1] | np.concatenate([[False], linked[:-2]]))
-            cut = ~linked[kept]
-            stream = np.zeros(len(kept) + int(cut.sum()), np.int64)
-            stream[np.arange(len(kept)) + np.concatenate([[0], np.cumsum(cut)[:-1]])[: len(kept)]] = ids[kept]
-            for k, ends, counts in SuffixAutomaton.build(stream, most).strings(2, most):
-                parts = [names.take(pa.array(stream[ends - j] - 1)) for j in range(k - 1, -1, -1)]
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(ends), pa.string()), "phrase": pc.binary_join_element_wise(*parts, " "), "k": np.full(len(ends), k, np.int32), "n": counts})
+            h = string_hashes(np.concatenate([np.zeros(1, U), word_hash(lang, names)])[ids], longest)
+            reach = ((ids > 0) & sets[0].value.holds(h[1])).astype(np.int8)
+            for k in range(2, longest + 1):
+                ok = (reach[1:] == k - 1) & (reach[:-1] >= k - 1)
+                if k < shortest:
+                    ok &= sets[k - 1].value.holds(h[k][1:])
+                reach[1:] += ok
+            share = least * int((ids > 0).sum()) / totals[lang] * (1 - 1e-9) if lang in totals else 0  # rounding must not lose a text
+            for k, ends, counts in SuffixAutomaton.build(ids.astype(np.int32), longest, reach, shortest).strings(shortest, longest):
+                told = np.flatnonzero(counts >= share)
+                parts = [names.take(pa.array(ids[ends[told] - j] - 1)) for j in range(k - 1, -1, -1)]
+                phrases = np.full(len(ends), None, object)
+                phrases[told] = pc.binary_join_element_wise(*parts, " ").to_numpy(zero_copy_only=False)
+                said = np.full(len(ends), None, object)
+                said[told] = lang
+                key = h[k][ends]
+                check = (mix(key ^ mix(h[k - 1][ends])) >> U(33)).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"h": key.view(np.int64), "c": check, "n": counts.astype(np.int32), "lang": pa.array(said, pa.string()), "phrase": pa.array(phrases, pa.string())})
 
     return run
 
@@ -244,15 +247,20 @@ class Collocations:
         enough = F.col("n") >= self.least
         words = s.save(self.docs.mapInArrow(_word_counts, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "words")
         totals = s.save(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-        frequent = words.where(enough)
-        word_set = sc.broadcast(BitSet.gather(frequent.select("lang", "phrase").mapInArrow(_hashes, "h long"), WORD_BITS))
-        pairs = self.docs.mapInArrow(_pair_counts(word_set), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(enough)
-        pair_set = sc.broadcast(BitSet.gather(pairs, PAIR_BITS))
-        phrases = self.docs.mapInArrow(_phrase_counts(word_set, pair_set, self.most), "lang string, phrase string, k int, n long")
-        phrases = phrases.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(enough)
-        phrases = s.save(phrases.unionByName(frequent.withColumn("k", F.lit(1))), "phrases")
-        word_set.unpersist()
-        pair_set.unpersist()
+        known = {r["lang"]: r["n"] for r in totals.orderBy(F.desc("n"), "lang").limit(KNOWN_LANGUAGES).collect()}
+        phrases = words.where(enough).select("lang", "phrase", F.lit(1).alias("k"), "n")
+        sets = [sc.broadcast(BitSet.gather(phrases.mapInArrow(_hashes, "h long"), WORD_BITS))]
+        for shortest, longest in ((2, 2), (3, 3), (4, self.most)):
+            longest = min(longest, self.most)
+            if shortest > longest:
+                break
+            found = self.docs.mapInArrow(_string_counts(sets, known, self.least, shortest, longest), "h long, c int, n int, lang string, phrase string")
+            found = found.groupBy("h", "c").agg(F.sum("n").alias("n"), F.max("lang").alias("lang"), F.max("phrase").alias("phrase")).where(enough)
+            found = s.save(found, f"strings-{shortest}")
+            sets.append(sc.broadcast(BitSet.gather(found, STRING_BITS)))
+            phrases = phrases.unionByName(found.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("k"), "n"))
+        for x in sets:
+            x.unpersist()
         return phrases, totals
 
     def maximal(self, phrases: DataFrame) -> DataFrame:

@@ -64,7 +64,8 @@ def test_equals_brute_force(spark, monkeypatch, seed, least, share, shard):
 def test_full_bit_sets_change_nothing(spark, monkeypatch):
     """With one word of bits nearly all hashes are false hits: more work, the same counts."""
     monkeypatch.setattr(collocations, "WORD_BITS", 64)
-    monkeypatch.setattr(collocations, "PAIR_BITS", 64)
+    monkeypatch.setattr(collocations, "STRING_BITS", 64)
+    monkeypatch.setattr(collocations, "KNOWN_LANGUAGES", 1)
     data = rows(4)
     df = spark.createDataFrame([(i, *r, "", "", 1) for i, r in enumerate(data)], DOCS)
     assert sorted(map(tuple, Collocations(df, least=6).run().collect())) == brute(data, 6)
