@@ -13,7 +13,7 @@ A task never gives out pairs: it counts links per vector and gives edges that sp
 one point with a number of members, so copies are counted and not expanded.
 
 Null and edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and vectors with a null
-label or vec_id, link with nothing; vectors of different lengths never link; rows with one vec_id are one node of the
+label or vec_id, link with nothing; components of any size that a double holds count, tiny and huge ones alike; vectors of different lengths never link; rows with one vec_id are one node of the
 link graph; extra columns are not read; an empty table gives an empty result.
 """
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import BROADCAST_ELEMENTS, Scratch, components, small, small_lists, table
 from .jaccard_join import groups_of
@@ -40,7 +41,13 @@ CLOSE = 1e-9
 ONE_DIRECTION = 1e-6
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: squares neither overflow nor vanish, and no digit is lost."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -142,7 +149,7 @@ def linked(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[slice |
 
 def _tree(raw: np.ndarray) -> CoverTree:
     t = CoverTree(unit(raw))
-    t.raw = raw[t.order]
+    t.raw = scaled(raw)[t.order]
     return t
 
 
@@ -249,7 +256,10 @@ class NearVectors:
         self.spark = vectors.sparkSession
         self.scratch = Scratch(self.spark, "vectors")
         self.cosine = cosine
-        v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).cast("string").alias("label"))
+        # Single precision stays as it is, which halves what moves; all else is carried as doubles. Cosines are of doubles either way.
+        own = vectors.schema[vector_col].dataType.elementType
+        self.kind = "array<float>" if isinstance(own, FloatType) else "array<double>"
+        v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(self.kind).alias("embedding"), F.col(label_col).cast("string").alias("label"))
         ok = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
         self.rows = v.withColumn("valid", ok & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(7), F.reverse("embedding")))
 
@@ -305,8 +315,8 @@ class NearVectors:
             elements = pivots.agg(F.coalesce(F.sum(F.size("pivots") * F.size(F.col("pivots")[0])), F.lit(0))).first()[0]
             known = {r["node"]: unit(np.array(r["pivots"], np.float64)) for r in pivots.collect()} if elements <= BROADCAST_ELEMENTS else None
             moving = at if known is not None else at.join(pivots, "node")
-            schema = "node string, rep long, members long, embedding array<float>, dist double"
-            split = moving.select("node", "rep", "members", F.col("embedding").cast("array<float>").alias("embedding"), *([] if known is not None else ["pivots"])).mapInArrow(_nearest(known), schema)
+            schema = f"node string, rep long, members long, embedding {self.kind}, dist double"
+            split = moving.select("node", "rep", "members", "embedding", *([] if known is not None else ["pivots"])).mapInArrow(_nearest(known), schema)
             points = s.save(split, f"split-{level}")
             sizes = s.save(points.groupBy("node").agg(*sums), f"sizes-{level}")
             centres = pivots.select("node", F.posexplode("pivots").alias("k", "centre")).select(F.concat_ws(".", "node", "k").alias("node"), F.col("node").alias("parent"), "centre")
@@ -356,7 +366,7 @@ class NearVectors:
         key = F.xxhash64("a", "b")
         seats = pairs.select(key.alias("pair"), F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("side")), F.struct(F.col("b").alias("node"), F.lit(2).alias("side"))))).alias("s"))
         seats = self.scratch.save(seats.select("pair", "s.node", "s.side"), "seats")
-        placed = cells.select("node", "rep", "members", F.col("embedding").cast("array<float>").alias("embedding")).join(small(seats, 200_000, self.scratch.rows["seats"]), "node").drop("node")
+        placed = cells.select("node", "rep", "members", "embedding").join(small(seats, 200_000, self.scratch.rows["seats"]), "node").drop("node")
         found = placed.repartition("pair").sortWithinPartitions("pair").mapInArrow(_join(self.cosine), "rep long, to long, links long")
         found = self.scratch.save(found.unionByName(self.settled(cells, nodes, sure)), "found")
         links = found.groupBy("rep").agg(F.sum("links").alias("others"))

@@ -1,6 +1,7 @@
 """Operators of tabloom.llm against brute force, on hostile small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -391,14 +392,14 @@ def test_all_accepted_alignments_are_nominated(spark, monkeypatch):
     assert got() == want
 
 
-def brute_links(x, label, t=0.98):
+def brute_links(x, label, t=0.98, kind=np.float32):
     n = len(x)
     ok = np.array([v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v) for v in x])
     pairs = []
     for i in range(n):
         for j in range(i + 1, n):
             if ok[i] and ok[j] and label[i] is not None and label[i] == label[j] and len(x[i]) == len(x[j]):
-                a, b = np.array(x[i], np.float32).astype(float), np.array(x[j], np.float32).astype(float)
+                a, b = (np.array(v, kind).astype(float) for v in (x[i], x[j]))
                 if a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)) >= t:
                     pairs.append((i, j))
     return pairs
@@ -437,6 +438,25 @@ def test_cover_tree_of_parallel_vectors_ends(spark, monkeypatch):
     assert sorted(map(tuple, cover_tree.NearVectors(df).run().collect())) == want
 
 
+def test_cover_tree_in_double_precision(spark, monkeypatch):
+    """Cosines within 1e-12 of the threshold, huge and tiny components, and a double twin of the test above."""
+    near = [[1.0, 0.0]] + [[c, s * math.sqrt(1 - c * c)] for c, s in ((0.98 - 1e-12, 1), (0.98 + 1e-12, -1))]
+    odd = [[1e-50, 0.0], [1e-50, 1e-52], [1e60, 0.0], [1e60, 1e58], [1.0, 0.0], [5e-324, 0.0], [1.7e308, 1e300], [0.0, -0.0]]
+    r = np.random.default_rng(12)
+    many = [list(map(float, v)) for v in np.repeat(r.normal(size=(8, 6)).astype(np.float32), 15, axis=0) + r.normal(size=(120, 6)) * 0.11]
+    x = near + odd + many
+    label = ["a"] * len(near) + ["b"] * len(odd) + ["c"] * len(many)
+    df = spark.createDataFrame([(i, v, label[i]) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    exact = [(0, 2)] + [(i, j) for i in range(3, 10) for j in range(i + 1, 10)]
+    pairs = exact + [p for p in brute_links(x, label, kind=float) if label[p[0]] == "c"]
+    comp, links = union_find(range(len(x)), pairs), Counter(k for p in pairs for k in p)
+    want = sorted((i, links[i], comp[i], comp[i] == i) for i in range(len(x)))
+    assert sorted(map(tuple, cover_tree.NearVectors(df).run().collect())) == want
+    monkeypatch.setattr(cover_tree, "CELL", 20)
+    monkeypatch.setattr(cover_tree, "LEAF", 4)
+    assert sorted(map(tuple, cover_tree.NearVectors(df).run().collect())) == want
+
+
 def test_clashing_columns_pass(spark, docs, rows):
     """Columns with the names that operators use inside, in either case."""
     names = ("_part", "_rank", "_row", "_key", "_HASH", "_h", "_p", "_g", "_host", "_path", "path_good", "h_good", "_id", "_source", "_times", "_copy", "h", "n", "k1", "token", "w", "at", "text_hash", "item_key", "taken", "pos")
