@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.operators import lab
+from tabloom.operators import lab, lab_tables
 from tabloom.plans.catalogue import query, read
 from tabloom.plans.texts import say
 from tabloom.sources import records
@@ -157,6 +157,40 @@ def laboratory_tables(spark, d):
     return m.select("p_partkey", *[F.element_at("by_role", F.lit(r)).alias(r) for r in ("test", "criterion", "result")])
 
 
+LONG_RESULTS = """
+WITH s AS (SELECT *, s_nationkey AS n, s_nationkey % 3 AS kind, s_acctbal::VARCHAR AS v FROM supplier),
+filled AS (SELECT *, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey END AS own FROM s WHERE kind = 2),
+down AS (SELECT *, max(own) OVER (PARTITION BY n ORDER BY s_suppkey) AS head FROM filled)
+SELECT 'T' || n AS table_id, s_suppkey + 10 AS row_no, c::INTEGER AS col_no, 'A-' || n || (c - 1) AS batch, s_name AS test, 'NMT 5' AS criterion, NULL AS condition, NULL::DOUBLE AS month,
+  CASE c WHEN 2 THEN v ELSE '< 5' END AS value FROM s, range(2, 4) r(c) WHERE kind = 0 AND (c = 2 OR s_suppkey % 2 = 0)
+UNION ALL SELECT 'T' || n, s_suppkey + 10, c::INTEGER, 'B-' || n || ((c + 1) // 2), s_name, NULL, '30C/65RH', CASE c % 2 WHEN 1 THEN 0.0 ELSE 3.0 END, v || '/' || c FROM s, range(1, 5) r(c) WHERE kind = 1 AND (c < 4 OR s_suppkey % 3 <> 0)
+UNION ALL SELECT 'T' || n, s_suppkey + 10, 4, 'C-' || head, s_name, NULL, '40C/75RH', (s_suppkey % 12)::DOUBLE, v FROM down WHERE head IS NOT NULL
+"""
+
+
+@query(LONG_RESULTS)
+def laboratory_results(spark, d):
+    """Three layouts over all suppliers, a table per nation: batches as columns; batches over months, ragged; one value a row
+    with batch and condition written once and blank below."""
+    s = read(spark, d, "supplier").withColumn("kind", F.col("s_nationkey") % 3).withColumn("v", F.col("s_acctbal").cast("string"))
+    n, k = F.col("s_nationkey"), F.col("kind")
+    texts = lambda *c: F.array(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    title = F.when(k == 0, "Release").when(k == 1, "Stability at 30 °C / 65 % RH").otherwise("All results")
+    tables = s.select(n, "kind").distinct()
+    spans = tables.where("kind = 1").select(n, k, F.lit(0).alias("row_no"), texts("", say("Batch B-", n, "1"), "", say("Lot no. B-", n, "2"), "").alias("cells"))
+    head = F.when(k == 0, texts("Test", "Acceptance criterion", say("Batch A-", n, "1"), say("Batch A-", n, "2"), "Remark")).when(k == 1, texts("Test", "Initial", "3 months", "Initial", "3 months")).otherwise(texts("Batch No.", "Storage condition", "Month", "Parameter", "Result"))
+    heads = tables.select(n, k, F.lit(1).alias("row_no"), head.alias("cells"))
+    row = F.col("s_suppkey")
+    filled = lambda c: F.when(row % 4 == 0, c).otherwise("")
+    wide = F.array(say(" ", "$s_name"), F.lit("NMT  5"), F.col("v"), F.when(row % 2 == 0, "<  5").otherwise(" "), F.lit("ok"))
+    months = F.array(F.col("s_name"), *[say("$v", "/", F.lit(i)) for i in (1, 2, 3)])
+    months = F.when(row % 3 == 0, months).otherwise(F.concat(months, F.array(say("$v", "/", F.lit(4)))))
+    down = F.array(filled(say("C-", row)), filled(F.lit("40 °C / 75 % RH")), (row % 12).cast("string"), F.col("s_name"), F.col("v"))
+    body = s.select(n, k, (row + 10).alias("row_no"), F.when(k == 0, wide).when(k == 1, months).otherwise(down).alias("cells"))
+    every = spans.unionByName(heads).unionByName(body).select(say("T", n).alias("table_id"), title.alias("title"), F.col("row_no").cast("long"), "cells")
+    return lab_tables.laboratory_results(every).select("table_id", "row_no", "col_no", "batch", "test", "criterion", "condition", "month", "value")
+
+
 @query("SELECT s_suppkey::VARCHAR AS s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'a, \"b\"' ELSE '' END AS note, 'csv' AS _sheet FROM supplier")
 def csv_records(spark, d):
     """The table written as csv with a header line, read back as records."""
