@@ -386,7 +386,8 @@ class SuffixDedup:
     def run(self, keep_bytes: bool = False, sampled: bool = True) -> DataFrame:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept, the remaining bytes) of each row. sampled: by
         sampled suffixes, else by all of them; both give the same rows."""
-        ranges = (self.repeated_ranges() if sampled else self.every_position()).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+        # Equal rows have equal ranges: each is kept once, where it is found, so a million copies gather no more than one row.
+        ranges = (self.repeated_ranges() if sampled else self.every_position()).groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
         spans = ranges.mapInArrow(_merge(self.length), "doc_id long, h long, spans array<struct<start: long, end: long>>")
         spans = self.scratch.save(spans, "spans")
         self.scratch.keep("spans")

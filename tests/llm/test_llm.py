@@ -364,9 +364,27 @@ def test_decontamination(spark, rows, docs, empty):
     assert decontamination.Decontaminator(corpus, bench.where("false")).overlaps().count() == 0
 
 
+def test_short_items_need_all_their_tokens(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France today?"), (2, "Yes."), (3, "two words"), (4, "...")], "item_id long, text string")
+    texts = ["so: what is the capital of france today, they ask", "what is the capital of spain today", "yes", "two big words", "all two words", ""]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lambda **k: sorted((r["doc_id"], r["item_id"], r["start"], r["share"]) for r in decontamination.Decontaminator(corpus, bench, **k).overlaps().collect())
+    assert got() == [(0, 1, 1, 1.0), (2, 2, 0, 1.0), (4, 3, 1, 1.0)] and got(shortest_item=3) == [(0, 1, 1, 1.0)]
+
+
+def test_repeated_rows_gather_each_range_once(spark):
+    text = prose(200, 5)
+    df = spark.createDataFrame([(1, text)] * 300 + [(2, text + " " + prose(50, 6))], "doc_id long, text string").repartition(4)
+    op = suffix_dedup.SuffixDedup(df)
+    out = op.run().collect()
+    assert len(out) == 301 and {(r["doc_id"], r["n_removed"]) for r in out} == {(1, len(text)), (2, len(text))}
+    gathered = lambda d: max(len(r["r"]) for r in suffix_dedup.SuffixDedup(d).repeated_ranges().groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("r")).collect())
+    assert gathered(df) == gathered(df.dropDuplicates().unionByName(df.where("doc_id = 1").limit(1)))
+
+
 def test_all_accepted_alignments_are_nominated(spark, monkeypatch):
     r = np.random.default_rng(8)
-    sizes = [8, 9, 10, 15, 22, 30, 40, 59, 75]
+    sizes = [1, 2, 3, 4, 7, 8, 9, 10, 15, 22, 30, 40, 59, 75]
     items = [[f"w{x}" for x in r.integers(0, 60, m)] for m in sizes]
     texts = []
     for share in (0.1, 0.25, 0.4, 0.6):
@@ -374,11 +392,11 @@ def test_all_accepted_alignments_are_nominated(spark, monkeypatch):
             for _ in range(3):
                 texts.append([f"w{x}" for x in r.integers(0, 60, 4)] + [f"x{k}" if r.random() < share else w for k, w in enumerate(item)] + ["y"] * int(r.integers(0, 5)))
     # One substitution at each place of ten tokens; every fourth of a long item replaced.
-    texts += [[w if k != at else "x" for k, w in enumerate(items[2])] for at in range(10)] + [[w if k % 4 else "x" for k, w in enumerate(items[6])]]
+    texts += [[w if k != at else "x" for k, w in enumerate(items[7])] for at in range(10)] + [[w if k % 4 else "x" for k, w in enumerate(items[11])]]
     want = {}
     for d, words in enumerate(texts):
         for i, item in enumerate(items):
-            need = max(8, min(-(-len(item) * 6 // 10), 20))
+            need = len(item) if len(item) < 8 else max(8, min(-(-len(item) * 6 // 10), 20))
             found = [(sum(0 <= at + k < len(words) and words[at + k] == w for k, w in enumerate(item)), -at) for at in range(-len(item), len(words))]
             if max(found)[0] >= need:
                 want[d, i] = (max(found)[0], -max(found)[1])
