@@ -39,8 +39,20 @@ def test_empty_corpus_and_odd_rows(spark):
             d.count()
 
 
+def test_texts_that_share_an_id_stay(spark):
+    """Rows of one doc_id with unrelated texts are documents of their own; equal rows and near copies are not."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, words(1)), (1, words(2)), (1, words(2)), (2, words(2)), (None, words(1)), (None, words(3)), (None, words(3)), (4, ""), (4, ""), (5, words(4) + " more"), (3, words(4))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "own", "own") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, node string, row string")
+    got = pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got.collect()) == sorted([(1, words(1)), (1, words(2)), (-1, words(3)), (4, ""), (4, ""), (3, words(4))])
+    mixed = pipeline.mixing(spark, docs.where("doc_id = 1").unionByName(docs.where("doc_id = 5")), SF)
+    assert {r["text"] for r in mixed.collect()} == {words(1), words(2), words(4) + " more"}
+
+
 def test_queries_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_against_brute_force(spark, tmp_path):
