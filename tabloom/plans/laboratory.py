@@ -202,6 +202,38 @@ def csv_records(spark, d):
     return records.read_source(spark, path, "csv").drop("_row_index")
 
 
+@query(
+    "SELECT s_nationkey, 'Stock' AS sheet, s_suppkey, s_name, (DATE '2023-12-25' + CAST(s_suppkey AS INTEGER))::VARCHAR AS since, replace(strftime(TIMESTAMP '2024-01-01 00:30:00' + to_minutes(s_suppkey * 61), '%Y-%m-%d %H:%M'), ' 00:00', '') AS seen, "
+    "(s_suppkey * 2)::VARCHAR AS pieces, CASE WHEN s_suppkey % 2 = 0 THEN 'True' ELSE 'False' END AS open FROM supplier UNION ALL SELECT n_nationkey, 'Notes', NULL, n_name, NULL, NULL, NULL, NULL FROM nation"
+)
+def workbook_cells(spark, d):
+    """A workbook per nation, written on the executors and read again: its sheets are in parts of other names, its cells typed."""
+    from datetime import datetime, timedelta
+
+    import pandas as pd
+
+    from tabloom.sources import workbooks
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, name = int(pdf["n_nationkey"][0]), pdf["n_name"][0]
+        stock = [["Key", "Name", "Since", "Seen", "Pieces", "Open"]]
+        for k, who in zip(pdf["s_suppkey"], pdf["s_name"], strict=True):
+            if not pd.isna(k):
+                k = int(k)
+                stock.append([k, who, datetime(2023, 12, 25) + timedelta(days=k), datetime(2024, 1, 1, 0, 30) + timedelta(minutes=61 * k), float(2 * k), k % 2 == 0])
+        return pd.DataFrame({"content": [workbooks.package([("Notes", [[key, name]]), ("Stock", stock)])]})
+
+    both = read(spark, d, "nation").join(read(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("n_nationkey", "n_name", "s_suppkey", "s_name")
+    packages = both.groupBy("n_nationkey").applyInPandas(write, "content binary")
+    rows = records.sheet_rows(packages).where("at >= 0")
+    c = lambda i: F.get("cells", F.lit(i))
+    stock = rows.where("sheet = 'Stock' and at > 0").select(c(0).cast("long").alias("s_suppkey"), "sheet", c(1).alias("s_name"), c(2).alias("since"), c(3).alias("seen"), c(4).alias("pieces"), c(5).alias("open"))
+    stock = read(spark, d, "supplier").select("s_suppkey", "s_nationkey").join(stock, "s_suppkey")
+    none = F.lit(None)
+    notes = rows.where("sheet = 'Notes'").select(c(0).cast("long").alias("s_nationkey"), "sheet", none.cast("long").alias("s_suppkey"), c(1).alias("s_name"), *[none.cast("string").alias(x) for x in ("since", "seen", "pieces", "open")])
+    return stock.select(notes.columns).unionByName(notes)
+
+
 @query("SELECT n_name AS pt, r_name AS soc, 'v1' AS version FROM nation JOIN region ON r_regionkey = n_regionkey")
 def dictionary_terms(spark, d):
     from tabloom.operators.joins import shared_path

@@ -22,8 +22,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tabloom.functions.text import clean_cell, record_text
 from tabloom.operators.retrieval import SentenceChunks
+from tabloom.sources import workbooks
 
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -66,43 +66,22 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return _records(body, columns, "csv")
 
 
-def _xlsx_sheets(data: bytes) -> dict[str, list[list[str]]]:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")]
-        out = {}
-        for i, name in enumerate(names, 1):
-            rows = []
-            for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{_MAIN}row"):
-                cells: list[str] = []
-                for c in row.iter(f"{_MAIN}c"):
-                    letters = re.match(r"[A-Z]+", c.get("r", "A"))[0]
-                    at = 0
-                    for ch in letters:
-                        at = at * 26 + ord(ch) - 64
-                    v = c.find(f"{_MAIN}v")
-                    value = "".join(t.text or "" for t in c.iter(f"{_MAIN}t")) if c.get("t") == "inlineStr" else (v.text or "" if v is not None else "")
-                    if c.get("t") == "s" and value:
-                        value = shared[int(value)]
-                    cells += [""] * (at - 1 - len(cells)) + [value]
-                rows.append(cells)
-            out[name] = rows
-        return out
-
-
 def _sheet_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of all sheets, with a row -1 that names each sheet."""
     for b in batches:
         for data in b["content"]:
-            for no, (name, rows) in enumerate(_xlsx_sheets(data).items()):
+            for no, (name, rows) in enumerate(workbooks.sheets(data)):
                 yield pd.DataFrame({"sheet": name, "no": no, "at": range(-1, len(rows)), "cells": [[], *rows]})
 
 
 def _workbook(spark: SparkSession, path: str) -> DataFrame:
     """sheet, no, at, cells of a workbook, unzipped on an executor. By its format a sheet has at most 1,048,576 rows."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_sheet_rows, "sheet string, no int, at int, cells array<string>")
+    return sheet_rows(spark.read.format("binaryFile").load(path))
+
+
+def sheet_rows(packages: DataFrame) -> DataFrame:
+    """sheet, no, at (-1: the sheet itself), cells of xlsx packages in a column content."""
+    return packages.select("content").mapInPandas(_sheet_rows, "sheet string, no int, at int, cells array<string>")
 
 
 def sheet_names(spark: SparkSession, path: str) -> list[str]:

@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from tabloom.sources import records
+from tabloom.sources import records, workbooks
 
 
 def test_csv(spark, tmp_path):
@@ -30,6 +30,27 @@ def test_xlsx(spark, tmp_path):
         records.read_source(spark, str(p), "gif")
 
 
+def test_typed_cells_of_swapped_sheets(spark, tmp_path):
+    main, rel = "http://purl.oclc.org/ooxml/spreadsheetml/main", "http://purl.oclc.org/ooxml/officeDocument/relationships"
+    link = lambda i, kind, to: f'<Relationship Id="{i}" Type="{rel}/{kind}" Target="{to}"/>'
+    graph = lambda *x: f'<Relationships xmlns="r">{"".join(x)}</Relationships>'
+    cells = '<c r="A2" s="1"><v>45292</v></c><c s="2"><v>45292.75</v></c><c r="D2" s="3"><v>0.5</v></c><c s="4"><v>1.25</v></c><c><v>38.0</v></c><c t="b"><v>1</v></c><c t="e"><v>#N/A</v></c><c t="str"><v>x</v></c><c t="s"><v>0</v></c><c s="5"><v>45292</v></c><c><v>0.1</v></c><c t="d"><v>2024-05-06T00:00:00</v></c><c s="1"><v>59</v></c><c><v>12345678901234567890</v></c>'
+    p = tmp_path / "a.xlsx"
+    with zipfile.ZipFile(p, "w") as z:
+        z.writestr("_rels/.rels", graph(link("w", "officeDocument", "/book/main.xml")))
+        z.writestr("book/main.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="A" sheetId="1" r:id="x2"/><sheet name="B" sheetId="2" r:id="x1"/></sheets></workbook>')
+        z.writestr("book/_rels/main.xml.rels", graph(link("x1", "worksheet", "worksheets/sheet1.xml"), link("x2", "worksheet", "/book/worksheets/sheet2.xml"), link("s", "styles", "looks.xml"), link("t", "sharedStrings", "words.xml")))
+        z.writestr("book/words.xml", f'<sst xmlns="{main}"><si><r><t>two </t></r><r><t>runs</t></r><rPh><t>hint</t></rPh></si></sst>')
+        z.writestr("book/looks.xml", f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="170" formatCode="[h]:mm"/><numFmt numFmtId="171" formatCode="0.00 &quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="22"/><xf numFmtId="20"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+        z.writestr("book/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row><c t="inlineStr"><is><t>of B</t></is></c></row></sheetData></worksheet>')
+        z.writestr("book/worksheets/sheet2.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c t="inlineStr"><is><t>of A</t></is></c></row><row r="2">{cells}</row></sheetData></worksheet>')
+    found = dict(workbooks.sheets(p.read_bytes()))
+    assert list(found) == ["A", "B"] and found["B"] == [["of B"]] and found["A"][0] == ["of A"]
+    want = ["2024-01-01", "2024-01-01 18:00", "", "12:00:00", "1 day, 6:00:00", "38", "True", "#N/A", "x", "two runs", "45292", "0.1", "2024-05-06", "1900-02-28", "12345678901234567890"]
+    assert found["A"][1] == want
+    assert records.read_xlsx(spark, str(p), "A").first()["of A"] == "2024-01-01" and records.sheet_names(spark, str(p)) == ["A", "B"]
+
+
 def test_docx_and_text(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = tmp_path / "a.docx"
