@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import scores
 from tabloom.functions.text import normalise_label, null_if_missing_word, slug
 from tabloom.operators import conditions, formulas
-from tabloom.operators.joins import small
+from tabloom.operators.joins import shared_path, small
 
 
 @dataclass
@@ -126,23 +125,30 @@ def suggest(targets: DataFrame, columns: DataFrame, memory: DataFrame | None = N
 
 
 def assign(suggestions: DataFrame, group: str | None = None) -> DataFrame:
-    """Greedy one-to-one assignment: the surest target takes its best free column. A manifest's targets are few; groups run apart."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "target", "column"], ascending=[False, True, True])
-        seen_t, seen_c, keep = set(), set(), []
-        for r in pdf.itertuples():
-            if r.target not in seen_t and r.column not in seen_c:
-                seen_t.add(r.target)
-                seen_c.add(r.column)
-                keep.append(r.Index)
-        return pdf.loc[keep]
-
-    key = group or "_g"
-    s = suggestions if group else suggestions.withColumn("_g", F.lit(1))
-    cols = [key, "target", "column", "score", "band"]
-    out = s.select(*cols).groupBy(key).applyInPandas(run, s.select(*cols).schema)
-    return out if group else out.drop("_g")
+    """One column for each target and one target for each column: targets choose in the order of their best score (ties by
+    name), each the best column that is left.
+
+    Every column prefers the earlier target, so this order of choices is what deferred acceptance ends in: in each round all targets
+    ask for the best column they have not lost, and a column's pairs with later targets than the earliest that asks are
+    dropped. A round is two aggregations and two joins over what is left; it ends when no column is asked for twice. Targets whose columns
+    are all lost get none; a pair given twice counts once, with its better score; null scores are no suggestion."""
+    spark, key = suggestions.sparkSession, ([group] if group else [])
+    s = suggestions.where(F.col("score").isNotNull() & F.col("target").isNotNull() & F.col("column").isNotNull())
+    pairs = s.groupBy(*key, "target", "column").agg(F.max("score").alias("score"), F.max_by("band", "score").alias("band"))
+    turn = F.struct((-F.col("leader")).alias("leader"), "target")
+    leaders = pairs.groupBy(*key, "target").agg(F.max("score").alias("leader"))
+    pairs = pairs.join(leaders, [*key, "target"]).withColumn("turn", turn).drop("leader")
+    path, n = shared_path(spark, "assignment"), 0
+    while True:
+        pairs.write.parquet(f"{path}/{n}")
+        pairs = spark.read.parquet(f"{path}/{n}")
+        asked = pairs.groupBy(*key, "target").agg(F.min(F.struct((-F.col("score")).alias("rank"), "column")).alias("first"), F.min("turn").alias("turn"))
+        asked = asked.select(*key, "target", F.col("first.column").alias("column"), "turn")
+        held = asked.groupBy(*key, "column").agg(F.min("turn").alias("earliest"), F.count("*").alias("asking"))
+        if not held.where("asking > 1").limit(1).count():
+            return pairs.join(asked.drop("turn"), [*key, "target", "column"], "left_semi").select(*key, "target", "column", "score", "band")
+        pairs = pairs.join(held.drop("asking"), [*key, "column"], "left").where(F.col("earliest").isNull() | (F.col("turn") <= F.col("earliest"))).drop("earliest")
+        n += 1
 
 
 def mapping_memory(log: DataFrame) -> DataFrame:
@@ -154,34 +160,6 @@ def reviewer_decision(suggested: Column, final: Column) -> Column:
     return F.when(final.isNull(), "rejected").when(suggested.eqNullSafe(final), "accepted").otherwise("edited")
 
 
-#: Header words of the fields of a listing, the first that fits.
-LISTING_FIELDS = (
-    ("worldwide_case_id", ("worldwide case id", "case id", "case number", "safety report id")), ("initial_receipt_date", ("initial receipt", "date received", "receipt date")), ("country", ("country",)),
-    ("patient_age", ("age",)), ("patient_sex", ("sex", "gender")), ("verbatim_term", ("verbatim", "reported term", "event term")), ("preferred_term", ("preferred term", "pt")), ("onset_date", ("onset",)),
-    ("seriousness", ("serious",)), ("outcome", ("outcome",)), ("causality", ("causality", "relatedness")),
-)
-
-
-def header_fields(headers: list[str]) -> list[tuple[str, str | None, float]]:
-    """(header, field, confidence) of a listing's headers: 1.0 for a header that is a field's word, 0.7 for one that holds it;
-    each field once, in the order of the headers."""
-    fold = lambda t: "".join(c for c in t.lower() if c.isalnum())
-    left, out = dict(LISTING_FIELDS), []
-    for h in headers:
-        f = fold(h)
-        hits = [(name, 1.0 if fold(w) == f else 0.7) for name, words in left.items() for w in words if f and fold(w) in f]
-        name, score = hits[0] if hits else (None, 0.0)
-        left.pop(name, None)
-        out.append((h, name, score))
-    return out
-
-
-def mapping_faults(mapping: dict[str, str], required: tuple[str, ...] = ("worldwide_case_id",), known: tuple[str, ...] = tuple(n for n, _ in LISTING_FIELDS)) -> list[tuple[str, str]]:
-    """(fault, field) of a mapping header -> field: required ones missing, unknown ones, and fields mapped twice."""
-    fields = list(mapping.values())
-    return [("missing", f) for f in required if f not in fields] + [("unknown", f) for f in sorted(set(fields) - set(known))] + [("duplicate", f) for f in sorted({f for f in fields if fields.count(f) > 1})]
-
-
 #: Weights of a remembered mapping's similarity and approvals, what a rejection costs, the least similarity.
 SIMILARITY, APPROVALS, REJECTION, LEAST_SIMILARITY = 0.6, 0.4, 0.25, 0.25
 

@@ -280,26 +280,6 @@ def same_provider(vectors: DataFrame, provider: str, column: str = "provider") -
     return vectors
 
 
-class VectorStore:
-    """Interface of a store of vectors: rows in, the nearest out. This one keeps a Parquet table in the shared folder; another
-    has to offer the same three methods."""
-
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path
-
-    def put(self, rows: DataFrame) -> None:
-        """Appends id, embedding, provider; the newest row of an id counts."""
-        rows.withColumn("written", F.current_timestamp()).write.mode("append").parquet(self.path)
-
-    def all(self) -> DataFrame:
-        from tabloom.operators.usage import latest_wins
-
-        return latest_wins(self.spark.read.parquet(self.path), ["id"], [F.desc("written")]).drop("written")
-
-    def nearest(self, query: list[float], provider: str, k: int) -> DataFrame:
-        return cosine_top_k(same_provider(self.all(), provider), query, k, "id", "embedding")
-
-
 @F.udtf(returnType=StructType([StructField("part", IntegerType()), StructField("text", StringType()), StructField("tokens", IntegerType())]))
 class NarrativeChunks:
     """Paragraphs (parted by blank lines) in chunks of about `target` tokens; each begins with the last `overlap` tokens of

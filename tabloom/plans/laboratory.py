@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import lab, lab_tables
 from tabloom.plans.catalogue import query, read
 from tabloom.plans.texts import say
-from tabloom.sources import records
+from tabloom.sources import cases, records
 
 
 def tests(spark, d):
@@ -255,6 +255,78 @@ def xml_case_reports(spark, d):
     return records.read_source(spark, path, "xml").select("id", "name")
 
 
+CASES_SQL = """
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS no FROM orders),
+e AS (SELECT o_custkey, string_agg(o_orderpriority || '@' || o_orderdate::DATE || ':' || CASE o_orderstatus WHEN 'F' THEN 'fatal' ELSE 'unknown' END, '|' ORDER BY o_orderkey) AS events, string_agg('Drug ' || o_orderkey % 7 || '/' || CASE WHEN o_orderkey % 2 = 0 THEN 'suspect' ELSE 'concomitant' END, '|' ORDER BY o_orderkey) AS drugs FROM o GROUP BY 1)
+SELECT 'W-' || c_custkey AS worldwide_case_id, CASE WHEN c_custkey % 2 = 0 THEN 'clinical_trial' ELSE 'spontaneous' END AS report_source, '1995-03-01' AS received, CASE WHEN c_custkey % 3 = 0 THEN true END AS is_serious,
+  round(c_custkey % 90 / 12.0, 4)::DOUBLE AS patient_age, coalesce(events, '') AS events, coalesce(drugs, '') AS drugs, c_mktsegment AS kept
+FROM customer LEFT JOIN e ON o_custkey = c_custkey
+"""
+
+
+@query(CASES_SQL)
+def nested_cases(spark, d):
+    """A case for each customer, with an event and a drug for each order: half written as elements, half as attributes in a namespace."""
+    from tabloom.operators.joins import shared_path
+
+    o, k = read(spark, d, "orders"), F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    reaction = F.struct(F.col("o_orderpriority").alias("primarysourcereaction"), day.alias("reactionstartdate"), F.when(F.col("o_orderstatus") == "F", "5").otherwise("6").alias("reactionoutcome"))
+    drug = F.struct(say("Drug ", k % 7).alias("medicinalproduct"), F.when(k % 2 == 0, "1").otherwise("2").alias("drugcharacterization"))
+    per = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(k, reaction.alias("r"), drug.alias("d")))).alias("all"))
+    c = read(spark, d, "customer").join(per, F.col("o_custkey") == F.col("c_custkey"), "left")
+    ident = F.col("c_custkey")
+    part = lambda f: F.transform(F.coalesce("all", F.array()), lambda x: x[f])
+    patient = F.struct((ident % 90).cast("string").alias("patientonsetage"), F.lit("802").alias("patientonsetageunit"), part("r").alias("reaction"), part("d").alias("drug"))
+    top = [say("W-", ident).alias("safetyreportid"), F.when(ident % 2 == 0, "2").otherwise("1").alias("reporttype"), F.lit("199503").alias("receivedate"), F.when(ident % 3 == 0, "1").alias("seriousnessdeath"), F.col("c_mktsegment").alias("segment")]
+    path = shared_path(spark, "reports")
+    c.where(ident % 2 == 0).select(*top, patient.alias("patient")).write.format("xml").option("rowTag", "safetyreport").option("rootTag", "ichicsr").save(f"{path}/old")
+    # The newer form: each leaf is an empty element with its value in an attribute.
+    as_attribute = lambda x: F.struct(x.alias("_value"))
+    leaf = lambda x, names: F.struct(*[as_attribute(x[n]).alias(n) for n in names])
+    newer = F.struct(
+        as_attribute((ident % 90).cast("string")).alias("patientonsetage"), as_attribute(F.lit("802")).alias("patientonsetageunit"),
+        F.transform(part("r"), lambda x: leaf(x, ("primarysourcereaction", "reactionstartdate", "reactionoutcome"))).alias("reaction"), F.transform(part("d"), lambda x: leaf(x, ("medicinalproduct", "drugcharacterization"))).alias("drug"),
+    )
+    c.where(ident % 2 == 1).select(*top, newer.alias("patient")).write.format("xml").option("rowTag", "safetyreport").option("rootTag", 'MCCI xmlns="urn:v3"').save(f"{path}/new")
+    found = cases.read_xml_cases(spark, f"{path}/*/part-*")
+    listed = lambda c, f: F.array_join(F.transform(c, f), "|")
+    return found.select(
+        "worldwide_case_id", "report_source", F.col("initial_receipt_date").cast("string").alias("received"), "is_serious", "patient_age",
+        listed("events", lambda e: F.concat(e["verbatim_term"], F.lit("@"), e["onset_date"].cast("string"), F.lit(":"), e["outcome"])).alias("events"),
+        listed("drugs", lambda x: F.concat(x["drug_name"], F.lit("/"), x["role"])).alias("drugs"), F.element_at("unmapped", F.lit("segment")).alias("kept"),
+    )
+
+
+def listing(spark, d):
+    """A listing of all orders, one row each; the case is the customer, and every fiftieth row names none."""
+    o, k = read(spark, d, "orders"), F.col("o_orderkey")
+    return o.select(
+        k.alias("_row_index"), F.when(k % 50 != 0, say("W-", "$o_custkey")).otherwise(" ").alias("Case ID"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("Onset"), F.col("o_orderpriority").alias("Term"),
+        say("Drug ", k % 7).alias("Drug"), F.when(k % 3 == 0, "Death; Life threatening").otherwise("").alias("Criteria"), (k % 80).cast("string").alias("Age"),
+    )
+
+
+LISTING = {"Case ID": "worldwide_case_id", "Onset": "onset_date", "Term": "verbatim_term", "Drug": "drug_name", "Criteria": "seriousness_criteria", "Age": "patient_age"}
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS no FROM orders WHERE o_orderkey % 50 <> 0),
+g AS (SELECT o_custkey, 'Drug ' || o_orderkey % 7 AS drug, min(o_orderkey) AS k FROM r GROUP BY 1, 2), d AS (SELECT o_custkey, string_agg(drug, '|' ORDER BY k) AS drugs FROM g GROUP BY 1)
+SELECT 'W-' || o_custkey AS worldwide_case_id, CASE WHEN any_value(o_orderkey) FILTER (no = 1) % 3 = 0 THEN true END AS is_serious, CASE WHEN any_value(o_orderkey) FILTER (no = 1) % 3 = 0 THEN 'death,life_threatening' ELSE '' END AS criteria,
+  (any_value(o_orderkey) FILTER (no = 1) % 80)::DOUBLE AS patient_age, string_agg(o_orderpriority || '@' || o_orderdate::DATE, '|' ORDER BY o_orderkey) AS events, any_value(drugs) AS drugs
+FROM r JOIN d USING (o_custkey) GROUP BY o_custkey
+""")
+def listed_cases(spark, d):
+    found, _ = cases.listing_cases(listing(spark, d), LISTING, order="day_first")
+    return found.select("worldwide_case_id", "is_serious", F.array_join("seriousness_criteria", ",").alias("criteria"), "patient_age", F.array_join(F.transform("events", lambda e: F.concat(e["verbatim_term"], F.lit("@"), e["onset_date"].cast("string"))), "|").alias("events"), F.array_join(F.transform("drugs", lambda x: x["drug_name"]), "|").alias("drugs"))
+
+
+@query("SELECT o_orderkey AS no, CASE WHEN o_orderkey % 50 = 0 THEN 'no case identifier' ELSE 'onset_date ' || strftime(o_orderdate, '%d/%m/%Y') || ' reads two ways and no date order is given' END AS reason FROM orders WHERE o_orderkey % 50 = 0 OR day(o_orderdate) <= 12")
+def skipped_listing_rows(spark, d):
+    return cases.listing_cases(listing(spark, d), LISTING)[1]
+
+
 @query("SELECT i::INTEGER AS part, CASE i WHEN 0 THEN 'First of the text.' ELSE 'Second part. Third part.' END AS text, count(*) AS n FROM nation, range(2) r(i) GROUP BY 1, 2")
 def text_file_chunks(spark, d):
     from tabloom.operators.joins import shared_path

@@ -6,8 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tabloom.operators import conditions, lifecycle, metrics, resolution, retrieval, usage
+from tabloom.operators import conditions, lifecycle, listings, metrics, resolution, retrieval, usage
 from tabloom.operators.joins import shared_path
+from tabloom.operators.vector_store import PivotIndex, VectorStore
 from tabloom.plans.catalogue import day, events, query, read
 from tabloom.plans.texts import STOP_SQL, say
 
@@ -248,11 +249,39 @@ def vector_store(spark, d):
     """Vectors put into a store as JSON text and back, and the nearest of one."""
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     size = e.select(F.size("embedding")).first()[0]
-    coded = e.select("id", retrieval.read_vector(retrieval.write_vector(F.col("embedding")), size).alias("embedding"), F.lit("p1").alias("provider"))
-    store = retrieval.VectorStore(spark, shared_path(spark, "vectors"))
+    coded = e.select("id", retrieval.read_vector(retrieval.write_vector(F.col("embedding")), size).alias("embedding"), F.lit("p1").alias("provider"), F.lit("o").alias("org"))
+    store = VectorStore(spark, shared_path(spark, "vectors"), 8)
     store.put(coded)
     asked = e.where("id = 9").select("embedding").first()[0]
-    return store.nearest(list(asked), "p1", 5).select("id", F.round("score", 8).alias("score"))
+    return store.nearest("o", list(asked), "p1", 5).select("id", F.round("score", 8).alias("score"))
+
+
+TENANTS_SQL = " UNION ALL ".join(
+    f"SELECT '{org}' AS org, id, round(score, 8) AS score FROM (SELECT vec_id AS id, list_cosine_similarity({e}, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 9)) AS score FROM embeddings {gone} ORDER BY score DESC, vec_id LIMIT 8)"
+    for org, e, gone in (("a", "CASE WHEN vec_id % 3 = 0 THEN list_reverse(embedding::DOUBLE[]) ELSE embedding::DOUBLE[] END", ""), ("b", "list_transform(embedding::DOUBLE[], lambda x: -x)", "WHERE vec_id % 5 <> 1"))
+)
+
+
+@query(TENANTS_SQL)
+def tenant_vectors(spark, d):
+    """Two tenants with the same ids; one corrects a third of its vectors in a second put, the other takes a fifth of its out."""
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit("p1").alias("provider"))
+    asked = list(e.where("id = 9").select("embedding").first()[0])
+    of = lambda org, rows: rows.withColumn("org", F.lit(org))
+    store = VectorStore(spark, shared_path(spark, "vectors"), 8)
+    store.put(of("a", e).unionByName(of("b", e.withColumn("embedding", F.transform("embedding", lambda x: -x)))))
+    store.put(of("a", e.where("id % 3 = 0").withColumn("embedding", F.reverse("embedding"))))
+    store.remove(of("b", e.where("id % 5 = 1")))
+    near = lambda org: of(org, store.nearest(org, asked, "p1", 8).select("id", F.round("score", 8).alias("score")))
+    return near("a").unionByName(near("b"))
+
+
+@query("SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 11)), 8) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 11)) DESC, vec_id LIMIT 20")
+def pivot_search(spark, d):
+    e = read(spark, d, "embeddings")
+    index = PivotIndex(spark, shared_path(spark, "pivots")).build(e, "vec_id", "embedding", 32)
+    asked = e.where("vec_id = 11").select("embedding").first()[0]
+    return index.search([float(x) for x in asked], 20).select("id", F.round("score", 8).alias("score"))
 
 
 # Conditions
@@ -296,15 +325,35 @@ def dependency_order(spark, d):
 # Matching
 
 
-@query("SELECT * FROM (VALUES (0, 'Case ID', 'worldwide_case_id', 1.0::DOUBLE), (1, 'Patient age (years)', 'patient_age', 0.7), (2, 'Sex', 'patient_sex', 1.0), (3, 'Gender', NULL, 0.0), (4, 'Colour', NULL, 0.0)) v(place, header, field, confidence)")
+#: Five layouts of six headers, and the field that each has to get.
+LAYOUTS = (
+    (("Case ID", "worldwide_case_id", 1.0), ("Local case ID", "local_case_id", 1.0), ("Dosage", None, 0.0), ("Patient age (years)", "patient_age", 0.7), ("Sex", "patient_sex", 1.0), ("Gender", None, 0.0)),
+    (("Local case no.", "local_case_id", 0.7), ("Seriousness criteria", "seriousness_criteria", 1.0), ("Serious?", "is_serious", 1.0), ("Description", None, 0.0), ("Adverse event as reported", "verbatim_term", 0.7), ("", None, 0.0)),
+    (("Suspect product name", "drug_name", 0.7), ("Role", "drug_role", 1.0), ("INDICATION", "drug_indication", 1.0), ("MedDRA version", "version", 1.0), ("PT", None, 0.0), ("Preferred term", "pt", 1.0)),
+    (("Date received", "initial_receipt_date", 1.0), ("Follow-up receipt", "latest_receipt_date", 1.0), ("Case version", "case_version", 1.0), ("Country", None, 0.0), ("Country of occurrence", "country", 1.0), ("Reporter", "qualification", 1.0)),
+    (("Outcome of event", "event_outcome", 1.0), ("Patient outcome", "case_outcome", 1.0), ("Onset date", "onset_date", 1.0), ("Average", None, 0.0), ("Protocol number", "study_id", 1.0), ("Narrative text", "narrative", 0.7)),
+)
+LAYOUT_SQL = ", ".join(f"({i}, {k}, '{h}', {repr(f) if f else 'NULL'}, {c}::DOUBLE)" for i, rows in enumerate(LAYOUTS) for k, (h, f, c) in enumerate(rows))
+
+
+@query(f"SELECT p_partkey // 6 AS source, p_partkey % 6 AS place, v.header, v.field, v.confidence FROM part JOIN (VALUES {LAYOUT_SQL}) v(layout, place, header, field, confidence) ON v.layout = p_partkey // 6 % 5 AND v.place = p_partkey % 6")
 def header_suggestions(spark, d):
-    rows = resolution.header_fields(["Case ID", "Patient age (years)", "Sex", "Gender", "Colour"])
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "place int, header string, field string, confidence double")
+    """A source for every six parts, in one of five layouts."""
+    k = F.col("p_partkey")
+    names = F.array(*[F.array(*[F.lit(h) for h, _, _ in rows]) for rows in LAYOUTS])
+    source, place = F.floor(k / 6), k % 6
+    rows = read(spark, d, "part").select(source.alias("source"), place.alias("place"), F.get(F.get(names, (source % 5).cast("int")), place.cast("int")).alias("header"))
+    return listings.suggest_fields(rows)
 
 
-@query("SELECT * FROM (VALUES ('missing', 'worldwide_case_id'), ('unknown', 'shoe_size'), ('duplicate', 'country')) v(fault, field)")
+@query(
+    "WITH m AS (SELECT p_brand AS source, CASE p_size % 4 WHEN 0 THEN 'worldwide_case_id' WHEN 1 THEN 'country' WHEN 2 THEN 'shoe_size' END AS field FROM part WHERE p_size % 4 <> 0 OR p_brand <> 'Brand#13') "
+    "SELECT source, 'missing' AS fault, 'worldwide_case_id' AS field FROM m GROUP BY source HAVING count(*) FILTER (field = 'worldwide_case_id') = 0 UNION ALL SELECT DISTINCT source, 'unknown', field FROM m WHERE field = 'shoe_size' UNION ALL SELECT source, 'duplicate', field FROM m WHERE field IS NOT NULL GROUP BY source, field HAVING count(*) > 1"
+)
 def mapping_faults(spark, d):
-    return spark.createDataFrame(resolution.mapping_faults({"a": "country", "b": "country", "c": "shoe_size"}), "fault string, field string")
+    k = F.col("p_size") % 4
+    m = read(spark, d, "part").where((k != 0) | (F.col("p_brand") != "Brand#13"))
+    return listings.mapping_faults(m.select(F.col("p_brand").alias("source"), F.col("p_partkey").alias("column"), F.when(k == 0, "worldwide_case_id").when(k == 1, "country").when(k == 2, "shoe_size").alias("field")))
 
 
 MEMORY_SQL = "(SELECT p_brand AS target, p_partkey AS \"column\", (p_size % 10) / 10.0::DOUBLE AS similarity, p_size % 6 AS approvals, p_size % 4 AS rejections FROM part WHERE p_partkey % 3 = 1) m"
@@ -333,12 +382,23 @@ def candidate_vetoes(spark, d):
     return read(spark, d, "part").groupBy(k.alias("kind"), (F.col("p_brand") == "Brand#13").alias("material"), F.array_join(v, ",").alias("vetoes")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('nation_name', 'name'), ('region_key', 'regionkey')) v(target, \"column\")")
+@query("""
+WITH RECURSIVE p AS (SELECT p_brand AS g, p_partkey AS t, (p_partkey * 7 + j * j * 3) % 20 AS c, (p_partkey * 31 + j * 17) % 97 AS s FROM part, range(4) r(j)),
+o AS (SELECT g, t, row_number() OVER (PARTITION BY g ORDER BY max(s) DESC, 'T' || t) AS i FROM p GROUP BY g, t),
+w AS (SELECT g, i, any_value(t) AS t, list(c ORDER BY s DESC, 'c' || c) AS wants FROM p JOIN o USING (g, t) GROUP BY g, i),
+r AS (
+  SELECT DISTINCT g, 0::BIGINT AS i, []::BIGINT[] AS taken, NULL::BIGINT AS t, NULL::BIGINT AS c FROM p
+  UNION ALL
+  SELECT g, i, list_append(taken, pick), t, pick FROM (
+    SELECT w.g, w.i, r.taken, w.t, list_filter(w.wants, lambda x: NOT list_contains(r.taken, x))[1] AS pick FROM r JOIN w ON w.g = r.g AND w.i = r.i + 1))
+SELECT g AS brand, 'T' || t AS target, 'c' || c AS "column" FROM r WHERE c IS NOT NULL
+""")
 def assigned_bindings(spark, d):
-    targets = spark.createDataFrame([("nation_name", "string", False), ("region_key", "identifier", True)], "target string, declared_type string, material boolean")
-    columns = spark.createDataFrame([("name", "text"), ("regionkey", "number")], "column string, observed_type string")
-    memory = spark.createDataFrame([("nation_name", "name", 9), ("region_key", "regionkey", 3)], "target string, column string, approvals int")
-    return resolution.assign(resolution.suggest(targets, columns, memory, 0.9)).select("target", "column")
+    """Every part asks for four of twenty columns of its brand."""
+    p, k = read(spark, d, "part"), F.col("p_partkey")
+    j = F.explode(F.array(*[F.struct(F.lit(x * x * 3).alias("at"), F.lit(x * 17).alias("more")) for x in range(4)])).alias("j")
+    p = p.select(F.col("p_brand").alias("brand"), k, j).select("brand", say("T", k).alias("target"), say("c", (k * 7 + F.col("j.at")) % 20).alias("column"), (((k * 31 + F.col("j.more")) % 97) / 100).alias("score"), F.lit("HIGH").alias("band"))
+    return resolution.assign(p, "brand").select("brand", "target", "column")
 
 
 @query("SELECT o_orderkey, 'told: note' AS note, 'F' AS status FROM orders WHERE o_orderstatus = 'F'")
