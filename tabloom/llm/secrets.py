@@ -1,19 +1,20 @@
 """Secret scan: fixed patterns, and a battery of randomness tests with false-discovery control.
 
-Candidates are runs of token characters that mix digits and letters. Each gets an inferred encoding and three
-tests of how far it is from a uniform draw of that encoding's alphabet: chi-squared uniformity, the number of runs above and
-below the alphabet's middle, and serial correlation at lag 1. Fisher's method joins the three p-values to one score, high
-where the token looks random.
-
-A candidate is reported if it looks more random than ordinary tokens do. What ordinary tokens look like is measured on decoys:
-for each candidate DECOYS tokens of its length, encoding and number of digits, their letters from neighbouring words of the same
-text. Within each (encoding, length class) over all documents the Benjamini-Hochberg rule at rate q compares scores with
-those of the decoys, so of what is reported in a class about a share q at most is ordinary. Long tokens pass on their own;
-short ones only where their class shows many more than decoys explain. A reported token also carries at least min_bits of
-alphabet entropy; its kind is `random`.
+Candidates are runs of token characters with a letter among them. Each gets an inferred encoding and three tests of how far it is from a
+uniform draw of that encoding's alphabet: chi-squared uniformity, the number of runs above and below the alphabet's middle, and
+serial correlation at lag 1, joined by Fisher's method. A token that the battery tells from a uniform draw (p below least_p) is no key.
+
+The battery alone cannot tell a short ordinary token from a key, so a candidate also has to be too unlikely for an ordinary one. What
+ordinary tokens look like is a model of character pairs, counted over all runs of the corpus that are too short to be
+candidates; tokens in capitals may also be ordinary ones written in capitals. The evidence is the number of bits by which a uniform draw
+explains the token better than that model, and 2 ** -evidence is a p-value of `the token is ordinary`: under the model a
+likelihood ratio reaches x with a probability of 1 / x at most. It shrinks with the length, so a single long key passes on its own.
+Within each (encoding, length class) over all documents the Benjamini-Hochberg rule at rate q chooses what is reported; its kind is
+`random`.
 
 Null and edge cases: a null text is empty; a document without spans has empty strings and the hash of the empty string;
-repeated rows are scanned each on its own; extra columns are not read; spans count code points, ends exclusive.
+repeated rows are scanned each on its own; extra columns are not read; spans count code points, ends exclusive; a corpus without
+short runs has a model in which all characters are alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -49,22 +50,26 @@ ENCODINGS = (
     ("decimal", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("hex_upper", "0123456789ABCDEF"),
+    ("lower", "abcdefghijklmnopqrstuvwxyz"),
+    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base36_upper", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 _INDEX = [(name, {c: i for i, c in enumerate(a)}, frozenset(a)) for name, a in ENCODINGS]
-LEAST_RANDOM = 20
-#: Ordinary tokens made for each candidate.
-DECOYS = 40
-#: Words that decoys use after those of the text, so that a text of a lone key has some too.
-WORDS = "the version update project server client report general language document winter market number system service people which between house garden letter".split()
-LETTERS = re.compile(r"[A-Za-z]{3,}")
-#: Encodings with letters of one case.
-UPPER, LOWER = ("hex_upper", "base32", "base36_upper"), ("hex", "base36")
+#: Characters of the shortest candidate, and of the shortest run that is too long to be an ordinary token of the model.
+LEAST_RANDOM, LONG_RUN = 20, 16
+#: Characters of the pair model; 0 is the start of a run.
+CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+STATES = len(CHARACTERS) + 1
+_STATE = np.zeros(256, np.int64)
+_STATE[np.frombuffer(CHARACTERS.encode(), np.uint8)] = np.arange(1, STATES)
+#: Weight of a character's own frequency in that of a pair.
+PRIOR = 20.0
 
 
 def infer_encoding(token: str) -> tuple[str, list[int], int] | None:
@@ -123,110 +128,130 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def decoys(token: str, encoding: str, words: list[str], draw: int) -> list[list[int]]:
-    """Symbol numbers of DECOYS ordinary tokens: words in a row, written in the encoding's case, with the token's number of
-    digits between them. What the alphabet lacks is left out."""
-    index = next(i for name, i, _ in _INDEX if name == encoding)
-    cased = str.upper if encoding in UPPER else str.lower if encoding in LOWER else str.capitalize
-    said = [cased(w) for w in words]
-    said = [t for w in said if (t := "".join(c for c in w if c in index))]
-    n, n_digits = len(token.rstrip("=")), sum(c.isdigit() for c in token)
-    digits = [c for c in "2347560189" if c in index]
-    every = max(1, (n - n_digits) // (n_digits + 1))
-    out = []
-    for k in range(DECOYS):
-        h = hashlib.blake2b(f"{draw}:{k}".encode(), digest_size=32).digest()
-        at, letters = int.from_bytes(h[:4], "little") % len(said), ""
-        while len(letters) < n:
-            letters += said[at % len(said)]
-            at += 1
-        made, left, i = "", n_digits, 0
-        while len(made) < n:
-            if left and i and i % every == 0 and len(made) < n:
-                run = min(left, 1 + h[4 + len(made) % 28] % 3, n - len(made))
-                made += "".join(digits[h[4 + (len(made) + j) % 28] % len(digits)] for j in range(run))
-                left -= run
-                if len(made) >= n:
-                    break
-            made += letters[i]
-            i += 1
-        out.append([index[c] for c in made])
-    return out
+def pair_counts(texts: list[bytes | None]) -> np.ndarray:
+    """Pairs of characters that follow each other in runs shorter than LONG_RUN, the first one after 0."""
+    state = _STATE[np.frombuffer(b" ".join(t or b"" for t in texts) + b" ", np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], state > 0, [False]]).astype(np.int8)))
+    starts, ends = edge[0::2], edge[1::2]
+    mark = np.zeros(len(state) + 1, np.int64)
+    short = ends - starts < LONG_RUN
+    mark[starts[short]] = 1
+    mark[ends[short]] -= 1
+    at = np.flatnonzero(np.cumsum(mark[:-1]))
+    before = np.where(at > 0, state[at - 1], 0)
+    return np.bincount(before * STATES + state[at], minlength=STATES * STATES)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(STATES * STATES, np.int64)
+    for big in batches:
+        for batch in batches_of(pa.Table.from_batches([big]), 1024):
+            total += pair_counts(batch.column("text").cast(pa.binary()).to_pylist())
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"pair": at, "n": total[at]})
 
 
-def score_bin(p: float) -> int:
-    """Twentieths of a power of ten below 1; low where a token looks random."""
-    return int(min(-math.log10(max(p, 1e-18)), 17.0) * 20)
+def pair_model(counts: np.ndarray) -> list[list[float]]:
+    """Bits of each character after each other one (or at the start of a run): counts of pairs, drawn to those of characters."""
+    n = counts.reshape(STATES, STATES).astype(float)
+    own = n.sum(axis=0) + 0.5
+    own[0] = 0
+    own /= own.sum()
+    with np.errstate(divide="ignore"):
+        return (-np.log2((n + PRIOR * own) / (n.sum(axis=1, keepdims=True) + PRIOR))).tolist()
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Runs that the battery judges: digits and letters, no overlap with a base span. `decoys`: the score bins of theirs."""
+def ordinary_bits(body: str, model: list[list[float]]) -> float:
+    """Bits that the model of ordinary tokens needs for a token; one in capitals may be an ordinary one written so."""
+
+    def bits(t: str) -> float:
+        states = [0, *_STATE[np.frombuffer(t.encode(), np.uint8)].tolist()]
+        return sum(model[a][b] for a, b in zip(states, states[1:]))
+
+    plain = bits(body)
+    if body != body.upper() or body == body.lower():
+        return plain
+    lowered = bits(body.lower())
+    # Half of the one and half of the other.
+    return min(plain, lowered) + 1 - math.log2(1 + 2.0 ** -min(1000.0, abs(plain - lowered)))
+
+
+def candidates(text: str, base: list[tuple[int, int, int]], model: list[list[float]]) -> list[dict]:
+    """Runs that the battery judges: a letter at least, no overlap with a base span."""
     out = []
     starts = [s for s, _, _ in base]
     reach = list(accumulate((e for _, _, e in base), max))  # the furthest end of the spans so far
     for run in RUN.finditer(text):
         token, s, e = run[0], run.start(), run.end()
-        if e - s < LEAST_RANDOM or token.isalpha() or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
+        body = token.rstrip("=")
+        if len(body) < LEAST_RANDOM or not any(c.isalpha() for c in body):
             continue
         before = bisect_left(starts, e)
         if (before and reach[before - 1] > s) or not (enc := infer_encoding(token)):
             continue
         name, symbols, m = enc
-        # Whole neighbourhoods of the token, not a share of the text: as many words as decoys can use.
-        near = LETTERS.findall(text, max(0, s - 2000), s) + LETTERS.findall(text, e, e + 2000)
-        ordinary = [score_bin(randomness_p(d, m)) for d in decoys(token, name, near + WORDS, zlib.crc32(token.encode()))]
-        out.append({"start": s, "end": e, "encoding": name, "length": len(symbols), "bits": len(symbols) * math.log2(m), "bin": score_bin(randomness_p(symbols, m)), "decoys": ordinary})
+        entropy = len(symbols) * math.log2(m)
+        out.append({"start": s, "end": e, "encoding": name, "length": len(symbols), "bits": entropy, "uniform_p": randomness_p(symbols, m), "evidence": ordinary_bits(body, model) - entropy})
     return out
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-_CAND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("length", pa.int32()), ("bits", pa.float64()), ("bin", pa.int32()), ("decoys", pa.list_(pa.int32()))])
+_CAND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("length", pa.int32()), ("bits", pa.float64()), ("uniform_p", pa.float64()), ("evidence", pa.float64())])
 SCAN = (
     "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start: long, kind: int, end: long>>, "
-    "candidates array<struct<start: long, end: long, encoding: string, length: int, bits: double, bin: int, decoys: array<int>>>"
+    "candidates array<struct<start: long, end: long, encoding: string, length: int, bits: double, uniform_p: double, evidence: double>>"
 )
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for big in batches:
-        for batch in batches_of(pa.Table.from_batches([big]), 1024):
-            base = []
-            found = []
-            for text in batch.column("text").to_pylist():
-                base.append(base_spans(text or ""))
-                found.append(candidates(text or "", base[-1]))
-            said = [",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans) for spans in base]
-            count = lambda kind: pa.array([sum(k == kind for _, k, _ in spans) for spans in base], pa.int64())  # noqa: B023, E731
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n_assign": count(0),
-                    "n_access": count(1),
-                    "n_hex": count(2),
-                    "base_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said]),
-                    "base": pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in spans] for spans in base], pa.list_(_SPAN)),
-                    "candidates": pa.array(found, pa.list_(_CAND)),
-                }
-            )
-
-
-def scan_secrets(docs: DataFrame, q: float = 0.05, min_bits: float = 80.0) -> DataFrame:
+def _scan(model: list[list[float]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in batches_of(pa.Table.from_batches([big]), 1024):
+                base = []
+                found = []
+                for text in batch.column("text").to_pylist():
+                    base.append(base_spans(text or ""))
+                    found.append(candidates(text or "", base[-1], model))
+                said = [",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans) for spans in base]
+                count = lambda kind: pa.array([sum(k == kind for _, k, _ in spans) for spans in base], pa.int64())  # noqa: B023, E731
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": batch.column("doc_id"),
+                        "n_assign": count(0),
+                        "n_access": count(1),
+                        "n_hex": count(2),
+                        "base_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said]),
+                        "base": pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in spans] for spans in base], pa.list_(_SPAN)),
+                        "candidates": pa.array(found, pa.list_(_CAND)),
+                    }
+                )
+
+    return run
+
+
+def scan_secrets(docs: DataFrame, q: float = 0.05, min_bits: float = 80.0, least_p: float = 0.001) -> DataFrame:
     """doc_id, counts, base_sha256, base and random spans of each document.
 
-    The false-discovery thresholds come from counts of all candidates and decoys in score bins by (encoding, length class):
-    at most a few thousand rows, whatever the input; the thresholds, one per class, become literals."""
+    min_bits: alphabet entropy of the weakest key that is looked for; least_p: share of true keys that the battery may take for
+    something else. The model is a table of characters by characters. The thresholds come from counts of all candidates in whole bits by
+    (encoding, length class): at most a few thousand rows, whatever the input; one a class, they become literals."""
     scratch = Scratch(docs.sparkSession, "secrets")
-    scanned = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, SCAN), "scan")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    counts = np.zeros(STATES * STATES, np.int64)
+    for r in rows.select("text").mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r["pair"]] = r["n"]
+    scanned = scratch.save(rows.mapInArrow(_scan(pair_model(counts)), SCAN), "scan")
     cls = lambda c: F.concat_ws("/", c["encoding"], F.least(F.floor(F.log2(c["length"]) * 2), F.lit(40)).cast("string"))
+    # p-values of 2 ** -bin: rounded up, and one where the battery has spoken.
+    bin_of = lambda c: F.when(c["uniform_p"] < least_p, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(1000), F.floor(c["evidence"])))).cast("int")
     each = scanned.select(F.explode("candidates").alias("c")).where(F.col("c.bits") >= min_bits)
-    scores = F.concat(F.array(F.struct(F.col("c.bin").alias("bin"), F.lit(1).alias("own"))), F.transform("c.decoys", lambda b: F.struct(b.alias("bin"), F.lit(0).alias("own"))))
-    bins = each.select(cls(F.col("c")).alias("class"), F.explode(scores).alias("s")).groupBy("class", F.col("s.bin").alias("bin")).agg(F.sum("s.own").alias("own"), F.count_if(F.col("s.own") == 0).alias("decoys"))
-    upto = W.partitionBy("class").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    passed = bins.select("class", "bin", ((F.sum("decoys").over(upto) + 1) / DECOYS <= q * F.sum("own").over(upto)).alias("ok"))
-    limits = {r["class"]: int(r["bin"]) for r in passed.where("ok").groupBy("class").agg(F.max("bin").alias("bin")).collect()}
+    bins = each.groupBy(cls(F.col("c")).alias("class"), bin_of(F.col("c")).alias("bin")).agg(F.count("*").alias("n"))
+    surest = W.partitionBy("class").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)
+    passed = bins.select("class", "bin", (F.sum("n").over(W.partitionBy("class")) * F.pow(F.lit(2.0), -F.col("bin")) <= q * F.sum("n").over(surest)).alias("ok"))
+    limits = {r["class"]: int(r["bin"]) for r in passed.where("ok").groupBy("class").agg(F.min("bin").alias("bin")).collect()}
     pairs = [x for k, v in limits.items() for x in (F.lit(k), F.lit(v))]
-    limit = lambda c: F.coalesce(F.element_at(F.create_map(*pairs), cls(c)), F.lit(-1)) if pairs else F.lit(-1)
-    kept = F.filter("candidates", lambda c: (c["bits"] >= min_bits) & (c["bin"] <= limit(c)))
+    limit = lambda c: F.element_at(F.create_map(*pairs), cls(c)) if pairs else F.lit(None).cast("int")
+    kept = F.filter("candidates", lambda c: (c["bits"] >= min_bits) & F.coalesce(bin_of(c) >= limit(c), F.lit(False)))
     return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", F.transform(kept, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end"))).alias("random"))
 
 

@@ -262,17 +262,76 @@ def test_false_discoveries_are_controlled(spark):
     say = lambda: " ".join(r.choice(english, 40))
     rows = [(i, f"{say()} {t} {say()}") for i, t in enumerate(keys + slugs)]
     got = {x["doc_id"]: x["random"] for x in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    judged = [i for i, (_, t) in enumerate(rows[:240]) if secrets.candidates(t, secrets.base_spans(t))]
+    model = secrets.pair_model(secrets.pair_counts([t.encode() for _, t in rows]))
+    judged = [i for i, (_, t) in enumerate(rows[:240]) if secrets.candidates(t, secrets.base_spans(t), model)]
     found, wrong = sum(bool(got[i]) for i in judged), sum(bool(got[i]) for i in range(240, 480))
-    assert len(judged) > 200 and found >= 0.55 * len(judged) and wrong <= 0.05 * (found + wrong)
-    # Long keys and those of large alphabets are nearly all told apart.
-    sure = [i for i in judged if len(keys[i]) >= 64 or (len(keys[i]) >= 40 and set(keys[i]) & set("abcdef") and set(keys[i]) & set("ABCDEF"))]
-    assert len(sure) > 80 and sum(bool(got[i]) for i in sure) >= 0.9 * len(sure)
+    assert len(judged) > 200 and found >= 0.95 * len(judged) and wrong <= 0.05 * (found + wrong)
     # A table of ordinary tokens alone gives next to none.
     alone = secrets.scan_secrets(spark.createDataFrame(rows[240:], "doc_id long, text string")).where("size(random) > 0").count()
     assert alone <= 0.05 * 240
 
 
+def test_planted_keys_by_encoding_and_length(spark):
+    """Single keys in the documents of a given table: 0.9 of each encoding from 24 characters up, and next to nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts, r, rows = [t["text"][:400] for t in docs.limit(50).collect()], np.random.default_rng(21), []
+    for name, alphabet in secrets.ENCODINGS:
+        for n in (24, 28, 40) if name not in ("decimal", "hex") else ():
+            for _ in range(12):
+                t = texts[int(r.integers(0, len(texts)))]
+                rows.append((10_000 + len(rows), f"{t} {''.join(r.choice(list(alphabet), n))} {t}", name, n, len(t) + 1))
+    planted = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    got = {x["doc_id"]: x["random"] for x in secrets.scan_secrets(docs.unionByName(planted)).collect()}
+    found = Counter((name, n) for i, _, name, n, at in rows if any(x["start"] == at and x["end"] == at + n for x in got[i]))
+    each = Counter((name, n) for *_, name, n, _ in rows)
+    assert sum(found.values()) >= 0.95 * len(rows) and all(found[k] >= 0.75 * each[k] for k in each)
+    assert sum(len(v) for v in got.values()) - sum(found.values()) <= 0.02 * len(rows)
+    one = spark.createDataFrame([(10_001, "an ordinary text with wJalrXUtnFEMI7K9MDENGbPx in it and some more words")], "doc_id long, text string")
+    assert [len(x["random"]) for x in secrets.scan_secrets(docs.unionByName(one)).where("doc_id = 10001 and size(random) > 0").collect()] == [1]
+
+
+def test_random_spans_against_a_plain_version(spark):
+    """The whole rule again: pairs of characters, evidence, battery, Benjamini-Hochberg within classes."""
+    r = np.random.default_rng(31)
+    words = lambda k: " ".join(r.choice(VOCAB, k))
+    odd = ["CONFIDENTIALITYAGREEMENTOFPARTIES", "getUserAccountBalanceOfCustomer", "a" * 30 + "1", "abcdefghijklmnopqrstuvwxyz0123456789", "x" * 19 + "1", "12345678901234567890", "dGhpcyBpcyBhIHRlc3QgYmFzZTY0IHRleHQ=="]
+    keys = ["".join(r.choice(list(secrets.ENCODINGS[int(k)][1]), int(r.integers(18, 50)))) for k in r.integers(2, len(secrets.ENCODINGS), 60)]
+    rows = [(i, f"{words(15)} {t} {words(15)}") for i, t in enumerate(odd + keys + ["".join(r.choice(VOCAB, 6)) for _ in range(40)])]
+    pairs, own = Counter(), Counter()
+    for _, t in rows:
+        for run in re.findall(r"[A-Za-z0-9+/_-]+", t):
+            for x, y in zip("\0" + run, run) if len(run) < 16 else ():
+                pairs[x, y] += 1
+                own[y] += 1
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    total = sum(own.values()) + len(alphabet) / 2
+    after = Counter()
+    for (x, _), n in pairs.items():
+        after[x] += n
+    bits = lambda t: sum(-math.log2((pairs[x, y] + 20 * (own[y] + 0.5) / total) / (after[x] + 20)) for x, y in zip("\0" + t, t))
+    judged, cls = [], {}
+    for i, t in rows:
+        base = secrets.base_spans(t)
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}={0,2}", t):
+            body = m[0].rstrip("=")
+            if len(body) < 20 or not re.search("[A-Za-z]", body) or any(a < m.end() and m.start() < e for a, _, e in base):
+                continue
+            name, chars = next((n, a) for n, a in secrets.ENCODINGS if set(body) <= set(a))
+            entropy, ordinary = len(body) * math.log2(len(chars)), bits(body)
+            if body == body.upper() and body != body.lower():
+                ordinary = -math.log2(2.0 ** -ordinary / 2 + 2.0 ** -bits(body.lower()) / 2)
+            if entropy >= 80:
+                fits = secrets.randomness_p([chars.index(c) for c in body], len(chars)) >= 0.001
+                judged.append((i, m.start(), (name, math.floor(math.log2(len(body)) * 2)), math.floor(max(0, ordinary - entropy)) if fits else 0))
+    want = set()
+    for c in {x[2] for x in judged}:
+        mine = [x for x in judged if x[2] == c]
+        ok = [b for b in {x[3] for x in mine} if len(mine) * 2.0**-b <= 0.05 * sum(x[3] >= b for x in mine)]
+        want |= {x[:2] for x in mine if ok and x[3] >= min(ok)}
+    got = {(x["doc_id"], y["start"]) for x in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() for y in x["random"]}
+    assert got == want and len(want) > 30 and not {i for i, _ in want} & {2, 3, 4, 5}
+
+
 def test_randomness_battery():
     r = np.random.default_rng(1)
     p = [secrets.randomness_p(r.integers(0, 64, 40).tolist(), 64) for _ in range(400)]
