@@ -147,12 +147,35 @@ def structural_fingerprint(codes: Column, texts: Column, paragraphs: Column, tab
     )
 
 
+def _prefixes(items, key: str, shape: str, part: str, least: dict[str, float]):
+    """key, kind, token: of each item's codes or brackets the rarest first, as many as guarantee that two sets whose Jaccard index is
+    least[kind] or more share one of them."""
+    tokens = items.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.col(shape)[part])).alias("token"))
+    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    own = tokens.join(df, "token").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("own"))
+    n = F.size("own")
+    kinds = [F.struct(F.lit(kind).alias("kind"), F.slice("own", F.lit(1), F.greatest(F.lit(0), (n - F.ceil(n * j - 1e-9) + 1).cast("int"))).alias("first")) for kind, j in least.items()]
+    return own.select("k", F.explode(F.array(*kinds)).alias("p")).select("k", "p.kind", F.explode("p.first").alias("token"))
+
+
 def similar_pairs(items, key: str, shape: str, least: float):
-    """Pairs of templates (a < b) whose structures are similar: over 0.55 they share a code or a bracket, so they meet by
-    those and not all with all."""
+    """Pairs of templates (a < b) whose structures are similar. Over 0.55 they share codes or brackets, and how many follows from the
+    score: with one paragraph band the shape can give all of its part, with two at most 0.6 of it, so pairs across bands share more.
+    They meet by the rarest of their codes, those without codes by the rarest of their brackets; only ids move until the pairs are known."""
     if least <= 0.55:
         raise ValueError("pairs that share neither a code nor a bracket reach 0.55")
-    tokens = lambda s: F.concat(F.transform(s["codes"], lambda c: F.concat(F.lit("c|"), c)), F.transform(s["brackets"], lambda b: F.concat(F.lit("b|"), b)))
-    side = lambda k: items.select(F.col(key).alias(k), F.col(shape).alias(f"s{k}"), F.explode(tokens(F.col(shape))).alias("t"))
-    pairs = side("a").join(side("b"), "t").where("a < b").dropDuplicates(["a", "b"])
-    return pairs.select("a", "b", structural_similarity(F.col("sa"), F.col("sb")).alias("score")).where(F.col("score") >= least)
+    t = least - 0.00005  # scores are rounded to four places
+    about = items.select(F.col(key).alias("k"), F.col(shape)["paragraph_band"].alias("band"), (F.size(F.col(shape)["codes"]) > 0).alias("coded"))
+    # Codes on either side: of 1 (0.8 without brackets) the shape gives 0.3 and the brackets 0.2 at most.
+    codes = {k: max(0.0, min(t - 0.3 * s - 0.2, 0.8 * t - 0.3 * s) / 0.5) for k, s in (("same", 1.0), ("any", 0.6))}
+    # No codes on either side: of 0.5 the shape gives 0.3 at most.
+    brackets = {k: (0.5 * t - 0.3 * s) / 0.2 for k, s in (("same", 1.0), ("any", 0.6))}
+    by = lambda rows, name: rows.join(about, "k").select("k", F.xxhash64(F.lit(name), "token", F.when(F.col("kind") == "same", F.col("band")).otherwise(F.lit(-1))).alias("block"))
+    bare = items.join(about.where("not coded").select(F.col("k").alias(key)), key, "left_semi")
+    met = by(_prefixes(items, key, shape, "codes", codes), "codes").unionByName(by(_prefixes(bare, key, shape, "brackets", {k: max(0.0, j) for k, j in brackets.items()}), "brackets"))
+    if brackets["same"] <= 0:
+        # Up to 0.6 a like shape is enough for templates without codes that have brackets: the band is all that they have to share.
+        met = met.unionByName(about.where("not coded").select("k", F.xxhash64(F.lit("band"), "band").alias("block")))
+    ids = met.select("block", F.col("k").alias("a")).join(met.select("block", F.col("k").alias("b")), "block").where("a < b").select("a", "b").distinct()
+    side = lambda k: items.select(F.col(key).alias(k), F.col(shape).alias(f"s{k}"))
+    return ids.join(side("a"), "a").join(side("b"), "b").select("a", "b", structural_similarity(F.col("sa"), F.col("sb")).alias("score")).where(F.col("score") >= least)

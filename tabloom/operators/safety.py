@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -137,17 +138,56 @@ def screen(own_events: DataFrame, background_events: DataFrame, term: str = "ter
     return out.orderBy(F.desc("flag"), F.desc(F.coalesce("prr", F.lit(0.0))), F.desc("a"), "term")
 
 
+#: Fields of two cases by how few others share their value: a signature takes the first ones.
+SELECTIVE = ("worldwide_case_id", "local_case_id", "onset_date", "receipt_date", "preferred_terms", "patient_age", "suspect_drug", "reporter_qualification", "country", "patient_sex")
+#: What pairs have to share before anything else: one of these sets of fields.
+BASES = (("country", "patient_sex"), ("worldwide_case_id",), ("local_case_id",))
+
+
+def signatures(least_score: float, least_fields: int, most: int = 2) -> list[tuple[str, ...]]:
+    """Sets of fields such that each pair that shares a base and agrees on enough shares one of them. Of a smallest sufficient set
+    the base and its `most` most selective fields are taken, so a block holds little more than the pairs that count."""
+    out: dict[tuple[str, ...], None] = {}
+    for i, base in enumerate(BASES):
+        others = [f for f in SELECTIVE if f not in base and f not in (BASES[1] + BASES[2] if i == 0 else BASES[1] if i == 2 else ())]
+        # Scores are rounded to three places.
+        need = least_score - sum(WEIGHTS[f] for f in base) - 0.0005 - 1e-9
+        enough = lambda s: sum(WEIGHTS[f] for f in s) >= need and len(s) >= least_fields - len(base)  # noqa: B023, E731
+        found: list[tuple[str, ...]] = []
+        for n in range(len(others) + 1):
+            found += [s for s in combinations(others, n) if enough(s) and not any(set(t) <= set(s) for t in found)]
+        out |= dict.fromkeys((*base, *s[:most]) for s in found)
+    return list(out)
+
+
+def _keys(c: DataFrame, sets: list[tuple[str, ...]]) -> Column:
+    """Hashes of a case's values in each set of fields; lists give one for each of their values, an age those of its two years."""
+    texts = lambda name: F.array_distinct(F.array_compact(F.transform(F.coalesce(F.col(name), F.array().cast(c.schema[name].dataType)), lambda x: x.cast("string"))))
+    one = lambda name: F.array_compact(F.array(F.col(name).cast("string")))
+    year = F.floor(F.col("age") / AGE_YEARS)
+    values = {
+        "worldwide_case_id": one("worldwide_case_id"), "local_case_id": texts("local_ids"), "country": one("country"), "patient_sex": one("sex"), "patient_age": F.array_compact(F.array(year.cast("string"), (year + 1).cast("string"))),
+        "reporter_qualification": one("qualification"), "receipt_date": one("receipt_date"), "preferred_terms": texts("terms"), "onset_date": texts("onsets"), "suspect_drug": texts("drugs"),
+    }
+    found = []
+    for i, fields in enumerate(sets):
+        rows = F.array(F.xxhash64(F.lit(i)))
+        for f in fields:
+            own = values[f]
+            rows = F.flatten(F.transform(rows, lambda h: F.transform(own, lambda v: F.xxhash64(h, v))))  # noqa: B023
+        found.append(rows)
+    return F.array_distinct(F.concat(*found))
+
+
 def duplicate_pairs(cases: DataFrame, least_score: float = LEAST_SCORE, least_fields: int = LEAST_FIELDS) -> DataFrame:
-    """Candidate pairs that agree on enough: blocked by (country, sex) and by identifiers, each pair once.
+    """Candidate pairs that agree on enough, each pair once. Pairs share country and sex, or an identifier; and since that alone is not
+    enough, they meet only by what else they have to share (signatures), never all with all in a country.
 
     A case has case_id, worldwide_case_id, local_ids (array), country, sex, age, qualification, receipt_date, terms (array),
     onsets (array), drugs (array)."""
     c = cases
     side = lambda k: c.select(*[F.col(x).alias(f"{k}_{x}") for x in c.columns])
-    keys = c.select("case_id", F.explode(F.array_distinct(F.array_compact(F.concat(
-        F.array(F.when(F.col("country").isNotNull() & F.col("sex").isNotNull(), F.concat_ws("|", F.lit("cs"), "country", "sex")), F.when(F.col("worldwide_case_id").isNotNull(), F.concat(F.lit("w|"), F.col("worldwide_case_id")))),
-        F.transform(F.coalesce("local_ids", F.array().cast("array<string>")), lambda x: F.concat(F.lit("l|"), x)),
-    )))).alias("block"))
+    keys = c.select("case_id", F.explode(_keys(c, signatures(least_score, least_fields))).alias("block"))
     ids = keys.select("block", F.col("case_id").alias("a")).join(keys.select("block", F.col("case_id").alias("b")), "block").where("a < b").select("a", "b").distinct()
     p = ids.join(side("l"), F.col("a") == F.col("l_case_id")).join(side("r"), F.col("b") == F.col("r_case_id"))
     L, R = (lambda x: F.col(f"l_{x}")), (lambda x: F.col(f"r_{x}"))
