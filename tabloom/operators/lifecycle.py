@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+from dataclasses import dataclass
+from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabloom.operators.joins import stored
+
 
 def cutoff(days: int, now) -> Column:
     return F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {int(days)} days")
@@ -28,6 +32,65 @@ def sweep(parents: DataFrame, children: dict[str, tuple[DataFrame, str]], key: s
     return out
 
 
+@dataclass
+class Retired:
+    """What a retention or offboarding takes: tables without the rows that go, and a manifest (step, table, id) of those rows, whose steps
+    delete children before parents."""
+
+    kept: dict[str, DataFrame]
+    manifest: DataFrame
+
+    def counts(self) -> dict[str, int]:
+        return {r["table"]: r["n"] for r in self.manifest.groupBy("table").agg(F.count("*").alias("n")).collect()}
+
+    def digest(self) -> str:
+        return hashlib.sha256(json.dumps(self.counts(), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def retire(tables: dict[str, tuple[DataFrame, str]], links: list[tuple[str, str, str]], roots: dict[str, Column]) -> Retired:
+    """Closure of the rows that go over a graph of foreign keys: rows of a root that meet its condition, and all rows that hang on one
+    that goes. tables: name -> (frame, key); links: (child, column, parent).
+
+    Tables are taken parents first, each once its parents are known; tables that refer to each other, or to themselves, are gone
+    through again until nothing is added. Only keys are joined. A null reference hangs on nothing, a null key is never a parent,
+    and a condition that is null keeps its row."""
+    unknown = {n for link in links for n in (link[0], link[2])} | set(roots)
+    if unknown - set(tables):
+        raise ValueError(f"unknown tables: {', '.join(sorted(unknown - set(tables)))}")
+    spark = next(iter(tables.values()))[0].sparkSession
+    parents: dict[str, set[str]] = {n: set() for n in tables}
+    for child, _, parent in links:
+        if child != parent:
+            parents[child].add(parent)
+    try:
+        order, cyclic = list(TopologicalSorter(parents).static_order()), any(c == p for c, _, p in links)
+    except CycleError:
+        order, cyclic = sorted(tables), True
+    gone: dict[str, DataFrame] = {}
+    rows = {n: -1 for n in tables}
+    while True:
+        before = dict(rows)
+        for name in order:
+            df, key = tables[name]
+            hit = [df.where(roots[name])] if name in roots else []
+            hit += [df.join(gone[p].select(F.col("id").alias("_gone")), F.col(f"`{c}`") == F.col("_gone"), "left_semi") for child, c, p in links if child == name and p in gone]
+            if not hit:
+                continue
+            ids = [h.select(F.col(f"`{key}`").alias("id")) for h in hit]
+            every = ids[0]
+            for more in ids[1:]:
+                every = every.unionByName(more)
+            gone[name] = stored(every.where("id is not null").distinct(), f"gone-{name}")
+            rows[name] = gone[name].count() if cyclic else 0
+        if not cyclic or rows == before:
+            break
+    kept = {n: df.join(gone[n].select(F.col("id").alias("_gone")), F.col(f"`{key}`") == F.col("_gone"), "left_anti") if n in gone else df for n, (df, key) in tables.items()}
+    manifest = spark.createDataFrame([], "step int, table string, id string")
+    for step, name in enumerate(reversed([n for n in order if n in gone]), 1):
+        manifest = manifest.unionByName(gone[name].select(F.lit(step).alias("step"), F.lit(name).alias("table"), F.col("id").cast("string").alias("id")))
+    return Retired(kept, manifest)
+
+
 def offboard(tables: dict[str, DataFrame], org: str, column: str = "org_id") -> tuple[dict[str, DataFrame], dict[str, int], str]:
     """All tables without a tenant's rows, how many went from each, and a digest of those counts."""
     if not org or not org.strip():

@@ -176,7 +176,7 @@ def signal_overview(signals: DataFrame) -> DataFrame:
 
 
 def exposure_table(exposure: DataFrame) -> DataFrame:
-    return exposure.withColumn("note", F.when(F.col("patients").isNull(), "no estimate")).orderBy("context", "region")
+    return exposure.withColumn("note", F.when(F.col("patients").isNull(), "no estimate")).orderBy("context", "region", F.col("patients").asc_nulls_first())
 
 
 def concern_table(concerns: DataFrame) -> DataFrame:

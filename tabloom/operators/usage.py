@@ -204,20 +204,40 @@ def progress(jobs: DataFrame, by: str, status: str, states: list[str]) -> DataFr
     return jobs.groupBy(by).agg(F.count("*").alias("total"), *n).withColumn("done", F.col("total") - F.col("pending"))
 
 
+def numbered(rows: DataFrame, name: str = "place") -> DataFrame:
+    """A sorted frame with each row's place from 1: rows are counted per part of the sort, so none gathers them."""
+    from tabloom.operators.joins import stored
+
+    at = stored(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    parts = at.groupBy("_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_part", (before - F.col("_first") + 1).alias("_shift"))  # one row a part
+    return at.join(F.broadcast(parts), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
+def rows_at(rows: DataFrame, order: str, places) -> DataFrame:
+    """Rows at some places (from 0) of an order, by one range sort: counts of its parts say where each place is. places: a
+    function of the number of rows. The driver sees one row a part."""
+    from tabloom.operators.joins import stored
+
+    spread = rows.repartitionByRange(order).sortWithinPartitions(order)
+    spread = stored(spread.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "spread")
+    parts = spread.groupBy("_part").agg(F.min("_at").alias("first"), F.count("*").alias("n")).orderBy("_part").collect()
+    wanted, start = [], 0
+    at = sorted(places(sum(p["n"] for p in parts)))
+    for p in parts:
+        wanted += [p["first"] + i - start for i in at if start <= i < start + p["n"]]
+        start += p["n"]
+    return spread.where(F.col("_at").isin(*wanted) if wanted else F.lit(False)).drop("_part", "_at")
+
+
 def canary_run(rows: DataFrame, order: str, work, failed, size: int = 3) -> DataFrame:
     """Rows numbered in order with the outcome of `work`; if one of the evenly spaced first rows fails, the others are
     `skipped` and not worked on. work: a function of a frame; failed: a condition on its result."""
     from tabloom.operators.joins import small, stored
     from tabloom.operators.metrics import canary_positions
 
-    first = rows.select(order).orderBy(order)
-    n = rows.count()
-    at = canary_positions(n, size)
-    spread = [first.offset(i).limit(1) for i in at]
-    keys = spread[0] if spread else first.limit(0)
-    for s in spread[1:]:
-        keys = keys.unionByName(s)
-    keys = stored(keys, "canary")
+    keys = stored(rows_at(rows.select(order), order, lambda n: canary_positions(n, size)), "canary")
     tried = stored(work(rows.join(small(keys), order, "left_semi")), "tried").withColumn("canary", F.lit(True))
     rest = rows.join(small(keys), order, "left_anti")
     if tried.where(failed).limit(1).count():

@@ -67,10 +67,11 @@ def retention_sweep(spark, d):
     return n(out["orders"], "orders").unionByName(n(out["parents"], "customer"))
 
 
-@query("SELECT b AS before, a AS after, b = a OR (b, a) IN (('candidate', 'new'), ('candidate', 'refuted'), ('new', 'ongoing'), ('new', 'closed'), ('ongoing', 'closed'), ('closed', 'ongoing')) AS allowed FROM (VALUES ('candidate'), ('new'), ('ongoing'), ('closed')) x(b), (VALUES ('candidate'), ('new'), ('ongoing'), ('closed'), ('refuted')) y(a)")
+@query("SELECT p_partkey, b = a OR (b, a) IN (('candidate', 'new'), ('candidate', 'refuted'), ('new', 'ongoing'), ('new', 'closed'), ('ongoing', 'closed'), ('closed', 'ongoing')) AS allowed FROM (SELECT p_partkey, ['candidate', 'new', 'ongoing', 'closed'][p_size % 4 + 1] AS b, ['candidate', 'new', 'ongoing', 'closed', 'refuted'][p_partkey % 5 + 1] AS a FROM part)")
 def signal_transitions(spark, d):
-    moves = spark.createDataFrame([(b, a) for b in ("candidate", "new", "ongoing", "closed") for a in ("candidate", "new", "ongoing", "closed", "refuted")], "before string, after string")
-    return safety.check_transitions(moves)
+    state = lambda c, *names: F.element_at(F.array(*[F.lit(n) for n in names]), (c + 1).cast("int"))
+    moves = read(spark, d, "part").select("p_partkey", state(F.col("p_size") % 4, "candidate", "new", "ongoing", "closed").alias("before"), state(F.col("p_partkey") % 5, "candidate", "new", "ongoing", "closed", "refuted").alias("after"))
+    return safety.check_transitions(moves).select("p_partkey", "allowed")
 
 
 @query("SELECT l_orderkey AS case_id, max(l_linenumber) AS version, arg_max(l_shipmode, l_linenumber) AS mode FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_quantity AS VARCHAR) END AS l_shipmode FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2)) GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.operators import lab, lab_tables
+from tabloom.operators import lab, lab_tables, usage
 from tabloom.plans.catalogue import query, read
 from tabloom.plans.texts import say
 from tabloom.sources import cases, records
@@ -31,9 +31,9 @@ def results(spark, d):
 RESULTS = "(SELECT l_partkey AS test_id, 'B' || (l_suppkey % 4) AS batch, l_orderkey * 10 + l_linenumber AS result_id, l_linestatus = 'F' AS verified, CAST(l_quantity AS INTEGER) || ' mg' AS value_text, l_quantity AS number, CASE WHEN l_returnflag = 'A' THEN '25C' END AS condition, CASE WHEN l_linenumber > 5 THEN l_linenumber END AS months FROM lineitem) r"
 
 
-@query(f"SELECT test_order, test, method, criterion, concat_ws(', ', CASE WHEN method IS NULL THEN 'no method identifier' END, CASE WHEN criterion IS NULL THEN 'no acceptance criterion' END) AS missing FROM {TESTS} ORDER BY test_order, test LIMIT 150")
+@query(f"SELECT test_order, test, method, criterion, concat_ws(', ', CASE WHEN method IS NULL THEN 'no method identifier' END, CASE WHEN criterion IS NULL THEN 'no acceptance criterion' END) AS missing, row_number() OVER (ORDER BY test_order, test) AS place FROM {TESTS}")
 def specification_table(spark, d):
-    return lab.render("spec_table", tests(spark, d)).limit(150)
+    return usage.numbered(lab.render("spec_table", tests(spark, d)))
 
 
 PICKED = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY test_id, batch ORDER BY NOT verified, result_id) AS k, count(*) OVER (PARTITION BY test_id, batch) AS n FROM {RESULTS}) WHERE k = 1)"
@@ -55,9 +55,9 @@ def components(spark, d):
 HELD = "CASE WHEN p_partkey % 3 = 0 THEN '[DATA NEEDED]' ELSE {} END"
 
 
-@query(f"SELECT p_name AS component, p_type AS function, {HELD.format("p_size || ' mg'")} AS quantity, {HELD.format('CAST(CAST(p_size / 2 AS DECIMAL(9,2)) AS VARCHAR)')} AS percent, {HELD.format('CAST(p_size * 10 AS VARCHAR)')} AS per_batch, {HELD.format("'USP'")} AS standard FROM part ORDER BY p_size, p_name, p_partkey LIMIT 120")
+@query(f"SELECT p_name AS component, p_type AS function, {HELD.format("p_size || ' mg'")} AS quantity, {HELD.format('CAST(CAST(p_size / 2 AS DECIMAL(9,2)) AS VARCHAR)')} AS percent, {HELD.format('CAST(p_size * 10 AS VARCHAR)')} AS per_batch, {HELD.format("'USP'")} AS standard, row_number() OVER (ORDER BY p_size, p_name, p_partkey) AS place FROM part")
 def batch_formula_table(spark, d):
-    return lab.render("batch_formula", components(spark, d)).limit(120)
+    return usage.numbered(lab.render("batch_formula", components(spark, d)))
 
 
 @query(f"SELECT p_name AS component, p_type AS function, {HELD.format("p_size || ' mg'")} AS quantity, {HELD.format('CAST(CAST(p_size / 2 AS DECIMAL(9,2)) AS VARCHAR)')} AS percent FROM part")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabloom.operators import conditions, lifecycle, listings, metrics, resolution, retrieval, usage
+from tabloom.operators import conditions, expressions, lifecycle, listings, metrics, resolution, retrieval, usage
 from tabloom.operators.joins import shared_path
 from tabloom.operators.vector_store import PivotIndex, VectorStore
 from tabloom.plans.catalogue import day, events, query, read
@@ -153,21 +154,39 @@ def offboarded(spark, d):
     return spark.createDataFrame(sorted(counts.items()), "table string, deleted long")
 
 
+@query("""
+WITH c AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c) OR o_orderstatus = 'P'),
+l AS (SELECT l_orderkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o))
+SELECT 1 AS step, 'lines' AS "table", count(*) AS gone, (SELECT count(*) FROM lineitem) - count(*) AS kept FROM l UNION ALL SELECT 2, 'orders', count(*), (SELECT count(*) FROM orders) - count(*) FROM o
+UNION ALL SELECT 3, 'customers', count(*), (SELECT count(*) FROM customer) - count(*) FROM c
+""")
+def retired_graph(spark, d):
+    """Customers in debt and pending orders go, with all that hangs on them, lines first."""
+    li = read(spark, d, "lineitem").withColumn("id", F.concat_ws("/", "l_orderkey", "l_linenumber", F.xxhash64("*").cast("string")))
+    li = li.withColumn("id", F.concat_ws("#", "id", F.row_number().over(Window.partitionBy("id").orderBy("id"))))
+    tables = {"customers": (read(spark, d, "customer"), "c_custkey"), "orders": (read(spark, d, "orders"), "o_orderkey"), "lines": (li, "id")}
+    out = lifecycle.retire(tables, [("lines", "l_orderkey", "orders"), ("orders", "o_custkey", "customers")], {"customers": F.col("c_acctbal") < 0, "orders": F.col("o_orderstatus") == "P"})
+    kept = None
+    for name, df in out.kept.items():
+        one = df.agg(F.count("*").alias("kept")).withColumn("table", F.lit(name))
+        kept = one if kept is None else kept.unionByName(one)
+    return out.manifest.groupBy("step", "table").agg(F.count("*").alias("gone")).join(kept, "table").select("step", "table", "gone", "kept")
+
+
 @query("SELECT event_type, count(*) AS removed, CAST(max(CAST(ts AS DATE)) AS VARCHAR) AS newest FROM events WHERE ts < TIMESTAMP '2024-01-30' - INTERVAL 20 DAY GROUP BY 1")
 def retention_cutoff(spark, d):
     e = read(spark, d, "events").where(F.col("ts") < lifecycle.cutoff(20, datetime(2024, 1, 30)))
     return e.groupBy("event_type").agg(F.count("*").alias("removed"), day(F.max("ts")).alias("newest"))
 
 
-@query("SELECT 3 AS same, 'TypeError' AS refused")
+@query("SELECT p_partkey, sha256('d:{s:1:a=i:' || p_size || ',s:1:b=l:[i:1,b:1],s:1:n=s:' || length(p_name) || ':' || p_name || '}') AS hash, true AS same, true AS apart FROM part")
 def canonical_hashes(spark, d):
-    h = lifecycle.canonical_hash
-    same = [h({"a": 3.0, "b": [1, True]}) == h({"b": [1, True], "a": 3}), h("1") != h(1), h([1, [2]]) != h([[1], 2])]
-    try:
-        refused = h({1, 2})
-    except TypeError as e:
-        refused = type(e).__name__
-    return spark.range(1).select(F.lit(sum(same)).alias("same"), F.lit(refused).alias("refused"))
+    """Two spellings of one value have one hash, and a number as a text has another."""
+    p = read(spark, d, "part")
+    one, two = say('{"a": ', "$p_size", '.0, "b": [1, true], "n": "', "$p_name", '"}'), say('{"n": "', "$p_name", '", "b": [1,true], "a": ', "$p_size", "}")
+    other = say('{"n": "', "$p_name", '", "b": [1,true], "a": "', "$p_size", '"}')
+    h = expressions.canonical_hash_of
+    return p.select("p_partkey", h(one).alias("hash"), h(two).alias("two"), h(other).alias("other")).select("p_partkey", "hash", (F.col("hash") == F.col("two")).alias("same"), (F.col("hash") != F.col("other")).alias("apart"))
 
 
 # Joins with a library operator behind them
@@ -304,22 +323,23 @@ def rule_test_cases(spark, d):
     return conditions.run_test_cases(o, "amount > 100000", ["amount"]).groupBy("passed").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('inputs', 'amount,priority,status'), ('same', 'true'), ('faults', 'unknown_field:priority'), ('english', 'amount is more than 5'), ('sentence', 'If amount is more than 5, keep it; otherwise remove it. If amount is missing, a person decides.')) v(what, told)")
+@query(
+    "SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN 'amount' END AS inputs, CASE WHEN p_partkey % 5 <> 0 THEN 'amount is more than ' || p_size END AS english, "
+    "CASE WHEN p_partkey % 5 <> 0 THEN 'If amount is more than ' || p_size || ', keep it; otherwise remove it. If amount is missing, a person decides.' END AS sentence, CASE WHEN p_partkey % 5 = 0 THEN 'outside the language' END AS fault FROM part"
+)
 def rule_readings(spark, d):
-    """What the language says about a rule: its inputs, a text that reads back, static faults, sentences."""
-    faults = conditions.typecheck(RULE, {"amount": "number", "status": "string"})
-    told = [
-        ("inputs", ",".join(conditions.inputs(RULE))), ("same", str(conditions.unparse(conditions.unparse(RULE)) == conditions.unparse(RULE)).lower()), ("faults", ",".join(f"{a}:{b}" for a, b in faults)),
-        ("english", conditions.plain_english("amount > 5")), ("sentence", conditions.approval_sentence("amount > 5")),
-    ]
-    return spark.createDataFrame(told, "what string, told string")
+    """What the language says about a rule of each part; every fifth is no rule."""
+    rule = F.when(F.col("p_partkey") % 5 == 0, F.lit("__import__('os')")).otherwise(say("amount > ", "$p_size"))
+    return read(spark, d, "part").select("p_partkey", expressions.rule_reading(rule).alias("r")).select("p_partkey", "r.inputs", "r.english", "r.sentence", "r.fault")
 
 
-@query("SELECT * FROM (VALUES (0, 'amount'), (1, 'fee'), (2, 'total')) v(place, unit)")
+@query("SELECT s_nationkey AS manifest, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INTEGER AS place, 'u' || s_suppkey AS unit FROM supplier")
 def dependency_order(spark, d):
-    U = resolution.Unit
-    units = [U("total", "computed", "fee + amount"), U("fee", "computed", "amount * 2"), U("amount", "source", "x")]
-    return spark.createDataFrame([(i, u.id) for i, u in enumerate(resolution.order(units))], "place int, unit string")
+    """A manifest for each nation, whose units need the one before them."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    s = read(spark, d, "supplier").withColumn("before", F.lag("s_suppkey").over(w))
+    units = s.select(F.col("s_nationkey").alias("manifest"), say("u", "$s_suppkey").alias("unit"), F.when(F.col("before").isNull(), "source").otherwise("computed").alias("kind"), F.when(F.col("before").isNull(), F.lit("x")).otherwise(say("u", "$before", " + 1")).alias("expression"))
+    return expressions.dependency_places(units)
 
 
 # Matching
@@ -366,11 +386,24 @@ def memory_lookup(spark, d):
     return resolution.memory_lookup(p, "1", 3).select("target", "column", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT * FROM (VALUES ('customer', 'Customer Name', 'mergefield', 1.0::DOUBLE), ('balance', 'acct', 'dictionary', 0.95), ('segment', 'Segment', 'name', 0.9)) v(target, \"column\", tier, confidence)")
+TIER_SQL = "SELECT DISTINCT p_brand AS target, 'Col ' || p_brand AS \"column\", {} AS tier, {}::DOUBLE AS confidence FROM part WHERE {}"
+DIGIT = "right(p_brand, 1)::INTEGER"
+
+
+def tier_tables(spark, d):
+    """Brands as targets: by their last digit one is known by its merge field, one by the dictionary, one by its name, and others not at all."""
+    b = read(spark, d, "part").select("p_brand").distinct()
+    digit = F.substring("p_brand", -1, 1).cast("int")
+    targets = b.select(F.when(digit == 3, say("col_", F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))))).otherwise(F.col("p_brand")).alias("target"), F.when(digit == 1, say("col_", F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))))).alias("mergefield"), "p_brand")
+    columns = b.select(say("Col ", "$p_brand").alias("column"))
+    known = b.where(digit == 2).select(F.col("p_brand").alias("target"), F.upper(say("Col ", "$p_brand")).alias("column"))
+    return targets, columns, known
+
+
+@query(TIER_SQL.format("CASE " + DIGIT + " WHEN 1 THEN 'mergefield' WHEN 2 THEN 'dictionary' ELSE 'name' END", "CASE " + DIGIT + " WHEN 1 THEN 1.0 WHEN 2 THEN 0.95 ELSE 0.9 END", DIGIT + " IN (1, 2, 3)").replace("p_brand AS target", "CASE WHEN " + DIGIT + " = 3 THEN 'col_' || lower(replace(p_brand, '#', '_')) ELSE p_brand END AS target"))
 def suggestion_tiers(spark, d):
-    targets = spark.createDataFrame([("customer", "customer_name"), ("balance", None), ("segment", "no_such"), ("unknown", None)], "target string, mergefield string")
-    columns = spark.createDataFrame([("Customer Name",), ("acct",), ("Segment",), ("Customer",)], "column string")
-    return resolution.tiered(targets, columns, spark.createDataFrame([("balance", "ACCT")], "target string, column string"))
+    targets, columns, known = tier_tables(spark, d)
+    return resolution.tiered(targets.select("target", "mergefield"), columns, known)
 
 
 @query("SELECT p_size % 4 AS kind, p_brand = 'Brand#13' AS material, concat_ws(',', CASE WHEN p_size % 4 = 0 THEN 'type_mismatch' END, CASE WHEN p_brand = 'Brand#13' AND p_size % 4 <> 3 THEN 'thin_evidence' END, CASE WHEN p_size % 4 NOT IN (2, 3) THEN 'no_precedent' END) AS vetoes, count(*) AS n FROM part GROUP BY 1, 2, 3")
@@ -495,12 +528,12 @@ def download_grants(spark, d):
     return lifecycle.redeem(g, e, "token", "granted", "ts", 7 * 86400, ["ts", "event_id"]).groupBy("served").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'unknown' AS target, 'Customer' AS \"column\", 'model' AS tier, 0.6::DOUBLE AS confidence UNION ALL SELECT 'segment', 'Segment', 'name', 0.9")
+@query(TIER_SQL.format("'model'", "0.6", DIGIT + " NOT IN (1, 2, 3)"))
 def matcher_hook(spark, d):
-    targets = spark.createDataFrame([("segment", None), ("unknown", None)], "target string, mergefield string")
-    columns = spark.createDataFrame([("Segment",), ("Customer",)], "column string")
-    guess = lambda t, c: t.select("target", F.lit("Customer").alias("column")).unionByName(t.select("target", F.lit("No such").alias("column")))
-    return resolution.tiered(targets, columns, spark.createDataFrame([], "target string, column string"), guess)
+    """What the tiers leave open goes to a matcher; what it makes up is dropped."""
+    targets, columns, known = tier_tables(spark, d)
+    guess = lambda t, c: t.select("target", say("Col ", "$target").alias("column")).unionByName(t.select("target", F.lit("No such").alias("column")))
+    return resolution.tiered(targets.select("target", "mergefield"), columns, known, guess).where("tier = 'model'")
 
 
 @query("SELECT 'Column ' || c || ' holds ' || n || ' values and looks like ' || k || '.' AS text, c AS \"column\" FROM (SELECT 'c_name' AS c, count(*) AS n, 'text' AS k FROM customer UNION ALL SELECT 'c_acctbal', count(*), 'number' FROM customer)")
@@ -540,17 +573,12 @@ def material_fields(spark, d):
     return read(spark, d, "part").groupBy(k.alias("kind"), scores.is_material(t).alias("material")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('inputs', 'a,b,c'), ('tree', 'BoolOp'), ('too deep', 'refused')) v(what, told)")
+@query("SELECT p_partkey, 'a' || p_size || ',b,c' AS inputs, CASE p_size % 3 WHEN 0 THEN 'BoolOp' WHEN 1 THEN 'Compare' END AS tree FROM part")
 def language_readings(spark, d):
-    """Inputs of a formula, the tree of a condition, and an expression that is outside the language."""
-    from tabloom.operators import formulas
-
-    try:
-        conditions.parse("__import__('os')")
-        other = "read"
-    except conditions.ConditionError:
-        other = "refused"
-    return spark.createDataFrame([("inputs", ",".join(sorted(formulas.identifiers("max(a, b) * c - 1")))), ("tree", type(conditions.parse("a > 1 and b < 2")).__name__), ("too deep", other)], "what string, told string")
+    """Inputs of a formula, and the tree of a condition that is in the language for two of three parts."""
+    k = F.col("p_size") % 3
+    rule = F.when(k == 0, say("a > ", "$p_size", " and b < 2")).when(k == 1, say("a > ", "$p_size")).otherwise(F.lit("open('x')"))
+    return read(spark, d, "part").select("p_partkey", expressions.formula_inputs(say("max(a", "$p_size", ", b) * c - 1")).alias("inputs"), expressions.rule_reading(rule)["tree"].alias("tree"))
 
 
 @query("SELECT p_partkey, round(round(p_retailprice / 7, 2) + abs(-p_size) + least(p_size, 9) + greatest(p_size, 9) + (p_size + 2 + 3) + (p_size + 4) / 2 + floor(p_size / 4) + ceil(p_size / 4) + sqrt(p_size), 6)::DOUBLE AS value FROM part")

@@ -37,22 +37,22 @@ def signals_shown(spark, d):
     return safety_checks.signals_in_report(signals(spark, d), START, END, LOCK).select("signal_id", "status")
 
 
-@query(f"SELECT signal_id, CAST(detected_on AS VARCHAR) AS detected_on, concat_ws(', ', CASE WHEN source IS NULL THEN 'source' END, CASE WHEN conclusion IS NULL THEN 'conclusion' END) AS missing FROM {SIGNALS} ORDER BY s.detected_on, signal_id LIMIT 60")
+@query(f"SELECT signal_id, CAST(detected_on AS VARCHAR) AS detected_on, concat_ws(', ', CASE WHEN source IS NULL THEN 'source' END, CASE WHEN conclusion IS NULL THEN 'conclusion' END) AS missing, row_number() OVER (ORDER BY s.detected_on, signal_id) AS place FROM {SIGNALS}")
 def signal_overview(spark, d):
-    return safety_checks.signal_overview(signals(spark, d)).limit(60).select("signal_id", day(F.col("detected_on")).alias("detected_on"), "missing")
+    return usage.numbered(safety_checks.signal_overview(signals(spark, d))).select("signal_id", day(F.col("detected_on")).alias("detected_on"), "missing", "place")
 
 
-@query("SELECT context, region, patients, CASE WHEN patients IS NULL THEN 'no estimate' END AS note FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'market' ELSE 'trial' END AS context, c_nationkey AS region, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS patients FROM customer) ORDER BY context, region, patients NULLS FIRST LIMIT 100000")
+@query("SELECT context, region, patients, CASE WHEN patients IS NULL THEN 'no estimate' END AS note, row_number() OVER (ORDER BY context, region, patients NULLS FIRST) AS place FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'market' ELSE 'trial' END AS context, c_nationkey AS region, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS patients FROM customer)")
 def exposure_rows(spark, d):
     k = F.col("c_custkey")
     x = read(spark, d, "customer").select(F.when(k % 2 == 0, "market").otherwise("trial").alias("context"), F.col("c_nationkey").alias("region"), F.when(k % 3 != 0, k).alias("patients"))
-    return safety_checks.exposure_table(x)
+    return usage.numbered(safety_checks.exposure_table(x))
 
 
-@query("SELECT category, concern FROM (SELECT ['Important potential risk', 'missing information', 'important identified risk', 'other'][n_nationkey % 4 + 1] AS category, n_name AS concern FROM nation) ORDER BY CASE lower(category) WHEN 'important identified risk' THEN 1 WHEN 'important potential risk' THEN 2 WHEN 'missing information' THEN 3 ELSE 4 END, lower(concern) LIMIT 15")
+@query("SELECT category, concern, row_number() OVER (ORDER BY CASE lower(category) WHEN 'important identified risk' THEN 1 WHEN 'important potential risk' THEN 2 WHEN 'missing information' THEN 3 ELSE 4 END, lower(concern)) AS place FROM (SELECT ['Important potential risk', 'missing information', 'important identified risk', 'other'][n_nationkey % 4 + 1] AS category, n_name AS concern FROM nation)")
 def concern_rows(spark, d):
     c = F.element_at(F.array(*[F.lit(x) for x in ("Important potential risk", "missing information", "important identified risk", "other")]), F.col("n_nationkey") % 4 + 1)
-    return safety_checks.concern_table(read(spark, d, "nation").select(c.alias("category"), F.col("n_name").alias("concern"))).limit(15)
+    return usage.numbered(safety_checks.concern_table(read(spark, d, "nation").select(c.alias("category"), F.col("n_name").alias("concern"))))
 
 
 def actions(spark, d):
@@ -68,11 +68,11 @@ def action_rows(spark, d):
     return safety_checks.action_table(actions(spark, d), START, END).select("id", "kind", day(F.col("action_date")).alias("action_date"), "undated")
 
 
-@query("SELECT country, approved_on FROM (SELECT n_name AS country, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey END AS approved_on FROM supplier JOIN nation ON n_nationkey = s_nationkey) ORDER BY country, approved_on NULLS LAST LIMIT 7")
+@query("SELECT country, approved_on, row_number() OVER (ORDER BY country, approved_on NULLS LAST) AS place FROM (SELECT n_name AS country, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey END AS approved_on FROM supplier JOIN nation ON n_nationkey = s_nationkey)")
 def approval_rows(spark, d):
     n = read(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("country"))
     s = read(spark, d, "supplier").join(n, "s_nationkey").select("country", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_suppkey")).alias("approved_on"))
-    return safety_checks.approvals(s).limit(7)
+    return usage.numbered(safety_checks.approvals(s))
 
 
 @query(f"SELECT id, linked FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 THEN DATE '2024-02-01' + p_size END AS published, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS linked FROM part) WHERE published IS NULL OR published BETWEEN {LATE_SQL}")
@@ -82,15 +82,15 @@ def literature_rows(spark, d):
     return safety_checks.literature(refs, START, END).select("id", F.col("linked").cast("long").alias("linked"))
 
 
-@query("SELECT p_type AS soc, p_brand AS pt, p_partkey AS id FROM part ORDER BY lower(p_type), lower(p_brand), p_type, p_brand, p_partkey LIMIT 100000")
+@query("SELECT p_type AS soc, p_brand AS pt, p_partkey AS id, row_number() OVER (ORDER BY lower(p_type), lower(p_brand), p_type, p_brand, p_partkey) AS place FROM part")
 def listed_terms(spark, d):
-    return safety_checks.listed_terms(read(spark, d, "part").select(F.col("p_type").alias("soc"), F.col("p_brand").alias("pt"), F.col("p_partkey").alias("id")))
+    return usage.numbered(safety_checks.listed_terms(read(spark, d, "part").select(F.col("p_type").alias("soc"), F.col("p_brand").alias("pt"), F.col("p_partkey").alias("id"))))
 
 
-@query(f"WITH o AS (SELECT term, count(DISTINCT case_id) AS a FROM {CASES} WHERE product = 'BUILDING' AND {IN_INTERVAL} GROUP BY 1), g AS (SELECT term, count(DISTINCT case_id) AS c FROM {CASES} WHERE product <> 'BUILDING' AND {IN_INTERVAL} GROUP BY 1), t AS (SELECT o.term, a::DOUBLE AS a, (SELECT sum(a) FROM o) - a AS b, coalesce(c, 0)::DOUBLE AS c, (SELECT sum(c) FROM g) - coalesce(c, 0) AS d FROM o LEFT JOIN g ON g.term = o.term), m AS (SELECT *, CASE WHEN c > 0 THEN (a / (a + b)) / (c / (c + d)) END AS prr, (a + b + c + d) * power(greatest(0, abs(a * d - b * c) - (a + b + c + d) / 2), 2) / ((a + b) * (c + d) * (a + c) * (b + d)) AS chi2, exp(ln((a * d) / (b * c)) - 1.959963984540054 * sqrt(1 / a + 1 / b + 1 / c + 1 / d)) AS low FROM t) SELECT term, a::BIGINT AS a FROM m ORDER BY coalesce((a >= 3 AND prr >= 2 AND chi2 >= 4) OR (a >= 3 AND low > 1), false) DESC, coalesce(prr, 0) DESC, a DESC, term LIMIT 3")
+@query(f"WITH o AS (SELECT term, count(DISTINCT case_id) AS a FROM {CASES} WHERE product = 'BUILDING' AND {IN_INTERVAL} GROUP BY 1), g AS (SELECT term, count(DISTINCT case_id) AS c FROM {CASES} WHERE product <> 'BUILDING' AND {IN_INTERVAL} GROUP BY 1), t AS (SELECT o.term, a::DOUBLE AS a, (SELECT sum(a) FROM o) - a AS b, coalesce(c, 0)::DOUBLE AS c, (SELECT sum(c) FROM g) - coalesce(c, 0) AS d FROM o LEFT JOIN g ON g.term = o.term), m AS (SELECT *, CASE WHEN c > 0 THEN (a / (a + b)) / (c / (c + d)) END AS prr, (a + b + c + d) * power(greatest(0, abs(a * d - b * c) - (a + b + c + d) / 2), 2) / ((a + b) * (c + d) * (a + c) * (b + d)) AS chi2, exp(ln((a * d) / (b * c)) - 1.959963984540054 * sqrt(1 / a + 1 / b + 1 / c + 1 / d)) AS low FROM t) SELECT term, a::BIGINT AS a, row_number() OVER (ORDER BY coalesce((a >= 3 AND prr >= 2 AND chi2 >= 4) OR (a >= 3 AND low > 1), false) DESC, coalesce(prr, 0) DESC, a DESC, term) AS place FROM m")
 def screening_order(spark, d):
     c = cases(spark, d)
-    return safety.screen(c.where(safety.interval(SCOPE)), c.where(safety.background(SCOPE))).select("term", "a").limit(3)
+    return usage.numbered(safety.screen(c.where(safety.interval(SCOPE)), c.where(safety.background(SCOPE)))).select("term", "a", "place")
 
 
 # Counts behind the checks
@@ -120,12 +120,12 @@ def trial_events(spark, d):
     return safety.trial_saes(case_events(spark, d), c, safety.cumulative(SCOPE))
 
 
-@query("SELECT version_id, listed FROM (SELECT s_suppkey AS version_id, CASE WHEN s_suppkey % 4 <> 0 THEN DATE '2020-01-01' + CAST(s_suppkey % 50 AS INTEGER) END AS effective, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 45) AS listed FROM supplier) ORDER BY effective DESC NULLS LAST, version_id LIMIT 8")
+@query("SELECT version_id, listed, row_number() OVER (ORDER BY effective DESC NULLS LAST, version_id) AS place FROM (SELECT s_suppkey AS version_id, CASE WHEN s_suppkey % 4 <> 0 THEN DATE '2020-01-01' + CAST(s_suppkey % 50 AS INTEGER) END AS effective, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 45) AS listed FROM supplier)")
 def rsi_versions(spark, d):
     k = F.col("s_suppkey")
     v = read(spark, d, "supplier").select(k.alias("version_id"), F.when(k % 4 != 0, F.date_add(F.lit("2020-01-01").cast("date"), (k % 50).cast("int"))).alias("effective"))
     terms = read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("version_id"))
-    return safety.rsi_versions(v, terms).limit(8).select("version_id", "listed")
+    return usage.numbered(safety.rsi_versions(v, terms)).select("version_id", "listed", "place")
 
 
 @query("SELECT event_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 1) OR user_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 2)")

@@ -398,19 +398,28 @@ def redaction_keeps_shape(spark, d):
 # Lookups that a condition or formula states
 
 
-@query("SELECT 'amount > 5 and kind in (a)' AS rule, true AS same")
+@query("SELECT p_partkey, true AS same, true AS apart, (SELECT count(DISTINCT p_size) FROM part) AS rules FROM part")
 def expression_hashes(spark, d):
-    from tabloom.operators import conditions
+    """Two spellings of each part's rule have one hash, another bound has another, and there are as many hashes as rules."""
+    from tabloom.operators import expressions
 
-    a, b = conditions.expression_hash("amount > 5 AND kind in ['a']"), conditions.expression_hash("(amount > 5) and (kind in ['a'])")
-    other = conditions.expression_hash("amount > 6 and kind in ['a']")
-    return spark.range(1).select(F.lit("amount > 5 and kind in (a)").alias("rule"), F.lit(a == b and a != other).alias("same"))
+    h = lambda *parts: expressions.rule_reading(say(*parts))["hash"]
+    p = part(spark, d).select("p_partkey", h("amount > ", "$p_size", " AND kind in ['a']").alias("a"), h("(amount > ", "$p_size", ") and (kind in ['a'])").alias("b"), h("amount > ", F.col("p_size") + 1, " and kind in ['a']").alias("c"))
+    n = p.agg(F.countDistinct("a").alias("rules"))
+    return p.join(F.broadcast(n), F.lit(True)).select("p_partkey", (F.col("a") == F.col("b")).alias("same"), (F.col("a") != F.col("c")).alias("apart"), "rules")
 
 
-@query("SELECT 'amount' AS name, 'field' AS origin UNION ALL SELECT 'fee', 'formula' UNION ALL SELECT 'status', 'condition' UNION ALL SELECT 'rate', 'formula'")
+@query("SELECT n_nationkey, name, origin FROM nation, LATERAL (VALUES ('amount' || n_nationkey, 'field'), ('fee', 'formula'), ('status', 'condition'), ('rate' || n_regionkey, 'formula')) v(name, origin)")
 def bindable_targets(spark, d):
-    manifest = {"fields": [{"id": "amount"}, {"id": "fee", "kind": "computed", "inputs": ["amount", "rate"]}], "conditions": [{"expression": "status == 'P' and amount > 5"}]}
-    return spark.createDataFrame(resolution.bindable_targets(manifest), "name string, origin string")
+    """The targets of a manifest for each nation."""
+    from tabloom.operators import expressions
+
+    amount, rate = say("amount", "$n_nationkey"), say("rate", "$n_regionkey")
+    manifest = F.to_json(F.struct(
+        F.array(F.struct(amount.alias("id"), F.lit("field").alias("kind"), F.array().cast("array<string>").alias("inputs")), F.struct(F.lit("fee").alias("id"), F.lit("computed").alias("kind"), F.array(amount, rate).alias("inputs"))).alias("fields"),
+        F.array(F.struct(say("status == 'P' and ", amount, " > 5").alias("expression"))).alias("conditions"),
+    ))
+    return read(spark, d, "nation").select("n_nationkey", F.explode(expressions.bindable_of(manifest)).alias("t")).select("n_nationkey", "t.name", "t.origin")
 
 
 

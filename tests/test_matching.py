@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.operators import listings, resolution
+from tabloom.operators import lifecycle, listings, resolution, usage
 from tabloom.operators.vector_store import PivotIndex, VectorStore
 
 
@@ -77,3 +77,33 @@ def test_pivot_index_opens_few_cells(spark, tmp_path):
         assert k == 2000 or len(index.opened) < 25
     index.search(x[5], 7)
     assert len(index.opened) <= 6
+
+
+def test_retirement_follows_all_keys(spark):
+    """Tables that refer to each other and to themselves, against a plain closure."""
+    r = np.random.default_rng(4)
+    a = [(i, int(r.integers(0, 40)) if i % 3 else None, bool(i % 5 == 0)) for i in range(40)]
+    b = [(100 + i, int(r.integers(0, 40)), 100 + int(r.integers(0, 60)) if i % 4 == 1 else None) for i in range(60)]
+    c = [(i, 100 + int(r.integers(0, 60))) for i in range(30)] + [(None, 100)]
+    ta, tb, tc = spark.createDataFrame(a, "id long, boss long, old boolean"), spark.createDataFrame(b, "id long, owner long, twin long"), spark.createDataFrame(c, "id long, of long")
+    tables = {"a": (ta, "id"), "b": (tb, "id"), "c": (tc, "id"), "d": (tc, "id")}
+    links = [("a", "boss", "a"), ("b", "owner", "a"), ("b", "twin", "b"), ("c", "of", "b")]
+    out = lifecycle.retire(tables, links, {"a": F.col("old")})
+    gone = {"a": {i for i, _, old in a if old}, "b": set(), "c": set()}
+    for _ in range(100):
+        gone["a"] |= {i for i, boss, _ in a if boss in gone["a"]}
+        gone["b"] |= {i for i, o, t in b if o in gone["a"] or t in gone["b"]}
+        gone["c"] |= {i for i, o in c if i is not None and o in gone["b"]}
+    got = out.manifest.collect()
+    assert {(x["table"], int(x["id"])) for x in got} == {(n, i) for n, ids in gone.items() for i in ids}
+    assert out.counts() == {n: len(v) for n, v in gone.items() if v} and out.kept["a"].count() == 40 - len(gone["a"]) and out.kept["d"].count() == 31
+    step = {x["table"]: x["step"] for x in got}
+    assert step["c"] < step["b"] < step["a"] and len(out.digest()) == 64
+    with pytest.raises(ValueError, match="x"):
+        lifecycle.retire(tables, [("x", "of", "a")], {})
+
+
+def test_rows_at_places(spark):
+    df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(5)
+    at = lambda *p: sorted(r["k"] for r in usage.rows_at(df, "k", lambda n: p).collect())
+    assert at(0, 333, 666) == [0, 333, 666] and at(999) == [999] and at() == [] and usage.rows_at(df.where("false"), "k", lambda n: [0]).collect() == []
