@@ -234,6 +234,32 @@ def workbook_cells(spark, d):
     return stock.select(notes.columns).unionByName(notes)
 
 
+@query(
+    "SELECT s_nationkey AS nation, r // 30 + 1 AS page, (r % 30 + 1)::INTEGER AS row_no, s_suppkey::VARCHAR AS key, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_acctbal::VARCHAR END AS balance "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS r FROM supplier)"
+)
+def pdf_tables(spark, d):
+    """A PDF of each nation's suppliers, thirty a page under a heading, written on the executors and read as tables."""
+    import pandas as pd
+
+    from tabloom.sources import layouts
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, pages = pdf.sort_values("s_suppkey").values.tolist(), []
+        for start in range(0, len(rows), 30):
+            page = [(40.0, 780.0, f"Suppliers of nation {rows[0][0]}"), (40.0, 740.0, "Key"), (140.0, 740.0, "Name"), (340.0, 740.0, "Balance")]
+            for i, (_, key, name, balance) in enumerate(rows[start : start + 30]):
+                y = 726.0 - 14 * i
+                page += [(40.0, y, str(key)), (140.0, y, name)] + ([(340.0, y, balance)] if key % 3 else [])
+            pages.append(page)
+        return pd.DataFrame({"path": [str(rows[0][0])], "content": [layouts.plain_pdf(pages)]})
+
+    s = read(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name", F.col("s_acctbal").cast("string").alias("balance"))
+    found = layouts.document_tables(s.groupBy("s_nationkey").applyInPandas(write, "path string, content binary")).where("row_no > 0")
+    cell = lambda i: F.get("cells", F.lit(i))
+    return found.select(F.col("path").cast("long").alias("nation"), F.col("page").cast("long").alias("page"), "row_no", cell(0).alias("key"), cell(1).alias("name"), cell(2).alias("balance"))
+
+
 @query("SELECT n_name AS pt, r_name AS soc, 'v1' AS version FROM nation JOIN region ON r_regionkey = n_regionkey")
 def dictionary_terms(spark, d):
     from tabloom.operators.joins import shared_path
