@@ -222,6 +222,20 @@ def metered_usage(spark, d):
     return streams.metered(calls, rates).groupBy("model").agg(F.count("*").alias("calls"), F.sum("cost_micro_usd").alias("cost_micro_usd"))
 
 
+@query("""
+WITH r AS (SELECT event_type AS model, date_trunc('day', ts) AS valid_from, max(user_id) AS rate_in, min(user_id) AS rate_out FROM events WHERE event_id % 7 = 0 GROUP BY 1, 2)
+SELECT e.event_type AS model, count(*) AS calls, count(r.model) AS priced, sum((e.user_id * r.rate_in + e.event_id * r.rate_out) // 1000)::BIGINT AS cost_micro_usd
+FROM events e ASOF LEFT JOIN r ON r.model = e.event_type AND e.ts >= r.valid_from GROUP BY 1
+""")
+def metered_by_date(spark, d):
+    """Rates that change by the day, looked up as of each call."""
+    e = read(spark, d, "events")
+    rates = e.where("event_id % 7 = 0").groupBy(F.col("event_type").alias("model"), F.date_trunc("day", "ts").cast(e.schema["ts"].dataType).alias("valid_from")).agg(F.max("user_id").alias("rate_in"), F.min("user_id").alias("rate_out"))
+    calls = e.select(F.col("event_type").alias("model"), "ts", F.col("user_id").alias("input_tokens"), F.col("event_id").alias("output_tokens"))
+    found = streams.metered_by_date(calls, rates, "ts")
+    return found.groupBy("model").agg(F.count("*").alias("calls"), F.count("rate_in").alias("priced"), F.sum("cost_micro_usd").alias("cost_micro_usd"))
+
+
 @query("SELECT ts <= TIMESTAMP '2024-01-20' AS counted, count(*) AS n FROM events GROUP BY 1")
 def data_lock_split(spark, d):
     before, after = streams.split_at_lock(read(spark, d, "events"), "ts", datetime(2024, 1, 20))

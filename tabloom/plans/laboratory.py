@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.operators import lab, lab_tables, usage
-from tabloom.plans.catalogue import query, read
+from tabloom.plans.catalogue import ORACLE_SQL, QUERIES, query, read
 from tabloom.plans.texts import say
 from tabloom.sources import cases, records
 
@@ -114,10 +114,20 @@ def untraceable_methods(spark, d):
     return lab.sop_untraceable(p.select("method"), p.select("text"), "method", "text")
 
 
-@query("SELECT code, severity, count(*) AS n FROM (SELECT 'UNIT' AS code, 'warning' AS severity FROM part WHERE p_size % 3 = 0 UNION ALL SELECT 'METHOD', 'blocker' FROM (SELECT DISTINCT p_size FROM part WHERE p_size % 4 = 0)) GROUP BY 1, 2")
+#: Checks of a laboratory dossier: the query that finds, the code and severity of its findings, and which of its rows are findings.
+DOSSIER_CHECKS = (
+    ("limit_verdict", "OUT_OF_SPECIFICATION", "blocker", "outcome = 'FAIL'"), ("unverified_data", "UNVERIFIED", "blocker", "true"), ("spec_conflicts", "SPEC_CONFLICT", "blocker", "true"), ("untraceable_methods", "METHOD", "blocker", "true"),
+    ("check_formula_totals", "FORMULA_TOTAL", "blocker", "true"), ("declared_gaps", "DATA_NEEDED", "blocker", "true"), ("unknown_tables", "UNKNOWN_TABLE", "blocker", "true"), ("stability_holes", "STABILITY_INCOMPLETE", "warning", "true"),
+    ("trend_extrapolation", "TREND", "warning", "true"), ("unit_drift", "UNIT", "warning", "true"), ("name_variants", "NAME", "warning", "true"), ("compendial_claims", "COMPENDIAL", "info", "true"),
+    ("undefined_abbreviations", "ABBREVIATION", "info", "not expanded"),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT '{code}' AS code, '{severity}' AS severity, count(*) AS n FROM ({ORACLE_SQL[name]}) WHERE {bad} HAVING count(*) > 0" for name, code, severity, bad in DOSSIER_CHECKS))
 def laboratory_quality_run(spark, d):
-    a = lab.finding(unit_drift(spark, d), "UNIT", "warning", F.col("p_partkey").cast("string"))
-    return lab.findings(a, lab.finding(untraceable_methods(spark, d), "METHOD", "blocker", F.col("method"))).groupBy("code", "severity").agg(F.count("*").alias("n"))
+    """All checks of a dossier in one list of findings, counted by code."""
+    parts = [lab.finding(QUERIES[name](spark, d).where(bad), code, severity, F.lit(name)) for name, code, severity, bad in DOSSIER_CHECKS]
+    return lab.findings(*parts).groupBy("code", "severity").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT CASE WHEN condition IS NULL AND months IS NULL THEN 'release' ELSE 'stability' END AS kind, count(*) AS n FROM {RESULTS} GROUP BY 1")

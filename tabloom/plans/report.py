@@ -6,8 +6,8 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from tabloom.operators import metrics, safety, safety_checks, text_checks, usage
-from tabloom.plans.catalogue import CASES, IN_INTERVAL, SCOPE, case_events, cases, day, query, read
+from tabloom.operators import lab, metrics, safety, safety_checks, text_checks, usage
+from tabloom.plans.catalogue import CASES, IN_INTERVAL, ORACLE_SQL, QUERIES, SCOPE, case_events, cases, day, query, read
 from tabloom.plans.texts import say
 
 START, END, LOCK = date(2024, 2, 10), date(2024, 3, 10), date(2024, 2, 5)
@@ -304,19 +304,26 @@ def check_unconfirmed(spark, d):
     return said(safety_checks.unconfirmed(case_events(spark, d), cases(spark, d).where(safety.interval(SCOPE)), ["A", "B"]))
 
 
+#: The checks of a report, in the order of its list.
+CHECKS = (
+    "reconciliation", "windows", "dictionary", "uncoded", "narratives", "rsi_version", "signals", "label_change", "rates", "markers", "bound_cases", "carried", "approval", "regions", "unconfirmed",
+)
+EVERY_FINDING = " UNION ALL ".join(f"SELECT code, severity, message FROM ({ORACLE_SQL[f'check_{n}']})" for n in CHECKS)
+EVERY_FINDING += f" UNION ALL SELECT 'FIGURE_UNSOURCED', 'warning', section || ' ' || figure FROM ({ORACLE_SQL['check_figures']})"
+
+
 @query(
-    f"SELECT 'SIGNAL_NO_STATUS' AS code, 'blocker' AS severity, signal_id::VARCHAR AS message FROM {SIGNALS} WHERE status IS NULL UNION ALL SELECT 'SIGNAL_CLOSED_INCOMPLETE', 'warning', signal_id::VARCHAR FROM {SIGNALS} WHERE status = 'closed' AND conclusion IS NULL UNION ALL SELECT 'SIGNAL_UNTRIAGED', 'warning', signal_id::VARCHAR FROM {SIGNALS} WHERE status = 'candidate' AND detected_on <= DATE '2024-02-05' "
-    "UNION ALL SELECT 'SECTION_NOT_APPROVED', CASE WHEN n_nationkey = 5 THEN 'warning' ELSE 'blocker' END, n_name FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey % 5 = 0 UNION ALL SELECT 'SECTION_EMPTY', 'blocker', n_name FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey % 4 = 3 UNION ALL SELECT 'QC_CHECK_FAILED', 'blocker', 'broken: ZeroDivisionError' "
-    "UNION ALL SELECT 'REGION_DUE', 'warning', 'r' || n_regionkey FROM nation WHERE n_nationkey % 2 = 0"
+    "SELECT code, CASE WHEN severity = 'blocker' AND code = 'SECTION_NOT_APPROVED' AND message IN (SELECT n_name FROM nation WHERE n_nationkey = 5) THEN 'warning' ELSE severity END AS severity, message "
+    f"FROM ({EVERY_FINDING} UNION ALL SELECT 'QC_CHECK_FAILED', 'blocker', 'broken: ZeroDivisionError')"
 )
 def safety_quality_run(spark, d):
-    """Several checks in one run: one cannot be planned, and one finding was accepted."""
+    """All checks of a report in one run: one more cannot be planned, and one finding was accepted."""
 
     def broken():
         return spark.range(1 // 0)
 
     accepted = read(spark, d, "nation").where("n_nationkey = 5").select(F.lit("SECTION_NOT_APPROVED").alias("code"), F.col("n_name").alias("message"))
-    checks = {"signals": lambda: check_signals(spark, d), "approval": lambda: check_approval(spark, d), "broken": broken, "regions": lambda: check_regions(spark, d)}
+    checks = {n: (lambda n=n: QUERIES[f"check_{n}"](spark, d)) for n in CHECKS} | {"broken": broken, "figures": lambda: lab.finding(check_figures(spark, d), "FIGURE_UNSOURCED", "warning", F.concat_ws(" ", "section", "figure"))}
     return safety_checks.quality_run(checks, accepted)
 
 

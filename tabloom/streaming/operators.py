@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -37,6 +38,23 @@ def metered(calls: DataFrame, rates: DataFrame, model: str = "model") -> DataFra
     return calls.join(r, F.col(model) == F.col("_m"), "left").withColumn("cost_micro_usd", cost_micro_usd(F.col("input_tokens"), F.col("output_tokens"), F.col("rate_in"), F.col("rate_out"))).drop("_m")
 
 
+def metered_by_date(calls: DataFrame, rates: DataFrame, ts: str, model: str = "model") -> DataFrame:
+    """Calls with the rate that was valid at their time (rates: model, valid_from, rate_in, rate_out) and their price in micro-dollars.
+
+    A rate is valid until the next one of its model, so the as-of look-up is an equi-join with a bounded interval: rates are few and are
+    broadcast behind a count, calls are neither sorted nor moved, and the same plan runs on a stream. Calls before the first rate, with
+    a model or time that is null or a model without rates have no price. Two rates of one moment: the larger pair counts."""
+    from tabloom.functions.values import cost_micro_usd
+    from tabloom.operators.joins import small
+
+    known = rates.groupBy("model", "valid_from").agg(F.max(F.struct("rate_in", "rate_out")).alias("rate"))
+    until = F.lead("valid_from").over(W.partitionBy("model").orderBy("valid_from"))
+    known = known.select(F.col("model").alias("_m"), F.col("valid_from").alias("_from"), until.alias("_until"), F.col("rate.rate_in").alias("rate_in"), F.col("rate.rate_out").alias("rate_out"))
+    at = F.col(ts)
+    j = calls.join(small(known), (F.col(model) == F.col("_m")) & (at >= F.col("_from")) & (F.col("_until").isNull() | (at < F.col("_until"))), "left")
+    return j.withColumn("cost_micro_usd", cost_micro_usd(F.col("input_tokens"), F.col("output_tokens"), F.col("rate_in"), F.col("rate_out"))).drop("_m", "_from", "_until")
+
+
 class TokenBucket(StatefulProcessor):
     """Admits a request if its key's bucket holds a token; buckets refill with time and forget after ttl_ms."""
 
