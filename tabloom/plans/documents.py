@@ -236,6 +236,18 @@ def metered_by_date(spark, d):
     return found.groupBy("model").agg(F.count("*").alias("calls"), F.count("rate_in").alias("priced"), F.sum("cost_micro_usd").alias("cost_micro_usd"))
 
 
+@query("""
+WITH c AS (SELECT *, 'Name: ' || c_name AS n, 'Contact: ' || CASE WHEN c_nationkey % 2 = 0 THEN '+49 30 ' || (1000000 + c_custkey) ELSE 'desk ' || c_custkey END AS p FROM customer)
+SELECT c_custkey, 'Name: [NAME-' || substr(sha256('s' || n), 1, 4) || ']; Segment: ' || c_mktsegment || '; ' || CASE WHEN c_nationkey % 2 = 0 THEN 'Contact: [PHONE-' || substr(sha256('s' || p), 1, 4) || ']' ELSE p END || '; Mail: ; a note' AS chunk FROM c
+""")
+def chunks_redacted(spark, d):
+    """What is personal is found in the chunks of each nation: a name by its key, a phone number by what all values look like."""
+    k = F.col("c_custkey")
+    contact = F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("+49 30 "), (k + 1000000).cast("string"))).otherwise(F.concat(F.lit("desk "), k.cast("string")))
+    chunk = F.concat(F.lit("Name: "), "c_name", F.lit("; Segment: "), "c_mktsegment", F.lit("; Contact: "), contact, F.lit("; Mail: ; a note"))
+    return privacy.redact_chunks(read(spark, d, "customer").select(k, "c_nationkey", chunk.alias("chunk")), "chunk", "c_nationkey", "s").select("c_custkey", "chunk")
+
+
 @query("SELECT ts <= TIMESTAMP '2024-01-20' AS counted, count(*) AS n FROM events GROUP BY 1")
 def data_lock_split(spark, d):
     before, after = streams.split_at_lock(read(spark, d, "events"), "ts", datetime(2024, 1, 20))
