@@ -211,8 +211,8 @@ def tables_of(lines: list[list[tuple[float, float, str]]]) -> list[list[list[str
     return out
 
 
-def pdf_pages(data: bytes) -> Iterator[bytes]:
-    """(page object, content) in the order of the page tree."""
+def pdf_pages(data: bytes) -> Iterator[list[list[tuple[float, float, str]]]]:
+    """Lines of each page, in the order of the page tree."""
     objects = _pdf_objects(data)
     root = next((_ref(objects, o, b"Pages") for o in objects.values() if re.search(rb"/Type\s*/Catalog\b", o)), b"")
 
@@ -223,7 +223,7 @@ def pdf_pages(data: bytes) -> Iterator[bytes]:
         elif re.search(rb"/Type\s*/Page\b", body):
             refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
             content = b"\n".join(_pdf_stream(objects.get(int(r), b"")) for r in re.findall(rb"(\d+)\s+\d+\s+R", refs[1])) if refs else b""
-            yield tables_of(lines_of(text_runs(content, _fonts(objects, body))))
+            yield lines_of(text_runs(content, _fonts(objects, body)))
 
     yield from walk(root, 0)
 
@@ -248,7 +248,7 @@ def _tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for path, data in zip(b["path"], b["content"], strict=True):
             data = bytes(data)
-            pages = [rtf_tables(data)] if data[:5] == b"{\\rtf" else pdf_pages(data)
+            pages = [rtf_tables(data)] if data[:5] == b"{\\rtf" else map(tables_of, pdf_pages(data))
             n, out = 0, []
             for page, tables in enumerate(pages, 1):
                 for rows in tables:

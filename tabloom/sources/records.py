@@ -155,59 +155,23 @@ def _pdf_stream(body: bytes) -> bytes:
     return zlib.decompressobj().decompress(m[1]) if b"/FlateDecode" in body[: m.start()] else m[1]
 
 
-def _pdf_text(content: bytes) -> list[str]:
-    """Lines that a content stream shows: strings of its text operators, a new line where the position moves."""
-    lines, held, strings = [], "", []
-    for m in re.finditer(rb"\((?:\\.|[^()\\])*\)|<[0-9A-Fa-f\s]*>|(?<![A-Za-z*'\"])(?:Tj|TJ|Td|TD|T\*|Tm|ET|'|\")(?![A-Za-z])", content, re.S):
-        t = m[0]
-        if t[:1] == b"(":
-            plain = re.sub(rb"\\(\d{1,3}|.)", lambda e: bytes([int(e[1], 8) & 255]) if e[1].isdigit() else {b"n": b"\n", b"r": b"\r", b"t": b"\t"}.get(e[1], e[1]), t[1:-1], flags=re.S)
-            strings.append(plain.decode("cp1252", "replace"))
-        elif t[:1] == b"<":
-            strings.append(bytes.fromhex(re.sub(rb"\s", b"", t[1:-1]).decode() + "0" * (len(re.sub(rb"\s", b"", t[1:-1])) % 2)).decode("cp1252", "replace"))
-        else:
-            if t in (b"Td", b"TD", b"T*", b"Tm", b"ET", b"'", b'"') and held:
-                lines.append(held)
-                held = ""
-            if t in (b"Tj", b"TJ", b"'", b'"'):
-                held += "".join(strings)
-            strings = []
-    return [x.strip() for x in [*lines, held] if x.strip()]
-
-
 def _pdf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from tabloom.sources import layouts
+
     for b in batches:
         out = []
         for path, data in zip(b["path"], b["content"], strict=True):
-            objects = _pdf_objects(data)
-            pages: list[int] = []
-
-            def walk(number: int, seen: set[int]) -> None:
-                body = objects.get(number, b"")  # noqa: B023
-                if number in seen:
-                    return
-                if kids := re.search(rb"/Kids\s*\[([^\]]*)\]", body):
-                    for k in re.findall(rb"(\d+)\s+\d+\s+R", kids[1]):
-                        walk(int(k), seen | {number})
-                elif re.search(rb"/Type\s*/Page\b", body):
-                    pages.append(number)  # noqa: B023
-
-            root = next((int(m[1]) for o in objects.values() if re.search(rb"/Type\s*/Catalog\b", o) and (m := re.search(rb"/Pages\s+(\d+)", o))), 0)
-            walk(root, set())
             before = len(out)
-            for no, page in enumerate(pages, 1):
-                refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", objects[page])
-                for r in re.findall(rb"(\d+)\s+\d+\s+R", refs[1]) if refs else ():
-                    for line in _pdf_text(_pdf_stream(objects.get(int(r), b""))):
-                        out.append((path, len(out) - before, line, "paragraph", f"page {no}"))
+            for no, lines in enumerate(layouts.pdf_pages(bytes(data)), 1):
+                out += [(path, len(out) - before + i, " ".join(text for *_, text in cells), "paragraph", f"page {no}") for i, cells in enumerate(lines)]
             if len(out) == before:
                 raise SourceUnreadable(f"{path} holds no text: a scan has to be read by a person or by OCR first")
         yield pd.DataFrame(out, columns=["path", "part", "text", "element_type", "heading_path"])
 
 
 def chunks_pdf(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the text layer, page by page. Fonts with their own encodings come out as their bytes; a file without text is
-    refused."""
+    """Lines of the text layer, page by page and from top to bottom, in the characters that the fonts map their codes to; a file
+    without text is refused."""
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_pdf, CHUNKS)
 
 
