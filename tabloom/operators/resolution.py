@@ -191,24 +191,41 @@ def bindable_targets(manifest: dict) -> list[tuple[str, str]]:
 
 
 #: Confidence of the tiers of suggestion, the surest first.
-TIERS = (("mergefield", 1.0), ("dictionary", 0.95), ("name", 0.9), ("model", 0.6))
+TIERS = (("mergefield", 1.0), ("dictionary", 0.95), ("name", 0.9), ("similar", 0.75), ("model", 0.6))
 
 
-def tiered(targets: DataFrame, columns: DataFrame, dictionary: DataFrame, matcher=None) -> DataFrame:
+def tiered(targets: DataFrame, columns: DataFrame, dictionary: DataFrame, matcher=None, least_cosine: float | None = None) -> DataFrame:
     """The surest tier of each target: a column named like its merge field, one that the dictionary (target, column) names, or one
-    of the same slug; else what a matcher says, a function of targets and columns to pairs (target, column). target, column, tier,
-    confidence; targets that no tier knows are left to similarity."""
+    of the same slug; then, with least_cosine, the column whose name's features are most like the target's (ties by name), and its cosine as
+    confidence; else what a matcher says, a function of targets and columns to pairs (target, column). target, column, tier,
+    confidence; targets that no tier knows are left out."""
     c = small(columns.select("column", slug(F.col("column")).alias("_s")), 100_000)
     t = targets.select("target", "mergefield")
-    code = t.join(c, slug(F.col("mergefield")) == F.col("_s")).select("target", "column", F.lit(0).alias("_t"))
-    known = t.join(small(dictionary.select("target", slug(F.col("column")).alias("_d"))), "target").join(c, F.col("_d") == F.col("_s")).select("target", "column", F.lit(1).alias("_t"))
-    same = t.join(c, slug(F.col("target")) == F.col("_s")).select("target", "column", F.lit(2).alias("_t"))
+    as_tier = lambda df, n: df.select("target", "column", F.lit(n).alias("_t"), F.lit(TIERS[n][1]).alias("_c"))
+    code = as_tier(t.join(c, slug(F.col("mergefield")) == F.col("_s")), 0)
+    known = as_tier(t.join(small(dictionary.select("target", slug(F.col("column")).alias("_d"))), "target").join(c, F.col("_d") == F.col("_s")), 1)
+    same = as_tier(t.join(c, slug(F.col("target")) == F.col("_s")), 2)
     every = code.unionByName(known).unionByName(same)
+    if least_cosine is not None:
+        every = every.unionByName(name_cosines(t.join(every.select("target").distinct(), "target", "left_anti"), columns, least_cosine).withColumn("_t", F.lit(3)).withColumnRenamed("cosine", "_c"))
     if matcher is not None:
-        every = every.unionByName(matcher(targets, columns).join(columns.select("column").distinct(), "column", "left_semi").select("target", "column", F.lit(3).alias("_t")))
-    best = every.groupBy("target").agg(F.min(F.struct("_t", "column")).alias("b"))
-    tier = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("s")) for n, s in TIERS])
-    return best.select("target", F.col("b.column").alias("column"), F.get(tier, F.col("b._t"))["n"].alias("tier"), F.get(tier, F.col("b._t"))["s"].alias("confidence"))
+        every = every.unionByName(as_tier(matcher(targets, columns).join(columns.select("column").distinct(), "column", "left_semi"), 4))
+    best = every.groupBy("target").agg(F.min(F.struct("_t", (-F.col("_c")).alias("c"), "column")).alias("b"))
+    names = F.array(*[F.lit(n) for n, _ in TIERS])
+    return best.select("target", F.col("b.column").alias("column"), F.get(names, F.col("b._t")).alias("tier"), (-F.col("b.c")).alias("confidence"))
+
+
+def name_cosines(targets: DataFrame, columns: DataFrame, least: float) -> DataFrame:
+    """target, column, cosine of the names whose hashed features are alike. Only names that share three letters in a row meet."""
+    from tabloom.operators.retrieval import embedder
+
+    embed = embedder()
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(slug(c)) - 2)), lambda i: F.substring(slug(c), i, 3)))
+    side = lambda df, c: df.select(c).where(F.col(c).isNotNull()).distinct()
+    a, b = side(targets, "target"), side(columns, "column")
+    met = a.select("target", F.explode(grams(F.col("target"))).alias("g")).join(b.select("column", F.explode(grams(F.col("column"))).alias("g")), "g").select("target", "column").distinct()
+    found = met.join(a.withColumn("_u", embed(F.col("target"))), "target").join(b.withColumn("_v", embed(F.col("column"))), "column")
+    return found.select("target", "column", scores.cosine(F.col("_u"), F.col("_v")).alias("cosine")).where(F.col("cosine") >= least)
 
 
 def material_vetoes(signals: Column, material: Column, type_match: Column, least: int = 2) -> Column:

@@ -528,6 +528,16 @@ def download_grants(spark, d):
     return lifecycle.redeem(g, e, "token", "granted", "ts", 7 * 86400, ["ts", "event_id"]).groupBy("served").agg(F.count("*").alias("n"))
 
 
+@query("SELECT DISTINCT 'Market ' || p_brand || ' total' AS target, 'market ' || p_brand || ' totals' AS \"column\", 'similar' AS tier, true AS sure FROM part")
+def similar_bindings(spark, d):
+    """Names that are no other tier's: each goes to the column that is most like it, and not to its neighbours of another number."""
+    b = read(spark, d, "part").select("p_brand").distinct()
+    targets = b.select(say("Market ", "$p_brand", " total").alias("target"), F.lit(None).cast("string").alias("mergefield"))
+    columns = b.select(say("market ", "$p_brand", " totals").alias("column"))
+    found = resolution.tiered(targets, columns, b.where("false").select(F.col("p_brand").alias("target"), F.col("p_brand").alias("column")), least_cosine=0.75)
+    return found.select("target", "column", "tier", F.col("confidence").between(0.75, 1.0).alias("sure"))
+
+
 @query(TIER_SQL.format("'model'", "0.6", DIGIT + " NOT IN (1, 2, 3)"))
 def matcher_hook(spark, d):
     """What the tiers leave open goes to a matcher; what it makes up is dropped."""
