@@ -67,7 +67,8 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray,
         names = codes.dictionary
         stop = pc.index(names, STOP).as_py()
         ids = codes.indices.to_numpy()
-        rank = np.arange(len(names)) - (np.arange(len(names)) > stop) + 1
+        rank = np.arange(1, len(names) + 1, dtype=np.int32)
+        rank[stop:] -= 1
         rank[stop] = 0
         return lang, rank[ids], pa.concat_arrays([names[:stop], names[stop + 1 :]])
 
@@ -140,16 +141,17 @@ class SuffixAutomaton:
         # groups[k]: at the first row of each string of k words, the number of its places; 0 elsewhere.
         new = np.zeros(n, bool)
         new[:1] = True
-        groups = [np.zeros(n, np.int64)]
+        groups = [np.zeros(n, np.int32)]
         groups[0][:1] = n
         for d in range(depth):
             new[1:] |= context[d, 1:] != context[d, :-1]
             starts = np.flatnonzero(new)
             sizes = np.diff(np.append(starts, n))
-            g = np.zeros(n, np.int64)
+            g = np.zeros(n, np.int32)
             g[starts] = np.where(context[d, starts] != 0, sizes, 0)
             groups.append(g)
-        groups.append(np.zeros(n, np.int64))
+        groups.append(np.zeros(n, np.int32))
+        del context
         rows, longest = [], []
         for k in range(1, depth + 1):
             # A string is its class's longest one if no longer string has the same places.
@@ -157,7 +159,7 @@ class SuffixAutomaton:
             rows.append(top)
             longest.append(np.full(len(top), k))
         row, longest = np.concatenate(rows), np.concatenate(longest)
-        count = np.array(groups)[longest, row] if n else np.zeros(0, np.int64)
+        count = np.concatenate([groups[k][top] for k, top in enumerate(rows, 1)]).astype(np.int64)
         shortest = longest.copy()
         for k in range(depth - 1, 0, -1):
             shortest = np.where((shortest == k + 1) & (groups[k][row] == count), k, shortest)
@@ -215,7 +217,7 @@ def _string_counts(sets, totals: dict[str, int], least: int, shortest: int, long
                     ok &= sets[k - 1].value.holds(h[k][1:])
                 reach[1:] += ok
             share = least * int((ids > 0).sum()) / totals[lang] * (1 - 1e-9) if lang in totals else 0  # rounding must not lose a text
-            for k, ends, counts in SuffixAutomaton.build(ids.astype(np.int32), longest, reach, shortest).strings(shortest, longest):
+            for k, ends, counts in SuffixAutomaton.build(ids, longest, reach, shortest).strings(shortest, longest):
                 told = np.flatnonzero(counts >= share)
                 parts = [names.take(pa.array(ids[ends[told] - j] - 1)) for j in range(k - 1, -1, -1)]
                 phrases = np.full(len(ends), None, object)
