@@ -420,7 +420,11 @@ def pii_scan(spark, d):
     return x.select("doc_id", n.alias("emails")).where("emails > 0")
 
 
-@query()
+@query(
+    r"WITH t AS (SELECT doc_id, string_split_regex(text, '[ \t\n\x0B\f\r]+') AS ws FROM documents), p AS (SELECT doc_id, unnest(ws[:-2]) AS a, unnest(ws[2:]) AS b FROM t WHERE len(ws) > 1), "
+    r"e AS (SELECT doc_id, lower(regexp_extract(a, '(?:^|[^\p{L}\p{N}_])([A-Za-z0-9_]+)$', 1)) AS word, lower(b) AS b FROM p) "
+    r"SELECT word, count(DISTINCT doc_id) AS documents FROM e WHERE word <> '' AND starts_with(b, word) AND NOT regexp_matches(substr(b, length(word) + 1, 1), '[\p{L}\p{N}_]') GROUP BY 1"
+)
 def doubled_words(spark, d):
     x = read(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(text.doubled_words(F.col("text")))).alias("word"))
     return x.groupBy("word").agg(F.count("*").alias("documents"))

@@ -180,7 +180,15 @@ def pii_mask(spark, d):
     return c.select("conv_id", "turn", privacy.mask(F.col("text"), "salt").alias("masked"))
 
 
-@query()
+#: The shape-keeping redaction of a letter or digit at place i: a byte of the value's hash plus i, by digits or letters of its case.
+BYTE_SQL = "(('0x' || h[(i % 32) * 2 + 1 : (i % 32) * 2 + 2])::INTEGER + i)"
+
+
+@query(
+    "WITH c AS (SELECT *, sha256('salt:c_name' || chr(0) || c_name) AS h FROM customer) SELECT c_custkey, c_mktsegment, array_to_string(list_transform(range(0, length(c_name)), lambda i: "
+    f"CASE WHEN regexp_matches(c_name[i + 1], '[0-9]') THEN ({BYTE_SQL} % 10)::INTEGER::VARCHAR WHEN regexp_matches(c_name[i + 1], '[A-Z]') THEN chr((65 + {BYTE_SQL} % 26)::INTEGER) "
+    f"WHEN regexp_matches(c_name[i + 1], '[a-z]') THEN chr((97 + {BYTE_SQL} % 26)::INTEGER) ELSE c_name[i + 1] END), '') AS c_name FROM c"
+)
 def redacted_customers(spark, d):
     c = read(spark, d, "customer")
     kinds = {n: privacy.classify_column(n, []) for n in ("c_name", "c_mktsegment")}
@@ -197,7 +205,10 @@ def uncited_numbers(spark, d):
     return text_checks.uncited_numbers(read(spark, d, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("sentences"))
 
 
-@query()
+@query(
+    r"WITH u AS (SELECT unnest(list_filter(string_split_regex(text, '[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][A-Z0-9]{1,7}'))) AS acronym FROM documents), t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]\s+\(([A-Z][A-Z0-9]{1,7})\)', 1)) AS acronym FROM documents) "
+    "SELECT acronym, count(*) AS uses, acronym IN (SELECT acronym FROM t) AS expanded FROM u GROUP BY 1"
+)
 def abbreviations(spark, d):
     return text_checks.abbreviations(read(spark, d, "documents"), "text")
 
