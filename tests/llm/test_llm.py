@@ -145,6 +145,18 @@ def test_long_texts_are_cut_into_overlapping_buffers(monkeypatch):
     assert windows == set(range(len(text) - 39))
 
 
+def test_buffers_fit_the_positions_of_a_key(spark):
+    # A text just under a buffer's size, then a longer one: packed together, the last windows lay beyond the key's positions.
+    size, letters = suffix_dedup.BUFFER, np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    a, b = (np.random.default_rng(3).choice(letters, 2 * size + 4999).tobytes()[x] for x in (slice(size - 1), slice(size - 1, None)))
+    passage = b[size - 161 : size + 289]
+    df = spark.createDataFrame([(1, a.decode()), (2, b.decode()), (3, passage.decode())], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.SuffixDedup(df).run().collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == {1: (0, 0, sha(a)), 2: (450, 1, sha(b[: size - 161] + b[size + 289 :])), 3: (450, 1, sha(b""))}
+    assert max(len(data) for data, *_ in suffix_dedup.buffers([a, b], 400)) <= 1 << suffix_dedup._BITS
+
+
 def test_token_store(spark, rows, docs, empty, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
