@@ -1,5 +1,6 @@
 """Pair joins by signatures and prefixes against all pairs."""
 
+import re
 from datetime import date, timedelta
 
 import numpy as np
@@ -62,3 +63,25 @@ def test_similar_templates(spark, least):
     every = df.select(F.col("k").alias("a"), F.col("s").alias("sa")).join(df.select(F.col("k").alias("b"), F.col("s").alias("sb")), F.col("a") < F.col("b"))
     want = {tuple(x) for x in every.select("a", "b", scores.structural_similarity(F.col("sa"), F.col("sb")).alias("score")).where(F.col("score") >= least).collect()}
     assert {tuple(x) for x in scores.similar_pairs(df, "k", "s", least).collect()} == want and want
+
+
+def test_pairs_of_cut_blocks(spark, monkeypatch):
+    """Blocks in tiles give the pairs of whole blocks, each once, and ids may repeat."""
+    df = spark.createDataFrame([*cases(60, 4), *cases(3, 5)], CASE)
+    whole = safety.duplicate_pairs(df, 0.4).collect()
+    monkeypatch.setattr(safety, "TILE", 4)
+    assert sorted(map(tuple, safety.duplicate_pairs(df, 0.4).collect())) == sorted(map(tuple, whole)) and whole
+
+
+def test_ages_at_the_tolerance_and_nulls_in_lists(spark):
+    one = lambda i, age, local: (i, None, local, "FR", "F", age, None, None, [], [], [])
+    rows = [one("a", 0.9999999999999999, [None, "x"]), one("b", 2.0, [None]), one("c", 9.0, ["y", None, "x", "z"]), one("d", 9.5, ["z", "x"])]
+    got = {(r["a"], r["b"], r["score"], *r["matched_on"]) for r in safety.duplicate_pairs(spark.createDataFrame(rows, CASE), 0.4).collect()}
+    many = ("local_case_id", "country", "patient_sex")
+    assert got == {("a", "b", 0.4, "country", "patient_sex", "patient_age"), ("a", "c", 0.9, *many), ("a", "d", 0.9, *many), ("c", "d", 1.1, *many, "patient_age")}
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Only cases move: pairs are as many as the square of a block, and nothing gathers them again."""
+    plan = safety.duplicate_pairs(spark.createDataFrame(cases(40, 6), CASE))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_block#" in plan and not re.search(r"hashpartitioning\([ab]#", plan)
