@@ -1,5 +1,9 @@
 """Operators whose queries cannot show refusals, hooks and edges."""
 
+import re
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +133,19 @@ def test_reading_values(spark, cell, want):
     v = spark.range(1).select(values.parse_value(F.lit(cell)).alias("v")).first()["v"]
     first = v["low"] if v["operator"] == "range" else v["number"]
     assert (v["operator"], None if first is None else float(first), None if v["high"] is None else float(v["high"]), v["unit"]) == want
+
+
+def test_lost_values(spark):
+    r = np.random.default_rng(8)
+    letters = np.array(list("ab é𝄞\t"))
+    word = lambda most: "".join(r.choice(letters, r.integers(0, most)))
+    told = [(int(r.integers(0, 3)), word(40)) for _ in range(40)] + [(0, "xy" * 300 + "ab" * 200), (1, None), (None, "ab"), (7, "")]
+    values = [(int(r.integers(0, 4)), word(7)) for _ in range(150)] + [(0, "xy" * n + "ab" * m) for n, m in ((32, 1), (200, 99), (301, 0), (300, 200), (1, 201))] + [(None, "ab"), (1, None), (2, "\t")]
+    squeeze = lambda t: re.sub(r"[ \t\n\x0b\f\r]+", " ", t.strip(" "))
+    want = [(d, v) for d, v in values if v and v.strip(" ") and not any(d is not None and d == e and t is not None and squeeze(v) in squeeze(t) for e, t in told)]
+    v, t = spark.createDataFrame(values, "doc int, value string"), spark.createDataFrame(told, "doc long, text string")
+    found = text_checks.lost_values(v, t, "doc", "value", "text")
+    assert Counter(map(tuple, found.collect())) == Counter(want) and 5 < len(want) < len(values) and found.columns == ["doc", "value"]
+    assert text_checks.lost_values(v.where("doc is null"), t, "doc", "value", "text").count() == 1
+    # No text of a whole document is put together.
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
