@@ -300,6 +300,10 @@ FROM customer LEFT JOIN e ON o_custkey = c_custkey
 """
 
 
+#: Cases that are written to a file: a file of reports is read as a whole.
+FILE_CASES = 1_000
+
+
 @query(CASES_SQL)
 def nested_cases(spark, d):
     """A case for each customer, with an event and a drug for each order: half written as elements, half as attributes in a namespace."""
@@ -316,7 +320,7 @@ def nested_cases(spark, d):
     patient = F.struct((ident % 90).cast("string").alias("patientonsetage"), F.lit("802").alias("patientonsetageunit"), part("r").alias("reaction"), part("d").alias("drug"))
     top = [say("W-", ident).alias("safetyreportid"), F.when(ident % 2 == 0, "2").otherwise("1").alias("reporttype"), F.lit("199503").alias("receivedate"), F.when(ident % 3 == 0, "1").alias("seriousnessdeath"), F.col("c_mktsegment").alias("segment")]
     path = shared_path(spark, "reports")
-    c.where(ident % 2 == 0).select(*top, patient.alias("patient")).write.format("xml").option("rowTag", "safetyreport").option("rootTag", "ichicsr").save(f"{path}/old")
+    c.where(ident % 2 == 0).select(*top, patient.alias("patient")).write.format("xml").option("maxRecordsPerFile", FILE_CASES).option("rowTag", "safetyreport").option("rootTag", "ichicsr").save(f"{path}/old")
     # The newer form: each leaf is an empty element with its value in an attribute.
     as_attribute = lambda x: F.struct(x.alias("_value"))
     leaf = lambda x, names: F.struct(*[as_attribute(x[n]).alias(n) for n in names])
@@ -324,7 +328,7 @@ def nested_cases(spark, d):
         as_attribute((ident % 90).cast("string")).alias("patientonsetage"), as_attribute(F.lit("802")).alias("patientonsetageunit"),
         F.transform(part("r"), lambda x: leaf(x, ("primarysourcereaction", "reactionstartdate", "reactionoutcome"))).alias("reaction"), F.transform(part("d"), lambda x: leaf(x, ("medicinalproduct", "drugcharacterization"))).alias("drug"),
     )
-    c.where(ident % 2 == 1).select(*top, newer.alias("patient")).write.format("xml").option("rowTag", "safetyreport").option("rootTag", 'MCCI xmlns="urn:v3"').save(f"{path}/new")
+    c.where(ident % 2 == 1).select(*top, newer.alias("patient")).write.format("xml").option("maxRecordsPerFile", FILE_CASES).option("rowTag", "safetyreport").option("rootTag", 'MCCI xmlns="urn:v3"').save(f"{path}/new")
     found = cases.read_xml_cases(spark, f"{path}/*/part-*")
     listed = lambda c, f: F.array_join(F.transform(c, f), "|")
     return found.select(

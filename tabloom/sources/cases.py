@@ -52,6 +52,8 @@ CASE = {
 }
 
 LEAF = "struct<holder: string, no: int, name: string, path: string, value: string>"
+#: A reaction or drug of a report with its own leaves, in order.
+HELD = "struct<kind: string, no: int, leaves: array<struct<name: string, value: string>>>"
 
 
 def report_leaves(data: bytes) -> Iterator[list[tuple[str, int, str, str, str]]]:
@@ -91,11 +93,26 @@ def report_leaves(data: bytes) -> Iterator[list[tuple[str, int, str, str, str]]]
             node.clear()
 
 
+#: Leaves of the reports that leave a Python worker together, unless one report has more.
+BATCH_LEAVES = 20_000
+
+
 def _leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    table = lambda rows: pd.DataFrame(rows, columns=["path", "report", "leaves", "held"])
     for b in batches:
         for path, data in zip(b["path"], b["content"], strict=True):
-            found = [(path, i, leaves) for i, leaves in enumerate(report_leaves(bytes(data)))]
-            yield pd.DataFrame(found, columns=["path", "report", "leaves"])
+            found, held = [], 0
+            for i, leaves in enumerate(report_leaves(bytes(data))):
+                if found and held + len(leaves) > BATCH_LEAVES:
+                    yield table(found)
+                    found, held = [], 0
+                own: dict[tuple[str, int], list[tuple[str, str]]] = {}
+                for holder, no, name, _, value in leaves:
+                    if no:
+                        own.setdefault((holder, no), []).append((name, value))
+                found.append((path, i, leaves, [(*k, own[k]) for k in sorted(own)]))
+                held += len(leaves)
+            yield table(found)
 
 
 def decode(c: Column, codes: dict[str, str]) -> Column:
@@ -134,21 +151,19 @@ def _as_case(columns: dict[str, Column]) -> list[Column]:
 
 def xml_cases(files: DataFrame, products: Sequence[str] = ()) -> DataFrame:
     """Cases of the reports in files (path, content), with path and report, the report's number in its file."""
-    raw = files.select("path", "content").mapInPandas(_leaves, f"path string, report int, leaves array<{LEAF}>")
+    raw = files.select("path", "content").mapInPandas(_leaves, f"path string, report int, leaves array<{LEAF}>, held array<{HELD}>")
     part = lambda kind: F.filter("leaves", lambda x: x["holder"] == kind)
     ours = [p.strip().lower() for p in products if p and p.strip()]
     known: set[str] = set()
 
     def each(kind: str, build) -> Column:
-        numbers = F.array_sort(F.array_distinct(F.transform(part(kind), lambda x: x["no"])))
-
-        def one(no: Column) -> Column:
-            h = _Holder(F.filter("leaves", lambda x: (x["holder"] == kind) & (x["no"] == no)))
+        def one(x: Column) -> Column:
+            h = _Holder(x["leaves"])
             out = build(h)
             known.update(h.known)
             return out
 
-        return F.transform(numbers, one)
+        return F.transform(F.filter("held", lambda x: x["kind"] == kind), one)
 
     def event(h: _Holder) -> Column:
         return F.struct(

@@ -2,6 +2,7 @@
 
 from datetime import date
 
+import pandas as pd
 import pytest
 
 from tabloom.sources import cases
@@ -37,6 +38,14 @@ def test_xml_of_two_generations(spark):
         list(cases.report_leaves(b'<!DOCTYPE a [<!ENTITY x "y">]><a/>'))
 
 
+def test_reports_of_a_file_leave_in_parts():
+    """A large file's reports do not wait for each other: a part has BATCH_LEAVES leaves at most, and none is lost."""
+    report = "<safetyreport><safetyreportid>W-{}</safetyreportid><patient>" + "<reaction><reactionmeddrapt>x</reactionmeddrapt></reaction>" * 99 + "</patient></safetyreport>"
+    data = "<ichicsr>" + "".join(map(report.format, range(1000))) + "</ichicsr>"
+    parts = list(cases._leaves(iter([pd.DataFrame({"path": ["a"], "content": [data.encode()]})])))
+    assert [n for p in parts for n in p["report"]] == list(range(1000)) and max(sum(map(len, p["leaves"])) for p in parts) == 20_000
+
+
 def test_listing(spark):
     head = ["Case", "Local", "Got", "Serious", "Why", "Term", "Onset", "Drug", "Role", "Age", "Source"]
     rows = [
