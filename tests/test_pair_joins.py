@@ -85,3 +85,11 @@ def test_pairs_are_not_shuffled(spark):
     """Only cases move: pairs are as many as the square of a block, and nothing gathers them again."""
     plan = safety.duplicate_pairs(spark.createDataFrame(cases(40, 6), CASE))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_block#" in plan and not re.search(r"hashpartitioning\([ab]#", plan)
+
+
+def test_ages_meet_by_cases_that_move_once_a_year(spark):
+    """Pairs by age: a case moves for its own year and the next, and the pairs of a country of one age are not gathered by their ids."""
+    rows = [(f"c{i:03}", None, None, "FR", "F", 40.0 + i % 2 / 2, None, None, None, None, None) for i in range(300)]
+    found = safety.duplicate_pairs(spark.createDataFrame(rows, CASE), 0.4)
+    assert found.count() == found.select("a", "b").distinct().count() == 300 * 299 // 2
+    assert not re.search(r"hashpartitioning\([ab]#", found._jdf.queryExecution().executedPlan().toString())
