@@ -651,3 +651,18 @@ def test_components(spark, monkeypatch):
         got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "src long, dst long"), Scratch(spark, "t")).collect()}
         assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500, 502: 500}
     assert components(spark.createDataFrame([], "src long, dst long"), Scratch(spark, "t")).count() == 0
+
+
+def test_equal_items_share_seeds(spark):
+    """Copies of an item under other ids are found each, with the seeds of one."""
+    text = "one two three four five six seven eight nine ten"
+    bench = lambda n: spark.createDataFrame([(i, text) for i in range(n)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {text} y"), (2, "other words")], "doc_id long, text string")
+    seeds = []
+    for n in (1, 5):
+        d = decontamination.Decontaminator(docs, bench(n))
+        hits = d.hits()
+        seeds.append(d.scratch.rows["seeds"])
+        assert hits.count() == 1
+        assert sorted((r["doc_id"], r["item_id"]) for r in d.overlaps().collect()) == [(1, i) for i in range(n)]
+    assert seeds[0] == seeds[1]
